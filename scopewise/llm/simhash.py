@@ -47,7 +47,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     for start in range(0, count, HASHES_AT_ONCE):
         runs = [words[start + k : min(start + HASHES_AT_ONCE, count) + k] for k in range(shingle)]
         hashes = np.array([of(b" ".join(z), SEED) for z in zip(*runs, strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > count, bitorder="little").view("<u8")[0])
 
 
