@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scopewise.llm.exact_dedup import exact_groups
+from scopewise.llm.line_dedup import line_dedup
+from scopewise.llm.mixing import mix
 from scopewise.llm.simhash import near_groups
+from scopewise.llm.url_rules import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +20,64 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_url_rules": op3_url_rules,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+            FROM documents),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        weighed AS (
+            SELECT *, 2 * source_size AS cap, sum(source_size) OVER () AS all_size,
+                   [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS BIGINT)] AS weight
+            FROM sources),
+        ratios AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio FROM weighed),
+        levels AS (
+            SELECT *, (CAST(all_size AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0))
+                      / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level
+            FROM ratios
+            WINDOW o AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        aimed AS (
+            SELECT source, source_size,
+                   CASE WHEN ratio <= level THEN CAST(cap AS DOUBLE)
+                        ELSE weight * max(CASE WHEN ratio > level THEN level END) OVER () END AS target
+            FROM levels),
+        placed AS (
+            SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS budget,
+                   coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(CASE WHEN source_size = 0 THEN 0 ELSE
+                    budget // source_size * size
+                    + greatest(0, least(size, budget - budget // source_size * source_size - before)) END AS BIGINT) AS taken
+        FROM placed""",
     "op8_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -37,4 +89,26 @@ ORACLE_SQL = {
                doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS kept,
                sha256(norm) AS text_sha256
         FROM n""",
+    "op10_line_dedup": r"""
+        WITH split_up AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+        lined AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM split_up),
+        windows AS (
+            SELECT doc_id, pos, line, lead(line, 1) OVER o AS line2, lead(line, 2) OVER o AS line3,
+                   lead(pos, 2) OVER o IS NOT NULL AS whole
+            FROM lined WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        marked AS (
+            SELECT doc_id, pos, whole AND row_number() OVER (
+                       PARTITION BY whole, line, line2, line3 ORDER BY doc_id, pos) > 1 AS repeated
+            FROM windows),
+        covered AS (
+            SELECT doc_id, pos, bool_or(repeated) OVER (
+                       PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone
+            FROM marked),
+        kept AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                   string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+            FROM lined JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+               sha256(coalesce(kept.text, '')) AS text_sha256
+        FROM documents d LEFT JOIN kept USING (doc_id)""",
 }
