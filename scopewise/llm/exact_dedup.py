@@ -7,8 +7,8 @@ depth, so the number of rounds is logarithmic in the longest text. A group is le
 as they are; no digest decides equality.
 
 Counts are pre-aggregated before each shuffle, so a group that holds a third of all rows reaches the reducers as
-one row for each map task; the joins that hand group numbers back are plain equi-joins, which AQE splits where
-they are skewed. Each round is staged in the shared folder.
+one row for each map task; the joins that hand group numbers back are sort-merge joins at every size (the table
+of shared digits grows with the corpus, so it is not broadcast), which AQE splits where they are skewed. Each round is staged in the shared folder.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # "group" is null for texts that are alone; only unfinished groups carry bytes on
     state = stage(
         base.withColumn("digit", digit(first_digit))
-        .join(keys.withColumn("group", F.monotonically_increasing_id()), ["left", "digit"], "left")
+        .join(keys.withColumn("group", F.monotonically_increasing_id()).hint("merge"), ["left", "digit"], "left")
         .select("id", "points", F.sha2("rest", 256).alias("sha"), "group", _beyond(first_digit), (F.col("left") - first_digit).alias("left")),
         "radix",
     )
@@ -57,7 +57,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         state = stage(
             active.withColumn("digit", digit(width))
             .withColumnRenamed("group", "parent")
-            .join(keys.withColumnRenamed("group", "parent").withColumn("group", F.monotonically_increasing_id()), ["parent", "digit"], "left")
+            .join(keys.withColumnRenamed("group", "parent").withColumn("group", F.monotonically_increasing_id()).hint("merge"), ["parent", "digit"], "left")
             .select("id", "points", "sha", "group", _beyond(width), (F.col("left") - width).alias("left")),
             "radix",
         )
