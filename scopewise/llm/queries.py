@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scopewise.llm.bpe import token_digests
 from scopewise.llm.exact_dedup import exact_groups
+from scopewise.llm.graph_search import nearest
+from scopewise.llm.language import identify
 from scopewise.llm.line_dedup import line_dedup
 from scopewise.llm.mixing import mix
 from scopewise.llm.simhash import near_groups
@@ -30,6 +32,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_url_rules": op3_url_rules,
     "op4_bpe": op4_bpe,
+    "op5_language": op5_language,
+    "op6_graph_search": op6_graph_search,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
