@@ -44,7 +44,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = repeats.groupBy("_none", "_id", "_hash").agg(F.sort_array(F.collect_set("at")).alias("_starts")).withColumn("_key", F.coalesce("_id", F.lit(0))).drop("_id")
 
     rows = docs.withColumns({"_none": F.col(id_col).isNull(), "_key": F.coalesce(F.col(id_col), F.lit(0)), "_hash": F.xxhash64(text_col), "_text": F.col(text_col)})
-    found = rows.join(starts, ["_none", "_key", "_hash"], "left").withColumn("_lines", lines)
+    found = rows.join(starts, ["_none", "_key", "_hash"], "left").withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines))
     # what stays lies between one repeat's end and the next one's start
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("_starts")),
@@ -54,7 +54,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["high"] > g["low"]), lambda g: F.slice("_lines", g["low"], g["high"] - g["low"])))
-    n_lines = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(count)
+    n_lines = F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     return (
         found.withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept))
         .withColumns(
