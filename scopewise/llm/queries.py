@@ -11,6 +11,7 @@ from scopewise.llm.graph_search import nearest
 from scopewise.llm.language import identify
 from scopewise.llm.line_dedup import line_dedup
 from scopewise.llm.mixing import mix
+from scopewise.llm.quality import resample
 from scopewise.llm.simhash import near_groups
 from scopewise.llm.substring_dedup import repeated_spans
 from scopewise.llm.url_rules import judge_urls
@@ -24,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("hash")
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_url_rules": op3_url_rules,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
