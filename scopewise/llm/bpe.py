@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from scopewise.llm.gear import cuts
 
@@ -112,7 +113,7 @@ class ChunkEncoder:
 
 
 def encode_column(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """docs with _ids (little-endian unsigned 32-bit, binary), _n and _decoded for each text; null counts as empty."""
+    """docs with _ids (little-endian unsigned 32-bit, binary) and _n, their number; null counts as empty."""
     path = vocabulary or default_vocabulary()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
             made = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_ids", "_n"])
 
-    return docs.mapInArrow(encoded, docs.schema.add("_ids", "binary").add("_n", "long"))
+    return docs.mapInArrow(encoded, StructType([*docs.schema, StructField("_ids", BinaryType()), StructField("_n", LongType())]))
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

@@ -90,3 +90,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))).cast("long").alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, with all its columns.
+
+    The document at a source's cut, of which the mix takes a part, comes whole. Rows that share id and size come as
+    often as the one that is taken most.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    often = taken.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_often"))
+    rows = docs.withColumn("_own", word_count(F.col(text_col))).join(often, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often")))).drop("_own", "_id", "_size", "_often", "_copy")
