@@ -69,7 +69,7 @@ def split_sections(text: Column, schema: dict[str, list[str]], boundaries: list[
         return out
 
     rows = F.transform(
-        pieces, lambda p, i: F.struct(i.alias("pos"), named(F.regexp_extract(p, header, 1)).alias("section"), stripped(F.regexp_replace(p, rf"\A{header}", "")).alias("content"))
+        pieces, lambda p, i: F.struct(i.alias("_at"), named(F.regexp_extract(p, header, 1)).alias("section"), stripped(F.regexp_replace(p, rf"\A{header}", "")).alias("content"))
     )
     return F.filter(rows, lambda r: r["section"].isNotNull())
 
@@ -86,5 +86,5 @@ def sections(notes: DataFrame, keys: list[str], category_col: str, text_col: str
     known = F.col(category_col).isin(*SCHEMAS)
     other = split_sections(F.col(text_col), DISCHARGE, BOUNDARIES["Discharge summary"])
     rows = notes.select(*keys, *order, F.col(category_col).alias("category"), F.inline(F.when(known, chosen).otherwise(other))).where("content <> ''")
-    first = Window.partitionBy(*keys, "category", "section").orderBy(*order, "pos")
+    first = Window.partitionBy(*keys, "category", "section").orderBy(*order, "_at")
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*keys, "category", "section", "content")

@@ -1,6 +1,6 @@
 """Byte-fallback BPE and Unigram tokenizers over vocabulary files, as Arrow functions.
 
-Vocabularies are given by path, read once per worker and never trained.
+Vocabularies are given by path, read once per task and never trained.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -86,11 +85,10 @@ class Unigram:
 
 def encoder(make: Callable[[], Bpe | Unigram], length: int, pad: int = 0) -> Callable[[Column], Column]:
     """A column function: struct<ids, mask> of fixed length."""
-    load = lru_cache(maxsize=1)(make)
 
     @F.pandas_udf("struct<ids:array<bigint>,mask:array<bigint>>")
     def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer = load()
+        tokenizer = make()
         for texts in parts:
             yield pd.DataFrame([padded(tokenizer.encode(x), length, pad) for x in texts], columns=["ids", "mask"])
 
