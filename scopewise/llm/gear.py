@@ -30,8 +30,8 @@ def cuts(data: np.ndarray, bits: int, least: int, most: int) -> np.ndarray:
     """Ends of the chunks of a byte array: positions, ascending, the last being its length.
 
     A position is a cut if the top bits of its hash are zero and no such position lies within the ``least`` bytes
-    before it, so cuts depend on nearby bytes only and come back after an insertion. Stretches without a cut are
-    cut every ``most`` bytes. No cut falls inside a UTF-8 character. On average chunks are 2**bits bytes and a
+    before it, so cuts depend on nearby bytes only and come back after an insertion. Stretches of over ``most`` bytes
+    without a cut are cut at their least hash, and then every ``most`` bytes. No cut falls inside a UTF-8 character. On average chunks are 2**bits bytes and a
     little more.
     """
     found = []
@@ -46,8 +46,25 @@ def cuts(data: np.ndarray, bits: int, least: int, most: int) -> np.ndarray:
     edges = np.concatenate([[0], ends, [len(data)]])
     wide = np.flatnonzero(np.diff(edges) > most)
     if len(wide):
-        forced = np.concatenate([np.arange(edges[i] + most, edges[i + 1], most) for i in wide])
-        for _ in range(3):
-            forced = np.where(data[forced] & 0xC0 == 0x80, forced - 1, forced)
-        ends = np.union1d(ends, forced)
+        ends = np.union1d(ends, np.concatenate([_least_cuts(data, int(edges[i]), int(edges[i + 1]), least, most) for i in wide]))
     return np.append(ends, len(data)) if len(data) else ends
+
+
+def _least_cuts(data: np.ndarray, start: int, stop: int, least: int, most: int) -> np.ndarray:
+    """Cuts within a stretch that has none: wherever the hash is the stretch's least, so that periods are cut alike."""
+    found = [start]
+    for low in range(start, stop, BLOCK):
+        first = max(0, low - WINDOW)
+        hashes = _hashes(data[first : min(low + BLOCK, stop)])[low - first :]
+        spots = np.arange(low + 1, low + 1 + len(hashes))
+        inside = spots < stop
+        inside[inside] = data[spots[inside]] & 0xC0 != 0x80
+        if inside.any():
+            for at in spots[inside & (hashes == hashes[inside].min())].tolist():
+                if at - found[-1] >= least:
+                    found.append(at)
+    edges = np.array([*found, stop])
+    forced = np.concatenate([np.arange(a + most, b, most) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    for _ in range(3):
+        forced = np.where(data[forced] & 0xC0 == 0x80, forced - 1, forced)
+    return np.union1d(found[1:], forced).astype(np.int64)

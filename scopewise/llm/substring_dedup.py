@@ -25,9 +25,9 @@ from scopewise.llm.gear import cuts
 #: Chunks are 2**5 bytes and more on average, so a passage of 50 words holds many.
 BITS = 5
 LEAST = 16
-MOST = 4096
+MOST = 256
 #: Words that a run of repeated chunks has at least.
-RUN_WORDS = 16
+RUN_WORDS = 10
 #: White space counts as spaces, so a passage may be wrapped otherwise.
 SPACES = bytes(0x20 if 9 <= c <= 13 else c for c in range(256))
 
