@@ -43,6 +43,14 @@ def unstage(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows as one struct, ``row``, beside the columns an operator works on: no name can clash with an input's.
+
+    ``select("row.*")`` gives the rows back.
+    """
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def without_white_space(text: Column) -> Column:
     """The text without its ASCII white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import stage, unstage, without_white_space
+from scopewise.llm.common import packed, stage, unstage, without_white_space
 
 FIRST_DIGIT = 64
 WIDENING = 16
@@ -91,11 +91,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_own", F.sha2(without_white_space(F.col(text_col)).cast("binary"), 256))
-    found = rows.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    longest = Window.partitionBy(id_col, "_own").orderBy(F.length(text_col).desc_nulls_last())
-    return found.withColumn("_n", F.row_number().over(longest)).where("_n = 1").drop("_n", "_own")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept"), F.col("text_sha256").alias("sha"))
+    text = F.col(text_col)
+    rows = packed(docs, id=F.col(id_col), points=F.coalesce(F.length(text), F.lit(0)), own=F.sha2(without_white_space(text).cast("binary"), 256))
+    found = rows.join(kept.distinct(), F.col("id").eqNullSafe(F.col("kept")) & (F.col("own") == F.col("sha")), "left_semi")
+    longest = Window.partitionBy("id", "own").orderBy(F.desc("points"))
+    return found.withColumn("n", F.row_number().over(longest)).where("n = 1").select("row.*")
 
 
 def _beyond(width: int):

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scopewise.llm.common import packed
+
 WINDOW = 3
 
 
@@ -21,48 +23,47 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at newline characters. Documents come in the order of their ids, nulls last, then of a hash of their
     texts; rows alike in id and text are one document and get the same result. Null texts have no lines and stay
-    null; texts of fewer lines than a window stay whole. Blank lines count like any other. All other columns are
+    null; texts of fewer lines than a window stay whole. Blank lines count like any other. A
+    repeat may overlap its own first occurrence: of one line over and over, one stays. All other columns are
     kept as they are.
     """
-    lines = F.split(F.col("_text"), "\n", -1)
-    base = docs.select(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    lines = F.split("text", "\n", -1)
+    place = {"none": F.col(id_col).isNull(), "id": F.col(id_col), "hash": F.xxhash64(text_col)}
+    base = docs.select(*[c.alias(n) for n, c in place.items()], F.col(text_col).alias("text"))
 
     def hashed(i: Column) -> Column:
-        text = F.concat_ws("\n", F.slice("_lines", i, window))
+        text = F.concat_ws("\n", F.slice("lines", i, window))
         return F.struct(i.alias("at"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(window), text).alias("h2"))
 
-    count = F.size("_lines")
+    count = F.size("lines")
     windows = (
-        base.where("_text is not null")
-        .withColumn("_lines", lines)
+        base.where("text is not null")
+        .withColumn("lines", lines)
         .where(count >= window)
-        .select("_none", "_id", "_hash", F.inline(F.transform(F.sequence(F.lit(1), count - window + 1), hashed)))
-        .select("h1", "h2", F.struct("_none", "_id", "_hash", "at").alias("place"))
+        .select("none", "id", "hash", F.inline(F.transform(F.sequence(F.lit(1), count - window + 1), hashed)))
+        .select("h1", "h2", F.struct("none", "id", "hash", "at").alias("place"))
     )
     first = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeats = windows.join(first, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
-    starts = repeats.groupBy("_none", "_id", "_hash").agg(F.sort_array(F.collect_set("at")).alias("_starts")).withColumn("_key", F.coalesce("_id", F.lit(0))).drop("_id")
+    starts = repeats.groupBy("none", "id", "hash").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    starts = starts.select("none", F.coalesce("id", F.lit(0)).alias("key"), "hash", "starts")
 
-    rows = docs.withColumns({"_none": F.col(id_col).isNull(), "_key": F.coalesce(F.col(id_col), F.lit(0)), "_hash": F.xxhash64(text_col), "_text": F.col(text_col)})
-    found = rows.join(starts, ["_none", "_key", "_hash"], "left").withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines))
+    rows = packed(docs, none=place["none"], key=F.coalesce(F.col(id_col), F.lit(0)), hash=place["hash"]).withColumn("text", F.col("row")[text_col])
+    found = rows.join(starts, ["none", "key", "hash"], "left").withColumn("lines", F.when(F.col("starts").isNotNull(), lines))
     # what stays lies between one repeat's end and the next one's start
     gaps = F.transform(
-        F.sequence(F.lit(0), F.size("_starts")),
+        F.sequence(F.lit(0), F.size("starts")),
         lambda i: F.struct(
-            F.when(i == 0, F.lit(1)).otherwise(F.get("_starts", i - 1) + window).alias("low"),
-            F.coalesce(F.get("_starts", i), count + 1).alias("high"),
+            F.when(i == 0, F.lit(1)).otherwise(F.get("starts", i - 1) + window).alias("low"),
+            F.coalesce(F.get("starts", i), count + 1).alias("high"),
         ),
     )
-    kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["high"] > g["low"]), lambda g: F.slice("_lines", g["low"], g["high"] - g["low"])))
-    n_lines = F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    return (
-        found.withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept))
-        .withColumns(
-            {
-                text_col: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("_text")),
-                "n_lines": n_lines,
-                "n_removed": F.when(F.col("_kept").isNotNull(), count - F.size("_kept")).otherwise(F.lit(0)),
-            }
-        )
-        .drop("_none", "_key", "_hash", "_text", "_lines", "_starts", "_kept")
-    )
+    kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["high"] > g["low"]), lambda g: F.slice("lines", g["low"], g["high"] - g["low"])))
+    found = found.withColumn("kept", F.when(F.col("starts").isNotNull(), kept))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    made = {
+        text_col: F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text")),
+        "n_lines": n_lines,
+        "n_removed": F.when(F.col("kept").isNotNull(), count - F.size("kept")).otherwise(F.lit(0)),
+    }
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *[c.alias(n) for n, c in made.items()])

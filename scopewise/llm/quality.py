@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import stage
+from scopewise.llm.common import packed, stage
 
 BUCKETS = 1 << 14
 SEED = 11
@@ -95,7 +95,8 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), pa.array(totals[0]), pa.array(totals[1])], ["bucket", "raw", "target"])
 
     sample = _good(labels).where("_good").orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id"), "left").select(F.col(text_col).alias("text"), F.coalesce("_good", F.lit(False)).alias("good"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("_id"), "left")
+    rows = rows.select("text", F.coalesce("_good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(counted, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for bucket, a, b in sums:
@@ -194,5 +195,6 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the resampling keeps, with all their columns."""
-    stays = resample(docs, labels, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_semi")
+    stays = resample(docs, labels, id_col, text_col).where("kept").select(F.col(id_col).alias("stays"), "hash").distinct()
+    rows = packed(docs, id=F.col(id_col), own=F.xxhash64(text_col))
+    return rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("own") == F.col("hash")), "left_semi").select("row.*")

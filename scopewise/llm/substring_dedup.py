@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import stage
+from scopewise.llm.common import packed, stage
 from scopewise.llm.gear import cuts
 
 #: Chunks are 2**5 bytes and more on average, so a passage of 50 words holds many.
@@ -90,11 +90,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the repeated spans cut from the texts; all other columns are kept as they are."""
     spans = stage(repeated_spans(docs, id_col, text_col, run_words), "spans")
-    cut = spans.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_spans"))
-    rows = docs.join(cut, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("_bytes", F.col(text_col).cast("binary"))
+    cut = spans.groupBy(F.col(id_col).alias("cut_id")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    rows = packed(docs, id=F.col(id_col)).join(cut, F.col("id").eqNullSafe(F.col("cut_id")), "left")
+    text = F.col("row")[text_col]
+    rows = rows.withColumn("bytes", text.cast("binary"))
     gaps = F.transform(
-        F.sequence(F.lit(0), F.size("_spans")),
-        lambda i: F.struct(F.coalesce(F.get("_spans", i - 1)["high"], F.lit(0)).alias("low"), F.coalesce(F.get("_spans", i)["low"], F.length("_bytes")).alias("high")),
+        F.sequence(F.lit(0), F.size("spans")),
+        lambda i: F.struct(F.coalesce(F.get("spans", i - 1)["high"], F.lit(0)).alias("low"), F.coalesce(F.get("spans", i)["low"], F.length("bytes")).alias("high")),
     )
-    kept = F.array_join(F.transform(gaps, lambda g: F.call_function("substring", F.col("_bytes"), g["low"] + 1, g["high"] - g["low"]).cast("string")), "")
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(kept)).drop("_id", "_spans", "_bytes")
+    kept = F.array_join(F.transform(gaps, lambda g: F.call_function("substring", F.col("bytes"), g["low"] + 1, g["high"] - g["low"]).cast("string")), "")
+    whole = F.when(F.col("spans").isNull(), text).otherwise(kept)
+    return rows.select(*[whole.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
