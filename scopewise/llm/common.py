@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: A word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths of staged tables.
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,17 +32,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/stage-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all tables that this process staged, once the results that read them are written."""
+    while _STAGED:
+        _delete(spark, _STAGED.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:

@@ -41,11 +41,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def digit(width: int):
         return F.substring("rest", 1, width)
 
-    keys = stage(base.groupBy("left", digit(first_digit).alias("digit")).count().where("count > 1"), "radix-keys").drop("count")
+    def shared(rows: DataFrame, of: str, width: int) -> DataFrame:
+        """The digits that more than one row of a group has, each with a number for the group it makes."""
+        counts = rows.groupBy(of, digit(width).alias("digit")).count().where("count > 1")
+        return stage(counts.select(of, "digit", F.monotonically_increasing_id().alias("group")), "radix-keys")
+
+    keys = shared(base, "left", first_digit)
     # "group" is null for texts that are alone; only unfinished groups carry bytes on
     state = stage(
         base.withColumn("digit", digit(first_digit))
-        .join(keys.withColumn("group", F.monotonically_increasing_id()).hint("merge"), ["left", "digit"], "left")
+        .join(keys.hint("merge"), ["left", "digit"], "left")
         .select("id", "points", F.sha2("rest", 256).alias("sha"), "group", _beyond(first_digit), (F.col("left") - first_digit).alias("left")),
         "radix",
     )
@@ -53,11 +58,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     active = state.where("group is not null and left > 0")
     while not active.isEmpty():
         width, round_no = width * WIDENING, round_no + 1
-        keys = stage(active.groupBy("group", digit(width).alias("digit")).count().where("count > 1"), "radix-keys").drop("count")
+        active = active.withColumnRenamed("group", "parent")
+        keys = shared(active, "parent", width)
         state = stage(
             active.withColumn("digit", digit(width))
-            .withColumnRenamed("group", "parent")
-            .join(keys.withColumnRenamed("group", "parent").withColumn("group", F.monotonically_increasing_id()).hint("merge"), ["parent", "digit"], "left")
+            .join(keys.hint("merge"), ["parent", "digit"], "left")
             .select("id", "points", "sha", "group", _beyond(width), (F.col("left") - width).alias("left")),
             "radix",
         )
