@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from scopewise.plans import cohort, documents, retrieval
+from scopewise.plans import cohort, documents, questions, retrieval
 from tests.oracle import assert_same, connect
 
-QUERIES = {**retrieval.QUERIES, **cohort.QUERIES, **documents.QUERIES}
-SQL = {**retrieval.ORACLE_SQL, **cohort.ORACLE_SQL, **documents.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **cohort.QUERIES, **documents.QUERIES, **questions.QUERIES}
+SQL = {**retrieval.ORACLE_SQL, **cohort.ORACLE_SQL, **documents.ORACLE_SQL, **questions.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
