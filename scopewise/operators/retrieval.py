@@ -55,10 +55,9 @@ def filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 
     Others score 0 and come by id; the first 2k ids of a scope always suffice, so no query meets all chunks.
     """
-    best = top(scored, k).select("query_id", "chunk_id", "score")
     first = chunks.select("scope", "chunk_id").withColumn("_n", F.row_number().over(Window.partitionBy("scope").orderBy("chunk_id"))).where(F.col("_n") <= 2 * k)
-    rest = queries.select("query_id", "scope").join(first, "scope").select("query_id", "chunk_id").join(best, ["query_id", "chunk_id"], "left_anti")
-    return top(best.unionByName(rest.withColumn("score", F.lit(0.0))), k)
+    zeros = queries.select("query_id", "scope").join(first, "scope").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    return top(scored.unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
