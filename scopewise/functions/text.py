@@ -45,9 +45,14 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
 
 
-def contains_text(whole: Column, part: Column) -> Column:
-    """Containment of the first 300 characters of a part, whatever its case and white space; a blank part is nowhere."""
-    wanted = F.lower(one_line(F.substring(F.regexp_replace(part, r"(\.\.\.)+$", ""), 1, 300)))
+def contains_text(whole: Column, part: Column, first: int | None = None) -> Column:
+    """Containment whatever the case and white space; a blank part is nowhere.
+
+    With ``first``, only so many characters of the part, without dots at its end, are looked for.
+    """
+    if first is not None:
+        part = F.substring(F.regexp_replace(part, r"(\.\.\.)+$", ""), 1, first)
+    wanted = F.lower(one_line(part))
     return F.coalesce((wanted != "") & F.lower(one_line(whole)).contains(wanted), F.lit(False))
 
 

@@ -128,9 +128,9 @@ def cross_patient_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spread_priority(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("windows")).where("windows > 0 AND windows <= 60").select("windows", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("idx"))
+    rows = admissions(spark, d).groupBy("subject_id").agg(F.count("*").alias("windows")).select("subject_id", "windows", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("idx"))
     spread = lambda cap: candidates.spread_priority(F.col("idx"), F.col("windows"), cap)
-    return rows.select("windows", "idx", spread(1).alias("cap_1"), spread(2).alias("cap_2"), spread(4).alias("cap_4"))
+    return rows.select("subject_id", "windows", "idx", spread(1).alias("cap_1"), spread(2).alias("cap_2"), spread(4).alias("cap_4"))
 
 
 def stable_hash_order(spark: SparkSession, d: str) -> DataFrame:
@@ -265,8 +265,8 @@ ORACLE_SQL = {
     "cross_patient_pairs": f"""WITH {_DIAGNOSED}, s AS (SELECT lower(trim(diagnosis)) AS diagnosis, CAST(subject_id AS VARCHAR) AS patient, CAST(hadm_id AS VARCHAR) AS admission FROM att WHERE trim(diagnosis) <> '')
         SELECT diagnosis, a.patient AS patient_1, a.admission AS admission_1, b.patient AS patient_2, b.admission AS admission_2 FROM s a JOIN s b USING (diagnosis) WHERE a.patient < b.patient""",
     "spread_priority": f"""
-        WITH w AS (SELECT c_custkey AS windows, unnest(range(c_custkey)) AS idx FROM customer WHERE c_custkey > 0 AND c_custkey <= 60)
-        SELECT windows, CAST(idx AS INTEGER) AS idx, {_spread(1)} AS cap_1, {_spread(2)} AS cap_2, {_spread(4)} AS cap_4 FROM w""",
+        WITH n AS (SELECT o_custkey AS subject_id, count(*) AS windows FROM orders GROUP BY o_custkey), w AS (SELECT *, unnest(range(windows)) AS idx FROM n)
+        SELECT subject_id, windows, CAST(idx AS INTEGER) AS idx, {_spread(1)} AS cap_1, {_spread(2)} AS cap_2, {_spread(4)} AS cap_4 FROM w""",
     "stable_hash_order": "SELECT o_orderkey AS hadm_id, substr(sha256('42|' || CAST(o_custkey AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR)), 1, 16) AS stable_rank FROM orders",
     "cap_check": "SELECT 'same_patient_two_admissions' AS kind, CAST(o_custkey AS VARCHAR) AS patients, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10",
     "split_by_type": """

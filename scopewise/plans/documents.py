@@ -44,7 +44,7 @@ def text_predicates(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     return table(spark, d, "documents").select(
         "doc_id", T.first_person(text).alias("first_person"), T.leaks_id(text).alias("leaks_id"), T.deidentified(text).alias("deidentified"), T.informative(text).alias("informative"),
-        T.estimated_tokens(text, 2.0).alias("tokens"), T.answer_key(F.substring(text, 1, 200)).alias("answer_key"),
+        T.estimated_tokens(text, 2.0).alias("tokens"), T.answer_key(text).alias("answer_key"),
     )
 
 
@@ -115,28 +115,30 @@ def page_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_interval_lookup(spark: SparkSession, d: str) -> DataFrame:
-    spans = table(spark, d, "documents").select("doc_id", F.lit(1).alias("k"), F.lit(100).alias("start"), F.lit(300).alias("end"))
-    rows = pages.span_pages(spans, _paged(spark, d), "doc_id", ["k"])
-    return rows.select("doc_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "page")
+    """The pages of every chunk."""
+    ranges = _paged(spark, d)
+    spans = chunked(pages.document_text(ranges, "doc_id"), "doc_id", "text").select("doc_id", "chunk_idx", "start", "end")
+    rows = pages.span_pages(spans, ranges, "doc_id", ["chunk_idx"])
+    return rows.select("doc_id", "chunk_idx", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "page")
 
 
 def gold_chunk_choice(spark: SparkSession, d: str) -> DataFrame:
-    """For the first words of each document's second page, the page's chunk that holds them best."""
+    """For every page, the chunk that holds its text best; pages longer than a chunk have none."""
     ranges = _paged(spark, d)
-    evidence = ranges.where("page = 2 AND trim(text) <> ''").select("doc_id", "page", F.substring("text", 1, 40).alias("evidence"))
+    evidence = ranges.where("trim(text) <> ''").select("doc_id", "page", F.col("text").alias("evidence"))
     rows = chunked(pages.document_text(ranges, "doc_id"), "doc_id", "text")
     return pages.gold_chunks(evidence, rows, ranges, "doc_id").select("doc_id", "page", F.length("gold").alias("gold_length"), F.md5(F.col("gold").cast("binary")).alias("gold_md5"))
 
 
 def text_page_lookup(spark: SparkSession, d: str) -> DataFrame:
     ranges = _paged(spark, d)
-    evidence = ranges.where("page = 3 AND length(text) >= 40").select("doc_id", F.replace(F.substring("text", 5, 30), F.lit(" "), F.lit("\n ")).alias("evidence"))
-    return pages.text_pages(evidence, ranges, "doc_id").select("doc_id", "page")
+    evidence = ranges.select("doc_id", F.col("page").alias("of"), F.replace("text", F.lit(" "), F.lit("\n ")).alias("evidence"))
+    return pages.text_pages(evidence, ranges, "doc_id").select("doc_id", "of", "page")
 
 
 def document_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("source").alias("patient"), "lang", "doc_id", F.lit("old").alias("version"))
-    new = rows.where("doc_id % 7 = 0 AND lang = 'fr'").withColumn("version", F.lit("new"))
+    new = rows.where("lang = 'fr'").withColumn("version", F.lit("new"))
     return store.upsert(rows, new, ["patient", "lang"])
 
 
@@ -226,6 +228,7 @@ _LINES = rf"""
     ranges AS (SELECT *, CAST(start + length(text) AS INTEGER) AS "end" FROM r)"""
 _PAGE_TEXT = "SELECT doc_id, " + _STRIP.format(_BLANKS.format("string_agg(text, chr(10) ORDER BY page)")) + " AS c FROM ranges GROUP BY doc_id"
 _PAGE_CHUNKS = _CHUNKS.format(source=_PAGE_TEXT).replace("RECURSIVE", f"RECURSIVE {_LINES},", 1)
+_LOOKED_UP = r"substr(regexp_replace(replace(text, ' ', chr(10) || ' '), '(\.\.\.)+$', ''), 1, 300)"
 _ONE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
@@ -260,7 +263,7 @@ ORACLE_SQL = {
     "text_predicates": r"""
         SELECT doc_id, regexp_matches(text, '\b(?:I|me|my|mine|myself)\b') AS first_person, regexp_matches(text, '[0-9]{5,}') AS leaks_id, regexp_matches(text, '\[\*\*|_{3,}') AS deidentified,
                length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 25 AND len(regexp_extract_all(text, '\S+')) >= 5 AS informative,
-               CAST(ceil(length(text) / 2.0::DOUBLE) AS INTEGER) AS tokens, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS answer_key
+               CAST(ceil(length(text) / 2.0::DOUBLE) AS INTEGER) AS tokens, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS answer_key
         FROM documents""",
     "file_names": """
         SELECT o_orderkey, 'Patient_' || CAST(o_custkey AS VARCHAR) || '_Admission_' || CAST(o_orderkey AS VARCHAR) || '.pdf' AS name, CAST(o_orderkey AS VARCHAR) AS admission,
@@ -285,22 +288,25 @@ ORACLE_SQL = {
         SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS history FROM r WHERE n <= 4 GROUP BY conv_id""",
     "history_dedupe": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
     "page_offsets": f'WITH {_LINES} SELECT doc_id, page, start, "end" FROM ranges',
-    "page_interval_lookup": f"""WITH {_LINES},
-        h AS (SELECT doc_id, list(page ORDER BY page) FILTER (start < 300 AND "end" > 100) AS hit, max(page) AS last FROM ranges GROUP BY doc_id)
-        SELECT doc_id, array_to_string(coalesce(hit, [last]), ',') AS pages, coalesce(hit, [last])[1] AS page FROM h""",
+    "page_interval_lookup": rf"""WITH {_PAGE_CHUNKS},
+        ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_idx, s + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS cs, length(content) AS n
+               FROM cut WHERE content <> ''),
+        h AS (SELECT doc_id, chunk_idx, list(page ORDER BY page) FILTER (start < cs + n AND "end" > cs) AS hit, max(page) AS last FROM ch JOIN ranges USING (doc_id) GROUP BY ALL)
+        SELECT doc_id, chunk_idx, array_to_string(coalesce(hit, [last]), ',') AS pages, coalesce(hit, [last])[1] AS page FROM h""",
     "gold_chunk_choice": rf"""WITH {_PAGE_CHUNKS},
         ch AS (SELECT doc_id, content, s + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS cs FROM cut WHERE content <> ''),
-        ev AS (SELECT doc_id, page, substr(text, 1, 40) AS evidence, start, "end" AS stop FROM ranges WHERE page = 2 AND trim(text) <> ''),
+        ev AS (SELECT doc_id, page, text AS evidence, start, "end" AS stop FROM ranges WHERE trim(text) <> ''),
         fit AS (SELECT ev.doc_id, ev.page, content, least(cs + length(content), stop) - greatest(cs, start) AS shared, cs
                 FROM ev JOIN ch USING (doc_id) WHERE least(cs + length(content), stop) - greatest(cs, start) > 0
                 AND contains(lower({_ONE.format('content')}), lower({_ONE.format('evidence')})) AND {_ONE.format('evidence')} <> ''),
         best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY shared DESC, length(content), cs) AS n FROM fit)
         SELECT doc_id, page, CAST(length(content) AS INTEGER) AS gold_length, md5(content) AS gold_md5 FROM best WHERE n = 1""",
     "text_page_lookup": f"""WITH {_LINES},
-        ev AS (SELECT doc_id, replace(substr(text, 5, 30), ' ', chr(10) || ' ') AS evidence FROM ranges WHERE page = 3 AND length(text) >= 40)
-        SELECT ev.doc_id, min(page) FILTER (contains(lower({_ONE.format('text')}), lower({_ONE.format('evidence')}))) AS page FROM ev JOIN ranges USING (doc_id) GROUP BY ev.doc_id, evidence""",
+        ev AS (SELECT doc_id, page AS of, lower({_ONE.format(_LOOKED_UP)}) AS wanted FROM ranges),
+        held AS (SELECT doc_id, page, lower({_ONE.format('text')}) AS text FROM ranges)
+        SELECT ev.doc_id, of, min(page) FILTER (wanted <> '' AND contains(text, wanted)) AS page FROM ev JOIN held USING (doc_id) GROUP BY ev.doc_id, of""",
     "document_upsert": """
-        WITH new AS (SELECT source, lang, doc_id FROM documents WHERE doc_id % 7 = 0 AND lang = 'fr')
+        WITH new AS (SELECT source, lang, doc_id FROM documents WHERE lang = 'fr')
         SELECT source AS patient, lang, doc_id, 'old' AS version FROM documents d WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.source = d.source AND new.lang = d.lang)
         UNION ALL SELECT source, lang, doc_id, 'new' FROM new""",
     "dedupe_ingest": "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang",

@@ -95,7 +95,7 @@ def multi_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def generator_conditions(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("doc"), F.lit("What is said?").alias("question"), F.col("text").alias("gold"))
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("doc"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     rows = questions.conditions(items, docs)
     return rows.select("id", "condition", "skipped", F.length("prompt").alias("length"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
@@ -103,7 +103,7 @@ def generator_conditions(spark: SparkSession, d: str) -> DataFrame:
 def generation_attempts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("role = 'assistant'")
     stats = F.concat(F.lit('{"prompt_tokens": '), F.length("text").cast("string"), F.lit(', "generated_tokens": '), (F.col("conv_id") * 10).cast("string"), F.lit("}"))
-    raw = F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit("<|im_end|>tail"))
+    raw = F.concat(F.lit(" "), F.col("text"), F.lit("<|im_end|>tail"))
     return questions.attempts(rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), raw.alias("raw"), stats.alias("stats"), F.lit("").alias("error"))).drop("error")
 
 
@@ -173,9 +173,9 @@ ORACLE_SQL = {
     "generator_conditions": f"""
         WITH p AS (SELECT item_id AS id, unnest(['closed_book', 'oracle_evidence', 'full_context']) AS condition,
                           unnest([{_prompt(questions.CLOSED_BOOK, "''")}, {_prompt(questions.SYSTEM, _NOTES.format('b.text'))}, {_prompt(questions.SYSTEM, _NOTES.format('substr(d.text, 1, 3000)'))}]) AS prompt
-                   FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id AND d.doc_id % 2 = 0)
+                   FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)
         SELECT id, condition, prompt IS NULL AS skipped, CAST(length(prompt) AS INTEGER) AS length, md5(prompt) AS prompt_md5 FROM p""",
     "generation_attempts": r"""
-        SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, regexp_replace(substr(text, 1, 20), '^\s+|\s+$', '', 'g') AS answer, TRUE AS stopped, length(text) AS prompt_tokens,
+        SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer, TRUE AS stopped, length(text) AS prompt_tokens,
                conv_id * 10 AS generated_tokens, length(text) + conv_id * 10 >= 2040 AS truncated FROM conversations WHERE role = 'assistant'""",
 }
