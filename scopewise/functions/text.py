@@ -111,7 +111,7 @@ def estimated_tokens(text: Column, per_token: float) -> Column:
 
 def stat(text: Column, key: str) -> Column:
     """A number by key from a JSON object, or from ``key: 1`` and ``key=1`` in any text."""
-    number = F.regexp_extract(text, rf'{key}"?\s*[:=]\s*([0-9]+)', 1)
+    number = F.regexp_extract(text, rf'(?i){key.replace("_", "[_ ]")}"?\s*[:=]\s*([0-9]+)', 1)
     return F.coalesce(F.get_json_object(text, f"$.{key}").cast("long"), F.when(number != "", number).cast("long"))
 
 

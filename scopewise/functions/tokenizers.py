@@ -26,9 +26,11 @@ def padded(ids: list[int], length: int, pad: int) -> tuple[list[int], list[int]]
 class Bpe:
     """Greedy merging of the pair of lowest rank; characters outside the vocabulary fall back to bytes."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], start: int | None = None, unknown: int = 0):
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], start: int | None = None, unknown: int = 0, joined: bool = False):
+        """joined: merges are told apart by their joined text only, the later one of a text counts."""
         self.vocabulary, self.start, self.unknown = vocabulary, start, unknown
-        self.ranks = {pair: rank for rank, pair in enumerate(merges)}
+        self.key = "".join if joined else tuple
+        self.ranks = {self.key(pair): rank for rank, pair in enumerate(merges)}
 
     @classmethod
     def load(cls, path: str, start: int | None = None) -> Bpe:
@@ -41,8 +43,8 @@ class Bpe:
         for c in text.replace(" ", BLANK):
             parts += [c] if c in self.vocabulary else [f"<0x{b:02X}>" for b in c.encode()]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(pair, len(self.ranks)), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == len(self.ranks):
+            rank, at = min((self.ranks.get(self.key(pair), 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts

@@ -244,6 +244,13 @@ def attempts(outputs: DataFrame, stop: str = "<|im_end|>") -> DataFrame:
     )
 
 
+def chosen_attempts(tried: DataFrame) -> DataFrame:
+    """One row per id of tried(id, budget, answer, truncated, error): the first clean attempt, else the last; with retries."""
+    clean = (F.coalesce("answer", F.lit("")) != "") & ~F.col("truncated") & F.col("error").isNull()
+    order = Window.partitionBy("id").orderBy(F.when(clean, F.col("budget")).asc_nulls_last(), F.desc("budget"))
+    return tried.withColumn("_n", F.row_number().over(order)).where("_n = 1").withColumn("retries", F.col("budget")).drop("_n")
+
+
 def with_document(rows: DataFrame) -> DataFrame:
     """rows(patient_id, admission_id) with the name of their document."""
     return rows.withColumn("doc", document_name(F.col("patient_id"), F.col("admission_id")))

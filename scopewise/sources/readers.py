@@ -44,9 +44,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first path that is there: an outer folder before what is bundled."""
+    return next((p for p in paths if exists(spark, p)), None)
+
+
 def find_table(spark: SparkSession, folder: str, table: str) -> str | None:
     """The table's file: compressed before plain, null if there is neither."""
-    return next((p for p in (f"{folder}/{table}.csv.gz", f"{folder}/{table}.csv") if exists(spark, p)), None)
+    return first_existing(spark, [f"{folder}/{table}.csv.gz", f"{folder}/{table}.csv"])
 
 
 def require_table(spark: SparkSession, folder: str, table: str) -> str:
@@ -126,6 +131,12 @@ def document_files(spark: SparkSession, folder: str, patient: str | None = None)
     return rows if patient is None else rows.where(F.col("name").startswith(f"Patient_{patient}_"))
 
 
+def item_documents(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(item, patient_id, name): every document of an item's patient, or the item's own where none is listed."""
+    listed = items.join(files.select("patient_id", "name"), "patient_id", "left")
+    return listed.select("item", "patient_id", F.coalesce("name", "document_name").alias("name"))
+
+
 def with_fallback_text(pages: DataFrame, layer: str, scanned: str) -> DataFrame:
     """pages with text: the text layer, or the recognised scan where the layer is blank."""
     return pages.withColumn("text", F.coalesce(F.when(F.trim(layer) != "", F.col(layer)), F.col(scanned)))

@@ -53,7 +53,7 @@ def test_small_text_functions(spark):
     assert value(T.stat(F.lit("prompt_tokens = 7, x"), "prompt_tokens")) == 7
     assert value(T.until_stop(F.lit("a<s>b<s>"), "<s>")) == "a"
     assert value(T.truncated(F.lit("x" * 1000), 400)) == "x" * 400 + "..."
-    assert value(T.contains_text(F.lit("A  b\nC"), F.lit("a B c..."))) is True
+    assert value(T.contains_text(F.lit("A  b\nC"), F.lit("a B c..."), 300)) is True
     assert value(T.contains_text(F.lit("A"), F.lit("  "))) is False
     assert value(V.java_hash(F.lit("hello"))) == 99162322
     assert value(V.java_hash(F.lit("zzzzzzzzzz"))) < 1 << 31
@@ -118,3 +118,32 @@ def test_tokenizers(spark):
     assert padded([1, 2, 3], 2, 0) == ([1, 2], [1, 1]) and padded([1], 3, 0) == ([1, 0, 0], [1, 0, 0])
     column = encoder(lambda: Bpe({"a": 1, "b": 2, "ab": 3}, [("a", "b")]), 3)
     assert spark.sql("SELECT 'abb' AS t").select(column(F.col("t")).alias("e")).first().e.asDict() == {"ids": [3, 2, 0], "mask": [1, 1, 0]}
+
+
+def test_embedders(spark):
+    from scopewise.functions import embedders
+
+    def narrow(texts):
+        if len(texts[0]) > 30:
+            raise embedders.TooLong
+        return [[float(len(texts[0])), 1.0]]
+
+    e5 = embedders.Embedder("e5_small", 2, narrow)
+    rows = spark.createDataFrame([("abc",), (None,), ("x" * 100,)], "t string")
+    assert [r.v for r in rows.select(e5.column(F.col("t"), True).alias("v")).collect()] == [[10.0, 1.0], None, [19.0, 1.0]]
+    assert e5.vectors(["abc"], question=False) == [[12.0, 1.0]]
+    found = embedders.load({"e5_small": lambda: e5, "broken": lambda: 1 / 0}, "broken")
+    assert found.backend == "hash" and embedders.load({"e5_small": lambda: e5}, "e5_small") is e5
+    queries, notice = embedders.retrievable(rows, found)
+    assert queries.count() == 0 and "'hash'" in notice and embedders.retrievable(rows, e5) == (rows, None)
+    sparse = V.hash_embedding(spark.createDataFrame([(1, "The heart, the HEART rate")], "id int, text string"), "id", "text")
+    dense = found.embed(["The heart, the HEART rate"])[0]
+    assert {r.k: round(r.v, 6) for r in sparse.collect()} == {k: round(x, 6) for k, x in enumerate(dense) if x}
+    assert not any(embedders.hash_vectors(["a b"])[0])
+
+
+def test_merges_may_share_a_joined_text():
+    merges = [("a", "bc"), ("b", "c"), ("a", "b"), ("ab", "c")]
+    words = {"a": 1, "b": 2, "c": 3, "ab": 4, "bc": 5, "abc": 6}
+    assert Bpe(words, merges).pieces("abc") == ["abc"] and Bpe(words, merges, joined=True).pieces("abc") == ["abc"]
+    assert Bpe(words, merges[:1] + merges[3:]).ranks != Bpe(words, merges[:1] + merges[3:], joined=True).ranks

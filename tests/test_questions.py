@@ -68,3 +68,9 @@ def test_attempts(spark):
     got = {r.id: r for r in questions.attempts(rows).collect()}
     assert (got["a"].answer, got["a"].stopped, got["a"].truncated) == ("yes", True, True)
     assert (got["b"].answer, got["b"].stopped, got["b"].truncated, got["b"].error) == ("", False, False, "broke")
+
+
+def test_chosen_attempts(spark):
+    rows = [("a", 0, "", False, None), ("a", 1, "yes", False, None), ("a", 2, "no", False, None), ("b", 0, "cut", True, None), ("b", 1, "", False, None)]
+    tried = spark.createDataFrame(rows, "id string, budget int, answer string, truncated boolean, error string")
+    assert {r.id: (r.answer, r.retries) for r in questions.chosen_attempts(tried).collect()} == {"a": ("yes", 1), "b": ("", 1)}

@@ -92,3 +92,11 @@ def test_event_counts_stream(spark, tmp_path):
     stream = ingest.event_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert [(r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 1.0)]
+
+
+def test_item_documents_and_headings(spark):
+    items = spark.createDataFrame([("q1", "1", "Patient_1_Admission_10.pdf"), ("q2", "2", "Patient_2_Admission_20.pdf")], "item string, patient_id string, document_name string")
+    files = spark.createDataFrame([("1", "Patient_1_Admission_10.pdf"), ("1", "Patient_1_Admission_11.pdf")], "patient_id string, name string")
+    assert sorted((r["item"], r.name) for r in readers.item_documents(items, files).collect()) == [("q1", "Patient_1_Admission_10.pdf"), ("q1", "Patient_1_Admission_11.pdf"), ("q2", "Patient_2_Admission_20.pdf")]
+    heading = sinks.note_heading(F.lit(1), F.lit(2), F.lit("Radiology"), F.lit("Radiology report"), F.lit(None).cast("string"), {"exam_name": F.lit("CT"), "author": F.lit("")})
+    assert spark.range(1).select(heading.alias("h")).first().h == "Clinical note 1 of 2: Radiology - Radiology report - Exam Name: CT"
