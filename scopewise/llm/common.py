@@ -56,11 +56,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
-    """Whole rows as one struct, ``row``, beside the columns an operator works on: no name can clash with an input's.
+    """The input's columns under numbers, beside those an operator works on: no name can clash with an input's.
 
-    ``select("row.*")`` gives the rows back.
+    unpacked() gives the rows back; columns that nothing asks for are still pruned.
     """
-    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+    return docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(docs.columns)], *[c.alias(name) for name, c in columns.items()])
+
+
+def held(docs: DataFrame, column: str) -> Column:
+    """A column of the input among packed ones."""
+    return F.col(f"in{docs.columns.index(column)}")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
+    """The input's columns under their names; those given are replaced, or added at the end."""
+    kept = [(made[c] if c in made else F.col(f"in{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    return rows.select(*kept, *[c.alias(n) for n, c in made.items() if n not in docs.columns])
 
 
 def without_white_space(text: Column) -> Column:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import packed, stage, unstage, without_white_space
+from scopewise.llm.common import packed, stage, unpacked, unstage, without_white_space
 
 FIRST_DIGIT = 64
 WIDENING = 16
@@ -101,7 +101,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = packed(docs, id=F.col(id_col), points=F.coalesce(F.length(text), F.lit(0)), own=F.sha2(without_white_space(text).cast("binary"), 256))
     found = rows.join(kept.distinct(), F.col("id").eqNullSafe(F.col("kept")) & (F.col("own") == F.col("sha")), "left_semi")
     longest = Window.partitionBy("id", "own").orderBy(F.desc("points"))
-    return found.withColumn("n", F.row_number().over(longest)).where("n = 1").select("row.*")
+    return unpacked(found.withColumn("n", F.row_number().over(longest)).where("n = 1"), docs)
 
 
 def _beyond(width: int):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import packed
+from scopewise.llm.common import held, packed, unpacked
 
 WINDOW = 3
 
@@ -48,8 +48,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = repeats.groupBy("none", "id", "hash").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     starts = starts.select("none", F.coalesce("id", F.lit(0)).alias("key"), "hash", "starts")
 
-    rows = packed(docs, none=place["none"], key=F.coalesce(F.col(id_col), F.lit(0)), hash=place["hash"]).withColumn("text", F.col("row")[text_col])
-    found = rows.join(starts, ["none", "key", "hash"], "left").withColumn("lines", F.when(F.col("starts").isNotNull(), lines))
+    rows = packed(docs, none=place["none"], key=F.coalesce(F.col(id_col), F.lit(0)), hash=place["hash"])
+    found = rows.join(starts, ["none", "key", "hash"], "left").withColumn("text", held(docs, text_col))
+    found = found.withColumn("lines", F.when(F.col("starts").isNotNull(), lines))
     # what stays lies between one repeat's end and the next one's start
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("starts")),
@@ -66,4 +67,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_lines": n_lines,
         "n_removed": F.when(F.col("kept").isNotNull(), count - F.size("kept")).otherwise(F.lit(0)),
     }
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *[c.alias(n) for n, c in made.items()])
+    return unpacked(found, docs, **made)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import packed, stage, word_count
+from scopewise.llm.common import packed, stage, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -101,4 +101,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
     often = taken.groupBy(F.col(id_col).alias("taken_id"), "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("often"))
     rows = packed(docs, id=F.col(id_col), own=word_count(F.col(text_col))).join(often, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("own") == F.col("size")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("often"))).alias("copy")).select("row.*")
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("often")))), docs)

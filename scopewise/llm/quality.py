@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import packed, stage
+from scopewise.llm.common import packed, stage, unpacked
 
 BUCKETS = 1 << 14
 SEED = 11
@@ -197,4 +197,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that the resampling keeps, with all their columns."""
     stays = resample(docs, labels, id_col, text_col).where("kept").select(F.col(id_col).alias("stays"), "hash").distinct()
     rows = packed(docs, id=F.col(id_col), own=F.xxhash64(text_col))
-    return rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("own") == F.col("hash")), "left_semi").select("row.*")
+    return unpacked(rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("own") == F.col("hash")), "left_semi"), docs)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import packed, stage
+from scopewise.llm.common import held, packed, stage, unpacked
 from scopewise.llm.gear import cuts
 
 #: Chunks are 2**5 bytes and more on average, so a passage of 50 words holds many.
@@ -92,7 +92,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = stage(repeated_spans(docs, id_col, text_col, run_words), "spans")
     cut = spans.groupBy(F.col(id_col).alias("cut_id")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     rows = packed(docs, id=F.col(id_col)).join(cut, F.col("id").eqNullSafe(F.col("cut_id")), "left")
-    text = F.col("row")[text_col]
+    text = held(docs, text_col)
     rows = rows.withColumn("bytes", text.cast("binary"))
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("spans")),
@@ -100,4 +100,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     kept = F.array_join(F.transform(gaps, lambda g: F.call_function("substring", F.col("bytes"), g["low"] + 1, g["high"] - g["low"]).cast("string")), "")
     whole = F.when(F.col("spans").isNull(), text).otherwise(kept)
-    return rows.select(*[whole.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return unpacked(rows, docs, **{text_col: whole})
