@@ -62,17 +62,17 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
 def quintiles(rows: DataFrame, column: str) -> DataFrame:
     """rows with quintile: the first band whose cut, the value at place band x n div 5, is not below the value.
 
-    The cuts come from counts per value and their running sum, so no window holds all rows.
+    The four cuts come from counts per value and their running sum: the window holds distinct values, not rows.
     """
     counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = rows.agg(F.count("*").alias("n"))
-    places = total.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.least(F.col("n") - 1, F.floor(F.col("n") * b / 5)).alias("place")) for b in range(1, 5)])).alias("p")).select("p.*")
-    cuts = places.join(running, F.expr("upto > place AND upto - c <= place")).groupBy().agg(*[F.max(F.when(F.col("band") == b, F.col("v"))).alias(f"_c{b}") for b in range(1, 5)])
+    n = F.sum("c").over(Window.partitionBy())
+    running = counts.withColumn("n", n).withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    place = [F.least(F.col("n") - 1, F.floor(F.col("n") * b / 5)) for b in range(1, 5)]
+    cuts = running.agg(*[F.max(F.when((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at), F.col("v"))) for at in place]).first()
     label: Column = F.lit(BANDS[4])
-    for b in range(4, 0, -1):
-        label = F.when(F.col(column) <= F.col(f"_c{b}"), F.lit(BANDS[b - 1])).otherwise(label)
-    return rows.join(F.broadcast(cuts)).withColumn("quintile", label).drop(*[f"_c{b}" for b in range(1, 5)])
+    for name, cut in reversed(list(zip(BANDS, cuts, strict=False))):
+        label = F.when(F.col(column) <= F.lit(cut), F.lit(name)).otherwise(label)
+    return rows.withColumn("quintile", label)
 
 
 def balance(population: DataFrame, selected: DataFrame, column: str) -> DataFrame:
