@@ -32,7 +32,7 @@ BITS = 9
 LEAST = 128
 MOST = 16384
 #: Cached ids, in tokens, after which a task's cache starts anew.
-CACHED_TOKENS = 4_000_000
+CACHED_TOKENS = 1_000_000
 #: Fixed value: the special token's string, which the tokenizer knows in any text.
 END_OF_TEXT = "<|endoftext|>"
 #: White space after another character.

@@ -32,6 +32,8 @@ LABELLED = 20_000
 SMOOTHING = 0.5
 #: Words known by their shape and marks at once; bounds the memory for one long text.
 WORDS = 1 << 18
+#: Words whose shapes a task keeps.
+KEPT = 1 << 16
 BINS = 4096
 _MARKS = re.compile(r"[^\w\s]+$")
 
@@ -62,7 +64,7 @@ class Features:
         words, shapes, found = (text or "").split(), self.shapes, []
         for low in range(0, len(words), WORDS):
             part = words[low : low + WORDS]
-            if len(shapes) > 500_000:
+            if len(shapes) > KEPT:
                 shapes.clear()
             codes = np.empty(len(part), np.uint64)
             for k, word in enumerate(part):
