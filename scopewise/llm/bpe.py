@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from scopewise.llm.gear import cuts
 
@@ -127,6 +127,20 @@ def encode_column(docs: DataFrame, text_col: str = "text", vocabulary: str | Non
     return docs.mapInArrow(encoded, StructType([*docs.schema, StructField("_ids", BinaryType()), StructField("_n", LongType())]))
 
 
+def decode_column(rows: DataFrame, ids_col: str = "_ids", vocabulary: str | None = None) -> DataFrame:
+    """rows with _decoded, the text of each row's ids; null for null."""
+    path = vocabulary or default_vocabulary()
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ChunkEncoder(load(path))
+        for batch in batches:
+            at = batch.schema.get_field_index(ids_col)
+            texts = [None if x.as_py() is None else coder.decode(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "_decoded"])
+
+    return rows.mapInArrow(decoded, StructType([*rows.schema, StructField("_decoded", StringType())]))
+
+
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256 and decoded_sha256.
 

@@ -281,7 +281,8 @@ def test_chunks_join_exactly(reference, parts, bits, least, most):
 def test_bpe_odd_tables(spark, odd, empty, reference):
     got = bpe.token_digests(odd).collect()
     assert len(got) == 16 and {r.n_tokens for r in got if r.doc_id in (3, 10)} == {0}
-    rows = bpe.encode_column(odd.select("doc_id", "text", "id")).collect()
+    rows = bpe.decode_column(bpe.encode_column(odd.select("doc_id", "text", "id"))).collect()
+    assert all(r._decoded == (r.text or "") for r in rows)
     assert all(np.frombuffer(r._ids, "<u4").tolist() == reference.encode(r.text or "", add_special_tokens=False).ids for r in rows)
     assert bpe.token_digests(empty).count() == 0
 
