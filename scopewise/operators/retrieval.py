@@ -18,6 +18,8 @@ from scopewise.functions.vectors import cosine
 
 #: BM25's saturation and length parameters, and RRF's constant.
 K1, B, RRF = 1.2, 0.75, 60
+#: Rows of question terms that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -35,6 +37,11 @@ def doc_freq(chunks: DataFrame) -> DataFrame:
     return chunks.select("scope", F.explode(distinct_tokens(F.col("content"))).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
 
 
+def checked(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, marked for broadcast if they are few enough; they are counted first, up to the bound."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def as_ranked(score: Column) -> Column:
     """Scores rank in single precision; rounding first hides the order in which sums were added."""
     return F.round(score, 9).cast("float")
@@ -62,9 +69,9 @@ def filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all pairs that share a term."""
-    asked = queries.select("query_id", "scope", F.explode(distinct_tokens(F.col("text"))).alias("term"))
+    asked = checked(queries.select("query_id", "scope", F.explode(distinct_tokens(F.col("text"))).alias("term")))
     held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t"))
-    sized = held.select("scope", "chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    sized = held.select("scope", "chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
     tf = sized.groupBy("scope", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -82,9 +89,10 @@ def tfidf_weights(counts: DataFrame, df: DataFrame, n: DataFrame, by: list[str])
 
 def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): 100 x cosine of all pairs that share a term."""
-    n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), doc_freq(chunks)
+    counts = term_counts(chunks)  # once: Spark reuses its shuffle for the document frequencies
+    n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), counts.groupBy("scope", "term").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", "scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
-    wq, wd = tfidf_weights(asked, df, n, ["query_id"]), tfidf_weights(term_counts(chunks), df, n, ["chunk_id"])
+    wq, wd = tfidf_weights(asked, df, n, ["query_id"]), tfidf_weights(counts, df, n, ["chunk_id"])
     length = lambda w, by: w.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     dots = wq.join(wd.withColumnRenamed("w", "wd"), ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("wd")).alias("dot"))
     score = F.lit(100.0) * F.col("dot") / (F.col("lq") * F.col("ld"))

@@ -10,7 +10,7 @@ from scopewise.functions import text as T
 from scopewise.functions.chunker import chunked
 from scopewise.functions.sections import sections
 from scopewise.operators import context, metrics, pages, retrieval, store
-from scopewise.plans.tables import chunks, questions, table
+from scopewise.plans.tables import chunks, documents, questions, table
 from scopewise.sources import readers, sinks
 from scopewise.streaming import ingest
 
@@ -18,13 +18,13 @@ CHUNK, OVERLAP = 500, 100
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunked(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", CHUNK, OVERLAP)
+    rows = chunked(documents(spark, d, "doc_id", "text"), "doc_id", "text", CHUNK, OVERLAP)
     return rows.select("doc_id", "chunk_idx", "content")
 
 
 def chunk_bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The single-record evaluation end to end: chunks, BM25, bounded contexts, relevance, mean metrics."""
-    rows = chunked(table(spark, d, "documents").select("doc_id", F.col("source").alias("scope"), "text"), "doc_id", "text")
+    rows = chunked(documents(spark, d, "doc_id", "source", "text").withColumnRenamed("source", "scope"), "doc_id", "text")
     rows = rows.withColumn("chunk_id", F.col("doc_id") * 10_000 + F.col("chunk_idx"))
     asked = questions(spark, d)
     found = context.bounded(retrieval.bm25(asked, rows, 10).join(rows.select("chunk_id", "content"), "chunk_id"), 2000)
@@ -55,7 +55,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 
 def _noted(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("Examination: "), F.col("lang"), F.lit("\nfindings : "), F.replace("text", F.lit(":"), F.lit(";")), F.lit("\nImpression:"), F.col("source"), F.lit("\nTechnique:\n"))
-    return table(spark, d, "documents").select("doc_id", F.lit("Radiology").alias("category"), F.lit(1).alias("note_pos"), text.alias("note"))
+    return documents(spark, d, "doc_id", "lang", "source", "text").select("doc_id", F.lit("Radiology").alias("category"), F.lit(1).alias("note_pos"), text.alias("note"))
 
 
 def section_split(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", extract.extracts(F.lit("Brief Hospital Course"), F.col("text")).alias("x"))
+    rows = documents(spark, d, "doc_id", "text").select("doc_id", extract.extracts(F.lit("Brief Hospital Course"), F.col("text")).alias("x"))
     return rows.select("doc_id", "x.*")
 
 
@@ -106,7 +106,7 @@ def history_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 def _paged(spark: SparkSession, d: str) -> DataFrame:
     """A document's lines as its pages."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
+    rows = documents(spark, d, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
     return pages.paged(rows.select("doc_id", (F.col("p") + 1).alias("page"), "text"), "doc_id", "page", "text")
 
 

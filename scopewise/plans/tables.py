@@ -12,9 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer partitions than the cluster has cores, dealt out before heavy work per row.
+
+    A table in many files is left as it is read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return spread(rows.select(*columns) if columns else rows)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks, their source as the scope."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("scope"), F.col("text").alias("content"))
+    return documents(spark, sf_dir, "doc_id", "source", "text").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("scope"), F.col("text").alias("content"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
