@@ -18,7 +18,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
 def load(path: str):
-    """The encoding of a rank file: lines of a token in base64 and its rank. The special token's id follows."""
+    """The encoding of a rank file: lines of a token in base64 and its rank. The special token's id follows.
+
+    A task loads it once. (A function that caches would be sent to workers by name, and need this package there.)
+    """
     import public_tokenizers
     import tiktoken
 

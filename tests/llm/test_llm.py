@@ -534,3 +534,26 @@ def test_pipeline_against_brute_force(spark, tmp_path, reference):
 def test_queries_are_registered():
     names = json.dumps(sorted(queries.QUERIES))
     assert all(re.search(rf'"op{n}_', names) for n in range(1, 11)) and "pipeline" in queries.QUERIES
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path, sf):
+    """Functions travel whole: a driver that only has the repository on its own path can run everything."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(queries.__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("op1_simhash", "op2_quality", "op4_bpe", "op5_language", "op6_graph_search", "op9_substring_dedup", "pipeline", "chunk_documents", "sentence_extract", "context_packing"):
+    __spark_entry__.queries()[name](spark, {sf!r}).write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert "all ran" in said.stdout, said.stderr[-1500:]
