@@ -1,12 +1,13 @@
-"""SimHash near-dedup at a stated similarity of word shingles.
+"""SimHash near-dedup at a stated Jaccard similarity of distinct word shingles.
 
 Within two bits, fingerprints only find texts that hardly differ. Texts that share four fifths of their five-word
 shingles differ in ten bits or so, too many for shards named by bits. Here a text goes to a few shards named by
 the least of its shingles under random orders, one for each order, which two such texts share four times in five.
-A shard's fingerprints form BK-trees as elsewhere, searched within a radius that such texts rarely pass, and
-pairs within it are links if their signatures, the least shingles under all orders, agree on the similarity, less
-one standard error. Texts of the same shingles are one node. A shard that many texts share is split again by a
-second order, so that no group lands in one task; each task sends on one link for each node.
+Texts of the same shingles are one node. Pairs of a shard are links if their signatures, the least shingles under
+all orders, agree on the similarity, less one standard error. In a large shard, BK-trees over the fingerprints first
+join most of what is alike; all rows that this leaves apart are then held against one another, whatever their
+fingerprints. A shard that many texts share is split again by a second order, so that no group lands in one task;
+each task sends on one link for each node.
 """
 
 from __future__ import annotations
@@ -28,28 +29,33 @@ SIMILARITY = 0.8
 ORDERS = 128
 #: Orders that name shards: two texts at the similarity share none of six with a chance of 0.2**6.
 SHARD_ORDERS = 6
+#: Bits within which BK-trees join the rows of a shard beforehand, and the shards for which that pays.
 RADIUS = 20
+LARGE_SHARD = 64
 HOT_SHARD = 2048
 PAIRS_AT_ONCE = 128
 _RANDOM = np.random.default_rng(5)
 _TIMES, _PLUS = _RANDOM.integers(1, 1 << 63, ORDERS, dtype=np.uint64) | np.uint64(1), _RANDOM.integers(0, 1 << 63, ORDERS, dtype=np.uint64)
 
 
-def describe(text: str | None) -> tuple[int, np.ndarray]:
-    """A text's 64-bit fingerprint and its signature: for each order the least shingle, in 32 bits."""
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    count = max(1, len(words) - SHINGLE + 1)
-    counts, least = np.zeros(64, np.int64), np.full(ORDERS, 0xFFFFFFFF, np.uint32)
     of = xxhash.xxh64_intdigest
-    for start in range(0, count, HASHES_AT_ONCE):
-        stop = min(start + HASHES_AT_ONCE, count)
-        hashes = np.array([of(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(start, stop)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for low in range(0, len(hashes), 4096):
-            part = hashes[low : low + 4096]
-            for k in range(ORDERS):
-                least[k] = min(least[k], ((part * _TIMES[k] + _PLUS[k]) >> np.uint64(32)).min())
-    return int(np.packbits(2 * counts > count, bitorder="little").view("<u8")[0]), least
+    return np.unique(np.array([of(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(max(1, len(words) - SHINGLE + 1))], "<u8"))
+
+
+def describe(text: str | None) -> tuple[int, np.ndarray]:
+    """A text's 64-bit fingerprint over distinct shingles and its signature: for each order the least shingle, in 32 bits."""
+    hashes = shingles(text)
+    counts, least = np.zeros(64, np.int64), np.full(ORDERS, 0xFFFFFFFF, np.uint32)
+    for low in range(0, len(hashes), HASHES_AT_ONCE):
+        counts += np.unpackbits(hashes[low : low + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for low in range(0, len(hashes), 4096):
+        part = hashes[low : low + 4096]
+        for k in range(ORDERS):
+            least[k] = min(least[k], ((part * _TIMES[k] + _PLUS[k]) >> np.uint64(32)).min())
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]), least
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,54 +65,72 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, pa.array([x[1].tobytes() for x in found], pa.binary())], ["id", "hash", "bits", "signature"])
 
 
-def _links(agreed: float):
-    def linked(nodes: np.ndarray, bits: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((nodes, bits))
-        nodes, bits, signatures = nodes[order], bits[order], signatures[order]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+def _in_runs(linked):
+    """Rows (two keys, node, what linked takes) sorted by the keys -> the links that linked(nodes, *rest) finds in each run."""
 
-        def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (signatures[a] == signatures[b]).mean(axis=1) >= agreed
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the run that the last batch ends in
 
-        # equal fingerprints take turns, so that a tree's values are distinct; each turn also meets the first
-        turn = np.arange(len(bits)) - np.searchsorted(bits, bits)
-        label = reach(bits.view(np.uint64), RADIUS, agree, PAIRS_AT_ONCE) if turn.max() == 0 else _reach_all(bits, turn, agree)
-        moved = label != np.arange(len(label))
-        out.append((nodes[moved], nodes[label[moved]]))
-        return out[0]
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in linked(*(c.combine_chunks() for c in rows.columns[2:]))], ["u", "v"])
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
         for batch in batches:
-            keys = np.stack([np.asarray(batch.column(i)) for i in range(4)])
-            signatures = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(4)]) if batch.num_rows else np.zeros((0, ORDERS), np.uint32)
-            if left is not None:
-                keys, signatures = np.concatenate([left[0], keys], axis=1), np.concatenate([left[1], signatures])
-            cuts = np.flatnonzero((keys[:2, 1:] != keys[:2, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist(), keys.shape[1]]
-            for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-                if b - a > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(keys[2, a:b], keys[3, a:b], signatures[a:b])], ["u", "v"])
-            left = keys[:, edges[-2] :], signatures[edges[-2] :]
-        if left is not None and left[0].shape[1] > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(left[0][2], left[0][3], left[1])], ["u", "v"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(i)) for i in range(2)])
+            if held and any(held[-1].column(i)[held[-1].num_rows - 1].as_py() != keys[i, 0] for i in range(2)):
+                yield found(pa.Table.from_batches(held))
+                held = []
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                held.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    if sum(x.num_rows for x in held) > 1:
+                        yield found(pa.Table.from_batches(held))
+                    held = []
+        if sum(x.num_rows for x in held) > 1:
+            yield found(pa.Table.from_batches(held))
 
     return links
 
 
-def _reach_all(bits: np.ndarray, turn: np.ndarray, agree) -> np.ndarray:
-    """reach() where values repeat: links among the first of each value, then of the others to all of them."""
-    first = np.flatnonzero(turn == 0)
+def _candidates(agreed: float):
+    def linked(nodes: pa.Array, bits: pa.Array, signatures: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nodes = np.asarray(nodes)
+        label = joined(np.asarray(bits).view(np.uint64), np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in signatures]), agreed)
+        moved = label != np.arange(len(label))
+        return nodes[moved], nodes[label[moved]]
+
+    return linked
+
+
+def joined(bits: np.ndarray, signatures: np.ndarray, agreed: float) -> np.ndarray:
+    """For each row the least row of its component, where rows are linked whose signatures agree."""
     label = np.arange(len(bits))
-    label[first] = first[reach(bits[first].view(np.uint64), RADIUS, lambda a, b: agree(first[a], first[b]), PAIRS_AT_ONCE)]
-    for i in np.flatnonzero(turn > 0):
-        near = np.flatnonzero(np.bitwise_count(bits[:i].view(np.uint64) ^ bits[i].view(np.uint64)) <= RADIUS)
-        near = near[agree(np.full(len(near), i), near)]
-        roots = np.unique(label[near])
-        if len(roots):
-            label[np.isin(label, roots)] = roots[0]
-            label[i] = roots[0]
-    return label
+    if len(bits) > LARGE_SHARD:  # a tree's values are distinct: the first row of each fingerprint
+        first = np.unique(bits, return_index=True)[1]
+        label[first] = first[reach(bits[first], RADIUS, lambda a, b: (signatures[first[a]] == signatures[first[b]]).mean(axis=1) >= agreed, PAIRS_AT_ONCE)]
+    return _spread(label, lambda i, rest: (signatures[rest] == signatures[i]).mean(axis=1) >= agreed)
+
+
+def _spread(label: np.ndarray, near) -> np.ndarray:
+    """Components of all links near(row, rows) says, given those that label has joined; rows in a component are not asked again."""
+    out, open_ = np.arange(len(label)), np.ones(len(label), bool)
+    for start in range(len(label)):
+        if not open_[start]:
+            continue
+        queue = np.flatnonzero(label == label[start]).tolist()
+        open_[queue], out[queue] = False, start
+        while queue:
+            rest = np.flatnonzero(open_)
+            if not len(rest):
+                return out
+            hit = rest[near(queue.pop(), rest)]
+            if len(hit):
+                more = rest[np.isin(label[rest], label[hit])]
+                open_[more], out[more] = False, start
+                queue += more.tolist()
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -133,7 +157,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     full = dealt.join(nodes.select("node", "bits", "signature"), "node").select("shard", "sub", "node", "bits", "signature")
     agreed = similarity - (similarity * (1 - similarity) / ORDERS) ** 0.5
-    links = full.repartition("shard", "sub").sortWithinPartitions("shard", "sub").mapInArrow(_links(agreed), "u long, v long")
+    links = full.repartition("shard", "sub").sortWithinPartitions("shard", "sub").mapInArrow(_in_runs(_candidates(agreed)), "u long, v long")
     roots = connected_components(links)
     rooted = nodes.join(roots, "node", "left").select("bits", "signature", F.col("first").alias("own"), F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("own").alias("first"))

@@ -155,6 +155,17 @@ def test_similar_texts_in_a_split_shard(spark, monkeypatch):
     assert {r["first"].id for r in similar_texts.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
 
 
+def test_similar_texts_with_repeated_lines(spark):
+    """A line that stands more often in a copy changes no shingle but those at its ends."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 50_000, 300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:112] + 30 * words[100:112] + words[112:]))]
+    got = {r.doc_id: r["first"].id for r in similar_texts.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+
+
 # 2 quality classifier
 
 
