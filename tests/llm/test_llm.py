@@ -166,6 +166,18 @@ def test_similar_texts_with_repeated_lines(spark):
     assert got == {i: i - i % 2 for i in range(24)}
 
 
+@pytest.mark.parametrize("large", [0, 64])
+def test_repeated_fingerprints_meet_larger_ones(monkeypatch, large):
+    """Rows 0 and 1 share a fingerprint; row 2, of a larger one, agrees with row 1 alone."""
+    monkeypatch.setattr(similar_texts, "LARGE_SHARD", large)
+    signatures = np.zeros((3, similar_texts.ORDERS), np.uint32)
+    signatures[0, :20], signatures[2, -20:] = 1, 2
+    assert similar_texts.joined(np.array([5, 5, 6], np.uint64), signatures, 0.8).tolist() == [0, 0, 0]
+    signatures[1, :20] = signatures[2, :20] = 3
+    signatures[0, 20:40] = 4
+    assert similar_texts.joined(np.array([5, 5, 6], np.uint64), signatures, 0.8).tolist() == [0, 1, 1]
+
+
 # 2 quality classifier
 
 
