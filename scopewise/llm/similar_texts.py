@@ -3,11 +3,15 @@
 Within two bits, fingerprints only find texts that hardly differ. Texts that share four fifths of their five-word
 shingles differ in ten bits or so, too many for shards named by bits. Here a text goes to a few shards named by
 the least of its shingles under random orders, one for each order, which two such texts share four times in five.
-Texts of the same shingles are one node. Pairs of a shard are links if their signatures, the least shingles under
-all orders, agree on the similarity, less one standard error. In a large shard, BK-trees over the fingerprints first
-join most of what is alike; all rows that this leaves apart are then held against one another, whatever their
-fingerprints. A shard that many texts share is split again by a second order, so that no group lands in one task;
-each task sends on one link for each node.
+Texts of the same shingles are one node. Two steps find the links.
+
+Candidates are pairs of a shard whose signatures, the least shingles under all orders, agree on the similarity less
+SPREAD standard errors. In a large shard, BK-trees over the fingerprints first join most of what is alike; all rows
+that this leaves apart are then held against one another, whatever their fingerprints. Candidates join to clusters.
+
+Within a cluster the shingles themselves are compared: only pairs whose exact Jaccard similarity is at least the one
+asked for are links. A shard that many texts share is split again by a second order, so that no group lands in one
+task; each task sends on one link for each node.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ SIMILARITY = 0.8
 ORDERS = 128
 #: Orders that name shards: two texts at the similarity share none of six with a chance of 0.2**6.
 SHARD_ORDERS = 6
+#: Candidates agree on the similarity less so many standard errors: of 128 values 80 at 0.8, which a pair at 0.8
+#: falls short of with a chance of 1.4e-6.
+SPREAD = 5
 #: Bits within which BK-trees join the rows of a shard beforehand, and the shards for which that pays.
 RADIUS = 20
 LARGE_SHARD = 64
@@ -45,8 +52,8 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([of(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(max(1, len(words) - SHINGLE + 1))], "<u8"))
 
 
-def describe(text: str | None) -> tuple[int, np.ndarray]:
-    """A text's 64-bit fingerprint over distinct shingles and its signature: for each order the least shingle, in 32 bits."""
+def describe(text: str | None) -> tuple[int, np.ndarray, bytes]:
+    """A text's 64-bit fingerprint, its signature (for each order the least shingle, in 32 bits) and its shingles' digest."""
     hashes = shingles(text)
     counts, least = np.zeros(64, np.int64), np.full(ORDERS, 0xFFFFFFFF, np.uint32)
     for low in range(0, len(hashes), HASHES_AT_ONCE):
@@ -55,14 +62,15 @@ def describe(text: str | None) -> tuple[int, np.ndarray]:
         part = hashes[low : low + 4096]
         for k in range(ORDERS):
             least[k] = min(least[k], ((part * _TIMES[k] + _PLUS[k]) >> np.uint64(32)).min())
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]), least
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]), least, xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [describe(x.as_py()) for x in batch.column(2)]
         bits = pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, pa.array([x[1].tobytes() for x in found], pa.binary())], ["id", "hash", "bits", "signature"])
+        signatures, keys = pa.array([x[1].tobytes() for x in found], pa.binary()), pa.array([x[2] for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, signatures, keys], ["id", "hash", "bits", "signature", "key"])
 
 
 def _in_runs(linked):
@@ -133,6 +141,37 @@ def _spread(label: np.ndarray, near) -> np.ndarray:
     return out
 
 
+def _exact(similarity: float):
+    def linked(nodes: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nodes, first = np.unique(np.asarray(nodes), return_index=True)  # rows that repeat id and text are one
+        label = alike([shingles(texts[i].as_py()) for i in first.tolist()], similarity)
+        moved = label != np.arange(len(label))
+        return nodes[moved], nodes[label[moved]]
+
+    return linked
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the least set of its component, where sets are linked whose Jaccard similarity is at least the one given."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, kept, kept_flat, kept_starts = np.zeros(len(values), np.int32), np.arange(len(sets)), flat, starts[:-1]
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        nonlocal kept, kept_flat, kept_starts
+        if 2 * len(rest) < len(kept):
+            kept, kept_flat = rest, np.concatenate([flat[starts[k] : starts[k + 1]] for k in rest])
+            kept_starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
+        own = flat[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[kept_flat], kept_starts)[np.searchsorted(kept, rest)]
+        mark[own] = 0
+        return common >= similarity * (sizes[i] + sizes[rest] - common)
+
+    return _spread(np.arange(len(sets)), near)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, hash (of the text), first (struct of the group's first row: none, id, hash).
 
@@ -141,9 +180,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("hash"), F.col(text_col).alias("text"))
-    own = stage(rows.mapInArrow(_described, f"id {kind}, hash long, bits long, signature binary"), "signatures")
+    own = stage(rows.mapInArrow(_described, f"id {kind}, hash long, bits long, signature binary, key binary"), "signatures")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    nodes = stage(own.groupBy("bits", "signature").agg(F.min(row).alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = stage(own.groupBy("key", "bits", "signature").agg(F.min(row).alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def least(k: int):
         return F.conv(F.hex(F.substring("signature", 4 * k + 1, 4)), 16, 10).cast("long")
@@ -156,12 +195,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "shard", F.explode(F.when(F.col("count") > HOT_SHARD, F.filter(others, lambda x: x.isNotNull())).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"), "node"
     )
     full = dealt.join(nodes.select("node", "bits", "signature"), "node").select("shard", "sub", "node", "bits", "signature")
-    agreed = similarity - (similarity * (1 - similarity) / ORDERS) ** 0.5
-    links = full.repartition("shard", "sub").sortWithinPartitions("shard", "sub").mapInArrow(_in_runs(_candidates(agreed)), "u long, v long")
+    agreed = similarity - SPREAD * (similarity * (1 - similarity) / ORDERS) ** 0.5
+    candidates = full.repartition("shard", "sub").sortWithinPartitions("shard", "sub").mapInArrow(_in_runs(_candidates(agreed)), "u long, v long")
+    clusters = stage(connected_components(candidates).select(F.col("root").alias("cluster"), F.lit(0).cast("long").alias("sub"), "node"), "clusters")
+    members = clusters.join(nodes.select("node", F.col("first.id").alias("first"), F.col("first.hash").alias("own")), "node")
+    texts = rows.join(members, F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("own"))).select("cluster", "sub", "node", "text")
+    links = texts.repartition("cluster", "sub").sortWithinPartitions("cluster", "sub").mapInArrow(_in_runs(_exact(similarity)), "u long, v long")
     roots = connected_components(links)
-    rooted = nodes.join(roots, "node", "left").select("bits", "signature", F.col("first").alias("own"), F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, "node", "left").select("key", F.col("first").alias("own"), F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("own").alias("first"))
-    return own.join(rooted.join(firsts, "root").select("bits", "signature", "first"), ["bits", "signature"]).select(F.col("id").alias(id_col), "hash", "first")
+    return own.join(rooted.join(firsts, "root").select("key", "first"), "key").select(F.col("id").alias(id_col), "hash", "first")
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

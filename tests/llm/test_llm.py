@@ -178,6 +178,29 @@ def test_repeated_fingerprints_meet_larger_ones(monkeypatch, large):
     assert similar_texts.joined(np.array([5, 5, 6], np.uint64), signatures, 0.8).tolist() == [0, 1, 1]
 
 
+def test_similar_texts_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    texts, of = [], lambda t: {" ".join(t[k : k + 5]) for k in range(len(t) - 4)}
+    for k in range(80):
+        words = [f"t{k}w{i}" for i in range(300)]
+        other = list(words)
+        for at in rng.choice(60, int(rng.integers(4, 12)), replace=False):
+            other[5 * at] = f"t{k}x{at}"
+        texts += [words, other]
+    exact = [len(of(a) & of(b)) / len(of(a) | of(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.84 for x in exact) > 5 and sum(0.76 < x < 0.8 for x in exact) > 5
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r["first"].id for r in similar_texts.similar_groups(docs).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(80)] == [x >= 0.8 for x in exact]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=1, max_size=30))
+def test_exact_links_against_brute_force(sets):
+    got = similar_texts.alike([np.array(sorted(x), np.uint64) for x in sets], 0.6)
+    assert got.tolist() == linked(sets, lambda a, b: len(a & b) >= 0.6 * len(a | b))
+
+
 # 2 quality classifier
 
 
