@@ -10,8 +10,8 @@ SPREAD standard errors. In a large shard, BK-trees over the fingerprints first j
 that this leaves apart are then held against one another, whatever their fingerprints. Candidates join to clusters.
 
 Within a cluster the shingles themselves are compared: only pairs whose exact Jaccard similarity is at least the one
-asked for are links. A shard that many texts share is split again by a second order, so that no group lands in one
-task; each task sends on one link for each node.
+asked for are links. A shard or cluster that many texts share is dealt out by pairs of blocks of its rows, so that
+every pair still meets; each task sends on one link for each node.
 """
 
 from __future__ import annotations
@@ -172,6 +172,17 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return _spread(np.arange(len(sets)), near)
 
 
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with a column sub: together with by, it names groups in which any two rows that share by meet.
+
+    Rows that are alone go. Many rows are split into blocks by their nodes' hash, and each two blocks make a group.
+    """
+    blocks = rows.groupBy(by).count().where("count > 1").select(by, F.ceil(F.col("count") / HOT_SHARD).alias("blocks"))
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = rows.join(blocks, by).select("*", own.alias("own"), other.alias("other"))
+    return met.withColumn("sub", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).drop("blocks", "own", "other")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, hash (of the text), first (struct of the group's first row: none, id, hash).
 
@@ -187,17 +198,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def least(k: int):
         return F.conv(F.hex(F.substring("signature", 4 * k + 1, 4)), 16, 10).cast("long")
 
-    orders = nodes.select("node", F.array(*map(least, range(SHARD_ORDERS))).alias("least"))
-    shards = orders.select("node", "least", F.posexplode("least").alias("order", "value")).withColumn("shard", F.shiftleft(F.col("order").cast("long"), 32) + F.col("value"))
-    counts = shards.groupBy("shard").count().where("count > 1")
-    others = F.transform(F.sequence(F.lit(0), F.lit(SHARD_ORDERS - 1)), lambda k: F.when(k != F.col("order"), F.shiftleft(k.cast("long"), 32) + F.get("least", k)))
-    dealt = shards.join(counts, "shard").select(
-        "shard", F.explode(F.when(F.col("count") > HOT_SHARD, F.filter(others, lambda x: x.isNotNull())).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"), "node"
-    )
-    full = dealt.join(nodes.select("node", "bits", "signature"), "node").select("shard", "sub", "node", "bits", "signature")
+    orders = nodes.select("node", F.posexplode(F.array(*map(least, range(SHARD_ORDERS)))).alias("order", "value"))
+    shards = _dealt(orders.select((F.shiftleft(F.col("order").cast("long"), 32) + F.col("value")).alias("shard"), "node"), "shard")
+    full = shards.join(nodes.select("node", "bits", "signature"), "node").select("shard", "sub", "node", "bits", "signature")
     agreed = similarity - SPREAD * (similarity * (1 - similarity) / ORDERS) ** 0.5
     candidates = full.repartition("shard", "sub").sortWithinPartitions("shard", "sub").mapInArrow(_in_runs(_candidates(agreed)), "u long, v long")
-    clusters = stage(connected_components(candidates).select(F.col("root").alias("cluster"), F.lit(0).cast("long").alias("sub"), "node"), "clusters")
+    clusters = stage(_dealt(connected_components(candidates).withColumnRenamed("root", "cluster"), "cluster"), "clusters")
     members = clusters.join(nodes.select("node", F.col("first.id").alias("first"), F.col("first.hash").alias("own")), "node")
     texts = rows.join(members, F.col("id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("own"))).select("cluster", "sub", "node", "text")
     links = texts.repartition("cluster", "sub").sortWithinPartitions("cluster", "sub").mapInArrow(_in_runs(_exact(similarity)), "u long, v long")

@@ -201,6 +201,17 @@ def test_exact_links_against_brute_force(sets):
     assert got.tolist() == linked(sets, lambda a, b: len(a & b) >= 0.6 * len(a | b))
 
 
+def test_all_pairs_of_a_split_shard_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "HOT_SHARD", 3)
+    rows = spark.createDataFrame([(7, i) for i in range(20)] + [(8, 1), (8, 2), (9, 3)], "shard long, node long")
+    groups = defaultdict(list)
+    for r in similar_texts._dealt(rows, "shard").collect():
+        groups[r.shard, r.sub].append(r.node)
+    met = {(shard, i, j) for (shard, _), nodes in groups.items() for i in nodes for j in nodes if i < j}
+    assert met == {(7, i, j) for i in range(20) for j in range(i + 1, 20)} | {(8, 1, 2)}
+    assert len(groups) > 2
+
+
 # 2 quality classifier
 
 
