@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopewise.llm.bpe import encode_column
+from scopewise.llm.bpe import decode_column, encode_column
 from scopewise.llm.common import stage
 from scopewise.llm.exact_dedup import exact_dedup
 from scopewise.llm.mixing import mixed
@@ -37,9 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and token_ids (little-endian unsigned 32-bit integers)."""
-    found = encode_column(docs.select("doc_id", "lang", "source", "text"))
-    return found.selectExpr("doc_id", "lang", "source", "_n AS n_tokens", "_ids AS token_ids")
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the text that the ids decode to)."""
+    found = decode_column(encode_column(docs.select("doc_id", "lang", "source", "text")))
+    return found.selectExpr("doc_id", "lang", "source", "_n AS n_tokens", "_ids AS token_ids", "sha2(CAST(_decoded AS binary), 256) AS decoded_sha256")
 
 
 STAGES = [

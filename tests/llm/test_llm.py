@@ -588,6 +588,13 @@ def test_pipeline_against_brute_force(spark, tmp_path, reference):
     assert all(np.frombuffer(r.token_ids, "<u4").tolist() == reference.encode(text[r.doc_id], add_special_tokens=False).ids for r in last)
 
 
+def test_pipeline_decodes_its_tokens(spark, odd):
+    import corpus_pipeline
+
+    got = Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.tokens(spark, odd, "").collect())
+    assert got == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
+
+
 def test_queries_are_registered():
     names = json.dumps(sorted(queries.QUERIES))
     assert all(re.search(rf'"op{n}_', names) for n in range(1, 11)) and "pipeline" in queries.QUERIES
