@@ -22,10 +22,15 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_idx", "content")
 
 
+def _chunk_id():
+    """Ids that are distinct and in the order of documents and chunks, however many chunks a document has."""
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "chunk_idx"))
+
+
 def chunk_bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The single-record evaluation end to end: chunks, BM25, bounded contexts, relevance, mean metrics."""
     rows = chunked(documents(spark, d, "doc_id", "source", "text").withColumnRenamed("source", "scope"), "doc_id", "text")
-    rows = rows.withColumn("chunk_id", F.col("doc_id") * 10_000 + F.col("chunk_idx"))
+    rows = rows.withColumn("chunk_id", _chunk_id())
     asked = questions(spark, d)
     found = context.bounded(retrieval.bm25(asked, rows, 10).join(rows.select("chunk_id", "content"), "chunk_id"), 2000)
     judged = metrics.relevance(found.select("query_id", "rank", "content"), asked.select("query_id", F.col("text").alias("gold")), ["query_id"])

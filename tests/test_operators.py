@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scopewise.operators import assignment, candidates, cohort, context, metrics, pages, retrieval, store
+from scopewise.plans import documents
 
 
 def test_zero_scores_fill_the_list(spark):
@@ -17,6 +18,14 @@ def test_zero_scores_fill_the_list(spark):
         assert got == {1: {1: 9, 2: 1, 3: 2, 4: 3}, 2: {1: 1, 2: 2, 3: 3, 4: 4}}
 
 
+def test_chunks_of_long_documents_keep_their_own_ids(spark):
+    rows = spark.createDataFrame([(1, 10_000, "cardiac catheter"), (2, 0, "nothing here"), (2, 1, "nor here")], "doc_id long, chunk_idx int, content string")
+    chunks = rows.select(documents._chunk_id().alias("chunk_id"), F.lit("p").alias("scope"), "content")
+    queries = spark.createDataFrame([(1, "p", "catheter")], "query_id long, scope string, text string")
+    found = retrieval.bm25(queries, chunks, 3).join(chunks, "chunk_id").orderBy("rank").collect()
+    assert [(*r.chunk_id, r.content) for r in found] == [(1, 10_000, "cardiac catheter"), (2, 0, "nothing here"), (2, 1, "nor here")]
+
+
 def test_missing_vectors_score_zero_in_hybrids(spark):
     chunks = spark.createDataFrame([(1, "p", "alpha", [1.0, 0.0]), (2, "p", "beta", None), (3, "p", "alpha", [0.0, 1.0])], "chunk_id long, scope string, content string, embedding array<float>")
     queries = spark.createDataFrame([(1, "p", "alpha", [1.0, 0.0])], "query_id long, scope string, text string, embedding array<float>")
