@@ -1,8 +1,8 @@
 """Quality classification by importance resampling.
 
-Texts are bags of hashed n-grams of word shapes and marks: what a word is made of (case, digits, the marks at its
-end, whether it repeats the word before), alone and in runs of two and three, with frequent short words as they
-are. Two generative models are multinomials over the hash buckets: one of the target, labelled good documents (a
+Texts are bags of hashed n-grams of word shapes and marks: what a word is made of (case, digits, its length in
+steps of six, the marks at its end, whether it repeats the word before), alone and in runs of two and three. Which
+word it is does not enter, so texts of equal shapes weigh the same. Two generative models are multinomials over the hash buckets: one of the target, labelled good documents (a
 bounded number of them), one of the raw text, all documents. A document's log importance weight is the log ratio of the two over its
 n-grams. Documents are drawn without replacement in proportion to their weights by Gumbel top-k: the k largest
 sums of log weight and Gumbel noise stay. k is the number of documents whose weight is over the threshold that
