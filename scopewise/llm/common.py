@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: A word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys of over 1 / SHARE of all rows are hot; each is dealt over SALTS groups.
+SHARE, SALTS = 1000, 64
 #: Paths of staged tables.
 _STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir, or one of our own where it is unset and Spark runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="scopewise-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -74,6 +78,21 @@ def unpacked(rows: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
     return rows.select(*kept, *[c.alias(n) for n, c in made.items() if n not in docs.columns])
 
 
+def spread_join(rows: DataFrame, counts: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Inner join of rows with counts(key, n, ...), where n is how many rows have the key; n is dropped.
+
+    Keys that more than 1 / SHARE of the rows have are hot: SHARE of them at most, so they are broadcast. Their rows
+    are dealt by a hash of the columns ``by`` over SALTS copies of the key's row; all other keys meet as they are.
+    counts is read three times, so it should be staged.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * SHARE > total
+    marked = rows.join(F.broadcast(counts.where(hot).select(key, F.lit(True).alias("_hot"))), key, "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    dealt = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    return salted.join(counts.select(dealt, *counts.columns).drop("n"), [key, "_salt"]).drop("_salt")
+
+
 def without_white_space(text: Column) -> Column:
     """The text without its ASCII white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
