@@ -8,36 +8,46 @@ win. The largest inner product is the nearest neighbour once vectors are brought
 coordinate (0 for queries).
 
 Equal vectors are one node, with the smallest ids they can need, so a vector that a third of the rows repeat
-neither skews a shard nor spoils its graph. A shard holds SHARD_ROWS vectors at most by expectation: bounded memory.
+neither skews a shard nor spoils its graph. A shard holds SHARD_ROWS vectors at most by expectation, at every size
+one graph, which is built once and staged; a task searches one shard for one block of queries, so its memory is
+bounded. Every query visits every shard: inner products of vectors without clusters can't be routed to a few.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopewise.llm.common import stage
+
 DEGREE, BEAM, SLACK = 32, 192, 1.2
 BUILD_BEAM = 40
 SHARDS = 8
 SHARD_ROWS = 100_000
+#: Queries, on average, that search a shard in one task.
+QUERY_ROWS = 50_000
 NEAREST = 20
 EVERY = 20
 #: Points and queries searched at once.
 AT_ONCE = 512
 
 
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """The vectors brought to one length by one more coordinate."""
+    norms = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
+    lift = np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))
+    return np.concatenate([vectors, lift[:, None]], axis=1).astype(np.float32)
+
+
 class Graph:
     """A robust-pruned graph over distinct vectors (rows)."""
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, slack: float = SLACK, seed: int = 1):
-        norms = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
-        lift = np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))
-        self.points = np.concatenate([vectors, lift[:, None]], axis=1).astype(np.float32)
+        self.points = lifted(vectors)
         self.degree, self.slack = degree, slack
         n = len(vectors)
         rng = np.random.default_rng(seed)
@@ -115,6 +125,8 @@ class Graph:
         self.edges[of] = self._pruned(of, np.concatenate([met, self.edges[of]], axis=1))
         source, target = np.repeat(of, self.degree), self.edges[of].ravel()
         source, target = source[target >= 0], target[target >= 0]
+        if not len(target):
+            return
         order = np.argsort(target, kind="stable")
         nodes, starts = np.unique(target[order], return_index=True)
         lists = np.split(source[order], starts[1:])
@@ -131,31 +143,43 @@ class Graph:
         self.edges[nodes[fits], : kept.shape[1]] = kept
 
 
-def _shard_search(nearest: int, beam: int):
-    columns = ["query_id", "vec_id", "score"]
-
-    def found(index: pd.DataFrame, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(index) or not len(queries):
-            return empty
-        vectors, node = np.unique(np.stack(index.embedding.to_numpy()).astype(np.float32), axis=0, return_inverse=True)
-        ids = [np.unique(x) for x in np.split(index.vec_id.to_numpy()[np.argsort(node, kind="stable")], np.cumsum(np.bincount(node))[:-1])]
-        wide, graph, parts = vectors.astype(np.float64), None, []
-        if len(vectors) > 4 * beam:
-            graph = Graph(vectors)
-        asked, points = queries.vec_id.to_numpy(), np.stack(queries.embedding.to_numpy()).astype(np.float32)
-        for low in range(0, len(asked), AT_ONCE):
-            block = points[low : low + AT_ONCE]
-            near = graph.search(np.pad(block, ((0, 0), (0, 1))), beam)[0] if graph else np.broadcast_to(np.arange(len(vectors)), (len(block), len(vectors)))
-            for query, point, nodes in zip(asked[low : low + AT_ONCE], block.astype(np.float64), near, strict=True):
-                nodes = nodes[nodes >= 0]
-                scores = wide[nodes] @ point
-                sizes = [len(ids[n]) for n in nodes]
-                vec, score = np.concatenate([ids[n] for n in nodes]), np.repeat(scores, sizes)
-                vec, score = vec[vec != query], score[vec != query]
-                best = np.lexsort((vec, -score))[:nearest]
-                parts.append((np.full(len(best), query), vec[best], score[best]))
-        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+GRAPH = "dim int, shard int, node long, embedding array<double>, ids array<long>, edges array<long>, entry boolean"
+
+
+def _build(shard: pd.DataFrame) -> pd.DataFrame:
+    """Rows (dim, shard, vec_id, embedding) of one shard -> a row for each node of its graph."""
+    vectors, node = np.unique(np.stack(shard.embedding.to_numpy()), axis=0, return_inverse=True)
+    ids = [np.unique(x) for x in np.split(shard.vec_id.to_numpy()[np.argsort(node, kind="stable")], np.cumsum(np.bincount(node))[:-1])]
+    graph = Graph(vectors.astype(np.float32))
+    entry = np.zeros(len(vectors), bool)
+    entry[graph.entries] = True
+    edges = [row[row >= 0].astype(np.int64) for row in graph.edges]
+    return pd.DataFrame({"dim": shard.dim.iloc[0], "shard": shard.shard.iloc[0], "node": np.arange(len(vectors)), "embedding": list(vectors), "ids": ids, "edges": edges, "entry": entry})
+
+
+def _search(nearest: int, beam: int):
+    """Rows of one shard's graph (node is set) and of a block of queries (ids: the query's) -> what the beam search finds."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, asked = rows[rows.node.notna()].sort_values("node"), rows[rows.node.isna()]
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(nodes) and len(asked):
+            vectors, ids, graph = np.stack(nodes.embedding.to_numpy()), nodes.ids.tolist(), Graph.__new__(Graph)
+            graph.points, graph.entries = lifted(vectors.astype(np.float32)), np.flatnonzero(nodes.entry.to_numpy(bool))
+            graph.edges = np.full((len(nodes), max(map(len, nodes.edges), default=0) or 1), -1, np.int32)
+            for row, edges in zip(graph.edges, nodes.edges, strict=True):
+                row[: len(edges)] = edges
+            queries, points = np.array([x[0] for x in asked.ids], np.int64), np.stack(asked.embedding.to_numpy())
+            for low in range(0, len(queries), AT_ONCE):
+                block = points[low : low + AT_ONCE]
+                near = graph.search(np.pad(block.astype(np.float32), ((0, 0), (0, 1))), beam)[0]
+                for query, point, met in zip(queries[low : low + AT_ONCE], block, near, strict=True):
+                    met = met[met >= 0]
+                    vec, score = np.concatenate([ids[n] for n in met]), np.repeat(vectors[met] @ point, [len(ids[n]) for n in met])
+                    vec, score = vec[vec != query], score[vec != query]
+                    best = np.lexsort((vec, -score))[:nearest]
+                    parts.append((np.full(len(best), query), vec[best], score[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return found
 
@@ -170,13 +194,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """
     sound = F.size("embedding") > 0
     sound &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound)
-    shards = max(SHARDS, math.ceil(rows.count() / SHARD_ROWS))
-    place = F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound)
+    total, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    shards, blocks = max(SHARDS, math.ceil(total / SHARD_ROWS)), max(1, math.ceil(queries / QUERY_ROWS))
+    dim, place = F.size("embedding").alias("dim"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")
     fewest = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))  # a query leaves out its own
-    index = rows.withColumn("_k", fewest).where(F.col("_k") <= nearest + 1).select("vec_id", "embedding", F.size("embedding").alias("dim"), place.alias("shard"))
+    index = rows.withColumn("_k", fewest).where(F.col("_k") <= nearest + 1).select("vec_id", "embedding", dim, place.alias("shard"))
+    graphs = stage(index.repartitionByRange(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build, GRAPH), "graphs")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
-    asked = asked.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = index.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInPandas(_shard_search(nearest, beam), "query_id long, vec_id long, score double")
+    asked = asked.select(dim, "embedding", F.array("vec_id").alias("ids"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    sought = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(asked, allowMissingColumns=True)
+    key = ["dim", "shard", "block"]
+    found = sought.repartitionByRange(shards * blocks, *key).groupBy(*key).applyInPandas(_search(nearest, beam), "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", best).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
