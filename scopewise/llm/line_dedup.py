@@ -24,8 +24,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at newline characters. Documents come in the order of their ids, nulls last, then of a hash of their
     texts; rows alike in id and text are one document and get the same result. Null texts have no lines and stay
     null; texts of fewer lines than a window stay whole. Blank lines count like any other. A
-    repeat may overlap its own first occurrence: of one line over and over, one stays. All other columns are
-    kept as they are.
+    repeat may overlap its own first occurrence: of one line over and over, one stays. Ids may be of any type that
+    has an order. All other columns are kept as they are, but for columns of the input called n_lines or n_removed,
+    which are replaced. An empty table gives an empty table.
     """
     lines = F.split("text", "\n", -1)
     place = {"none": F.col(id_col).isNull(), "id": F.col(id_col), "hash": F.xxhash64(text_col)}
@@ -46,10 +47,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeats = windows.join(first, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
     starts = repeats.groupBy("none", "id", "hash").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    starts = starts.select("none", F.coalesce("id", F.lit(0)).alias("key"), "hash", "starts")
+    starts = starts.select(F.col("id").alias("own"), F.col("hash").alias("own_hash"), "starts")
 
-    rows = packed(docs, none=place["none"], key=F.coalesce(F.col(id_col), F.lit(0)), hash=place["hash"])
-    found = rows.join(starts, ["none", "key", "hash"], "left").withColumn("text", held(docs, text_col))
+    rows = packed(docs, id=F.col(id_col), hash=place["hash"])
+    found = rows.join(starts, F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash")), "left").withColumn("text", held(docs, text_col))
     found = found.withColumn("lines", F.when(F.col("starts").isNotNull(), lines))
     # what stays lies between one repeat's end and the next one's start
     gaps = F.transform(
