@@ -10,10 +10,10 @@ DataFrame operations only. Sums by source and by range are combined before the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.llm.common import packed, stage, unpacked, word_count
+from scopewise.llm.common import WORD, packed, stage, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -21,6 +21,7 @@ MOST_EPOCHS = 2
 SEED = "mix"
 #: Hex digits of the key that name a range: 4096 ranges for each source.
 RANGE_DIGITS = 3
+SOURCE = ["no_source", "source"]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -50,55 +51,66 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **shares) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken (words, repeats counted).
+def _key(id_col: str, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
 
-    A null source is a source, after all others. Null and empty texts have size 0 and nothing is taken of them.
-    Rows that repeat an id follow one another by size; rows alike in both are interchangeable. The words taken of
-    a source are its target, rounded down. Other columns are not read; an empty table gives an empty table.
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, shares: dict) -> tuple[DataFrame, DataFrame]:
+    """(one row per document: id, no_source, source, size, key, range; one row per source and range: offset, source_size, target, epochs, rest), both staged.
+
+    epochs is how often a source is taken whole, rest the words that its last, partial epoch takes.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     sized = stage(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).isNull().alias("no_source"),
             F.coalesce(F.col(source_col), F.lit("")).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            key.alias("key"),
+            _key(id_col, seed).alias("key"),
         ).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
         "sized",
     )
-    source, ranged = ["no_source", "source"], ["no_source", "source", "range"]
-    ranges = sized.groupBy(*ranged).agg(F.sum("size").alias("range_size"))
-    wanted = targets(ranges.groupBy(*source).agg(F.sum("range_size").alias("source_size")), **shares)
-    earlier = Window.partitionBy(*source).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size").join(wanted, source)
-    within = Window.partitionBy(*ranged).orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sized.groupBy(*SOURCE, "range").agg(F.sum("size").alias("range_size"))
+    wanted = targets(ranges.groupBy(*SOURCE).agg(F.sum("range_size").alias("source_size")), **shares)
+    earlier = Window.partitionBy(*SOURCE).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0))
-    rest = budget - F.col("epochs") * F.col("source_size") - F.col("start")
-    return (
-        sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(offsets, ranged)
-        .withColumn("start", F.col("offset") + F.col("within"))
-        .withColumn("epochs", epochs)
-        .select(
-            F.col("id").alias(id_col),
-            "size",
-            "source_size",
-            "target",
-            (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))).cast("long").alias("taken"),
-        )
-    )
+    offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).join(wanted, SOURCE)
+    return sized, stage(offsets.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "ranges")
+
+
+def _started(sized: DataFrame, offsets: DataFrame) -> DataFrame:
+    """sized with offsets' columns and start: the words of the source before each document."""
+    within = Window.partitionBy(*SOURCE, "range").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return rows.join(offsets, [*SOURCE, "range"]).withColumn("start", F.col("offset") + F.col("within"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **shares) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken (words, repeats counted).
+
+    A null source is a source, after all others. Null and empty texts have size 0 and nothing is taken of them.
+    Rows that repeat an id follow one another by size; rows alike in both are interchangeable. The words taken of
+    a source are its target, rounded down. Other columns are not read; an empty table gives an empty table.
+    """
+    partly = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start")))
+    taken = (F.col("epochs") * F.col("size") + partly).cast("long").alias("taken")
+    return _started(*_plan(docs, id_col, text_col, source_col, seed, shares)).select(F.col("id").alias(id_col), "size", "source_size", "target", taken)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **shares) -> DataFrame:
     """docs with each row as often as the mix takes it, with all its columns.
 
-    The document at a source's cut, of which the mix takes a part, comes whole. Rows that share id and size come as
-    often as the one that is taken most.
+    The document at a source's cut, of which the mix takes a part, comes whole, and so do rows that share its id.
+    Only the range that holds a source's cut is put in order: a row comes once more than the source's epochs if its
+    key is not beyond the cut's. So texts are not shuffled; they meet one row per source.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    often = taken.groupBy(F.col(id_col).alias("taken_id"), "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("often"))
-    rows = packed(docs, id=F.col(id_col), own=word_count(F.col(text_col))).join(often, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("own") == F.col("size")))
+    sized, offsets = _plan(docs, id_col, text_col, source_col, seed, shares)
+    cuts = offsets.where("offset < rest AND rest <= offset + range_size")
+    last = _started(sized, cuts).where("start < rest AND size > 0").groupBy(*SOURCE).agg(F.max("key").alias("last"))
+    plan = stage(offsets.select(*SOURCE, "epochs").distinct().join(last, SOURCE, "left").select(F.col("no_source").alias("none"), F.col("source").alias("name"), "epochs", "last"), "cuts")
+    words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    rows = packed(docs, no_source=F.col(source_col).isNull(), source=F.coalesce(F.col(source_col), F.lit("")), key=_key(id_col, seed), words=words)
+    often = F.col("epochs") + F.when(F.col("key") <= F.col("last"), 1).otherwise(0)
+    rows = rows.where("words").join(plan, (F.col("no_source") == F.col("none")) & (F.col("source") == F.col("name"))).withColumn("often", often.cast("int")).where("often > 0")
     return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("often")))), docs)

@@ -86,22 +86,14 @@ class BKTree:
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
-def reach(values: np.ndarray, radius: int = RADIUS, agree=None, at_once: int = SEARCHED_AT_ONCE) -> np.ndarray:
-    """For each of the distinct values, the index of the smallest that links within the radius lead to.
-
-    agree(a, b), if given, says which of the pairs of indexes found within the radius are links.
-    """
+def reach(values: np.ndarray, radius: int = RADIUS, at_once: int = SEARCHED_AT_ONCE) -> np.ndarray:
+    """For each of the distinct values, the index of the smallest that links within the radius lead to."""
     values, label = np.asarray(values), np.arange(len(values))
     for start in range(0, len(values), TREE_NODES):
         tree = BKTree(values[start : start + TREE_NODES])
         for low in range(start, len(values), at_once):
             a, b = tree.search(values[low : low + at_once], radius)
             a, b = a + low, b + start
-            if agree is not None:
-                open_ = label[a] != label[b]
-                a, b = a[open_], b[open_]
-                linked = agree(a, b)
-                a, b = a[linked], b[linked]
             while True:  # hook and jump until all ends of a link agree
                 la, lb = label[a], label[b]
                 if (la == lb).all():
