@@ -166,16 +166,34 @@ def test_similar_texts_with_repeated_lines(spark):
     assert got == {i: i - i % 2 for i in range(24)}
 
 
-@pytest.mark.parametrize("large", [0, 64])
-def test_repeated_fingerprints_meet_larger_ones(monkeypatch, large):
-    """Rows 0 and 1 share a fingerprint; row 2, of a larger one, agrees with row 1 alone."""
-    monkeypatch.setattr(similar_texts, "LARGE_SHARD", large)
-    signatures = np.zeros((3, similar_texts.ORDERS), np.uint32)
-    signatures[0, :20], signatures[2, -20:] = 1, 2
-    assert similar_texts.joined(np.array([5, 5, 6], np.uint64), signatures, 0.8).tolist() == [0, 0, 0]
-    signatures[1, :20] = signatures[2, :20] = 3
-    signatures[0, 20:40] = 4
-    assert similar_texts.joined(np.array([5, 5, 6], np.uint64), signatures, 0.8).tolist() == [0, 1, 1]
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.sets(st.integers(0, 255), max_size=60)), max_size=30), st.sampled_from([0, 20, 60, 80]))
+def test_balls_link_what_brute_force_links(rows, radius):
+    rows = sorted(rows, key=lambda r: r[0])
+    bases = [int.from_bytes(hashlib.sha256(bytes([k])).digest(), "little") for k in range(3)]
+    values = [(group, bases[base] ^ sum(1 << b for b in flips)) for group, base, flips in rows]
+    prints = np.frombuffer(b"".join(v.to_bytes(32, "little") for _, v in values), "<u8").reshape(-1, 4)
+    got = similar_texts.joined(np.array([g for g, _ in values], np.int64), prints, radius)
+    assert got.tolist() == linked(values, lambda a, b: a[0] == b[0] and (a[1] ^ b[1]).bit_count() <= radius)
+
+
+def test_fingerprints_against_brute_force():
+    text = "One two THREE four five six seven eight one two three four five"
+    hashes = similar_texts.shingles(text)
+    words = text.lower().split()
+    assert {int(h) for h in hashes} == {xxhash.xxh64_intdigest(" ".join(words[k : k + 5]), 42) for k in range(9)}
+    prints, least, _ = similar_texts.describe(text)
+    lanes = similar_texts._mixed(hashes[:, None] + similar_texts._LANE)
+    assert [int(p) for p in prints] == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in lane) > len(hashes)) for lane in lanes.T]
+    assert len(set(least.tolist())) == similar_texts.ORDERS
+
+
+def test_similar_texts_odd_tables(spark, odd, empty):
+    got = similar_texts.similar_groups(odd)
+    assert got.count() == 16 and got.columns == ["doc_id", "hash", "first"]
+    kept = similar_texts.similar_dedup(odd)
+    assert kept.columns == odd.columns and {5} == {r.doc_id for r in kept.collect() if r.doc_id in (5, 6)}
+    assert similar_texts.similar_dedup(empty).count() == 0
 
 
 def test_similar_texts_at_the_threshold(spark):
@@ -230,23 +248,58 @@ def test_top_k_is_exact(spark):
         assert quality.top_k(rows, "key", k) == sorted(values)[-k]
 
 
+def grams(text):
+    """Every n-gram of a text as a tuple: tokens, their shapes, pairs."""
+    found, before, out = [m for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\s\x80-\U0010ffff]+", text)], None, []
+    for m in found:
+        token, size = m[0], len(m[0].encode())
+        capitals, digits = sum("A" <= c <= "Z" for c in token), sum("0" <= c <= "9" for c in token)
+        case = 0 if not capitals else 1 if capitals == 1 and "A" <= token[0] <= "Z" else 2 if 2 * capitals > size else 3
+        parted = m.start() == 0 or text[m.start() - 1].isspace()
+        out += [("own", token), ("shape", token[0].isalnum() or token[0] >= "\x80", min(size, 31) // 4, case, min(digits, 3), parted, token == before)]
+        out += [("pair", before, token)] if before is not None else []
+        before = token
+    return out
+
+
 def test_weights_against_brute_force(spark):
-    rows = [(1, "good words are here"), (2, "BAD!! BAD!! WORDS!!"), (3, "good words and more")]
+    rows = [(1, "good words are here, Words are"), (2, "BAD!! BAD!! WORDS!! 1234 x9"), (3, "good words and more"), (4, " "), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
-    features = quality.Features()
-    bags = {i: dict(zip(*(x.tolist() for x in features.counts(t)), strict=True)) for i, t in rows}
-    raw, target = Counter(), Counter()
-    for i, bag in bags.items():
-        raw.update(bag)
-        if i != 2:
-            target.update(bag)
-    n = quality.BUCKETS
-    log = lambda c, b: np.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * n))
-    want = {i: sum(k * (log(target, b) - log(raw, b)) for b, k in bag.items()) for i, bag in bags.items()}
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (5, 1)], "doc_id long, quality int")
+    bags = {i: Counter(grams(t or "")) for i, t in rows}
+    raw, added = sum(bags.values(), Counter()), quality.SMOOTHING
+    target = {1: bags[3], 2: bags[1] + bags[3], 3: bags[1]}  # without its own
+    want = {i: sum(k * np.log((t[g] * raw.total() / t.total() + added) / (raw[g] + added)) for g, k in bags[i].items()) for i, t in target.items()}
     got = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
-    assert {i: round(r.log_weight, 6) for i, r in got.items()} == {i: round(w, 6) for i, w in want.items()}
-    assert got[1].kept and got[3].kept and not got[2].kept
+    assert all(np.isclose(got[i].log_weight, want[i]) for i in (1, 2, 3)) and got[4].log_weight is got[5].log_weight is None
+    edge = quality.threshold(quality.weigh(rows := quality.sampled(docs, labels, "doc_id", "text"), quality.fit(rows)), labels)
+    keys = sorted((r.key, i) for i, r in got.items() if r.key is not None)[::-1]
+    assert {i for i, r in got.items() if r.kept} == {i for _, i in keys[: sum(w >= edge for w in want.values())]}
+
+
+def test_long_texts_are_hashed_alike_in_blocks(monkeypatch):
+    texts = ["ab!!cd  ef ef\nGh12", None, "", "x" * 50, " a b ", "één twee, drie " * 9]
+
+    def bags():
+        out = [Counter() for _ in texts]
+        for of, at in quality.Features().blocks(texts):
+            for k, bucket in zip(of.tolist(), at.tolist(), strict=True):
+                out[k][bucket] += 1
+        return out
+
+    whole = bags()
+    for size in (5, 7, 16, 64):
+        monkeypatch.setattr(quality, "BLOCK", size)
+        assert bags() == whole
+
+
+def test_held_out_quality(spark):
+    """Fitted on some labels, held against the others."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    got = quality.resample(docs, labels.where(~held)).join(labels.where(held), "doc_id").groupBy("quality", "kept").count().collect()
+    right = {(r.quality, r.kept): r["count"] for r in got}
+    assert right[1, True] >= 0.99 * (right[1, True] + right.get((1, False), 0)) and right.get((0, True), 0) <= 0.02 * right[0, False]
 
 
 def test_quality_odd_tables(spark, odd, empty):
@@ -302,12 +355,23 @@ def test_mined_rules_against_brute_force(spark):
         inside = Counter(verdicts[i] for i in verdicts if wanted <= sets[i])
         for v, c in inside.items():
             confidence, support = c / sum(inside.values()), c / len(verdicts)
-            if c >= max(20, 0.005 * len(verdicts)) and confidence >= 0.5 and confidence / (share[v] / len(verdicts)) >= 1.2:
+            n, base = sum(inside.values()), share[v] / len(verdicts)
+            low = (confidence + 8 / n - 4 * (confidence * (1 - confidence) / n + 4 / n**2) ** 0.5) / (1 + 16 / n)  # Wilson's bound
+            if c >= 0.005 * len(verdicts) and confidence >= 0.5 and confidence / base >= 1.2 and low > base:
                 found.append((confidence, support, " ".join(sorted(wanted)), v, wanted))
     want = {i: max((f[:4] for f in found if f[4] <= s), default=(0, 0, "", "allow"))[3] for i, s in sets.items()}
     assert got == want and "block" in want.values()
 
 
+def test_urls_of_many_tokens(spark):
+    """One often repeated URL of many tokens makes a bounded number of rules, and its pages get their verdict."""
+    hot = "http://h.test/a?" + "&".join(f"k{chr(97 + j)}=1" for j in range(26))
+    rows = [(i, hot + "&z" * (i % 3) if i < 60 else f"http://g{'abcdefg'[i % 7]}.test/b/{i}") for i in range(2000)] + [(5000, "http://x.test/" + "y/" * 2000), (5001, None)]
+    pages, known = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, int(i >= 60), 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, known).collect()}
+    assert got == {i: "block" if i < 60 else "allow" for i, _ in rows}
+
+
 # 4 BPE
 
 
@@ -370,6 +434,22 @@ def test_language_odd_tables(spark, odd, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_predictions_against_brute_force(spark):
+    rows = [(i, t, lang, None, 1) for i, (t, lang) in enumerate([("the cat and the hat", "en"), ("der Hund und die Katze", "de"), ("and then the end", "en"), ("und der Wind", "de"), ("1 2 3", "en"), (None, "de"), ("xyz", None)] * 3)]
+    docs, space = spark.createDataFrame(rows, DOCS), language.Space()
+    bundle = {t: space.bundles([t])[0].astype(float) for _, t, *_ in rows}
+    learned = [(t, lang) for i, t, lang, *_ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    sums = {lang: sum(bundle[t] for t, own in learned if own == lang) for lang in ("de", "en")}
+    unit = lambda v: v / np.linalg.norm(v)
+    mean = (unit(sums["de"]) + unit(sums["en"])) / 2
+    want = {}
+    for i, t, *_ in rows:
+        cosines = {lang: unit(unit(bundle[t]) - mean) @ unit(unit(v) - mean) for lang, v in sums.items()} if bundle[t].any() else {}
+        want[i] = max(((1 + c) / 2, lang) for lang, c in cosines.items()) if cosines else (0.0, "und")
+    got = {r.doc_id: (r.score, r.lang_pred) for r in language.identify(docs).collect()}
+    assert all(got[i][1] == want[i][1] and np.isclose(got[i][0], want[i][0], atol=1e-4) for i in want)
+
+
 # 6 nearest neighbours
 
 
@@ -409,6 +489,33 @@ def test_neighbours_with_copies_and_unsound_rows(spark):
     assert graph_search.nearest(table.where("vec_id < 3 AND vec_id >= 0").dropDuplicates(["vec_id"])).count() == 2
 
 
+def test_nearest_against_brute_force(spark):
+    """The graphs of all shards, at a size where beams don't see a whole shard."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rng = np.random.default_rng(8)
+    more = [(int(10_000 + i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2000, 64)) / 8)]
+    table = table.unionByName(spark.createDataFrame(more, table.schema))
+    rows = table.collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    want = exact_neighbours(ids, vectors, np.flatnonzero(ids % 20 == 0))
+    got = defaultdict(dict)
+    for r in graph_search.nearest(table).collect():
+        got[r.query_id][r.vec_id] = r.score
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    hit = sum(len(got[q].keys() & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.95 * 20 * len(want)
+    at = {int(i): k for k, i in enumerate(ids)}
+    assert all(np.isclose(s, vectors[at[q]] @ vectors[at[v]], rtol=0, atol=1e-12) for q in got for v, s in got[q].items())  # in double precision
+
+
+def test_graphs_are_built_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(graph_search, "QUERY_ROWS", 4)  # several blocks of queries
+    built = graph_search._build(__import__("pandas").DataFrame({"dim": 3, "shard": 0, "vec_id": range(40), "embedding": list(np.random.default_rng(0).normal(size=(40, 3)))}))
+    assert len(built) == 40 and built.edges.map(len).between(1, graph_search.DEGREE).all() and built.entry.any()
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert graph_search.nearest(table).groupBy("query_id").count().where("count = 20").count() == table.where("vec_id % 20 = 0").count()
+
+
 # 7 mixing
 
 
@@ -504,8 +611,13 @@ def test_passages_are_caught(spark):
                 later.add(i)
     spans = substring_dedup.repeated_spans(docs).collect()
     assert len(later - {r.doc_id for r in spans}) <= 0.02 * len(later)
-    for r in spans[:200]:  # each reported span's words stand in an earlier place
-        assert r.words >= 10
+    texts = {r.doc_id: (r.text or "").encode().translate(substring_dedup.SPACES) for r in docs.select("doc_id", "text").collect()}
+    for r in spans:  # each chunk of a reported span stands in an earlier place
+        for low, high in zip(*(x.tolist() for x in substring_dedup.chunks_of(texts[r.doc_id].decode())[:2]), strict=True):
+            if r.low <= low and high <= r.high:
+                part, place = texts[r.doc_id][low:high], texts[r.doc_id].find(texts[r.doc_id][low:high])
+                assert place < low or any(part in t for i, t in texts.items() if i < r.doc_id)
+        assert r.words >= 25 and r.words >= len(texts[r.doc_id][r.low : r.high].split()) - 1
     runs = Counter(" ".join(w[k : k + 5]) for i, w in words.items() for k in range(len(w) - 4))
     clean = {i for i, w in words.items() if len(w) >= 10 and all(runs[" ".join(words[i][k : k + 5])] == 1 for k in range(len(words[i]) - 4))}
     assert clean and not clean & {r.doc_id for r in spans}
@@ -526,6 +638,30 @@ def test_spans_are_cut_from_texts(spark, odd, empty):
     assert substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_spans_of_rows_that_share_ids(spark):
+    """Rows of one id, or of none, lose their own repeats only."""
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n))
+    passage, other = prose(90), prose(400)
+    rows = [("a", f"{prose(40)} {passage}"), ("b", f"{prose(40)} {passage}"), ("b", other), (None, other[:1500] + prose(90)), (None, prose(200)), (None, f"{passage} {prose(30)}"), ("b", other)]
+    got = Counter((r.doc_id, r.text) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    kept = Counter(rows)
+    assert all(got[rows[k]] == kept[rows[k]] for k in (0, 2, 4))
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r.doc_id, r.first_doc_id) for r in spans) == {("b", "a"): 1, (None, "b"): 1, (None, "a"): 1}
+    assert all(len(t) < len(r) for t, r in zip(sorted(t for i, t in got if (i, t) not in kept), sorted((rows[k][1] for k in (1, 3, 5))), strict=True) if t[:10] == r[:10])
+
+
+def test_hot_chunks_are_dealt_out(spark, monkeypatch):
+    from scopewise.llm import common
+
+    monkeypatch.setattr(common, "SHARE", 3)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 10}") for i in range(100)], "id long, key string")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("twice", F.col("n") * 2)
+    got = common.spread_join(rows, counts, "key", ["id"])
+    assert sorted(got.columns) == ["id", "key", "twice"] and Counter(r.twice for r in got.collect()) == {100: 50, 20: 50}
+
+
 # 10 line dedup
 
 
@@ -536,6 +672,10 @@ def test_windows_are_removed(spark, odd, empty):
     assert got == {1: ("x\na\nb\nc", 4, 0), 2: ("d\ne", 5, 3), 3: ("z", 7, 6), 4: ("a\nb", 2, 0), 5: (None, 0, 0), None: ("", 3, 3), 6: ("", 5, 4)}
     assert line_dedup.line_dedup(odd).count() == 16
     assert line_dedup.line_dedup(empty).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumn("n_lines", F.lit("theirs"))
+    again = line_dedup.line_dedup(named)
+    assert again.columns == [*named.columns, "n_removed"]  # n_lines is replaced
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in again.collect()} == {i and f"d{i}": v for i, v in got.items()}
 
 
 # the pipeline
@@ -595,6 +735,20 @@ def test_pipeline_decodes_its_tokens(spark, odd):
     assert got == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
 
 
+def test_pipeline_odd_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            after = step(spark, docs, f"{tmp_path}/{name}")
+            assert after.columns == docs.columns and after.distinct().count() <= docs.distinct().count()
+            assert after.distinct().subtract(docs).count() == 0
+        last = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(last) == (name == "odd")
+
+
 def test_queries_are_registered():
     names = json.dumps(sorted(queries.QUERIES))
     assert all(re.search(rf'"op{n}_', names) for n in range(1, 11)) and "pipeline" in queries.QUERIES
