@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, LongType, StringType, StructField, StructType
 
 from scopewise.llm.gear import cuts
 
@@ -34,8 +34,10 @@ MOST = 16384
 CACHED_TOKENS = 1_000_000
 #: Fixed value: the special token's string, which the tokenizer knows in any text.
 END_OF_TEXT = "<|endoftext|>"
+#: Fixed value: Unicode's white space, which the tokenizer's pattern means by \\s (Python's takes four more controls).
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space after another character.
-SAFE = re.compile(r"(?<=\S)\s")
+SAFE = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 
 
 def default_vocabulary() -> str:
@@ -109,37 +111,71 @@ class ChunkEncoder:
     def _repaired(self, seam: str) -> np.ndarray:
         return self._ids(seam) if len(seam) < 4096 else self.encoding.encode_to_numpy(seam, allowed_special="all").astype("<u4")
 
+    def drop(self) -> None:
+        """Forget what is cached: a worker lives on after its task."""
+        self.cache, self.chunks, self.cached = {}, {}, 0
+
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode("utf-8", "replace")
 
 
-def encode_column(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """docs with _ids (little-endian unsigned 32-bit, binary) and _n, their number; null counts as empty."""
-    path = vocabulary or default_vocabulary()
+def _with(rows: DataFrame, column: str, path: str, made: dict[str, DataType], values, keep: bool = True) -> DataFrame:
+    """rows with more columns: values(coder, value of the column) gives a tuple for each row.
+
+    Made columns replace those of their names; the column itself is only given back if it is to be kept.
+    """
+    kept = [k for k, f in enumerate(rows.schema) if f.name not in made and (keep or f.name != column)]
+    names = [f"c{k}" for k in range(len(rows.columns))]  # columns go by number
+    sent = [*(names[k] for k in kept if k != rows.columns.index(column)), names[rows.columns.index(column)]]
+    given = [names[k] for k in kept]
+    kinds = [{"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[t.simpleString()] for t in made.values()]
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkEncoder(load(path))
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            ids = [coder.encode(x.as_py() or "") for x in batch.column(at)]
-            made = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_ids", "_n"])
+            found = [values(coder, x.as_py()) for x in batch.column(len(sent) - 1)]
+            new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(sent.index(n)) for n in given), *new], [*given, *made])
+        coder.drop()
+
+    schema = StructType([*(StructField(names[k], rows.schema[k].dataType) for k in kept), *(StructField(n, t) for n, t in made.items())])
+    out = rows.toDF(*names).select(*sent).mapInArrow(mapped, schema)
+    return out.toDF(*(rows.columns[k] for k in kept), *made)
+
+
+def encode_column(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """docs with _ids (little-endian unsigned 32-bit, binary) and _n, their number; null counts as empty.
+
+    Columns of docs that have these names are replaced. Repeated rows give repeated rows, an empty table an empty one.
+    """
+
+    def coded(coder: ChunkEncoder, text: str | None) -> tuple:
+        ids = coder.encode(text or "")
+        return ids.tobytes(), len(ids)
 
-    return docs.mapInArrow(encoded, StructType([*docs.schema, StructField("_ids", BinaryType()), StructField("_n", LongType())]))
+    return _with(docs, text_col, vocabulary or default_vocabulary(), {"_ids": BinaryType(), "_n": LongType()}, coded)
 
 
 def decode_column(rows: DataFrame, ids_col: str = "_ids", vocabulary: str | None = None) -> DataFrame:
-    """rows with _decoded, the text of each row's ids; null for null."""
-    path = vocabulary or default_vocabulary()
+    """rows with _decoded, the text of each row's ids; null for null. A column of rows that has this name is replaced."""
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(load(path))
-        for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            texts = [None if x.as_py() is None else coder.decode(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "_decoded"])
+    def decoded(coder: ChunkEncoder, ids: bytes | None) -> tuple:
+        return (None if ids is None else coder.decode(np.frombuffer(ids, "<u4")),)
+
+    return _with(rows, ids_col, vocabulary or default_vocabulary(), {"_decoded": StringType()}, decoded)
 
-    return rows.mapInArrow(decoded, StructType([*rows.schema, StructField("_decoded", StringType())]))
+
+def code_column(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """docs without the text, with token_ids (as _ids above), n_tokens, and decoded_sha256 of what the ids decode to, in one pass.
+
+    Null counts as empty. Columns of docs that have these names are replaced.
+    """
+
+    def coded(coder: ChunkEncoder, text: str | None) -> tuple:
+        ids = coder.encode(text or "")
+        return ids.tobytes(), len(ids), hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+
+    return _with(docs, text_col, vocabulary or default_vocabulary(), {"token_ids": BinaryType(), "n_tokens": LongType(), "decoded_sha256": StringType()}, coded, keep=False)
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -148,19 +184,11 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null counts as empty: no tokens, and the digests of nothing. Repeated rows give repeated rows; other columns
     are not read; an empty table gives an empty table.
     """
-    path = vocabulary or default_vocabulary()
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkEncoder(load(path))
-        for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = coder.encode(x.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                b.append(hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(digests, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    def digests(coder: ChunkEncoder, text: str | None) -> tuple:
+        ids = coder.encode(text or "")
+        decoded = coder.decode(ids).encode("utf-8", "surrogatepass")
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+    made = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    return _with(docs.select(id_col, text_col), text_col, vocabulary or default_vocabulary(), made, digests, keep=False)

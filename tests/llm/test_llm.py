@@ -405,7 +405,11 @@ def test_bpe_odd_tables(spark, odd, empty, reference):
     rows = bpe.decode_column(bpe.encode_column(odd.select("doc_id", "text", "id"))).collect()
     assert all(r._decoded == (r.text or "") for r in rows)
     assert all(np.frombuffer(r._ids, "<u4").tolist() == reference.encode(r.text or "", add_special_tokens=False).ids for r in rows)
-    assert bpe.token_digests(empty).count() == 0
+    named = odd.select("doc_id", "text").withColumns({"_n": F.lit("theirs"), "_decoded": F.lit(1), "_0": F.lit(2)})
+    again = bpe.decode_column(bpe.encode_column(named))
+    assert again.columns == ["doc_id", "text", "_0", "_ids", "_n", "_decoded"]  # those that are made replace theirs
+    assert all(r._decoded == (r.text or "") and r._0 == 2 for r in again.collect())
+    assert bpe.token_digests(empty).count() == bpe.code_column(empty).count() == 0
 
 
 # 5 language
