@@ -1,14 +1,16 @@
 """A training corpus from raw documents: quality, exact and near duplicates, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, and any more that the table has. Rows may have
+nulls in any column, repeat each other or share ids; an empty table goes through empty. What the stages make of null,
+blank and very long texts is said where their operators are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopewise.llm.bpe import decode_column, encode_column
+from scopewise.llm.bpe import code_column
 from scopewise.llm.common import stage
 from scopewise.llm.exact_dedup import exact_dedup
 from scopewise.llm.mixing import mixed
@@ -17,17 +19,17 @@ from scopewise.llm.similar_texts import similar_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; so do texts without a word."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of the documents that are equal without white space stays."""
+    """One of the documents that are equal without white space stays: the longest, of those the smallest doc_id, nulls last."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the smallest doc_id, nulls last."""
     return similar_dedup(docs)
 
 
@@ -37,9 +39,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the text that the ids decode to)."""
-    found = decode_column(encode_column(docs.select("doc_id", "lang", "source", "text")))
-    return found.selectExpr("doc_id", "lang", "source", "_n AS n_tokens", "_ids AS token_ids", "sha2(CAST(_decoded AS binary), 256) AS decoded_sha256")
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit integers), decoded_sha256 (of the text that the ids decode to).
+
+    A null text has no tokens; repeated rows give repeated rows.
+    """
+    return code_column(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256")
 
 
 STAGES = [
