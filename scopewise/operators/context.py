@@ -87,11 +87,11 @@ def conversation_prompt(message: Column, notes: Column, patient: Column, history
     return F.concat(background, recent, F.lit("CURRENT USER MESSAGE \n"), message)
 
 
-def prompts(queries: DataFrame, ranked: DataFrame, template: str = "chatml", most: int = 400) -> DataFrame:
+def prompts(queries: DataFrame, ranked: DataFrame, template: str = "chatml", most: int = 400, percent: bool = False) -> DataFrame:
     """(query_id, prompt, header, retrieved): queries without chunks get the notice and the empty context."""
     cut = bounded(ranked, most)
     notes = cut.groupBy("query_id").agg(_in_order(F.concat(F.lit("- "), context_line(F.col("date"), F.col("kind"), F.col("content"))), "\n\n").alias("notes"), F.count("*").alias("retrieved"))
-    out = queries.select("query_id", "text").join(notes, "query_id", "left").join(header(cut), "query_id", "left")
+    out = queries.select("query_id", "text").join(notes, "query_id", "left").join(header(cut, percent), "query_id", "left")
     return out.select("query_id", factual_prompt(F.col("text"), F.col("notes"), template).alias("prompt"), F.coalesce("header", F.lit(NO_CHUNK)).alias("header"), F.coalesce("retrieved", F.lit(0)).alias("retrieved"))
 
 

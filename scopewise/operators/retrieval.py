@@ -10,14 +10,17 @@ joined; queries join chunks on scope and term, never as a product.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopewise.functions.text import distinct_tokens, tokens
-from scopewise.functions.vectors import cosine
 
 #: BM25's saturation and length parameters, and RRF's constant.
 K1, B, RRF = 1.2, 0.75, 60
+#: Chunks of a scope that a task holds the vectors of, on average.
+BLOCK_ROWS = 4096
 #: Rows of question terms that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -99,17 +102,50 @@ def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return dots.join(length(wq, "query_id").withColumnRenamed("len", "lq"), "query_id").join(length(wd, "chunk_id").withColumnRenamed("len", "ld"), "chunk_id").select("query_id", "chunk_id", score.alias("score"))
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def dense_pairs(queries: DataFrame, chunks: DataFrame, best: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, dense): the cosine of every query with every chunk of its scope; 0 where a vector is missing.
+
+    Scopes are dealt out in blocks of chunks, to each of which the scope's queries go, so every vector is sent to
+    Python once for each block and no vector is in a pair. With ``best``, only so many of each query leave a block,
+    and those that come so near to the last of them that rounding may decide.
+    """
+    sizes = chunks.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_n"))
+    vectors = lambda c: F.col(c).cast("array<float>").alias("vector")
+    held = chunks.join(sizes, "scope").select(F.col("scope").alias("c_scope"), F.pmod(F.xxhash64("chunk_id"), F.col("_n")).alias("c_block"), "chunk_id", vectors("embedding"))
+    asked = queries.join(sizes, "scope").select(F.col("scope").alias("q_scope"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("q_block"), "query_id", vectors("embedding"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("chunk_id", chunks))}
+    def scored(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        dims = max((len(v) for v in held.vector if v is not None), default=0)
+        usable = np.array([v is not None and len(v) == dims for v in held.vector], bool)
+        matrix = np.zeros((len(held), dims), np.float32)
+        if usable.any():
+            matrix[usable] = np.stack(held.vector[usable].to_numpy())
+        lengths = np.sqrt((matrix * matrix).sum(axis=1, dtype=np.float64))
+        ids = held.chunk_id.to_numpy()
+        out = [(asked.query_id.to_numpy()[:0], ids[:0], np.zeros(0))]
+        for query, vector in zip(asked.query_id, asked.vector, strict=True):
+            size = lengths * np.sqrt((vector * vector).sum(dtype=np.float64)) if vector is not None and len(vector) == dims else np.zeros(len(held))
+            cosines = np.zeros(len(held))
+            if (size > 0).any():  # products in single precision, summed in double
+                np.divide((matrix * vector).sum(axis=1, dtype=np.float64), size, out=cosines, where=size > 0)
+            keep = slice(None)
+            if best is not None and len(held) > best:
+                keep = np.flatnonzero(cosines >= np.partition(cosines, -best)[-best] - 1e-6)
+            out.append((np.full(len(ids[keep]), query, asked.query_id.dtype), ids[keep], cosines[keep]))
+        return pd.DataFrame(dict(zip(("query_id", "chunk_id", "dense"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, dense double"
+    return asked.groupBy("q_scope", "q_block").cogroup(held.groupBy("c_scope", "c_block")).applyInPandas(scored, schema)
+
+
+def dense_scores(queries: DataFrame, chunks: DataFrame, best: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score): 100 x cosine; chunks without a vector take no part."""
-    held = chunks.where("embedding IS NOT NULL").select("scope", "chunk_id", F.col("embedding").alias("_c"))
-    return queries.select("query_id", "scope", "embedding").join(held, "scope").select("query_id", "chunk_id", (cosine(F.col("embedding"), F.col("_c")) * 100).alias("score"))
+    return dense_pairs(queries, chunks.where("embedding IS NOT NULL"), best).select("query_id", "chunk_id", (F.col("dense") * 100).alias("score"))
 
 
 def raw_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, bm25, dense): all candidates; a missing vector or term scores 0."""
-    pairs = queries.select("query_id", "scope", F.col("embedding").alias("_q")).join(chunks.select("scope", "chunk_id", F.col("embedding").alias("_c")), "scope")
-    dense = pairs.select("query_id", "chunk_id", cosine(F.col("_q"), F.col("_c")).alias("dense"))
-    return dense.join(bm25_scores(queries, chunks).withColumnRenamed("score", "bm25"), ["query_id", "chunk_id"], "left").fillna(0.0, ["bm25"])
+    return dense_pairs(queries, chunks).join(bm25_scores(queries, chunks).withColumnRenamed("score", "bm25"), ["query_id", "chunk_id"], "left").fillna(0.0, ["bm25"])
 
 
 def min_max(column: str) -> Column:
@@ -137,8 +173,7 @@ def fused(raw: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
 
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     """100 x (weight x dense cosine + (1 - weight) x TF-IDF cosine), over all candidates."""
-    pairs = queries.select("query_id", "scope", F.col("embedding").alias("_q")).join(chunks.select("scope", "chunk_id", F.col("embedding").alias("_c")), "scope")
-    both = pairs.select("query_id", "chunk_id", cosine(F.col("_q"), F.col("_c")).alias("dense")).join(tfidf_scores(queries, chunks).withColumnRenamed("score", "lexical"), ["query_id", "chunk_id"], "left")
+    both = dense_pairs(queries, chunks).join(tfidf_scores(queries, chunks).withColumnRenamed("score", "lexical"), ["query_id", "chunk_id"], "left")
     return top(both.withColumn("score", weight * 100 * F.col("dense") + (1 - weight) * F.coalesce("lexical", F.lit(0.0))), k)
 
 
@@ -151,4 +186,4 @@ def tfidf(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    return top(dense_scores(queries, chunks), k)
+    return top(dense_scores(queries, chunks, k), k)

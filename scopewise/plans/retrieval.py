@@ -162,14 +162,22 @@ def answer_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOK = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-zA-Z0-9]+'), lambda t: length(t) > 2)"
-_BASE = f"""
+#: Questions with their gold texts; the question is its own gold text.
+_OWN = f"SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS scope, {_TOK.format('text')} AS t, {_TOK.format('text')} AS g FROM benchmark"
+
+
+def sql_base(asked: str = _OWN) -> str:
+    return f"""
     c AS (SELECT doc_id AS chunk_id, source AS scope, {_TOK.format('text')} AS t FROM documents),
-    q AS (SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS scope, {_TOK.format('text')} AS t FROM benchmark),
+    q AS ({asked}),
     n AS (SELECT scope, count(*) AS n, avg(len(t)) AS avgdl FROM c GROUP BY scope),
     tf AS (SELECT scope, chunk_id, term, count(*) AS tf, dl
            FROM (SELECT scope, chunk_id, len(t) AS dl, unnest(t) AS term FROM c) GROUP BY ALL),
     df AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY ALL)"""
-_BM25 = f"""{_BASE},
+
+
+def sql_bm25(base: str) -> str:
+    return f"""{base},
     qt AS (SELECT DISTINCT query_id, scope, unnest(t) AS term FROM q),
     bm AS (SELECT query_id, chunk_id,
                   sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)
@@ -177,7 +185,10 @@ _BM25 = f"""{_BASE},
            FROM qt JOIN tf USING (scope, term) JOIN df USING (scope, term) JOIN n USING (scope) GROUP BY ALL),
     bm25 AS (SELECT q.query_id, c.chunk_id, coalesce(bm.score, 0) AS score
              FROM q JOIN c USING (scope) LEFT JOIN bm ON bm.query_id = q.query_id AND bm.chunk_id = c.chunk_id)"""
-_TFIDF = f"""{_BASE},
+
+
+def sql_tfidf(base: str) -> str:
+    return f"""{base},
     qt AS (SELECT query_id, scope, term, count(*) AS tf FROM (SELECT query_id, scope, unnest(t) AS term FROM q) GROUP BY ALL),
     wq AS (SELECT query_id, qt.scope, qt.term, qt.tf / CAST(max(qt.tf) OVER (PARTITION BY query_id) AS DOUBLE)
                   * (ln(n / CAST(1 + coalesce(df, 0) AS DOUBLE)) + 1) AS w
@@ -193,6 +204,10 @@ _TFIDF = f"""{_BASE},
               FROM q JOIN c USING (scope) LEFT JOIN ti ON ti.query_id = q.query_id AND ti.chunk_id = c.chunk_id)"""
 
 
+_BASE = sql_base()
+_BM25, _TFIDF = sql_bm25(_BASE), sql_tfidf(_BASE)
+
+
 def _top(base: str, scored: str, k: int = K) -> str:
     return f"""WITH {base}
         SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score
@@ -207,7 +222,10 @@ def _cos(a: str, b: str) -> str:
 
 _VEC = "v AS (SELECT vec_id AS chunk_id, label AS scope, embedding AS e FROM embeddings), vq AS (SELECT chunk_id AS query_id, scope, e FROM v WHERE chunk_id % 20 = 0)"
 _DENSE = f"{_VEC}, dense AS (SELECT query_id, chunk_id, 100 * {_cos('vq.e', 'v.e')} AS score FROM vq JOIN v USING (scope))"
-_RAW = f"""{_BM25},
+
+
+def sql_raw(bm25: str) -> str:
+    return f"""{bm25},
     raw AS (SELECT b.query_id, b.chunk_id, b.score AS bm25,
                    CASE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0 ELSE {_cos('x.embedding', 'y.embedding')} END AS dense
             FROM bm25 b LEFT JOIN embeddings x ON x.vec_id = b.query_id LEFT JOIN embeddings y ON y.vec_id = b.chunk_id),
@@ -218,16 +236,33 @@ _RAW = f"""{_BM25},
                       row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 12) DESC, chunk_id) AS rd FROM raw),
     rrf AS (SELECT query_id, chunk_id, 100 * (1 / CAST(60 + rb AS DOUBLE) + 1 / CAST(60 + rd AS DOUBLE)) AS score FROM places),
     fused AS (SELECT query_id, chunk_id, 0.5::DOUBLE * nd + 0.5::DOUBLE * nb AS score FROM mm)"""
-_HYBRID = f"""{_TFIDF},
+
+
+def sql_hybrid(tfidf: str) -> str:
+    return f"""{tfidf},
     hybrid AS (SELECT t.query_id, t.chunk_id, 50 * CASE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0 ELSE {_cos('x.embedding', 'y.embedding')} END
                       + 0.5::DOUBLE * t.score AS score
                FROM tfidf t LEFT JOIN embeddings x ON x.vec_id = t.query_id LEFT JOIN embeddings y ON y.vec_id = t.chunk_id)"""
+
+
+def sql_dense(base: str) -> str:
+    """Dense scores of questions and chunks that have the vector of their number."""
+    return f"""{base},
+    dense AS (SELECT q.query_id, c.chunk_id, 100 * CASE WHEN x.embedding IS NULL THEN 0 ELSE {_cos('x.embedding', 'y.embedding')} END AS score
+              FROM q JOIN c USING (scope) JOIN embeddings y ON y.vec_id = c.chunk_id LEFT JOIN embeddings x ON x.vec_id = q.query_id)"""
+
+
+_RAW, _HYBRID = sql_raw(_BM25), sql_hybrid(_TFIDF)
 _IDEAL = "nullif(list_sum(list_transform(range(1, CAST(least(relevant_count, {0}) AS BIGINT) + 1), lambda i: ln(2) / ln(i + 1))), 0)"
-_JUDGED = f"""{_BM25},
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score, 9) AS FLOAT) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= {K}),
+
+
+def sql_judged(base: str, scored: str) -> str:
+    """Relevance and metrics of the first ten by a table of scores."""
+    return f"""{base},
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score, 9) AS FLOAT) DESC, chunk_id) AS rank FROM {scored}) WHERE rank <= {K}),
     judged AS (SELECT top.query_id, top.chunk_id, rank, q.scope,
-                      CASE WHEN least(len(list_distinct(c.t)), len(list_distinct(q.t))) > 0
-                           THEN len(list_intersect(list_distinct(c.t), list_distinct(q.t))) / CAST(least(len(list_distinct(c.t)), len(list_distinct(q.t))) AS DOUBLE)
+                      CASE WHEN least(len(list_distinct(c.t)), len(list_distinct(q.g))) > 0
+                           THEN len(list_intersect(list_distinct(c.t), list_distinct(q.g))) / CAST(least(len(list_distinct(c.t)), len(list_distinct(q.g))) AS DOUBLE)
                            ELSE 0 END >= 0.5 AS relevant
                FROM top JOIN c USING (chunk_id) JOIN q USING (query_id)),
     run AS (SELECT *, CAST(relevant AS INTEGER) AS rel, sum(CAST(relevant AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM judged),
@@ -244,6 +279,9 @@ _JUDGED = f"""{_BM25},
                sum(CASE WHEN rank <= 10 THEN rel * ln(2) / ln(rank + 1) ELSE 0 END) AS dcg_10
         FROM run GROUP BY query_id),
     items AS (SELECT *, coalesce(dcg_3 / {_IDEAL.format(3)}, 0) AS ndcg_at_3, coalesce(dcg_10 / {_IDEAL.format(10)}, 0) AS ndcg_at_10 FROM sums)"""
+
+
+_JUDGED = sql_judged(_BM25, "bm25")
 _METRICS = ("hit_at_1", "hit_at_3", "hit_at_5", "hit_at_10", "precision_at_3", "precision_at_5", "precision_at_10", "reciprocal_rank", "average_precision", "ndcg_at_3", "ndcg_at_10")
 _KNN = """WITH {0}, far AS (SELECT query_id, chunk_id, {1} AS distance FROM vq CROSS JOIN (SELECT chunk_id, e AS e2 FROM v)),
     near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM far)
