@@ -71,7 +71,7 @@ def _looked_up(text: Column, labels: dict[str, str], other: Column) -> Column:
 
 def admission_type(code: Column) -> Column:
     text = cleaned(code)
-    return F.when(text == "", text).otherwise(_looked_up(text, ADMISSION_TYPES, F.initcap(text)))
+    return F.when(text == "", text).otherwise(_looked_up(text, ADMISSION_TYPES, title(text)))
 
 
 def service(code: Column) -> Column:
@@ -125,3 +125,30 @@ def as_flag(value: Column) -> Column:
     """Three-state: true, false or null from booleans, numbers and words."""
     text = F.lower(F.trim(value.cast("string")))
     return F.when(text.isin("true", "1", "yes", "y", "1.0"), True).when(text.isin("false", "0", "no", "n", "0.0"), False)
+
+
+def as_number(value: Column) -> Column:
+    """A whole number, or null."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint")).cast("int")
+
+
+def as_text(value: Column) -> Column:
+    """One line in lower case, or null if blank."""
+    return F.lower(text_shown(value))
+
+
+def flag_shown(value: Column) -> Column:
+    """Yes or No, or null if the value is no flag."""
+    return F.when(as_flag(value), "Yes").when(~as_flag(value), "No")
+
+
+def text_shown(value: Column) -> Column:
+    """One line as it is written, or null if blank."""
+    return F.nullif(one_line(value.cast("string")), F.lit(""))
+
+
+def title(text: Column) -> Column:
+    """Every run of letters with its first one large and the others small, whatever stands between the runs."""
+    runs = F.split(text, r"(?<=\P{L})(?=\p{L})|(?<=\p{L})(?=\P{L})")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")

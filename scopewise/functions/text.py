@@ -124,3 +124,13 @@ def header_value(page: Column, label: str) -> Column:
 def until_stop(text: Column, stop: str) -> Column:
     """The text before the first stop mark."""
     return F.substring_index(text, stop, 1)
+
+
+#: What is put before a chunk that is embedded, and the indent it stands at there.
+ENRICHED, INDENT = "PSYCHIATRIC MEDICAL RECORD EXTRACT", 20
+
+
+def enriched(chunk: Column) -> Column:
+    """A chunk under its heading, as it is embedded; the indent only goes where the chunk has one line."""
+    indent = F.when(chunk.contains("\n"), F.lit(" " * INDENT)).otherwise("")
+    return F.concat(indent, F.lit(f"{ENRICHED}\n"), indent, chunk)

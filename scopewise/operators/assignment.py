@@ -5,8 +5,13 @@ These are folds with running counts over one narrow row per admission; candidate
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict, deque
 from collections.abc import Hashable
+from itertools import product
+
+#: Fixed value: the share of items whose answers are yes or no, negation checks aside, from which on such items cost.
+YES_NO_SHARE = 0.12
 
 
 def balanced_types(available: dict[Hashable, set[str]], each: int = 2) -> dict[Hashable, set[str]]:
@@ -114,3 +119,62 @@ def concrete(chosen: dict[Hashable, set[str]], candidates: dict[tuple[Hashable,
             sections[best["section"]] += 1
         out += [{**c, "key": key} for c in taken[:each]]
     return out
+
+
+def chosen_pairs(chosen: dict[Hashable, set[str]], candidates: dict[tuple[Hashable, str], list[dict]], total: int, yes_no_share: float = YES_NO_SHARE) -> list[dict]:
+    """One candidate for each of an admission's two types, as the pair that costs least.
+
+    Candidates are dicts with id, kind, subkey, section, page, answer, gold and yes_no. A pair costs, in this order:
+    equal answers, equal gold chunks, equal sections, another yes/no answer where those are too many already, how
+    often its subkeys and its looked-up sections have been used, equal pages; ties go by ids. Yes/no answers of
+    negation checks don't count.
+    """
+    subkeys, sections, plain_yes_no, out = Counter(), Counter(), 0, []
+
+    def polar(*items: dict) -> int:
+        return sum(bool(c["yes_no"]) and c["kind"] != "negation_check" for c in items)
+
+    def looked_up(*items: dict) -> list[str]:
+        return [c["subkey"] for c in items if c["kind"] == "section_lookup"]
+
+    def cost(pair: tuple[dict, dict]) -> tuple:
+        a, b = pair
+        texts = [_key(a["answer"]) == _key(b["answer"]), *(a[x] == b[x] for x in ("gold", "section"))]
+        too_many = polar(a, b) > 0 and plain_yes_no >= yes_no_share * total
+        loads = sum(subkeys[c["kind"], c["subkey"]] for c in pair), sum(sections[s] for s in looked_up(a, b))
+        return *texts, too_many, *loads, a["page"] == b["page"], a["id"], b["id"]
+
+    for key in sorted(chosen, key=str):
+        kinds = sorted(chosen[key])
+        options = [candidates.get((key, kind), []) for kind in kinds]
+        if len(kinds) != 2 or not all(options):
+            raise ValueError(f"{key}: two types with candidates are needed, not {kinds}")
+        best = min(product(*options), key=cost)
+        subkeys.update((c["kind"], c["subkey"]) for c in best)
+        sections.update(looked_up(*best))
+        plain_yes_no += polar(*best)
+        out += [{**c, "key": key} for c in best]
+    return out
+
+
+def _key(answer: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", answer.lower()).strip()
+
+
+def selected(candidates: dict[tuple[Hashable, str], list[dict]], kind: str = "negation_check") -> list[dict]:
+    """The whole choice: two types for each admission, yes and no of one type evened out, one candidate for each type.
+
+    Admissions with fewer than two types are left out. Evening out must not change how often a type is used.
+    """
+    available: dict[Hashable, set[str]] = defaultdict(set)
+    for (key, type_), found in candidates.items():
+        if found:
+            available[key].add(type_)
+    available = {k: v for k, v in available.items() if len(v) > 1}
+    chosen = balanced_types(available)
+    polarity = {key: min(candidates[key, kind], key=lambda c: c["id"])["answer"] for key, types in available.items() if kind in types}
+    evened = rebalanced_polarity(chosen, available, polarity, kind)
+    before, after = (Counter(t for types in x.values() for t in types) for x in (chosen, evened))
+    if before != after:
+        raise ValueError(f"evening out yes and no changed the types from {before} to {after}")
+    return chosen_pairs(evened, candidates, 2 * len(evened))

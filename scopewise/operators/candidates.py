@@ -83,6 +83,13 @@ def select_balanced(candidates: DataFrame, cap: int) -> list[dict]:
     return chosen
 
 
+def capped(items: DataFrame, group: list[str], order: list[str], kind: str, caps: dict[str, int]) -> DataFrame:
+    """The first items of each group by order, as many as the cap of their kind."""
+    limit = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return items.withColumn("_n", place).where(F.col("_n") <= F.try_element_at(limit, F.col(kind))).drop("_n")
+
+
 def split_by_scope(items: DataFrame, kind: str) -> DataFrame:
     """items with split: same_patient or cross_patient; an unknown kind is an error."""
     known = F.when(F.col(kind).startswith("same_patient"), "same_patient").when(F.col(kind).startswith("cross_patient"), "cross_patient")

@@ -26,6 +26,9 @@ CHAT = {  # model type: (system template, user template, stop token)
     "QWEN_3": ("<|im_start|>system\n{system}<|im_end|>\n", "<|im_start|>user\n{user}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>"),
     "PHI_4": ("<|system|>{system}<|end|>", "<|user|>{user}<|end|><|assistant|>", "<|end|>"),
     "GEMMA_3": ("{system}", "<start_of_turn>user\n{user}<end_of_turn>\n<start_of_turn>model", "<end_of_turn>"),
+    "LLAMA_GUARD_3": ("{system}", "<|start_header_id|>user<|end_header_id|>\n{user}<|eot_id|><|start_header_id|>assistant<|end_header_id|>", "<|eot_id|>"),
+    "SMOLLM_3": ("<|im_start|>system\n{system}<|im_end|>\n", "<|im_start|>user\n{user}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>"),
+    "LFM2": ("<|im_start|>system\n{system}<|im_end|>\n", "<|im_start|>user\n{user}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>"),
     "LLAVA_1_5": ("{system}", " USER: {user} ASSISTANT:", "</s>"),
     "VOXTRAL": ("{system}", "{user}", "</s>"),
 }

@@ -213,6 +213,32 @@ def question_stats(items: DataFrame) -> DataFrame:
     return rows.where("value IS NOT NULL").groupBy("stat", "value").agg(F.count("*").alias("n"))
 
 
+def length_stats(items: DataFrame, column: str) -> DataFrame:
+    """Per kind: shortest, mean and longest length of a column, and how many subkeys there are."""
+    n = F.length(column)
+    return items.groupBy("kind").agg(F.min(n).alias("shortest"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("longest"), F.count_distinct("subkey").alias("subkeys"), F.count("*").alias("n"))
+
+
+def first_of_kind(candidates: DataFrame, kind: str) -> DataFrame:
+    """Each document's first candidate of a kind, by id."""
+    rows = candidates.where(F.col("kind") == kind)
+    return rows.groupBy("doc").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "doc"]), "id").alias("c")).select("doc", "c.*")
+
+
+def united(*families: DataFrame) -> DataFrame:
+    """Items of all task families; what a family lacks is null."""
+    out = families[0]
+    for rows in families[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def error_rate(runs: DataFrame) -> DataFrame:
+    """Per condition over runs(condition, skipped, error): items, skipped ones, errors, and errors per item that was run."""
+    out = runs.groupBy("condition").agg(F.count("*").alias("items"), F.count_if("skipped").alias("skipped"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    return out.withColumn("error_rate", F.when(F.col("items") > F.col("skipped"), F.col("errors") / (F.col("items") - F.col("skipped"))))
+
+
 def kind_availability(candidates: DataFrame) -> DataFrame:
     """(kinds, documents): how many documents offer how many kinds."""
     return candidates.groupBy("doc").agg(F.count_distinct("kind").alias("kinds")).groupBy("kinds").agg(F.count("*").alias("documents"))

@@ -118,7 +118,7 @@ QUERIES = {
 _HEADS = rf"""{_DIAGNOSED},
     o AS (SELECT subject_id, min(diagnosis) AS a, max(diagnosis) AS b FROM att GROUP BY subject_id),
     full_ AS (SELECT subject_id AS patient_id, hadm_id AS admission_id, split_part(admittime, ' ', 1) AS day, diagnosis,
-                     CASE admission_type WHEN '1-URGENT' THEN '1-urgent' WHEN '2-HIGH' THEN '2-high' WHEN '3-MEDIUM' THEN '3-medium' WHEN '4-NOT SPECIFIED' THEN '4-not Specified' ELSE '5-low' END AS admission_type,
+                     CASE admission_type WHEN '1-URGENT' THEN '1-Urgent' WHEN '2-HIGH' THEN '2-High' WHEN '3-MEDIUM' THEN '3-Medium' WHEN '4-NOT SPECIFIED' THEN '4-Not Specified' ELSE '5-Low' END AS admission_type,
                      CASE WHEN subject_id % 2 = 0 THEN 'F' ELSE 'M' END AS sex, CAST(subject_id % 90 AS VARCHAR) AS age, CAST(hadm_id % 9 AS VARCHAR) AS stay, 'Team ' || CAST(service AS VARCHAR) AS service,
                      CASE WHEN status = 'P' THEN 'Not recorded' ELSE 'Home' END AS disposition, CASE WHEN had_icu_stay THEN 'Yes' ELSE 'No' END AS icu, CAST(num_diagnoses AS VARCHAR) AS num_diagnoses, coalesce(a <> b, FALSE) AS other
               FROM att JOIN o USING (subject_id)),

@@ -154,3 +154,9 @@ def parse_presets(configs: DataFrame, column: str) -> DataFrame:
         F.coalesce("m.tokenizerUrl", F.lit("")).alias("tokenizer_url"), F.coalesce("m.tokenizerFilename", F.lit("")).alias("tokenizer_file"),
         F.when(kind.isin(*MODEL_TYPES), kind).otherwise(F.lit("LLAMA_3")).alias("model_type"),
     )
+
+
+def read_saved(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """The list of records that a JSON object of settings holds as text under a key: saved messages or logs; none if it has none."""
+    held = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>")[key].alias("v"))
+    return held.select(F.explode(F.from_json("v", f"array<struct<{schema}>>")).alias("r")).select("r.*")

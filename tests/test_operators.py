@@ -1,11 +1,16 @@
+import json
 import math
+import random
+from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scopewise.operators import assignment, candidates, cohort, context, metrics, pages, retrieval, store
+from scopewise.operators import assignment, candidates, cohort, context, metrics, pages, questions, records, retrieval, store
 from scopewise.plans import documents
+from scopewise.sources import readers
 
 
 def test_zero_scores_fill_the_list(spark):
@@ -153,3 +158,59 @@ def test_upsert_replaces_documents(spark):
     old = spark.createDataFrame([("p", "d", 1), ("p", "d", 2), ("p", "e", 3)], "patient string, doc string, v int")
     new = spark.createDataFrame([("p", "d", 9), ("q", "d", 8)], "patient string, doc string, v int")
     assert sorted(r.v for r in store.upsert(old, new, ["patient", "doc"]).collect()) == [3, 8, 9]
+
+
+def test_the_whole_choice_keeps_two_types_and_evens_polarity():
+    kinds = ("negation_check", "section_lookup", "header_fact", "specific_detail")
+    made = lambda k, kind, n: {"id": f"{k}-{kind}-{n}", "kind": kind, "subkey": f"s{n}", "section": f"s{n}", "page": n, "answer": ("Yes" if k % 4 else "No") if kind == "negation_check" else f"{kind} {n}", "gold": f"g{n}", "yes_no": kind == "negation_check"}
+    found = {(k, kind): [made(k, kind, n) for n in range(2)] for k in range(8) for kind in kinds}
+    items = assignment.selected(found)
+    per = defaultdict(set)
+    for c in items:
+        per[c["key"]].add(c["kind"])
+    assert len(items) == 16 and all(len(v) == 2 for v in per.values())
+    assert max(Counter(c["kind"] for c in items).values()) - min(Counter(c["kind"] for c in items).values()) <= 1
+    polar = Counter(c["answer"] for c in items if c["kind"] == "negation_check")
+    assert abs(polar["Yes"] - polar["No"]) <= 2
+    for k in per:  # no pair of equal answers, chunks or sections where others could be had
+        a, b = (c for c in items if c["key"] == k)
+        assert a["answer"] != b["answer"] and a["gold"] != b["gold"] and a["section"] != b["section"]
+    with pytest.raises(ValueError, match="two types"):
+        assignment.chosen_pairs({1: {"a"}}, {(1, "a"): [made(1, "a", 0)]}, 2)
+
+
+def test_pair_cost_against_all_pairs():
+    """The first admission's pair is the least of the nine-part costs."""
+    rng = random.Random(3)
+    one = lambda kind, n: {"id": f"{kind}{n}", "kind": kind, "subkey": rng.choice("xy"), "section": rng.choice("pq"), "page": rng.randint(1, 2), "answer": rng.choice(["a b", "A-B", "c"]), "gold": rng.choice("gh"), "yes_no": rng.random() < 0.5}
+    for _ in range(50):
+        found = {(1, k): [one(k, n) for n in range(4)] for k in ("a", "b")}
+        got = assignment.chosen_pairs({1: {"a", "b"}}, found, 2, yes_no_share=0.0)
+        plain = lambda t: t.replace("-", " ").lower()
+        want = min(((x, y) for x in found[1, "a"] for y in found[1, "b"]), key=lambda z: (plain(z[0]["answer"]) == plain(z[1]["answer"]), z[0]["gold"] == z[1]["gold"], z[0]["section"] == z[1]["section"], z[0]["yes_no"] or z[1]["yes_no"], 0, 0, z[0]["page"] == z[1]["page"], z[0]["id"], z[1]["id"]))
+        assert [c["id"] for c in got] == [c["id"] for c in want]
+
+
+def test_saved_messages_and_error_rates(spark, tmp_path):
+    saved = {"messages": json.dumps([{"text": "a", "role": "user"}, {"text": "b"}]), "logs": "[]"}
+    (tmp_path / "prefs.json").write_text(json.dumps(saved))
+    read = lambda key: [(r.text, r.role) for r in readers.read_saved(spark, str(tmp_path / "prefs.json"), key, "text string, role string").collect()]
+    assert read("messages") == [("a", "user"), ("b", None)] and read("logs") == read("absent") == []
+    runs = spark.createDataFrame([("x", False, None), ("x", False, "e"), ("x", True, None), ("y", True, None)], "condition string, skipped boolean, error string")
+    got = {r.condition: (r["items"], r.skipped, r.errors, r.error_rate) for r in questions.error_rate(runs).collect()}
+    assert got == {"x": (3, 1, 1, 0.5), "y": (1, 1, 0, None)}
+
+
+def test_records_leave_out_what_has_no_notes(spark, tmp_path):
+    people = spark.createDataFrame([(1, "F"), (2, "M")], "subject_id int, gender string")
+    stays = spark.createDataFrame([(1, 12, "2100-02-01"), (1, 11, "2100-01-01"), (1, 13, "2100-03-01"), (2, 21, "2100-01-01")], "subject_id int, hadm_id int, admittime string")
+    notes = spark.createDataFrame([(1, 11, "b", "Radiology", None, None, 2, " x\n"), (1, 11, "a", "Discharge summary", "DS", "2100", None, "y"), (1, 12, "c", "Odd", None, "", 1, "z"), (1, 13, "d", "Odd", None, "", 1, None)], "subject_id int, hadm_id int, note_id string, category string, label string, charttime string, note_seq int, text string")
+    details = spark.createDataFrame([("a", {"author": "Q"})], "note_id string, details map<string,string>")
+    ordered = records.in_order(records.with_details(notes, details), ["Discharge summary", "Radiology"])
+    rows = records.patient_records(people, stays, ordered)
+    rows.write.json(str(tmp_path / "sample"))
+    got = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "sample")).collect()]
+    assert [g["patient_info"] for g in got] == [{"subject_id": 1, "gender": "F"}]
+    stay, other = got[0]["admissions"]
+    assert (stay["hadm_id"], other["hadm_id"]) == (11, 12) and [n["note_id"] for n in stay["notes"]] == ["a", "b"] and stay["notes"][1]["text"] == "x"
+    assert stay["note_categories"] == {"Discharge summary": 1, "Radiology": 1} and stay["notes"][0]["details"] == {"author": "Q"}

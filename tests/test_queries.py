@@ -3,11 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from scopewise.plans import cohort, documents, questions, retrieval
 from tests.oracle import assert_same, connect
 
-QUERIES = {**retrieval.QUERIES, **cohort.QUERIES, **documents.QUERIES, **questions.QUERIES}
-SQL = {**retrieval.ORACLE_SQL, **cohort.ORACLE_SQL, **documents.ORACLE_SQL, **questions.ORACLE_SQL}
+QUERIES = {name: query for plans in entry.PLANS for name, query in plans.QUERIES.items()}
+SQL = {name: sql for plans in entry.PLANS for name, sql in plans.ORACLE_SQL.items()}
 
 
 @pytest.fixture(scope="module")

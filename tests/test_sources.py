@@ -99,4 +99,4 @@ def test_item_documents_and_headings(spark):
     files = spark.createDataFrame([("1", "Patient_1_Admission_10.pdf"), ("1", "Patient_1_Admission_11.pdf")], "patient_id string, name string")
     assert sorted((r["item"], r.name) for r in readers.item_documents(items, files).collect()) == [("q1", "Patient_1_Admission_10.pdf"), ("q1", "Patient_1_Admission_11.pdf"), ("q2", "Patient_2_Admission_20.pdf")]
     heading = sinks.note_heading(F.lit(1), F.lit(2), F.lit("Radiology"), F.lit("Radiology report"), F.lit(None).cast("string"), {"exam_name": F.lit("CT"), "author": F.lit("")})
-    assert spark.range(1).select(heading.alias("h")).first().h == "Clinical note 1 of 2: Radiology - Radiology report - Exam Name: CT"
+    assert spark.range(1).select(heading.alias("h")).first().h == "Clinical note 1 of 2: Radiology - Radiology report - Exam name: CT"
