@@ -120,7 +120,9 @@ def test_links_survive_split_shards(spark, monkeypatch):
     assert [roots.get(v, v) for v in values] == [values[k] for k in label]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [1000, 1])  # every node a hub, or none
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr("scopewise.llm.components.SHARE", share)
     path = [(i, i + 1) for i in range(100, 140)] + [(7, 7), (5, 3), (3, 9), (9, 5), (-4, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(path, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 5: -4, 3: -4, 9: -4, -4: -4}
