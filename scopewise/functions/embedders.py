@@ -24,6 +24,8 @@ PREFIXES = {
 }
 HASH = "hash"
 SHRINK, ATTEMPTS = 0.5, 8
+#: Texts that a model gets in one call.
+AT_ONCE = 32
 UNAVAILABLE = "_Clinical retrieval unavailable: active embedding backend is '{}' (semantic embedding model failed to load)._\n\n"
 
 
@@ -40,7 +42,18 @@ class Embedder:
     def vectors(self, texts: list[str | None], question: bool) -> list[list[float] | None]:
         """A vector per text, null for null; a text that is too long is halved until it fits, eight times at most."""
         before = PREFIXES.get(self.backend, ("", ""))[0 if question else 1]
-        return [None if t is None else self._one(before, t) for t in texts]
+        held = [t for t in texts if t is not None]
+        found = iter([v for low in range(0, len(held), AT_ONCE) for v in self._several(before, held[low : low + AT_ONCE])])
+        return [None if t is None else next(found) for t in texts]
+
+    def _several(self, before: str, texts: list[str]) -> list[list[float] | None]:
+        """One call of the model for all; one for each where any is too long."""
+        if len(texts) > 1:
+            try:
+                return self.embed([before + t for t in texts])
+            except TooLong:
+                pass
+        return [self._one(before, t) for t in texts]
 
     def _one(self, before: str, text: str) -> list[float] | None:
         for _ in range(ATTEMPTS):

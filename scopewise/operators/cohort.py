@@ -31,9 +31,14 @@ def first_service(services: DataFrame, keys: list[str], service: str, time: str,
 
 
 def diagnoses(rows: DataFrame, dictionary: DataFrame, keys: list[str], code: list[str], seq: str, title: str) -> DataFrame:
-    """Per key the number of diagnoses and the title of the first by sequence; unknown codes have none."""
-    titled = rows.join(dictionary.select(*code, title), code, "left")
-    return titled.groupBy(*keys).agg(F.count("*").alias("num_diagnoses"), F.min_by(title, F.struct(seq, *code)).alias("diagnosis"))
+    """Per key the number of diagnoses and the first title by sequence; codes are matched without blanks around them.
+
+    Codes that the dictionary doesn't know have no title, and the next one's counts.
+    """
+    trimmed = {c: F.trim(F.col(c).cast("string")) for c in code}
+    titled = rows.withColumns(trimmed).join(dictionary.select(*code, title).withColumns(trimmed), code, "left")
+    order = F.when(F.col(title).isNotNull(), F.struct(seq, *code))
+    return titled.groupBy(*keys).agg(F.count("*").alias("num_diagnoses"), F.min_by(title, order).alias("diagnosis"))
 
 
 def attributes(admissions: DataFrame, keys: list[str], diagnosed: DataFrame, icu: DataFrame, served: DataFrame) -> DataFrame:

@@ -130,42 +130,67 @@ def grounded_items(candidates: DataFrame, ranges: DataFrame, chunks: DataFrame)
     return rows.withColumn("id", F.format_string("P%s_H%s_Q%d", F.col("patient_id").cast("string"), F.col("admission_id").cast("string"), F.row_number().over(order)))
 
 
+# Wording of multi-record questions and answers. What is said last, by whose admissions and how the values stand.
+SAID = {
+    "own": {
+        "same": "My recorded {label} was the same.",
+        "different": "My recorded {label} differed.",
+        "all the same": "My {label} remained consistent across all three hospitalizations.",
+        "not all the same": "My {label} varied across the three hospitalizations.",
+    },
+    "own number": {
+        "same": "The number of my recorded diagnoses remained unchanged.",
+        "more later": "The number of my recorded diagnoses increased from {a} to {b}.",
+        "fewer later": "The number of my recorded diagnoses decreased from {a} to {b}.",
+    },
+    "family": {
+        "same": "The recorded {label} was the same for both of us.",
+        "different": "The recorded {label} differed between us.",
+    },
+    "family number": {
+        "same": "Both of our admissions had the same number of recorded diagnoses.",
+        "more later": "My family member's admission had more recorded diagnoses than mine.",
+        "fewer later": "My admission had more recorded diagnoses than my family member's.",
+    },
+}
+ASKED = {
+    "own": "During my hospitalizations beginning on {date_1} and {date_2}, what was my {label} in each, and was it the same or different?",
+    "family": 'I keep my family member\'s hospital records together with mine. We were both hospitalized with the principal diagnosis "{diagnosis}": my stay began on {date_1} and theirs began on {date_2}. '
+    "What was the {label} for each of us, and was it the same or different?",
+    "three": "Across my hospitalizations beginning on {date_1}, {date_2}, and {date_3}, what was my {label} at each hospitalization, and did it remain consistent or vary across the three?",
+}
+ANSWERED = {
+    "own": "My hospitalization beginning {date_1}: {shown}: {a}; my hospitalization beginning {date_2}: {shown}: {b}. ",
+    "family": "My hospitalization beginning {date_1}: {shown}: {a}; my family member's hospitalization beginning {date_2}: {shown}: {b}. ",
+    "three": "My hospitalization beginning {date_1}: {shown}: {a}; my hospitalization beginning {date_2}: {shown}: {b}; my hospitalization beginning {date_3}: {shown}: {c}. ",
+}
+
+
+def _worded(rows: DataFrame, field: str, whose: str, standing: Column, said: str, **places: Column) -> DataFrame:
+    """rows with question and answer, filled in from the tables of wording; standing names what is said last."""
+    label, shown = map(F.lit, FIELDS[field])
+    places |= {"label": label, "shown": shown, **{c: F.col(c) for c in rows.columns if c.startswith("date_") or c == "diagnosis"}}
+    last = F.coalesce(*[F.when(standing == way, filled_in(text, **places)) for way, text in SAID[said].items()])
+    return rows.withColumns({"question": filled_in(ASKED[whose], **places), "answer": F.concat(filled_in(ANSWERED[whose], **places), last)})
+
+
 def pair_wording(rows: DataFrame, field: str, same_patient: bool = True) -> DataFrame:
     """rows(value_1, value_2, date_1, date_2, relation[, diagnosis]) with question, answer, evidence_1, evidence_2."""
-    label, shown = FIELDS[field]
-    a, b = F.col("value_1").cast("string"), F.col("value_2").cast("string")
-    less, more = F.col("value_1") < F.col("value_2"), F.col("value_1") > F.col("value_2")
-    if field == "num_diagnoses" and same_patient:
-        moved = lambda way: F.format_string(f"The number of my recorded diagnoses {way} from %s to %s.", a, b)
-        summary = F.when(less, moved("increased")).when(more, moved("decreased")).otherwise("The number of my recorded diagnoses remained unchanged.")
-    elif field == "num_diagnoses":
-        summary = F.when(more, "My admission had more recorded diagnoses than my family member's.").when(less, "My family member's admission had more recorded diagnoses than mine.")
-        summary = summary.otherwise("Both of our admissions had the same number of recorded diagnoses.")
-    elif same_patient:
-        summary = F.when(F.col("relation") == "same", f"My recorded {label} was the same.").otherwise(f"My recorded {label} differed.")
-    else:
-        summary = F.when(F.col("relation") == "same", f"The recorded {label} was the same for both of us.").otherwise(f"The recorded {label} differed between us.")
-    if same_patient:
-        question = F.format_string(f"During my hospitalizations beginning on %s and %s, what was my {label} in each, and was it the same or different?", "date_1", "date_2")
-        other = "my hospitalization beginning"
-    else:
-        question = F.format_string(
-            f"I keep my family member's hospital records together with mine. We were both hospitalized with the principal diagnosis \"%s\": my stay began on %s and theirs began on %s. What was the {label} for each of us, and was it the same or different?",
-            "diagnosis", "date_1", "date_2",
-        )
-        other = "my family member's hospitalization beginning"
-    answer = F.concat(F.format_string(f"My hospitalization beginning %s: {shown}: %s; {other} %s: {shown}: %s. ", F.col("date_1"), a, F.col("date_2"), b), summary)
-    return rows.withColumns({"question": question, "answer": answer, "evidence_1": F.concat(F.lit(f"{shown}: "), a), "evidence_2": F.concat(F.lit(f"{shown}: "), b)})
+    whose, shown = "own" if same_patient else "family", FIELDS[field][1]
+    first, second = (F.col(f"value_{k}") for k in (1, 2))
+    counted = field == "num_diagnoses"
+    standing = F.when(second > first, "more later").when(second < first, "fewer later").otherwise("same") if counted else F.col("relation")
+    a, b = first.cast("string"), second.cast("string")
+    out = _worded(rows, field, whose, standing, f"{whose} number" if counted else whose, a=a, b=b)
+    return out.withColumns({f"evidence_{k}": F.concat(F.lit(f"{shown}: "), x) for k, x in ((1, a), (2, b))})
 
 
 def trajectory_wording(rows: DataFrame, field: str) -> DataFrame:
     """rows(value_1.., date_1.. of three admissions) with question and answer."""
-    label, shown = FIELDS[field]
-    same = (F.col("value_1") == F.col("value_2")) & (F.col("value_2") == F.col("value_3"))
-    summary = F.when(same, f"My {label} remained consistent across all three hospitalizations.").otherwise(f"My {label} varied across the three hospitalizations.")
-    parts = [F.format_string(f"{'M' if k == 1 else 'm'}y hospitalization beginning %s: {shown}: %s", F.col(f"date_{k}"), F.col(f"value_{k}").cast("string")) for k in (1, 2, 3)]
-    question = F.format_string(f"Across my hospitalizations beginning on %s, %s, and %s, what was my {label} at each hospitalization, and did it remain consistent or vary across the three?", "date_1", "date_2", "date_3")
-    return rows.withColumns({"question": question, "answer": F.concat(F.concat_ws("; ", *parts), F.lit(". "), summary)})
+    values = [F.col(f"value_{k}") for k in (1, 2, 3)]
+    alike = F.size(F.array_distinct(F.array(*values))) == 1
+    standing = F.when(alike, "all the same").otherwise("not all the same")
+    return _worded(rows, field, "three", standing, "own", **dict(zip("abc", [v.cast("string") for v in values], strict=True)))
 
 
 def single_violations(items: DataFrame, each: int = 2, most: int = 500) -> DataFrame:

@@ -25,6 +25,14 @@ BLOCK_ROWS = 4096
 BROADCAST_ROWS = 200_000
 
 
+def each_term(rows: DataFrame, terms: Column, *keep: str | Column) -> DataFrame:
+    """rows with a column term, one for each of the terms.
+
+    An inner explode would have its texts tokenized once more, by the filter on empty lists that Spark infers.
+    """
+    return rows.select(*keep, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Per scope: n chunks and their mean length in tokens."""
     return chunks.select("scope", F.size(tokens(F.col("content"))).alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -32,12 +40,12 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def term_counts(chunks: DataFrame) -> DataFrame:
     """(scope, chunk_id, term, tf)."""
-    return chunks.select("scope", "chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return each_term(chunks, tokens(F.col("content")), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(chunks: DataFrame) -> DataFrame:
     """(scope, term, df): chunks that hold the term."""
-    return chunks.select("scope", F.explode(distinct_tokens(F.col("content"))).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
+    return each_term(chunks, distinct_tokens(F.col("content")), "scope").groupBy("scope", "term").agg(F.count("*").alias("df"))
 
 
 def checked(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -72,9 +80,9 @@ def filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all pairs that share a term."""
-    asked = checked(queries.select("query_id", "scope", F.explode(distinct_tokens(F.col("text"))).alias("term")))
+    asked = checked(each_term(queries, distinct_tokens(F.col("text")), "query_id", "scope"))
     held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t"))
-    sized = held.select("scope", "chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
+    sized = each_term(held, F.col("_t"), "scope", "chunk_id", F.size("_t").alias("dl")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
     tf = sized.groupBy("scope", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -92,9 +100,11 @@ def tfidf_weights(counts: DataFrame, df: DataFrame, n: DataFrame, by: list[str])
 
 def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): 100 x cosine of all pairs that share a term."""
-    counts = term_counts(chunks)  # once: Spark reuses its shuffle for the document frequencies
+    # tokens are shuffled once, by chunk: counting them, the largest count and the lengths then need no other shuffle
+    held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t")).repartition("chunk_id")
+    counts = each_term(held, F.col("_t"), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
     n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), counts.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", "scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
+    asked = each_term(queries, tokens(F.col("text")), "query_id", "scope").groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
     wq, wd = tfidf_weights(asked, df, n, ["query_id"]), tfidf_weights(counts, df, n, ["chunk_id"])
     length = lambda w, by: w.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     dots = wq.join(wd.withColumnRenamed("w", "wd"), ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("wd")).alias("dot"))

@@ -20,7 +20,7 @@ def diagnosis_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def principal_diagnosis(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.diagnoses(*diagnoses(spark, d), ["hadm_id"], ["icd_code"], "seq_num", "long_title").select("hadm_id", "diagnosis")
+    return cohort.diagnoses(*diagnoses(spark, d), ["hadm_id"], ["icd_code", "icd_version"], "seq_num", "long_title").select("hadm_id", "diagnosis")
 
 
 def first_service(spark: SparkSession, d: str) -> DataFrame:
@@ -167,29 +167,19 @@ def balanced_type_assignment(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, ",".join(sorted(v))) for k, v in chosen.items()], "l_orderkey bigint, types string")
 
 
-def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The balanced choice of one question per pair of consecutive admissions."""
-    rows = candidates.windows(attributes(spark, d), "subject_id", ["admittime", "hadm_id"], 2, COLUMNS, candidates.MOST_PAIRS).where(F.col("priority") < candidates.MOST_PAIRS)
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), candidates.relation(F.col(f"{c}_1"), F.col(f"{c}_2")).alias("relation")) for c in COLUMNS[1:]])).alias("f")
-    both = rows.select("subject_id", "priority", F.concat_ws("|", "hadm_id_1", "hadm_id_2").alias("source_set"), fields).select("*", "f.*").where("relation IS NOT NULL")
-    ranked = both.select("source_set", F.col("subject_id").cast("string").alias("group"), "priority", "field", "relation", candidates.stable_rank(F.col("source_set"), F.col("field")).alias("rank"), F.lit(True).alias("grounded"))
-    chosen = candidates.select_balanced(ranked, candidates.MOST_PAIRS)
-    return spark.createDataFrame([(r["source_set"], r["group"], r["field"], r["relation"]) for r in chosen], "source_set string, patient string, field string, relation string")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         note_length_sum, diagnosis_counts, principal_diagnosis, first_service, icu_flag, admission_attributes, representative_admission, first_non_null, stratum_shares, quintile_bucket,
         balance_report, category_counts, detail_map, los_days, age_topcode, label_map, race_group_case, disposition_cascade, stratified_greedy_sample, consecutive_pairs, trajectories,
-        compare_relation, cross_patient_pairs, spread_priority, stable_hash_order, cap_check, split_by_type, sibling_admissions, missing_admissions, balanced_type_assignment, selected_pairs,
+        compare_relation, cross_patient_pairs, spread_priority, stable_hash_order, cap_check, split_by_type, sibling_admissions, missing_admissions, balanced_type_assignment,
     )
 }
 
 _DIAGNOSED = """
-    dx AS (SELECT l_orderkey AS hadm_id, l_linenumber AS seq, l_partkey AS code, p_name || ' ' || p_brand || ' ' || CAST(p_size AS VARCHAR) AS title
-           FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
-    diagnosed AS (SELECT hadm_id, count(*) AS num_diagnoses, arg_min(title, (seq, code)) AS diagnosis FROM dx GROUP BY hadm_id),
+    dx AS (SELECT l_orderkey AS hadm_id, l_linenumber AS seq, CAST(l_partkey AS VARCHAR) AS code, p_name || ' ' || p_brand || ' ' || CAST(p_size AS VARCHAR) AS title
+           FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 11 <> 0),
+    diagnosed AS (SELECT hadm_id, count(*) AS num_diagnoses, arg_min(title, (seq, code)) FILTER (title IS NOT NULL) AS diagnosis FROM dx GROUP BY hadm_id),
     icu AS (SELECT DISTINCT l_orderkey AS hadm_id FROM lineitem WHERE l_returnflag = 'R'),
     served AS (SELECT l_orderkey AS hadm_id, arg_min(l_suppkey, (l_shipdate, l_linenumber, l_suppkey)) AS service FROM lineitem GROUP BY l_orderkey),
     adm AS (SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS admittime, o_orderpriority AS admission_type, o_orderstatus AS status FROM orders),

@@ -169,6 +169,14 @@ ORACLE_SQL = {
                || CASE WHEN a = b THEN 'The number of my recorded diagnoses remained unchanged.' ELSE 'The number of my recorded diagnoses ' || CASE WHEN b > a THEN 'increased' ELSE 'decreased' END || ' from ' || a || ' to ' || b || '.' END AS answer,
                'Number of Diagnoses: ' || a AS evidence_1, 'Number of Diagnoses: ' || b AS evidence_2
         FROM dated""",
+    "trajectory_questions": f"""
+        WITH p AS ({_windows(3, 2, "hadm_id_1, hadm_id_2, hadm_id_3, service_1 AS a, service_2 AS b, service_3 AS c")}),
+        t AS (SELECT p.*, strftime(x.o_orderdate, '%Y-%m-%d') AS d1, strftime(y.o_orderdate, '%Y-%m-%d') AS d2, strftime(z.o_orderdate, '%Y-%m-%d') AS d3
+              FROM p JOIN orders x ON x.o_orderkey = hadm_id_1 JOIN orders y ON y.o_orderkey = hadm_id_2 JOIN orders z ON z.o_orderkey = hadm_id_3 WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)
+        SELECT hadm_id_1, 'Across my hospitalizations beginning on ' || d1 || ', ' || d2 || ', and ' || d3 || ', what was my hospital service at each hospitalization, and did it remain consistent or vary across the three?' AS question,
+               'My hospitalization beginning ' || d1 || ': Hospital Service: ' || a || '; my hospitalization beginning ' || d2 || ': Hospital Service: ' || b || '; my hospitalization beginning ' || d3 || ': Hospital Service: ' || c || '. '
+               || CASE WHEN a = b AND b = c THEN 'My hospital service remained consistent across all three hospitalizations.' ELSE 'My hospital service varied across the three hospitalizations.' END AS answer
+        FROM t""",
     "multi_violations": "SELECT o_orderkey AS id, 'sources' AS rule FROM orders WHERE o_orderkey % 5 = 0",
     "generator_conditions": f"""
         WITH p AS (SELECT item_id AS id, unnest(['closed_book', 'oracle_evidence', 'full_context']) AS condition,

@@ -139,10 +139,23 @@ def capped_families(spark: SparkSession, d: str) -> DataFrame:
     return candidates.capped(items.join(kept, "id"), ["kind", "patient"], ["priority", "item"], "kind", caps).select("kind", "item", "patient")
 
 
+def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The balanced choice of one question per pair of consecutive admissions, of those whose evidence is in both documents."""
+    columns = ["hadm_id", "service", "num_diagnoses"]
+    rows = candidates.windows(admission_attributes(spark, d), "subject_id", ["admittime", "hadm_id"], 2, columns, candidates.MOST_PAIRS)
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), candidates.relation(F.col(f"{c}_1"), F.col(f"{c}_2")).alias("relation")) for c in columns[1:]])).alias("f")
+    both = rows.select("subject_id", "priority", F.concat_ws("|", "hadm_id_1", "hadm_id_2").alias("source_set"), fields).select("*", "f.*").where("relation IS NOT NULL")
+    held = grounded_families(spark, d).where("kind = 'same_patient_two_admissions'").select(F.substring_index("item", "/", -1).alias("source_set"), F.lit(True).alias("held"))
+    rank = candidates.stable_rank(F.col("source_set"), F.col("field")).alias("rank")
+    ranked = both.join(held, "source_set", "left").select("source_set", F.col("subject_id").cast("string").alias("group"), "priority", "field", "relation", rank, F.coalesce("held", F.lit(False)).alias("grounded"))
+    chosen = candidates.select_balanced(ranked, candidates.MOST_PAIRS)
+    return spark.createDataFrame([(r["source_set"], r["group"], r["field"], r["relation"]) for r in chosen], "source_set string, patient string, field string, relation string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        record_documents, eligible_admissions, patient_records, text_all_pages, clean_offsets, field_values, title_case, fingerprint_text, answer_lengths, negation_candidates, enriched_chunks,
+        selected_pairs, record_documents, eligible_admissions, patient_records, text_all_pages, clean_offsets, field_values, title_case, fingerprint_text, answer_lengths, negation_candidates, enriched_chunks,
         grounded_families, capped_families,
     )
 }

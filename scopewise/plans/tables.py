@@ -58,10 +58,12 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, dictionary): line items as diagnoses in sequence, parts as the dictionary."""
-    title = F.concat_ws(" ", "p_name", "p_brand", "p_size")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hadm_id"), F.col("l_linenumber").alias("seq_num"), F.col("l_partkey").alias("icd_code"))
-    return rows, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("icd_code"), title.alias("long_title"))
+    """(rows, dictionary): line items as diagnoses in sequence, parts as the dictionary, which lacks one code in eleven in the version that is asked for."""
+    title, part = F.concat_ws(" ", "p_name", "p_brand", "p_size"), F.col("l_partkey")
+    code = F.concat(F.lit(" "), part.cast("string"), F.lit("  "))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hadm_id"), F.col("l_linenumber").alias("seq_num"), code.alias("icd_code"), (part % 2 + 9).cast("int").alias("icd_version"))
+    version = F.when(F.col("p_partkey") % 11 == 0, 8).otherwise(F.col("p_partkey") % 2 + 9)
+    return rows, table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("icd_code"), version.cast("int").alias("icd_version"), title.alias("long_title"))
 
 
 def admission_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def admission_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     items = table(spark, sf_dir, "lineitem")
     rows, dictionary = diagnoses(spark, sf_dir)
-    diagnosed = cohort.diagnoses(rows, dictionary, ["hadm_id"], ["icd_code"], "seq_num", "long_title")
+    diagnosed = cohort.diagnoses(rows, dictionary, ["hadm_id"], ["icd_code", "icd_version"], "seq_num", "long_title")
     icu = items.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("hadm_id"))
     served = items.select(F.col("l_orderkey").alias("hadm_id"), F.col("l_suppkey").alias("service"), "l_shipdate", "l_linenumber")
     tie = F.struct("l_linenumber", "service")

@@ -65,7 +65,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The columns of a schema, by name, from a CSV file with a header and quoted newlines; missing columns are null."""
     fields = T._parse_datatype_string(schema).fields
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    have = set(rows.columns)
+    have, cores = set(rows.columns), spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a file with quoted newlines is read by one task; what follows needn't be
+        rows = rows.repartition(cores)
     return rows.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
 
 

@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scopewise.functions.chunker import chunked
-from scopewise.operators.store import upsert
 
 
 def ingest(documents: DataFrame, store: str, checkpoint: str, keys: tuple[str, ...] = ("patientId", "documentId"), text: str = "content") -> StreamingQuery:
     """Chunks arriving documents and replaces their rows in a Parquet store, batch by batch.
 
-    A batch that runs again replaces the same documents by the same rows, so the store is right after a failure. Of
-    documents that arrive more than once in a batch the last by ``arrived`` counts. Each batch writes a new version
-    of the store and then makes it the current one.
+    A batch writes its own documents only: their chunks, and then their keys, which make the chunks count. What a
+    document has now is what its last batch wrote, so a batch costs what it brings and not what the store holds, and
+    one that runs again writes the same files. Of documents that arrive more than once in a batch the last by
+    ``arrived`` counts; one that has become blank has no chunks.
     """
 
     def replace(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         last = batch.groupBy(*keys).agg(F.max_by(text, "arrived").alias(text))
-        new = chunked(last, keys[0], text)
-        before = current(spark, store, number - 1)
-        (new if before is None else upsert(before, new, list(keys))).write.mode("overwrite").parquet(f"{store}/version={number}")
+        chunked(last, keys[0], text).write.mode("overwrite").parquet(f"{store}/chunks/batch={number}")
+        last.select(*keys).write.mode("overwrite").parquet(f"{store}/documents/batch={number}")
 
     return documents.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark, store: str, most: int | None = None) -> DataFrame | None:
-    """The store's newest version, up to a number; null before the first."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(store)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(where):
+def current(spark: SparkSession, store: str) -> DataFrame | None:
+    """The chunks that documents have now; None before the first batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/documents")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
-    names = [x.getPath().getName() for x in files.listStatus(where)]
-    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS"))]
-    numbers = [n for n in numbers if most is None or n <= most]
-    return spark.read.parquet(f"{store}/version={max(numbers)}") if numbers else None
+    written = spark.read.parquet(f"{store}/documents")
+    keys = [c for c in written.columns if c != "batch"]
+    last = written.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{store}/chunks").join(last, [*keys, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, store: str, target: str) -> None:
+    """Write what documents have now as the first batch of a new store; batches that follow go there."""
+    rows = current(spark, store)
+    rows.write.mode("overwrite").parquet(f"{target}/chunks/batch=-1")
+    spark.read.parquet(f"{store}/documents").drop("batch").distinct().write.mode("overwrite").parquet(f"{target}/documents/batch=-1")
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

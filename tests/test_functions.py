@@ -142,6 +142,23 @@ def test_embedders(spark):
     assert not any(embedders.hash_vectors(["a b"])[0])
 
 
+def test_texts_are_embedded_together():
+    from scopewise.functions import embedders
+
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if any(len(t) > 40 for t in texts):
+            raise embedders.TooLong
+        return [[float(len(t))] for t in texts]
+
+    plain = embedders.Embedder("other", 1, model)
+    assert plain.vectors(["ab", None, "c"] * 20, False) == [[2.0], None, [1.0]] * 20 and calls == [32, 8]
+    calls.clear()
+    assert plain.vectors(["ab", "x" * 60], False) == [[2.0], [30.0]] and calls == [2, 1, 1, 1]
+
+
 def test_merges_may_share_a_joined_text():
     merges = [("a", "bc"), ("b", "c"), ("a", "b"), ("ab", "c")]
     words = {"a": 1, "b": 2, "c": 3, "ab": 4, "bc": 5, "abc": 6}

@@ -86,6 +86,18 @@ def test_ingest_replaces_documents(spark, tmp_path):
     assert sorted((r.documentId, r.content) for r in ingest.current(spark, store).collect()) == [("d", "new"), ("e", "other")]
 
 
+def test_blank_documents_and_compaction(spark, tmp_path):
+    schema = "patientId string, documentId string, content string, arrived int"
+    inbox, store, packed = (str(tmp_path / n) for n in ("in", "store", "packed"))
+    assert ingest.current(spark, store) is None
+    for batch in ([("p", "d", "words here", 1), ("p", "e", "other", 1)], [("p", "d", "  ", 2)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(inbox)
+        ingest.ingest(spark.readStream.schema(schema).parquet(inbox), store, str(tmp_path / "check")).awaitTermination()
+    ingest.compact(spark, store, packed)
+    for folder in (store, packed):
+        assert [(r.documentId, r.content) for r in ingest.current(spark, folder).collect()] == [("e", "other")]
+
+
 def test_event_counts_stream(spark, tmp_path):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 09:00:00', 'a', 2.0D")
     rows.write.parquet(str(tmp_path / "in"))
