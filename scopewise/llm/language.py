@@ -65,8 +65,7 @@ class Space:
         out = np.zeros((int(of.max()) + 1 if len(of) else 0, self.dimensions), np.float32)
         rows, codes, counts = [], [], []
         for row, text in zip(of.tolist(), texts, strict=True):
-            for low in range(0, len(text or ""), CHARACTERS):
-                found, n = trigram_counts(text[max(0, low - 2) : low + CHARACTERS])
+            for found, n in trigram_counts(text or ""):
                 rows.append(np.full(len(found), row))
                 codes.append(found)
                 counts.append(n)
@@ -96,16 +95,19 @@ def _letters(points: np.ndarray) -> np.ndarray:
     return _LETTER[points]
 
 
-def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the distinct trigrams of the text in lower case, and their counts; none if it has no letter."""
-    points = _letters(np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32))
-    blank = points == 0x20
-    points = points[~(blank & np.concatenate([[False], blank[:-1]]))].astype(np.uint64)
-    if len(points) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
-    found, counts = np.unique(codes.view(np.int64), return_counts=True)
-    return found, counts
+def trigram_counts(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the distinct trigrams of the text in lower case, and their counts, for a piece of the text at a time; none if it has no letter."""
+    text, before = f" {text.lower()} ", np.zeros(0, np.uint32)
+    for low in range(0, len(text), CHARACTERS):
+        points = _letters(np.frombuffer(text[low : low + CHARACTERS].encode("utf-32-le", "surrogatepass"), np.uint32))
+        points = np.concatenate([before, points])  # a piece begins with the last two points of the one before
+        blank = points == 0x20
+        points = points[~(blank & np.concatenate([[False], blank[:-1]]))]
+        before = points[-2:]
+        if len(points) > 2:
+            wide = points.astype(np.uint64)
+            codes = wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:]
+            yield np.unique(codes.view(np.int64), return_counts=True)
 
 
 def held_out(id_col: Column) -> Column:

@@ -433,6 +433,15 @@ def test_bundles_are_sums_of_bound_letters():
     assert not space.bundles([None, "", "12 !"]).any()
 
 
+def test_long_texts_have_the_same_trigrams_in_pieces(monkeypatch):
+    texts = ["Ab 1b", "a  b--c, d", "", "word " * 7, " ÄÖ ", "x", "1 2"]
+    counts = lambda t: sum((Counter(dict(zip(*(v.tolist() for v in part), strict=True))) for part in language.trigram_counts(t)), Counter())
+    whole = [counts(t) for t in texts]
+    for size in (1, 2, 3, 5, 8):
+        monkeypatch.setattr(language, "CHARACTERS", size)
+        assert [counts(t) for t in texts] == whole
+
+
 def test_language_odd_tables(spark, odd, empty):
     got = {(r.doc_id, r.lang_pred): r.score for r in language.identify(odd).collect()}
     assert got[3, "und"] == got[11, "und"] == got[10, "und"] == 0 and (12, "und") not in got
