@@ -9,7 +9,7 @@ from scopewise.functions import extract
 from scopewise.functions import text as T
 from scopewise.functions.chunker import chunked
 from scopewise.functions.sections import sections
-from scopewise.operators import context, metrics, pages, retrieval, store
+from scopewise.operators import context, pages, retrieval, store
 from scopewise.plans.tables import chunks, documents, questions, table
 from scopewise.sources import readers, sinks
 from scopewise.streaming import ingest
@@ -22,21 +22,6 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_idx", "content")
 
 
-def _chunk_id():
-    """Ids that are distinct and in the order of documents and chunks, however many chunks a document has."""
-    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "chunk_idx"))
-
-
-def chunk_bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The single-record evaluation end to end: chunks, BM25, bounded contexts, relevance, mean metrics."""
-    rows = chunked(documents(spark, d, "doc_id", "source", "text").withColumnRenamed("source", "scope"), "doc_id", "text")
-    rows = rows.withColumn("chunk_id", _chunk_id())
-    asked = questions(spark, d)
-    found = context.bounded(retrieval.bm25(asked, rows, 10).join(rows.select("chunk_id", "content"), "chunk_id"), 2000)
-    judged = metrics.relevance(found.select("query_id", "rank", "content"), asked.select("query_id", F.col("text").alias("gold")), ["query_id"])
-    return metrics.summary(metrics.item_metrics(judged, ["query_id"]))
-
-
 def truncate_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 400).alias("content"))
 
@@ -188,7 +173,7 @@ def html_headers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, chunk_bm25_metrics, truncate_context, clean_text, text_predicates, file_names, section_split, sentence_extract, context_header, prompt_assembly, chat_prompts,
+        chunk_documents, truncate_context, clean_text, text_predicates, file_names, section_split, sentence_extract, context_header, prompt_assembly, chat_prompts,
         context_packing, chat_history_last4, history_dedupe, page_offsets, page_interval_lookup, gold_chunk_choice, text_page_lookup, document_upsert, dedupe_ingest, event_window_counts,
         token_stream, tokens_per_second, preset_parse, note_inventory, html_headers,
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopewise.operators import context, evaluation, store
+from scopewise.functions.chunker import chunked
+from scopewise.operators import context, evaluation, metrics, retrieval, store
 from scopewise.plans import retrieval as R
-from scopewise.plans.documents import _FACTUAL_HEAD, _FACTUAL_MID, _FACTUAL_TAIL, _lit
-from scopewise.plans.tables import chunks, questions, table, with_vectors
+from scopewise.plans.documents import _CHUNKS, _CLEAN, _FACTUAL_HEAD, _FACTUAL_MID, _FACTUAL_TAIL, _lit
+from scopewise.plans.tables import chunks, documents, questions, table, with_vectors
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +22,21 @@ def evaluation_by_method(spark: SparkSession, d: str) -> DataFrame:
     return R._rounded(evaluation.single(items, _chunks(spark, d)))
 
 
+def chunk_id() -> Column:
+    """Ids that are distinct and in the order of documents and chunks, however many chunks a document has."""
+    return F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "chunk_idx"))
+
+
+def chunk_bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The single-source evaluation end to end: documents in chunks, BM25, bounded contexts, relevance, mean metrics."""
+    rows = chunked(documents(spark, d, "doc_id", "source", "text").withColumnRenamed("source", "scope"), "doc_id", "text")
+    rows = rows.withColumn("chunk_id", chunk_id())
+    asked = questions(spark, d)
+    found = context.bounded(retrieval.bm25(asked, rows, 10).join(rows.select("chunk_id", "content"), "chunk_id"), 2000)
+    judged = metrics.relevance(found.select("query_id", "rank", "content"), asked.select("query_id", F.col("text").alias("gold")), ["query_id"])
+    return R._rounded(metrics.summary(metrics.item_metrics(judged, ["query_id"])))
+
+
 def _multi_items(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of questions as items: the first one's text is asked of both, each source has its own gold text and document."""
     asked = questions(spark, d)
@@ -62,7 +78,7 @@ def ingest_modes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (evaluation_by_method, multi_evaluation, multi_evaluation_by_method, prompt_engines, ingest_modes)}
+QUERIES = {f.__name__: f for f in (chunk_bm25_metrics, evaluation_by_method, multi_evaluation, multi_evaluation_by_method, prompt_engines, ingest_modes)}
 
 _ROUNDED = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in R._METRICS)
 
@@ -105,6 +121,13 @@ for _method, (_tables, _scored) in _ranked(_MULTI_BASE).items():
     _MULTI.append(f"(WITH {_multi(_tables, _scored)} SELECT '{_method}' AS method, kind, count(*) AS num_items, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _COLUMNS)} FROM multi GROUP BY ROLLUP (kind))")
 
 
+#: Chunks as a table of documents, and the retrieval tables over them.
+_PIECES = """,
+    pieces AS (SELECT doc_id * 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY s) AS chunk_id, source AS scope, content AS text FROM cut JOIN documents USING (doc_id) WHERE content <> ''),"""
+_OVER_PIECES = R.sql_bm25(R.sql_base()).replace("SELECT doc_id AS chunk_id, source AS scope,", "SELECT chunk_id, scope,", 1).replace("FROM documents)", "FROM pieces)", 1)
+_CHUNKED = _CHUNKS.format(source=_CLEAN) + _PIECES + _OVER_PIECES
+
+
 def _engine(method: str, tables: str, scored: str) -> str:
     return f"""(WITH {tables},
         ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score, 9) AS FLOAT) DESC, chunk_id) AS rank FROM {scored}) WHERE rank <= 3),
@@ -116,6 +139,7 @@ def _engine(method: str, tables: str, scored: str) -> str:
 
 
 ORACLE_SQL = {
+    "chunk_bm25_metrics": f"WITH {R.sql_judged(_CHUNKED, 'bm25')} SELECT count(*) AS num_items, {_ROUNDED} FROM items",
     "evaluation_by_method": " UNION ALL ".join(_SINGLE),
     "multi_evaluation": f"WITH {_multi(R.sql_bm25(_MULTI_BASE), 'bm25')} SELECT item, kind, num_sources, {', '.join(c if c in _WHOLE else f'round({c}, 6) AS {c}' for c in _COLUMNS)} FROM multi",
     "multi_evaluation_by_method": " UNION ALL ".join(_MULTI),

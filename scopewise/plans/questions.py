@@ -10,6 +10,7 @@ from scopewise.functions.chunker import chunked
 from scopewise.functions.sections import sections
 from scopewise.operators import candidates, pages, questions
 from scopewise.plans.cohort import _DIAGNOSED, _windows
+from scopewise.plans.documents import _BLANKS, _CHUNKS, _ONE, _STRIP
 from scopewise.plans.tables import admission_attributes, table
 from scopewise.sources import sinks
 
@@ -137,6 +138,16 @@ def _asked(key: str) -> str:
 
 
 _HEADS = _HEADS.format(union=" UNION ALL ".join(map(_asked, questions.HEADER)))
+_HEAD_TEXT = """
+    doc AS (SELECT 'Patient_' || patient_id || '_Admission_' || admission_id || '.pdf' AS doc_id, patient_id, admission_id,
+               'Patient ID: ' || patient_id || '  Sex: ' || sex || '  Age at Admission: ' || age || chr(10)
+               || 'Admission ID: ' || admission_id || '  Type: ' || admission_type || '  Hospital Service: ' || coalesce(service, 'Not recorded') || chr(10)
+               || 'Admission Date: ' || day || '  Discharge Date: ' || day || '  Length of Stay: ' || stay || ' days' || chr(10)
+               || 'Principal Diagnosis: ' || coalesce(diagnosis, 'Not recorded') || chr(10) || 'Discharge Disposition: ' || disposition || chr(10)
+               || 'ICU Stay: ' || icu || '  In-Hospital Mortality: No  Number of Diagnoses: ' || num_diagnoses || chr(10) || 'Clinical Notes Included: Discharge summary (1)' AS text
+            FROM asked)"""
+_HEAD_CLEAN = f"SELECT doc_id, {_STRIP.format(_BLANKS.format('text'))} AS c FROM doc"
+_HEAD_CHUNKS = _CHUNKS.format(source=_HEAD_CLEAN).replace("RECURSIVE", f"RECURSIVE {_HEADS}, {_HEAD_TEXT},", 1)
 _PAIR = _windows(2, 4, "hadm_id_1, hadm_id_2, num_diagnoses_1 AS a, num_diagnoses_2 AS b")
 
 
@@ -148,14 +159,16 @@ def _prompt(system: str, notes: str) -> str:
 
 _NOTES = "'CLINICAL NOTES:' || chr(10) || '- ' || {0} || chr(10) || chr(10)"
 ORACLE_SQL = {
-    "admission_documents": f"""WITH {_HEADS}
-        SELECT patient_id, admission_id,
-               'Patient ID: ' || patient_id || '  Sex: ' || sex || '  Age at Admission: ' || age || chr(10)
-               || 'Admission ID: ' || admission_id || '  Type: ' || admission_type || '  Hospital Service: ' || coalesce(service, 'Not recorded') || chr(10)
-               || 'Admission Date: ' || day || '  Discharge Date: ' || day || '  Length of Stay: ' || stay || ' days' || chr(10)
-               || 'Principal Diagnosis: ' || coalesce(diagnosis, 'Not recorded') || chr(10) || 'Discharge Disposition: ' || disposition || chr(10)
-               || 'ICU Stay: ' || icu || '  In-Hospital Mortality: No  Number of Diagnoses: ' || num_diagnoses || chr(10) || 'Clinical Notes Included: Discharge summary (1)' AS text
-        FROM asked""",
+    "admission_documents": f"WITH {_HEADS}, {_HEAD_TEXT} SELECT patient_id, admission_id, text FROM doc",
+    "question_items": rf"""WITH {_HEAD_CHUNKS},
+        ch AS (SELECT doc_id, content, s + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS cs FROM cut WHERE content <> ''),
+        h AS (SELECT heads.*, doc_id, c FROM heads JOIN doc USING (patient_id, admission_id) JOIN cleaned USING (doc_id)),
+        fit AS (SELECT h.doc_id, h.evidence, content, least(cs + length(content), length(c)) - cs AS shared, cs
+                FROM (SELECT DISTINCT doc_id, evidence, c FROM h) h JOIN ch USING (doc_id)
+                WHERE least(cs + length(content), length(c)) > cs AND contains(lower({_ONE.format('content')}), lower({_ONE.format('evidence')})) AND contains(lower({_ONE.format('c')}), lower({_ONE.format('substr(evidence, 1, 300)')}))),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, evidence ORDER BY shared DESC, length(content), cs) AS n FROM fit)
+        SELECT 'P' || patient_id || '_H' || admission_id || '_Q' || row_number() OVER (PARTITION BY h.doc_id ORDER BY kind, subkey) AS id, h.doc_id AS doc, kind, subkey, 1 AS page, CAST(length(content) AS INTEGER) AS gold_length
+        FROM h JOIN best ON best.doc_id = h.doc_id AND best.evidence = h.evidence AND n = 1""",
     "header_questions": f"WITH {_HEADS} SELECT * FROM heads",
     "question_stats": f"""WITH {_HEADS},
         s AS (SELECT unnest(['kind', 'polarity', 'page', 'section', 'subkey', 'short']) AS stat,

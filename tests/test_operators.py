@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scopewise.operators import assignment, candidates, cohort, context, metrics, pages, questions, records, retrieval, store
-from scopewise.plans import documents
+from scopewise.plans import evaluation
 from scopewise.sources import readers
 
 
@@ -25,7 +25,7 @@ def test_zero_scores_fill_the_list(spark):
 
 def test_chunks_of_long_documents_keep_their_own_ids(spark):
     rows = spark.createDataFrame([(1, 10_000, "cardiac catheter"), (2, 0, "nothing here"), (2, 1, "nor here")], "doc_id long, chunk_idx int, content string")
-    chunks = rows.select(documents._chunk_id().alias("chunk_id"), F.lit("p").alias("scope"), "content")
+    chunks = rows.select(evaluation.chunk_id().alias("chunk_id"), F.lit("p").alias("scope"), "content")
     queries = spark.createDataFrame([(1, "p", "catheter")], "query_id long, scope string, text string")
     found = retrieval.bm25(queries, chunks, 3).join(chunks, "chunk_id").orderBy("rank").collect()
     assert [(*r.chunk_id, r.content) for r in found] == [(1, 10_000, "cardiac catheter"), (2, 0, "nothing here"), (2, 1, "nor here")]
