@@ -1,6 +1,8 @@
 """Question types for admissions: balanced assignment, yes/no polarity, and the choice of concrete candidates.
 
-These are folds with running counts over one narrow row per admission; candidates are made and filtered in Spark.
+assigned() balances types for any number of admissions: which types an admission could have is one of few sets, so the
+balance is found over the sets' sizes and dealt back by place. The others are folds with running counts over one
+narrow row per admission; candidates are made and filtered in Spark.
 """
 
 from __future__ import annotations
@@ -10,10 +12,91 @@ from collections import Counter, defaultdict, deque
 from collections.abc import Hashable
 from itertools import product
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Hex digits of the hash that name a range: 4096 ranges for each set of types.
+RANGE_DIGITS = 3
 #: Fixed value: the share of items whose answers are yes or no, negation checks aside, from which on such items cost.
 YES_NO_SHARE = 0.12
 
 
+def balanced_shares(sizes: dict[tuple[str, ...], int], each: int = 2) -> dict[tuple[str, ...], dict[str, int]]:
+    """For sets of types and how many admissions have them: how many of a set's admissions use each of its types.
+
+    Every admission uses ``each`` distinct types, or all it has; uses per type come as even as can be. From an even
+    split within each set, whole amounts move along chains of types from a high one to one at least two lower.
+    """
+    out, load = {}, Counter()
+    for types, n in sizes.items():
+        total, left = min(each, len(types)) * n, len(types)
+        out[types] = {}
+        for t in types:
+            out[types][t] = -(-total // left)
+            total, left = total - out[types][t], left - 1
+        load.update(out[types])
+    while True:
+        move = _cheaper(load, out, sizes)
+        if move is None:
+            return out
+        amount, steps = move
+        for types, a, b in steps:
+            out[types][a] -= amount
+            out[types][b] += amount
+            load.subtract({a: amount})
+            load.update({b: amount})
+
+
+def _cheaper(load: Counter, uses: dict, sizes: dict) -> tuple[int, list[tuple]] | None:
+    """How much can move from the highest type that has a chain to one at least two lower, and the chain's steps (set, from, to)."""
+    for start in sorted(load, key=lambda t: (-load[t], t)):
+        came, queue = {start: None}, deque([start])
+        while queue:
+            at = queue.popleft()
+            if load[at] <= load[start] - 2:
+                steps, amount, end = [], (load[start] - load[at]) // 2, at
+                while came[end] is not None:
+                    types, a = came[end]
+                    steps.append((types, a, end))
+                    amount, end = min(amount, uses[types][a], sizes[types] - uses[types][end]), a
+                return amount, steps
+            for types, held in uses.items():
+                if held.get(at, 0):
+                    for b in types:
+                        if b not in came and held[b] < sizes[types]:
+                            came[b] = types, at
+                            queue.append(b)
+    return None
+
+
+def assigned(rows: DataFrame, key: str, types: str, each: int = 2) -> DataFrame:
+    """(key, types): ``each`` of the types that a row's array holds, with uses per type as even as can be.
+
+    What reaches the driver is one row per set of types, and goes back as a table of that size. Admissions of a set
+    are placed by a hash of their key, range by range, so no window spans a set. Of a set's n places a type takes as
+    many in a row as it has uses, beginning where the type before it ended and going round, so no place has a type
+    twice. Keys are distinct; null and empty arrays give an empty one.
+    """
+    held = rows.select(key, F.array_sort(F.array_distinct(F.coalesce(types, F.array().cast("array<string>")))).alias("held"), F.md5(F.col(key).cast("string").cast("binary")).alias("hash"))
+    held = held.withColumn("range", F.substring("hash", 1, RANGE_DIGITS))
+    ranges = held.groupBy("held", "range").agg(F.count("*").alias("n"))
+    sizes = {tuple(r.held): r.n for r in ranges.groupBy("held").agg(F.sum("n").alias("n")).collect()}
+    table = []
+    for kinds, uses in balanced_shares(sizes, each).items():
+        start, spans = 0, []
+        for t in kinds:
+            spans.append((t, start, uses[t]))
+            start = (start + uses[t]) % sizes[kinds]
+        table.append((list(kinds), sizes[kinds], spans))
+    table = rows.sparkSession.createDataFrame(table, "held array<string>, size long, spans array<struct<t: string, start: long, uses: long>>")
+    before = Window.partitionBy("held").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("held", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("held", "range").orderBy("hash", key)) - 1
+    placed = held.withColumn("within", within).join(offsets, ["held", "range"]).join(table, "held")
+    own = F.filter("spans", lambda s: F.pmod(F.col("offset") + F.col("within") - s["start"], F.col("size")) < s["uses"])
+    return placed.select(key, F.transform(own, lambda s: s["t"]).alias("types"))
+
+
 def balanced_types(available: dict[Hashable, set[str]], each: int = 2) -> dict[Hashable, set[str]]:
     """``each`` distinct types for every admission, from those available, with counts per type as even as can be.
 

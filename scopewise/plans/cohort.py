@@ -163,8 +163,7 @@ def missing_admissions(spark: SparkSession, d: str) -> DataFrame:
 def balanced_type_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Two return flags or statuses for each order, with even use of each."""
     rows = table(spark, d, "lineitem").select("l_orderkey", F.explode(F.array("l_returnflag", "l_linestatus")).alias("t")).groupBy("l_orderkey").agg(F.collect_set("t").alias("types"))
-    chosen = assignment.balanced_types({r.l_orderkey: set(r.types) for r in rows.toLocalIterator()})
-    return spark.createDataFrame([(k, ",".join(sorted(v))) for k, v in chosen.items()], "l_orderkey bigint, types string")
+    return assignment.assigned(rows, "l_orderkey", "types").select("l_orderkey", F.array_join("types", ",").alias("types"))
 
 
 QUERIES = {

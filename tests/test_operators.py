@@ -214,3 +214,26 @@ def test_records_leave_out_what_has_no_notes(spark, tmp_path):
     stay, other = got[0]["admissions"]
     assert (stay["hadm_id"], other["hadm_id"]) == (11, 12) and [n["note_id"] for n in stay["notes"]] == ["a", "b"] and stay["notes"][1]["text"] == "x"
     assert stay["note_categories"] == {"Discharge summary": 1, "Radiology": 1} and stay["notes"][0]["details"] == {"author": "Q"}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.sampled_from("abcde"), max_size=5), max_size=40), st.integers(1, 3))
+def test_shares_are_as_even_as_the_fold(sets, each):
+    sizes = Counter(tuple(sorted(s)) for s in sets)
+    got = assignment.balanced_shares(dict(sizes), each)
+    for types, uses in got.items():
+        assert sum(uses.values()) == min(each, len(types)) * sizes[types] and all(0 <= n <= sizes[types] for n in uses.values())
+    fold = assignment.balanced_types(dict(enumerate(sets)), each)
+    cost = lambda load: sum(n * n for n in load.values())
+    assert cost(sum((Counter(u) for u in got.values()), Counter())) == cost(Counter(t for types in fold.values() for t in types))
+
+
+def test_types_are_dealt_back(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.sample("abcd", rng.randint(0, 4))) for i in range(500)] + [(500, None)]
+    got = {r.key: r.types for r in assignment.assigned(spark.createDataFrame(rows, "key long, types array<string>"), "key", "types").collect()}
+    assert got.keys() == {i for i, _ in rows}
+    for i, types in rows:
+        assert len(set(got[i])) == len(got[i]) == min(2, len(types or [])) and set(got[i]) <= set(types or [])
+    load, fold = Counter(t for v in got.values() for t in v), assignment.balanced_types({i: set(v or ()) for i, v in rows})
+    assert sum(n * n for n in load.values()) == sum(n * n for n in Counter(t for v in fold.values() for t in v).values())
