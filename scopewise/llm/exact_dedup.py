@@ -95,12 +95,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat id and text, one."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept"), F.col("text_sha256").alias("sha"))
+    """The rows of docs that stay, with all their columns; of rows that repeat id and text, one.
+
+    Ids go as text, so that null ones can be joined and the join's partitioning serves the choice among repeats too.
+    """
+    key = {"none": F.col(id_col).isNull(), "key": F.coalesce(F.col(id_col).cast("string"), F.lit(""))}
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(*[c.alias(n) for n, c in key.items()], F.col("text_sha256").alias("own")).distinct()
     text = F.col(text_col)
-    rows = packed(docs, id=F.col(id_col), points=F.coalesce(F.length(text), F.lit(0)), own=F.sha2(without_white_space(text).cast("binary"), 256))
-    found = rows.join(kept.distinct(), F.col("id").eqNullSafe(F.col("kept")) & (F.col("own") == F.col("sha")), "left_semi")
-    longest = Window.partitionBy("id", "own").orderBy(F.desc("points"))
+    own = F.coalesce(F.sha2(without_white_space(text).cast("binary"), 256), F.lit(""))  # never null, so no filter has it made twice
+    rows = packed(docs, **key, points=F.coalesce(F.length(text), F.lit(0)), own=own)
+    found = rows.join(kept, ["none", "key", "own"], "left_semi")
+    longest = Window.partitionBy("none", "key", "own").orderBy(F.desc("points"))
     return unpacked(found.withColumn("n", F.row_number().over(longest)).where("n = 1"), docs)
 
 
