@@ -14,6 +14,7 @@ from scopewise.llm.line_dedup import line_dedup
 from scopewise.llm.mixing import mix
 from scopewise.llm.quality import resample
 from scopewise.llm.simhash import near_groups
+from scopewise.llm.spelling import spelling_variants
 from scopewise.llm.substring_dedup import repeated_spans
 from scopewise.llm.url_rules import judge_urls
 
@@ -63,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(_table(spark, sf_dir, "embeddings").withColumns({"label": label, "embedding": scaled(F.col("embedding"))}))
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
@@ -155,6 +161,35 @@ ORACLE_SQL = {
         SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
                sha256(coalesce(kept.text, '')) AS text_sha256
         FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op12_spelling": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, one: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+            GROUP BY ALL),
+        checked AS (
+            SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)),
+                                           lambda crc, b: xor(crc >> 8, t[xor(crc & 255, b) + 1]), 4294967295), 4294967295) AS h
+            FROM runs, crc_table),
+        w AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM checked)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        cuts AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS (
+            SELECT c.word, w.word AS other FROM cuts c JOIN w ON w.word = c.rest UNION SELECT w.word, c.word FROM cuts c JOIN w ON w.word = c.rest
+            UNION SELECT a.word, b.word FROM cuts a JOIN cuts b USING (i, rest) WHERE a.word <> b.word),
+        best AS (
+            SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS r
+            FROM near JOIN w ON w.word = other),
+        formed AS (SELECT w.word, w.n, CASE WHEN other_n >= 5 * w.n THEN other END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+                   FROM w LEFT JOIN best ON best.word = w.word AND r = 1),
+        followed AS (
+            SELECT word, word AS last_word FROM formed UNION ALL
+            SELECT followed.word, formed.form FROM followed JOIN formed ON formed.word = followed.last_word WHERE formed.form IS NOT NULL)
+        SELECT formed.word, formed.form, last_word AS root, formed.n, CAST(formed.n_near AS BIGINT) AS n_near, formed.form_n
+        FROM formed JOIN followed ON followed.word = formed.word JOIN formed ends ON ends.word = last_word AND ends.form IS NULL""",
     "op13_hard_negatives": """
         WITH sound AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
