@@ -47,8 +47,13 @@ def sound(vector: Column) -> Column:
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of every component, as whole doubles."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("double"))
+    """floor(factor * x) of every component, as whole doubles; what is not finite stays (floor gives a long)."""
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double") * factor
+        return F.when(F.abs(x) < 2.0**62, F.floor(x).cast("double")).otherwise(x)
+
+    return F.transform(vector, whole)
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -107,7 +112,7 @@ def _searched(k: int, same: bool):
 def _best(rows: DataFrame, windows: DataFrame, anchors: int, counts: dict[int, int], k: int, same: bool) -> DataFrame:
     """The k best of each window(anchor, id, label, vector, norm2, positive_id, positive_score, lower, upper) among rows(id, label, vector, norm2, bucket)."""
     blocks = max(1, math.ceil(anchors / BLOCK_ROWS))
-    pieces = {b: max(math.ceil(n / PIECE_ROWS), min(LEAST_PIECES, math.ceil(n / RUN))) for b, n in counts.items()}
+    pieces = {b: max(1, math.ceil(n / PIECE_ROWS), min(LEAST_PIECES, math.ceil(n / RUN))) for b, n in counts.items()}
     tasks = min(blocks * sum(pieces.values()), MOST_TASKS)
     place = F.element_at(F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair]), F.col("bucket"))
     key, dim = ["dim", "bucket", "piece", "block"], F.size("vector").alias("dim")

@@ -9,6 +9,7 @@ from scopewise.llm.bpe import token_digests
 from scopewise.llm.exact_dedup import exact_groups
 from scopewise.llm.graph_search import nearest
 from scopewise.llm.hard_negatives import hard_negatives, scaled
+from scopewise.llm.html_extraction import extract_text
 from scopewise.llm.language import identify
 from scopewise.llm.line_dedup import line_dedup
 from scopewise.llm.mixing import mix
@@ -64,6 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_html": op11_html,
     "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
