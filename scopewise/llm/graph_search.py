@@ -5,7 +5,10 @@ searched for greedily, and what the search met is pruned to its out-edges: the n
 candidates that are closer to it, by a factor, than to the vector, so edges stay few and diverse. Edges are
 returned and pruned where they overflow. A query's beam search runs in every shard and the best of all shards
 win. The largest inner product is the nearest neighbour once vectors are brought to one length by one more
-coordinate (0 for queries).
+coordinate (0 for queries). That coordinate must stay small beside the others, or all points look alike: the vectors of
+a shard are sorted into classes of length, SPREAD apart at most, and each class has a graph of its own, scaled by its
+longest vector. A query takes the classes longest first and leaves out those in which, by its own length times the
+longest, nothing can beat what it has.
 
 Equal vectors are one node, with the smallest ids they can need, so a vector that a third of the rows repeat
 neither skews a shard nor spoils its graph. A shard holds SHARD_ROWS vectors at most by expectation, at every size
@@ -26,21 +29,40 @@ from scopewise.llm.common import stage
 
 DEGREE, BEAM, SLACK = 32, 192, 1.2
 BUILD_BEAM = 40
+#: Graphs of so many nodes at most are entered at every node; the beam must be as wide at least.
+SMALL = 128
 SHARDS = 8
 SHARD_ROWS = 100_000
 #: Queries, on average, that search a shard in one task.
 QUERY_ROWS = 50_000
+#: Lengths in a class differ by this factor at most.
+SPREAD = 1.1
 NEAREST = 20
 EVERY = 20
 #: Points and queries searched at once.
 AT_ONCE = 512
 
 
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors of any finite size: squares are taken of components beside the largest."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    safe = np.where(most > 0, most, 1)
+    return most * np.sqrt(((vectors / safe[:, None]) ** 2).sum(axis=1))
+
+
+def classes_of(vectors: np.ndarray) -> np.ndarray:
+    """The class of length of each vector, the longest in the highest; length 1 is in the middle of one."""
+    return np.rint(np.log(np.maximum(lengths_of(vectors), 5e-324)) / math.log(SPREAD)).astype(np.int64)
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """The vectors brought to one length by one more coordinate."""
-    norms = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
-    lift = np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))
-    return np.concatenate([vectors, lift[:, None]], axis=1).astype(np.float32)
+    """The vectors over the longest one's length, brought to length 1 by one more coordinate."""
+    lengths = lengths_of(vectors)
+    top = lengths.max(initial=0) or 1.0
+    # twice, as the inverse of a tiny length is no number
+    scaled = vectors / top if top > 1e-300 else vectors * 1e300 / (top * 1e300)
+    lift = np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))
+    return np.concatenate([scaled, lift[:, None]], axis=1).astype(np.float32)
 
 
 class Graph:
@@ -57,7 +79,8 @@ class Graph:
             some += some >= np.arange(n)[:, None]
             self.edges[:, : some.shape[1]] = some
         middle = int(np.argmin(((self.points - self.points.mean(axis=0)) ** 2).sum(axis=1))) if n else 0
-        self.entries = np.unique(np.append(rng.integers(0, max(n, 1), 7), middle))
+        # a search of a small graph starts everywhere
+        self.entries = np.unique(np.append(rng.integers(0, max(n, 1), 7), middle)) if n > SMALL else np.arange(n)
         order = rng.permutation(n)
         for low in range(0, n, AT_ONCE // 2):
             self._insert(order[low : low + AT_ONCE // 2], beam)
@@ -143,42 +166,69 @@ class Graph:
         self.edges[nodes[fits], : kept.shape[1]] = kept
 
 
-GRAPH = "dim int, shard int, node long, embedding array<double>, ids array<long>, edges array<long>, entry boolean"
+GRAPH = "dim int, shard int, class long, node long, embedding array<double>, ids array<long>, edges array<long>, entry boolean"
 
 
 def _build(shard: pd.DataFrame) -> pd.DataFrame:
-    """Rows (dim, shard, vec_id, embedding) of one shard -> a row for each node of its graph."""
+    """Rows (dim, shard, vec_id, embedding) of one shard -> a row for each node of its graphs, one graph a class."""
     vectors, node = np.unique(np.stack(shard.embedding.to_numpy()), axis=0, return_inverse=True)
     ids = [np.unique(x) for x in np.split(shard.vec_id.to_numpy()[np.argsort(node, kind="stable")], np.cumsum(np.bincount(node))[:-1])]
-    graph = Graph(vectors.astype(np.float32))
-    entry = np.zeros(len(vectors), bool)
-    entry[graph.entries] = True
-    edges = [row[row >= 0].astype(np.int64) for row in graph.edges]
-    return pd.DataFrame({"dim": shard.dim.iloc[0], "shard": shard.shard.iloc[0], "node": np.arange(len(vectors)), "embedding": list(vectors), "ids": ids, "edges": edges, "entry": entry})
+    # a small shard is one graph, in which all nodes are met
+    kinds, parts = classes_of(vectors) if len(vectors) > SMALL else np.zeros(len(vectors), np.int64), []
+    for kind in np.unique(kinds):
+        of = np.flatnonzero(kinds == kind)
+        graph = Graph(vectors[of])
+        entry = np.zeros(len(of), bool)
+        entry[graph.entries] = True
+        edges = [row[row >= 0].astype(np.int64) for row in graph.edges]
+        parts.append(pd.DataFrame({"dim": shard.dim.iloc[0], "shard": shard.shard.iloc[0], "class": kind, "node": np.arange(len(of)), "embedding": list(vectors[of]), "ids": [ids[k] for k in of], "edges": edges, "entry": entry}))
+    return pd.concat(parts)
+
+
+def _loaded(nodes: pd.DataFrame) -> tuple[np.ndarray, list, Graph]:
+    """(vectors, ids, graph) from the rows of one graph."""
+    nodes = nodes.sort_values("node")
+    vectors, graph = np.stack(nodes.embedding.to_numpy()), Graph.__new__(Graph)
+    graph.points, graph.entries = lifted(vectors), np.flatnonzero(nodes.entry.to_numpy(bool))
+    graph.edges = np.full((len(nodes), max(map(len, nodes.edges), default=0) or 1), -1, np.int32)
+    for row, edges in zip(graph.edges, nodes.edges, strict=True):
+        row[: len(edges)] = edges
+    return vectors, nodes.ids.tolist(), graph
 
 
 def _search(nearest: int, beam: int):
-    """Rows of one shard's graph (node is set) and of a block of queries (ids: the query's) -> what the beam search finds."""
+    """Rows of one shard's graphs (node is set) and of a block of queries (ids: the query's) -> what the beam search finds."""
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, asked = rows[rows.node.notna()].sort_values("node"), rows[rows.node.isna()]
+        nodes, asked = rows[rows.node.notna()], rows[rows.node.isna()]
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(nodes) and len(asked):
-            vectors, ids, graph = np.stack(nodes.embedding.to_numpy()), nodes.ids.tolist(), Graph.__new__(Graph)
-            graph.points, graph.entries = lifted(vectors.astype(np.float32)), np.flatnonzero(nodes.entry.to_numpy(bool))
-            graph.edges = np.full((len(nodes), max(map(len, nodes.edges), default=0) or 1), -1, np.int32)
-            for row, edges in zip(graph.edges, nodes.edges, strict=True):
-                row[: len(edges)] = edges
+            graphs = [_loaded(nodes[nodes["class"] == kind]) for kind in sorted(nodes["class"].unique(), reverse=True)]
             queries, points = np.array([x[0] for x in asked.ids], np.int64), np.stack(asked.embedding.to_numpy())
+            lengths = lengths_of(points)
             for low in range(0, len(queries), AT_ONCE):
-                block = points[low : low + AT_ONCE]
-                near = graph.search(np.pad(block.astype(np.float32), ((0, 0), (0, 1))), beam)[0]
-                for query, point, met in zip(queries[low : low + AT_ONCE], block, near, strict=True):
-                    met = met[met >= 0]
-                    vec, score = np.concatenate([ids[n] for n in met]), np.repeat(vectors[met] @ point, [len(ids[n]) for n in met])
-                    vec, score = vec[vec != query], score[vec != query]
-                    best = np.lexsort((vec, -score))[:nearest]
-                    parts.append((np.full(len(best), query), vec[best], score[best]))
+                block, query = points[low : low + AT_ONCE], queries[low : low + AT_ONCE]
+                best = [(np.zeros(0, np.int64), np.zeros(0))] * len(block)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    for vectors, ids, graph in graphs:
+                        bound = lengths[low : low + AT_ONCE] * lengths_of(vectors).max() * (1 + 1e-9)
+                        alive = np.array([len(b[0]) < nearest or not bound[k] < b[1][-1] for k, b in enumerate(best)], bool)
+                        part = np.flatnonzero(alive)
+                        if not len(part):
+                            continue
+                        directed = block[part] / np.abs(block[part]).max(axis=1)[:, None]
+                        directed /= np.sqrt((directed * directed).sum(axis=1))[:, None]
+                        near = graph.search(np.pad(directed.astype(np.float32), ((0, 0), (0, 1))), beam)[0]
+                        for k, met in zip(part, near, strict=True):
+                            met = met[met >= 0]
+                            if len(met) <= nearest < len(vectors):
+                                met = np.arange(len(vectors))  # a beam that runs dry in a graph of several parts
+                            score = np.repeat(vectors[met] @ block[k], [len(ids[n]) for n in met])
+                            vec = np.concatenate([ids[n] for n in met])
+                            vec, score = np.append(best[k][0], vec[vec != query[k]]), np.append(best[k][1], score[vec != query[k]])
+                            order = np.lexsort((vec, -score))[:nearest]
+                            best[k] = vec[order], score[order]
+                parts += [(np.full(len(vec), q), vec, score) for q, (vec, score) in zip(query, best, strict=True)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return found
@@ -189,7 +239,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Nearness is the largest inner product, in double precision on the original vectors; ties go to the smaller id.
     Candidates are all rows but those of the query's own id. Vectors that are null, zero or hold null or non-finite
-    components take no part, nor do rows without an id; vectors are compared with those of their own length only.
+    components take no part, nor do rows without an id; vectors are compared with those of as many components only.
+    Lengths may differ by any factor; products beyond a double are infinite, and then ties.
     Rows that repeat id and vector count once. Other columns are not read.
     """
     sound = F.size("embedding") > 0

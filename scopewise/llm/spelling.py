@@ -141,7 +141,7 @@ def _tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def built() -> pd.DataFrame:
         trie = Trie.of(words, ns)
-        return pd.DataFrame([(shard, trie.labels, trie.first.tobytes(), trie.counts.tobytes())], columns=["shard", "labels", "first", "counts"])
+        return pd.DataFrame([(shard, letters, trie.labels, trie.first.tobytes(), trie.counts.tobytes())], columns=["shard", "letters", "labels", "first", "counts"])
 
     for batch in batches:
         for word, n in zip(batch.word, batch.n, strict=True):
@@ -175,18 +175,30 @@ def _looked_up(load: Callable[[], Iterable[tuple[str, bytes, bytes]]]):
     return looked_up
 
 
+def _loads(shards: list) -> list[list[int]]:
+    """Rows (shard, letters) in order -> the shards of each broadcast: SHARD_LETTERS * SHARDS letters at most, but for a single longer one."""
+    out, held = [], math.inf
+    for shard, letters in shards:
+        if held + letters > SHARD_LETTERS * SHARDS:
+            out.append([])
+            held = 0
+        out[-1].append(shard)
+        held += letters
+    return out
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """words(word, n), staged -> (word, n_near, form_n, form) for words with a neighbour: how many, and the most frequent, ties to the first."""
     spark = words.sparkSession
     total, letters = words.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
     parts = max(1, math.ceil(letters / (SHARD_LETTERS * SHARDS)))
-    schema = "shard int, labels string, first binary, counts binary"
+    schema = "shard long, letters long, labels string, first binary, counts binary"
     sharded = words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInPandas(_tries, schema)
-    tries = stage(sharded.withColumn("load", F.spark_partition_id() * 1_000_000 + F.floor(F.col("shard") / SHARDS).cast("int")), "tries")
+    tries = stage(sharded.withColumn("shard", F.spark_partition_id() * F.lit(2**32) + F.col("shard")), "tries")
     asked = words.select("word").repartition(max(spark.sparkContext.defaultParallelism, math.ceil(total / LOOKED_UP)))
     found = None
-    for (load,) in tries.select("load").distinct().sort("load").collect():
-        sent = spark.sparkContext.broadcast([(r.labels, bytes(r.first), bytes(r.counts)) for r in tries.where(F.col("load") == load).select("labels", "first", "counts").collect()])
+    for shards in _loads(tries.select("shard", "letters").sort("shard").collect()):  # two numbers for each shard
+        sent = spark.sparkContext.broadcast([(r.labels, bytes(r.first), bytes(r.counts)) for r in tries.where(F.col("shard").isin(shards)).select("labels", "first", "counts").collect()])
         part = stage(asked.mapInPandas(_looked_up(lambda sent=sent: sent.value), "word string, n_near long, minus_n long, form string"), "near-words")
         sent.unpersist()
         found = part if found is None else found.unionByName(part)

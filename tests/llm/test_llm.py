@@ -374,6 +374,40 @@ def test_urls_of_many_tokens(spark):
     assert got == {i: "block" if i < 60 else "allow" for i, _ in rows}
 
 
+def judged_twice(spark, rows, labels, times):
+    pages, known = spark.createDataFrame(rows * times, "page_id long, url string"), spark.createDataFrame(labels * times, "doc_id long, quality int, toxic int")
+    return {(r.page_id, r.host + r.path): r.verdict for r in url_rules.judge_urls(pages, known).collect()}
+
+
+def test_repeated_rows_teach_once(spark):
+    """100 pages bad by host, 100 by path, 800 good: given twice or thrice, verdicts are those of once."""
+    url = lambda i: f"http://bad.test/p{i}" if i < 100 else f"http://h{'abcdefghij'[i % 10]}.test/{'spam' if i < 200 else 'news'}/{i}"
+    rows, labels = [(i, url(i)) for i in range(1000)], [(i, int(i >= 200), 0) for i in range(1000)]
+    once = judged_twice(spark, rows, labels, 1)
+    assert once == {(i, u.split("//")[1]): "block" if i < 200 else "allow" for i, u in rows}
+    assert judged_twice(spark, rows, labels, 2) == once == judged_twice(spark, rows, labels, 3)
+
+
+def test_shared_ids_do_not_pool_tokens(spark):
+    """Rows of one id are labelled rows of their own: what their URLs hold together is in no rule."""
+    bad = [(5000 + i % 20, f"http://x.test/spam/{'abcdefghijklmnopqrst'[i % 20]}{'abcdefghij'[i // 20]}") for i in range(200)]
+    good = [(i, f"http://h{'abcdefghij'[i % 10]}.test/news/{i}") for i in range(800)]
+    labels = [(5000 + i, 0, 0) for i in range(20)] + [(i, 1, 0) for i in range(800)]
+    got = judged_twice(spark, bad + good, labels, 1)
+    assert got == {(i, u.split("//")[1]): "block" if i >= 5000 else "allow" for i, u in bad + good}
+
+
+def test_every_frequent_token_is_judged(spark):
+    """A rule of one token is found although each of its URLs has more telling tokens than are combined."""
+    rng = np.random.default_rng(7)
+    many = lambda i: "&".join(f"{'abcdefghijklmnop'[k]}q=1" for k in range(16) if rng.random() < 0.9)
+    rows = [(i, f"http://{'evil' if i < 150 else 'fine'}.test/x?" + (many(i) + ("&late=1" if i % 3 == 0 else "") if i < 150 else "&".join(f"{'abcdefghijklmnop'[k]}q=1" for k in range(16) if rng.random() < 0.1))) for i in range(1000)]
+    known = [(i, int(i >= 150), 0) for i in range(1000)]
+    pages = spark.createDataFrame([*rows, (7777, "ftp://other.example/?late=2")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()}
+    assert got[7777] == "block" and all(got[i] == "block" for i in range(150))
+
+
 # 4 BPE
 
 
@@ -481,7 +515,7 @@ def exact_neighbours(ids, vectors, queries_at, k=20):
 def test_neighbours_reach_recall(spark):
     rng = np.random.default_rng(0)
     vectors = (rng.normal(size=(4000, 24)) * rng.uniform(0.5, 2, (4000, 1))).astype(np.float32)  # lengths differ
-    index = graph_search.Graph(vectors)
+    index = graph_search.Graph(vectors.astype(float))
     found, _ = index.search(np.pad(vectors[::20], ((0, 0), (0, 1))), graph_search.BEAM)
     wide = vectors.astype(float)
     hit = sum(len(set(np.argsort(-(wide @ wide[q]))[:20]) & set(row)) for q, row in zip(range(0, 4000, 20), found, strict=True))
@@ -523,6 +557,48 @@ def test_nearest_against_brute_force(spark):
     assert all(np.isclose(s, vectors[at[q]] @ vectors[at[v]], rtol=0, atol=1e-12) for q in got for v, s in got[q].items())  # in double precision
 
 
+def searched(vectors, every):
+    """Neighbours by the graphs of one shard: {query: [vec_id]}."""
+    import pandas as pd
+
+    rows = pd.DataFrame({"dim": vectors.shape[1], "shard": 0, "vec_id": np.arange(len(vectors)), "embedding": list(vectors)})
+    asked = np.arange(0, len(vectors), every)
+    asked = pd.DataFrame({"dim": vectors.shape[1], "shard": 0, "embedding": list(vectors[asked]), "ids": [np.array([q]) for q in asked]})
+    out = graph_search._search(20, graph_search.BEAM)(pd.concat([graph_search._build(rows), asked], ignore_index=True))
+    return out.groupby("query_id").vec_id.apply(list).to_dict()
+
+
+@pytest.mark.parametrize("kind", ["unit", "uniform", "log-normal", "one of 1e20", "one of 1e300", "tiny and huge"])
+def test_recall_at_any_lengths(kind):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(10_000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    lengths = {"uniform": rng.uniform(0.1, 1, 10_000), "log-normal": rng.lognormal(0, 1, 10_000), "tiny and huge": 10.0 ** rng.uniform(-140, 140, 10_000)}.get(kind, np.ones(10_000))
+    if kind.startswith("one"):
+        lengths[5] = float(kind[7:])
+    vectors = vectors * lengths[:, None]
+    got, hit = searched(vectors, 50), 0
+    with np.errstate(over="ignore"):
+        for q in range(0, 10_000, 50):
+            order = np.lexsort((np.arange(10_000), -(vectors @ vectors[q])))
+            hit += len(set(got[q]) & set(order[order != q][:20]))
+    assert all(len(x) == 20 for x in got.values()) and len(got) == 200
+    assert hit >= 0.95 * 20 * 200
+
+
+def test_uneven_lengths_through_shards(spark):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(3000, 8)) * rng.lognormal(0, 2, 3000)[:, None]
+    vectors[7] = [1e20, *[0.0] * 7]
+    vectors[8] = [1e-320, *[0.0] * 7]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in graph_search.nearest(table).collect():
+        got[r.query_id].add(r.vec_id)
+    want = exact_neighbours(np.arange(3000), vectors, np.arange(0, 3000, 20))
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
 def test_graphs_are_built_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(graph_search, "QUERY_ROWS", 4)  # several blocks of queries
     built = graph_search._build(__import__("pandas").DataFrame({"dim": 3, "shard": 0, "vec_id": range(40), "embedding": list(np.random.default_rng(0).normal(size=(40, 3)))}))
