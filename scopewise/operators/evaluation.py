@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopewise.operators import metrics, retrieval
+from scopewise.operators import fusion, metrics, retrieval
 
 #: (queries, chunks, k) -> (query_id, chunk_id, score, rank).
 METHODS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
     "bm25": retrieval.bm25,
     "tfidf": retrieval.tfidf,
     "dense": retrieval.dense,
-    "hybrid": retrieval.hybrid,
-    "rrf": lambda queries, chunks, k: retrieval.rrf(retrieval.raw_scores(queries, chunks), k),
+    "hybrid": fusion.hybrid,
+    "rrf": fusion.rrf,
 }
 DEPTH = 10
 

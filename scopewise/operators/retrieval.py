@@ -78,8 +78,8 @@ def filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
     return top(scored.unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all pairs that share a term."""
+def bm25_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Question terms (query_id, scope, term), and what each adds to the score of a chunk that holds it (scope, term, chunk_id, w)."""
     asked = checked(each_term(queries, distinct_tokens(F.col("text")), "query_id", "scope"))
     held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t"))
     sized = each_term(held, F.col("_t"), "scope", "chunk_id", F.size("_t").alias("dl")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
@@ -87,7 +87,12 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    weighed = tf.join(df, ["scope", "term"]).join(corpus_stats(chunks), "scope").select("scope", "term", "chunk_id", weight.alias("w"))
+    return asked, tf.join(df, ["scope", "term"]).join(corpus_stats(chunks), "scope").select("scope", "term", "chunk_id", weight.alias("w"))
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of all pairs that share a term."""
+    asked, weighed = bm25_weights(queries, chunks)
     return weighed.join(asked, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 
@@ -98,8 +103,8 @@ def tfidf_weights(counts: DataFrame, df: DataFrame, n: DataFrame, by: list[str])
     return counts.withColumn("most", most).join(df, ["scope", "term"], "left").join(n, "scope").select(*by, "scope", "term", (F.col("tf") / F.col("most") * idf).alias("w"))
 
 
-def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): 100 x cosine of all pairs that share a term."""
+def _tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Weights of question terms and of chunk terms, and their lengths by question and by chunk."""
     # tokens are shuffled once, by chunk: counting them, the largest count and the lengths then need no other shuffle
     held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t")).repartition("chunk_id")
     counts = each_term(held, F.col("_t"), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
@@ -107,9 +112,22 @@ def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = each_term(queries, tokens(F.col("text")), "query_id", "scope").groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
     wq, wd = tfidf_weights(asked, df, n, ["query_id"]), tfidf_weights(counts, df, n, ["chunk_id"])
     length = lambda w, by: w.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    return wq, wd, length(wq, "query_id").withColumnRenamed("len", "lq"), length(wd, "chunk_id").withColumnRenamed("len", "ld")
+
+
+def tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, w) and (chunk_id, term, w) of the terms that some question of the scope asks for: a pair's cosine is the sum of products."""
+    wq, wd, lq, ld = _tfidf_sides(queries, chunks)
+    wd = wd.join(wq.select("scope", "term"), ["scope", "term"], "left_semi").join(ld, "chunk_id")
+    return wq.join(lq, "query_id").select("query_id", "term", (F.col("w") / F.col("lq")).alias("w")), wd.select("chunk_id", "term", (F.col("w") / F.col("ld")).alias("w"))
+
+
+def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): 100 x cosine of all pairs that share a term."""
+    wq, wd, lq, ld = _tfidf_sides(queries, chunks)
     dots = wq.join(wd.withColumnRenamed("w", "wd"), ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("wd")).alias("dot"))
     score = F.lit(100.0) * F.col("dot") / (F.col("lq") * F.col("ld"))
-    return dots.join(length(wq, "query_id").withColumnRenamed("len", "lq"), "query_id").join(length(wd, "chunk_id").withColumnRenamed("len", "ld"), "chunk_id").select("query_id", "chunk_id", score.alias("score"))
+    return dots.join(lq, "query_id").join(ld, "chunk_id").select("query_id", "chunk_id", score.alias("score"))
 
 
 def dense_pairs(queries: DataFrame, chunks: DataFrame, best: int | None = None) -> DataFrame:
@@ -170,23 +188,6 @@ def relevance_pct(raw: DataFrame) -> DataFrame:
     return raw.withColumn("relevance", (min_max("bm25") + min_max("dense")) / 2 * 100)
 
 
-def rrf(raw: DataFrame, k: int) -> DataFrame:
-    """Reciprocal rank fusion over both rankings of all candidates."""
-    place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(c, 12).desc(), "chunk_id"))
-    return top(raw.withColumn("score", F.lit(100.0) * (1 / (RRF + place("bm25")) + 1 / (RRF + place("dense")))), k)
-
-
-def fused(raw: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
-    """Weighted sum of the normalised scores."""
-    return top(raw.withColumn("score", alpha * min_max("dense") + (1 - alpha) * min_max("bm25")), k)
-
-
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
-    """100 x (weight x dense cosine + (1 - weight) x TF-IDF cosine), over all candidates."""
-    both = dense_pairs(queries, chunks).join(tfidf_scores(queries, chunks).withColumnRenamed("score", "lexical"), ["query_id", "chunk_id"], "left")
-    return top(both.withColumn("score", weight * 100 * F.col("dense") + (1 - weight) * F.coalesce("lexical", F.lit(0.0))), k)
-
-
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return filled(bm25_scores(queries, chunks), queries, chunks, k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scopewise.functions import vectors as V
 from scopewise.functions.text import tokens
-from scopewise.operators import metrics, retrieval, store
+from scopewise.operators import fusion, metrics, retrieval, store
 from scopewise.plans.tables import chunks, questions, table, vectors, with_vectors
 
 K = 10
@@ -57,15 +57,15 @@ def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hybrid_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(retrieval.hybrid(*_both(spark, d), K))
+    return _shown(fusion.hybrid(*_both(spark, d), K))
 
 
 def rrf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(retrieval.rrf(retrieval.raw_scores(*_both(spark, d)), K))
+    return _shown(fusion.rrf(*_both(spark, d), K))
 
 
 def minmax_fusion_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(retrieval.fused(retrieval.raw_scores(*_both(spark, d)), K))
+    return _shown(fusion.fused(*_both(spark, d), K))
 
 
 def relevance_pct(spark: SparkSession, d: str) -> DataFrame:

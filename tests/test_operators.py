@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scopewise.operators import assignment, candidates, cohort, context, metrics, pages, questions, records, retrieval, store
+from scopewise.operators import assignment, candidates, cohort, context, fusion, metrics, pages, questions, records, retrieval, store
 from scopewise.plans import evaluation
 from scopewise.sources import readers
 
@@ -36,9 +36,9 @@ def test_missing_vectors_score_zero_in_hybrids(spark):
     queries = spark.createDataFrame([(1, "p", "alpha", [1.0, 0.0])], "query_id long, scope string, text string, embedding array<float>")
     raw = {r.chunk_id: (r.bm25 > 0, r.dense) for r in retrieval.raw_scores(queries, chunks).collect()}
     assert raw == {1: (True, 1.0), 2: (False, 0.0), 3: (True, 0.0)}
-    assert [r.chunk_id for r in retrieval.rrf(retrieval.raw_scores(queries, chunks), 3).orderBy("rank").collect()] == [1, 2, 3]  # 2 and 3 tie
+    assert [r.chunk_id for r in fusion.rrf(queries, chunks, 3).orderBy("rank").collect()] == [1, 2, 3]  # 2 and 3 tie
     assert [r.chunk_id for r in retrieval.dense(queries, chunks, 3).orderBy("rank").collect()] == [1, 3]
-    best = retrieval.rrf(retrieval.raw_scores(queries, chunks), 3).orderBy("rank").first().score
+    best = fusion.rrf(queries, chunks, 3).orderBy("rank").first().score
     assert math.isclose(best, 100 * (1 / 61 + 1 / 61))
 
 
