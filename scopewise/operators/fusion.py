@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopewise.operators import retrieval
 from scopewise.operators.retrieval import BLOCK_ROWS, RRF, bm25_weights, tfidf_sides, top
 from scopewise.sources.staging import staged
 
@@ -33,8 +34,8 @@ class Sides:
     """Questions and chunks dealt in parts and blocks, made once and scored as often as a fusion needs."""
 
     def __init__(self, queries: DataFrame, chunks: DataFrame, query_terms: DataFrame, chunk_terms: DataFrame):
-        """query_terms(query_id, term, w), chunk_terms(chunk_id, term, w): a pair's lexical score is the sum of products."""
-        listed = lambda rows, key: rows.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("_t")).select(key, F.col("_t.term").alias("terms"), F.col("_t.w").alias("ws"))
+        """query_terms(query_id, terms), chunk_terms(chunk_id, terms), lists of (term, w): a pair's lexical score is the sum of products."""
+        listed = lambda rows, key: rows.select(key, F.col("terms.term").alias("terms"), F.col("terms.w").alias("ws"))
         sizes = chunks.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
         sizes = sizes.join(queries.groupBy("scope").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "scope")
         vector = F.col("embedding").cast("array<float>").alias("vector")
@@ -100,14 +101,46 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _lexical(queries: DataFrame, chunks: DataFrame, method: str) -> Sides:
+    listed = lambda rows, key: rows.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("terms"))
     if method == "bm25":
         asked, weighed = bm25_weights(queries, chunks)
-        return Sides(queries, chunks, asked.select("query_id", "term", F.lit(1.0).alias("w")), weighed.select("chunk_id", "term", "w"))
+        return Sides(queries, chunks, listed(asked.withColumn("w", F.lit(1.0)), "query_id"), listed(weighed, "chunk_id"))
     wq, wd = tfidf_sides(queries, chunks)
-    return Sides(queries, chunks, wq, wd)
+    return Sides(queries, chunks, listed(wq, "query_id"), wd.select("chunk_id", "terms"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+class Rankings:
+    """Rankings of the same questions and chunks by several methods: each lexical side is made once."""
+
+    def __init__(self, queries: DataFrame, chunks: DataFrame):
+        self.queries, self.chunks, self._sides = queries, chunks, {}
+
+    def sides(self, method: str) -> Sides:
+        if method not in self._sides:
+            self._sides[method] = _lexical(self.queries, self.chunks, method)
+        return self._sides[method]
+
+    def lexical(self, method: str, k: int) -> DataFrame:
+        """The k best by BM25 or TF-IDF (in percent) of all candidates; those that share no term score 0."""
+        scale = 1 if method == "bm25" else 100
+
+        def best(question, ids, lexical, dense) -> pd.DataFrame:
+            score = scale * lexical
+            at = _best(score, ids, k)
+            return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at], "score": score[at]})
+
+        return top(self.sides(method).reduced(best, "query_id, chunk_id, score double"), k)
+
+    def by(self, method: str, k: int) -> DataFrame:
+        """(query_id, chunk_id, score, rank) by bm25, tfidf, dense, hybrid or rrf."""
+        if method in ("bm25", "tfidf"):
+            return self.lexical(method, k)
+        if method == "dense":
+            return retrieval.dense(self.queries, self.chunks, k)
+        return hybrid(self.queries, self.chunks, k, sides=self.sides("tfidf")) if method == "hybrid" else rrf(self.queries, self.chunks, k, sides=self.sides("bm25"))
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weight: float = 0.5, sides: Sides | None = None) -> DataFrame:
     """100 x (weight x dense cosine + (1 - weight) x TF-IDF cosine), over all candidates: (query_id, chunk_id, score, rank)."""
 
     def best(question, ids, lexical, dense) -> pd.DataFrame:
@@ -115,7 +148,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weight: float = 0.5) -
         at = _best(score, ids, k)
         return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at], "score": score[at]})
 
-    return top(_lexical(queries, chunks, "tfidf").reduced(best, "query_id, chunk_id, score double"), k)
+    return top((sides or _lexical(queries, chunks, "tfidf")).reduced(best, "query_id, chunk_id, score double"), k)
 
 
 def fused(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
@@ -136,9 +169,9 @@ def fused(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 0.5) ->
     return top(sides.reduced(best, "query_id, chunk_id, score double", sides.asked.join(found, "query_id")), k)
 
 
-def rrf(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def rrf(queries: DataFrame, chunks: DataFrame, k: int, sides: Sides | None = None) -> DataFrame:
     """Reciprocal rank fusion over the BM25 and the dense ranking of all candidates, x 100: (query_id, chunk_id, score, rank)."""
-    sides, depth = _lexical(queries, chunks, "bm25"), RRF + 2 * k
+    sides, depth = sides or _lexical(queries, chunks, "bm25"), RRF + 2 * k
 
     def first(question, ids, lexical, dense) -> pd.DataFrame:
         at = np.unique(np.concatenate([_best(np.round(lexical, 12), ids, depth), _best(np.round(dense, 12), ids, depth)]))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopewise.functions.text import distinct_tokens, tokens
+from scopewise.sources.staging import staged
 
 #: BM25's saturation and length parameters, and RRF's constant.
 K1, B, RRF = 1.2, 0.75, 60
@@ -33,14 +34,23 @@ def each_term(rows: DataFrame, terms: Column, *keep: str | Column) -> DataFrame:
     return rows.select(*keep, F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
 
 
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """chunks with their tokens in the place of their texts, staged: methods that rank the same chunks read each text once."""
+    return staged(chunks.withColumn("tokens", tokens(F.col("content"))).drop("content"), "tokens")
+
+
+def tokens_of(chunks: DataFrame) -> Column:
+    return F.col("tokens") if "tokens" in chunks.columns else tokens(F.col("content"))
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Per scope: n chunks and their mean length in tokens."""
-    return chunks.select("scope", F.size(tokens(F.col("content"))).alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return chunks.select("scope", F.size(tokens_of(chunks)).alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
     """(scope, chunk_id, term, tf)."""
-    return each_term(chunks, tokens(F.col("content")), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return each_term(chunks, tokens_of(chunks), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(chunks: DataFrame) -> DataFrame:
@@ -81,7 +91,7 @@ def filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 def bm25_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Question terms (query_id, scope, term), and what each adds to the score of a chunk that holds it (scope, term, chunk_id, w)."""
     asked = checked(each_term(queries, distinct_tokens(F.col("text")), "query_id", "scope"))
-    held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t"))
+    held = chunks.select("scope", "chunk_id", tokens_of(chunks).alias("_t"))
     sized = each_term(held, F.col("_t"), "scope", "chunk_id", F.size("_t").alias("dl")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
     tf = sized.groupBy("scope", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
@@ -103,31 +113,33 @@ def tfidf_weights(counts: DataFrame, df: DataFrame, n: DataFrame, by: list[str])
     return counts.withColumn("most", most).join(df, ["scope", "term"], "left").join(n, "scope").select(*by, "scope", "term", (F.col("tf") / F.col("most") * idf).alias("w"))
 
 
-def _tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Weights of question terms and of chunk terms, and their lengths by question and by chunk."""
-    # tokens are shuffled once, by chunk: counting them, the largest count and the lengths then need no other shuffle
-    held = chunks.select("scope", "chunk_id", tokens(F.col("content")).alias("_t")).repartition("chunk_id")
+def tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, scope, term, w), and (chunk_id, scope, terms) with a chunk's list of (term, w) of the terms that its scope is asked for.
+
+    Weights are over the lengths of all terms: a pair's cosine is the sum of products. Chunks whose terms nobody asks
+    for have an empty list.
+    """
+    # tokens are shuffled once, by chunk: counting them and the largest count then need no other shuffle
+    held = chunks.select("scope", "chunk_id", tokens_of(chunks).alias("_t")).repartition("chunk_id")
     counts = each_term(held, F.col("_t"), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
     n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), counts.groupBy("scope", "term").agg(F.count("*").alias("df"))
     asked = each_term(queries, tokens(F.col("text")), "query_id", "scope").groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
-    wq, wd = tfidf_weights(asked, df, n, ["query_id"]), tfidf_weights(counts, df, n, ["chunk_id"])
-    length = lambda w, by: w.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return wq, wd, length(wq, "query_id").withColumnRenamed("len", "lq"), length(wd, "chunk_id").withColumnRenamed("len", "ld")
-
-
-def tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query_id, term, w) and (chunk_id, term, w) of the terms that some question of the scope asks for: a pair's cosine is the sum of products."""
-    wq, wd, lq, ld = _tfidf_sides(queries, chunks)
-    wd = wd.join(wq.select("scope", "term"), ["scope", "term"], "left_semi").join(ld, "chunk_id")
-    return wq.join(lq, "query_id").select("query_id", "term", (F.col("w") / F.col("lq")).alias("w")), wd.select("chunk_id", "term", (F.col("w") / F.col("ld")).alias("w"))
+    wanted = checked(asked.select("scope", "term").distinct()).withColumn("wanted", F.lit(True))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    wd = tfidf_weights(counts, df, n, ["chunk_id"]).join(wanted, ["scope", "term"], "left")
+    # one pass over the weights: their length, and those that are asked for
+    wd = wd.groupBy("chunk_id", "scope").agg(length.alias("len"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "w"))).alias("terms"))
+    wd = wd.select("chunk_id", "scope", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["w"] / F.col("len")).alias("w"))).alias("terms"))
+    wq = tfidf_weights(asked, df, n, ["query_id"])
+    lq = wq.groupBy("query_id").agg(length.alias("len"))
+    return wq.join(lq, "query_id").select("query_id", "scope", "term", (F.col("w") / F.col("len")).alias("w")), wd
 
 
 def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): 100 x cosine of all pairs that share a term."""
-    wq, wd, lq, ld = _tfidf_sides(queries, chunks)
-    dots = wq.join(wd.withColumnRenamed("w", "wd"), ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("wd")).alias("dot"))
-    score = F.lit(100.0) * F.col("dot") / (F.col("lq") * F.col("ld"))
-    return dots.join(lq, "query_id").join(ld, "chunk_id").select("query_id", "chunk_id", score.alias("score"))
+    wq, wd = tfidf_sides(queries, chunks)
+    wd = wd.select("chunk_id", "scope", F.explode("terms").alias("t")).select("chunk_id", "scope", "t.term", F.col("t.w").alias("wd"))
+    return wq.join(wd, ["scope", "term"]).groupBy("query_id", "chunk_id").agg((F.lit(100.0) * F.sum(F.col("w") * F.col("wd"))).alias("score"))
 
 
 def dense_pairs(queries: DataFrame, chunks: DataFrame, best: int | None = None) -> DataFrame:

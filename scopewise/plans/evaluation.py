@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopewise.functions.chunker import chunked
-from scopewise.operators import context, evaluation, metrics, retrieval, store
+from scopewise.operators import context, evaluation, fusion, metrics, retrieval, store
 from scopewise.plans import retrieval as R
 from scopewise.plans.documents import _CHUNKS, _CLEAN, _FACTUAL_HEAD, _FACTUAL_MID, _FACTUAL_TAIL, _lit
 from scopewise.plans.tables import chunks, documents, questions, table, with_vectors
+from scopewise.sources.staging import staged
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +31,7 @@ def chunk_id() -> Column:
 def chunk_bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The single-source evaluation end to end: documents in chunks, BM25, bounded contexts, relevance, mean metrics."""
     rows = chunked(documents(spark, d, "doc_id", "source", "text").withColumnRenamed("source", "scope"), "doc_id", "text")
-    rows = rows.withColumn("chunk_id", chunk_id())
+    rows = staged(rows.withColumn("chunk_id", chunk_id()).select("chunk_id", "scope", "content"), "chunks")  # cut once
     asked = questions(spark, d)
     found = context.bounded(retrieval.bm25(asked, rows, 10).join(rows.select("chunk_id", "content"), "chunk_id"), 2000)
     judged = metrics.relevance(found.select("query_id", "rank", "content"), asked.select("query_id", F.col("text").alias("gold")), ["query_id"])
@@ -61,8 +62,9 @@ def multi_evaluation_by_method(spark: SparkSession, d: str) -> DataFrame:
 def prompt_engines(spark: SparkSession, d: str) -> DataFrame:
     """The prompt of every engine: search, bounded contexts and the factual prompt; RRF shows percents in its header."""
     items, held, out = with_vectors(questions(spark, d), spark, d, "query_id"), _chunks(spark, d), None
-    for name, search in evaluation.METHODS.items():
-        found = search(items, held, 3).select("query_id", "chunk_id", "score", "rank").join(held.select("chunk_id", "content"), "chunk_id")
+    rankings = fusion.Rankings(items, retrieval.tokenized(held))
+    for name in evaluation.METHODS:
+        found = rankings.by(name, 3).select("query_id", "chunk_id", "score", "rank").join(held.select("chunk_id", "content"), "chunk_id")
         found = found.select("query_id", "rank", F.round("score", 6).alias("score"), "content", F.lit("").alias("date"), F.lit("Clinical Discharge Summary").alias("kind"))
         rows = context.prompts(items, found, percent=name == "rrf").select(F.lit(name).alias("engine"), "query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "retrieved", F.col("header").contains("%**").alias("percent"))
         out = rows if out is None else out.unionByName(rows)
