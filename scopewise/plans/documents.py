@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopewise.functions import extract
@@ -12,7 +12,8 @@ from scopewise.functions.sections import sections
 from scopewise.operators import context, pages, retrieval, store
 from scopewise.plans.tables import chunks, documents, questions, table
 from scopewise.sources import readers, sinks
-from scopewise.streaming import ingest
+from scopewise.sources.staging import new_folder, staged
+from scopewise.streaming import ingest, tokens
 
 CHUNK, OVERLAP = 500, 100
 
@@ -142,11 +143,27 @@ def event_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def token_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each message as tokens, some in a thought."""
+def _spoken_tokens() -> Column:
+    """Words of a message as tokens, some in a thought."""
     words = F.split(F.col("text"), " ")
-    stream = F.concat(F.array(F.lit("\n"), F.lit("<think>"), F.lit("\n\n")), F.slice(words, 1, 2), F.array(F.lit("</think>"), F.lit("\n")), words, F.array(F.lit("<|im_end|>"), F.lit("late")))
-    return table(spark, d, "conversations").select("conv_id", "turn", ingest.spoken(stream, "<|im_end|>").alias("s")).select("conv_id", "turn", "s.*")
+    return F.concat(F.array(F.lit("\n"), F.lit("<think>"), F.lit("\n\n")), F.slice(words, 1, 2), F.array(F.lit("</think>"), F.lit("\n")), words, F.array(F.lit("<|im_end|>"), F.lit("late")))
+
+
+def token_stream(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", ingest.spoken(_spoken_tokens(), "<|im_end|>").alias("s")).select("conv_id", "turn", "s.*")
+
+
+def token_stream_stateful(spark: SparkSession, d: str) -> DataFrame:
+    """The same messages from a stream, whose micro-batches each bring a part of every message."""
+    message = F.to_json(F.struct("conv_id", "turn")).alias("message")
+    rows = table(spark, d, "conversations").select(message, F.posexplode(_spoken_tokens()).alias("seq", "token"))
+    rows = staged(rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).repartitionByRange(3, "seq"), "tokens")
+    out = new_folder(spark, "messages")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    said = tokens.messages(stream, "<|im_end|>", "1 day", 86_400_000)
+    said.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
+    ids = F.from_json("message", "conv_id bigint, turn bigint")
+    return spark.read.schema(tokens.GIVEN).parquet(f"{out}/rows").select(ids.alias("i"), "text", "thinking").select("i.conv_id", "i.turn", "text", "thinking")
 
 
 def tokens_per_second(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +192,7 @@ QUERIES = {
     for f in (
         chunk_documents, truncate_context, clean_text, text_predicates, file_names, section_split, sentence_extract, context_header, prompt_assembly, chat_prompts,
         context_packing, chat_history_last4, history_dedupe, page_offsets, page_interval_lookup, gold_chunk_choice, text_page_lookup, document_upsert, dedupe_ingest, event_window_counts,
-        token_stream, tokens_per_second, preset_parse, note_inventory, html_headers,
+        token_stream, token_stream_stateful, tokens_per_second, preset_parse, note_inventory, html_headers,
     )
 }
 
@@ -303,6 +320,8 @@ ORACLE_SQL = {
     "event_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "token_stream": """
         SELECT conv_id, turn, array_to_string(string_split(text, ' '), '') AS text, array_to_string(string_split(text, ' ')[1:2], '') AS thinking FROM conversations""",
+    "token_stream_stateful": """
+        SELECT conv_id, turn, array_to_string(string_split(text, ' '), '') AS text, array_to_string(string_split(text, ' ')[1:2], '') AS thinking FROM conversations""",
     "tokens_per_second": """
         SELECT event_id, CASE WHEN event_id % 5000 - 1000 > 0 THEN round(event_id / CAST(event_id % 5000 - 1000 AS DOUBLE) * 1000, 6) END AS tps,
                CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
