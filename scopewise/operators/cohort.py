@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopewise.functions.text import stripped
+from scopewise.sources.staging import staged
 
 BANDS = ("Q1_0-20", "Q2_20-40", "Q3_40-60", "Q4_60-80", "Q5_80-100")
 
@@ -64,16 +67,34 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).count().select("value", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("share"))
 
 
+def at_places(rows: DataFrame, column: str, places: Callable[[int], list[int]]) -> list:
+    """The values of a column at places(n) of its n values in order, counted from 0; nulls come first.
+
+    Counts per value are dealt out by ranges of values and summed by range, one number each; only the ranges that hold
+    a place are then put in order, each by itself.
+    """
+    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    ranged = staged(counts.repartitionByRange(F.col("v").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted((r.part, r.c) for r in ranged.groupBy("part").agg(F.sum("c").alias("c")).collect())
+    n, before = sum(c for _, c in sums), {}
+    wanted = places(n) if n else []
+    for (part, c), low in zip(sums, accumulate((c for _, c in sums), initial=0), strict=False):
+        if any(low <= at < low + c for at in wanted):
+            before[part] = low
+    if not before:
+        return [None] * len(places(1))
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part"))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)) + start
+    held = ranged.where(F.col("part").isin(list(before))).withColumn("upto", upto)
+    return list(held.agg(*[F.max(F.when((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at), F.col("v"))) for at in wanted]).first())
+
+
 def quintiles(rows: DataFrame, column: str) -> DataFrame:
     """rows with quintile: the first band whose cut, the value at place band x n div 5, is not below the value.
 
-    The four cuts come from counts per value and their running sum: the window holds distinct values, not rows.
+    The cuts are exact order statistics, see at_places.
     """
-    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    n = F.sum("c").over(Window.partitionBy())
-    running = counts.withColumn("n", n).withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    place = [F.least(F.col("n") - 1, F.floor(F.col("n") * b / 5)) for b in range(1, 5)]
-    cuts = running.agg(*[F.max(F.when((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at), F.col("v"))) for at in place]).first()
+    cuts = at_places(rows, column, lambda n: [min(n - 1, n * band // 5) for band in range(1, 5)])
     label: Column = F.lit(BANDS[4])
     for name, cut in reversed(list(zip(BANDS, cuts, strict=False))):
         label = F.when(F.col(column) <= F.lit(cut), F.lit(name)).otherwise(label)

@@ -90,7 +90,7 @@ def _scores(asked: pd.DataFrame, held: pd.DataFrame) -> Iterator[tuple]:
         yield question, ids, lexical, dense
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_places(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, of ties the smallest ids, and of what comes so near to the last of them that rounding may decide."""
     if len(score) <= k:
         return np.arange(len(score))
@@ -126,7 +126,7 @@ class Rankings:
 
         def best(question, ids, lexical, dense) -> pd.DataFrame:
             score = scale * lexical
-            at = _best(score, ids, k)
+            at = best_places(score, ids, k)
             return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at], "score": score[at]})
 
         return top(self.sides(method).reduced(best, "query_id, chunk_id, score double"), k)
@@ -145,7 +145,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, weight: float = 0.5, s
 
     def best(question, ids, lexical, dense) -> pd.DataFrame:
         score = weight * 100 * dense + (1 - weight) * 100 * lexical
-        at = _best(score, ids, k)
+        at = best_places(score, ids, k)
         return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at], "score": score[at]})
 
     return top((sides or _lexical(queries, chunks, "tfidf")).reduced(best, "query_id, chunk_id, score double"), k)
@@ -161,7 +161,7 @@ def fused(queries: DataFrame, chunks: DataFrame, k: int, alpha: float = 0.5) ->
     def best(question, ids, lexical, dense) -> pd.DataFrame:
         scaled = lambda x, low, high: (x - low) / (high - low) if high > low else np.zeros(len(x))
         score = alpha * scaled(dense, question.q_d0, question.q_d1) + (1 - alpha) * scaled(lexical, question.q_b0, question.q_b1)
-        at = _best(score, ids, k)
+        at = best_places(score, ids, k)
         return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at], "score": score[at]})
 
     found = sides.reduced(extremes, "query_id, b0 double, b1 double, d0 double, d1 double")
@@ -174,7 +174,7 @@ def rrf(queries: DataFrame, chunks: DataFrame, k: int, sides: Sides | None = Non
     sides, depth = sides or _lexical(queries, chunks, "bm25"), RRF + 2 * k
 
     def first(question, ids, lexical, dense) -> pd.DataFrame:
-        at = np.unique(np.concatenate([_best(np.round(lexical, 12), ids, depth), _best(np.round(dense, 12), ids, depth)]))
+        at = np.unique(np.concatenate([best_places(np.round(lexical, 12), ids, depth), best_places(np.round(dense, 12), ids, depth)]))
         return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at], "bm25": lexical[at], "dense": dense[at]})
 
     def before(question, ids, lexical, dense) -> pd.DataFrame:

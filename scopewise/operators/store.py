@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.functions.vectors import dot, norm, score_of_cosine_distance, squared_distance
+from scopewise.functions.vectors import score_of_cosine_distance, score_of_distance
+from scopewise.operators.fusion import PART_ROWS, best_places
+from scopewise.operators.retrieval import BLOCK_ROWS
 
 
 def upsert(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,27 +35,40 @@ def of_dimension(rows: DataFrame, dims: int) -> DataFrame:
     return rows.where(F.size("embedding") == dims)
 
 
-def pairs_for(queries: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame:
-    """Every query with every vector, dealt in blocks: each vector meets the queries of each block in one task.
+def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """(query_id, chunk_id, distance, score, rank): exact nearest neighbours by cosine or l2 distance, ties to the smaller id.
 
-    A stated query set against all rows; the queries are dealt by block and the vectors copied once per block, so
-    neither side is gathered or broadcast.
+    A stated query set against all rows: vectors are dealt in blocks and queries in parts, each block meets each part in
+    one task, and only a block's k best of a query leave it. Vectors that are null, hold a null or are of another length
+    than the query's take no part; the cosine with a zero vector is 0. Ids must be numbers or strings.
     """
-    q = queries.select("query_id", F.col("embedding").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"))
-    v = vectors.select("chunk_id", F.col("embedding").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    return q.join(v, "_b")
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, chunk_id, distance, score, rank): exact nearest neighbours by cosine or l2 distance."""
-    pairs = pairs_for(queries, vectors)
-    if metric == "cosine":
-        distance = F.lit(1.0) - dot(F.col("_q"), F.col("_v")) / (norm(F.col("_q")) * norm(F.col("_v")))
-        score = score_of_cosine_distance(F.col("distance"))
-    else:
-        distance = F.sqrt(squared_distance(F.col("_q"), F.col("_v")))
-        score = F.lit(100.0) / (F.lit(1.0) + F.col("distance"))
-    rows = pairs.select("query_id", "chunk_id", distance.alias("distance"))
+    sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    queries, vectors = queries.where(sound), vectors.where(sound)
+    blocks, parts = max(1, math.ceil(vectors.count() / BLOCK_ROWS)), max(1, math.ceil(queries.count() / PART_ROWS))
+    vector, every = F.col("embedding").cast("array<float>"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", vector.alias("q_vector"), F.size("embedding").alias("q_dim"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("q_part"), every(blocks).alias("q_block"))
+    v = vectors.select("chunk_id", vector.alias("v_vector"), F.size("embedding").alias("v_dim"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("v_block"), every(parts).alias("v_part"))
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": held.chunk_id[:0], "distance": np.zeros(0)})]
+        if len(asked) and len(held):
+            matrix, ids = np.stack(held.v_vector.to_numpy()), held.chunk_id.to_numpy()
+            lengths = np.sqrt((matrix * matrix).sum(axis=1, dtype=np.float64))
+            for query, point in zip(asked.query_id, asked.q_vector, strict=True):
+                # products in single precision, summed in double
+                if metric == "l2":
+                    far = np.sqrt(((matrix - point) ** 2).sum(axis=1, dtype=np.float64))
+                else:
+                    size = lengths * np.sqrt((point * point).sum(dtype=np.float64))
+                    far = 1 - np.divide((matrix * point).sum(axis=1, dtype=np.float64), size, out=np.zeros(len(ids)), where=size > 0)
+                at = best_places(-far, ids, k)
+                out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[at], "distance": far[at]}))
+        return pd.concat(out)
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", queries), ("chunk_id", vectors))}
+    near = q.groupBy("q_dim", "q_block", "q_part").cogroup(v.groupBy("v_dim", "v_block", "v_part"))
+    rows = near.applyInPandas(nearest, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, distance double")
+    score = score_of_cosine_distance(F.col("distance")) if metric == "cosine" else score_of_distance(F.col("distance"))
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", score)
 

@@ -72,7 +72,7 @@ def test_few_pairs_leave_a_block(spark, sides):
     def best(question, ids, lexical, dense):
         import pandas as pd
 
-        at = fusion._best(dense, ids, 5)
+        at = fusion.best_places(dense, ids, 5)
         return pd.DataFrame({"query_id": question.q_query_id, "chunk_id": ids[at]})
 
     assert {r.n for r in made.reduced(best, "query_id, chunk_id").groupBy("query_id").agg(F.count("*").alias("n")).collect()} <= {5, 6, 7}

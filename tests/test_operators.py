@@ -237,3 +237,49 @@ def test_types_are_dealt_back(spark):
         assert len(set(got[i])) == len(got[i]) == min(2, len(types or [])) and set(got[i]) <= set(types or [])
     load, fold = Counter(t for v in got.values() for t in v), assignment.balanced_types({i: set(v or ()) for i, v in rows})
     assert sum(n * n for n in load.values()) == sum(n * n for n in Counter(t for v in fold.values() for t in v).values())
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-9, 9)), max_size=60))
+def test_places_are_exact_order_statistics(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v int")
+    places = lambda n: [0, n // 3, n - 1]
+    ordered = sorted(values, key=lambda v: (v is not None, v or 0))
+    assert cohort.at_places(rows, "v", places) == ([ordered[at] for at in places(len(ordered))] if ordered else [None] * 3)
+
+
+def test_places_in_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 5000).select((F.col("id") * 7919 % 1009).alias("v"))
+        ordered = sorted(i * 7919 % 1009 for i in range(5000))
+        assert cohort.at_places(rows, "v", lambda n: [0, 1, n // 2, n - 2, n - 1]) == [ordered[at] for at in (0, 1, 2500, 4998, 4999)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_knn_in_blocks(spark, monkeypatch, metric):
+    monkeypatch.setattr(store, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(store, "PART_ROWS", 4)
+    rng = random.Random(5)
+    vectors = [(i, [round(rng.gauss(0, 1), 1) for _ in range(3)]) for i in range(200)] + [(i, [1.0, 0.0, 0.0]) for i in range(200, 230)] + [(300, None), (301, [1.0, None, 1.0]), (302, [1.0, 2.0]), (303, [0.0] * 3)]
+    rows = spark.createDataFrame(vectors, "chunk_id long, embedding array<float>")
+    asked = rows.where("chunk_id % 20 = 0 OR chunk_id > 299").withColumnRenamed("chunk_id", "query_id")
+    sound = {i: v for i, v in vectors if v is not None and None not in v}
+
+    def far(a, b):
+        if metric == "l2":
+            return math.dist(a, b)
+        size = math.hypot(*a) * math.hypot(*b)
+        return 1 - sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 1.0
+
+    got = defaultdict(list)
+    for r in store.knn(asked, rows, 5, metric).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, r.distance))
+    assert sorted(got) == [i for i in sorted(sound) if i % 20 == 0 or i > 299]
+    for q, found in got.items():
+        want = sorted(far(sound[q], v) for v in sound.values() if len(v) == len(sound[q]))[:5]
+        assert [d for _, d in found] == pytest.approx(want, abs=1e-5) and len({i for i, _ in found}) == len(found)
+    if metric == "l2":
+        assert [i for i, _ in got[200]] == [200, 201, 202, 203, 204]
