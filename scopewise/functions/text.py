@@ -45,14 +45,19 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
 
 
+def looked_up(part: Column, first: int | None = None) -> Column:
+    """What of a text is looked for: on one line, in lower case; with ``first``, so many characters without dots at the end."""
+    if first is not None:
+        part = F.substring(F.regexp_replace(part, r"(\.\.\.)+$", ""), 1, first)
+    return F.lower(one_line(part))
+
+
 def contains_text(whole: Column, part: Column, first: int | None = None) -> Column:
     """Containment whatever the case and white space; a blank part is nowhere.
 
     With ``first``, only so many characters of the part, without dots at its end, are looked for.
     """
-    if first is not None:
-        part = F.substring(F.regexp_replace(part, r"(\.\.\.)+$", ""), 1, first)
-    wanted = F.lower(one_line(part))
+    wanted = looked_up(part, first)
     return F.coalesce((wanted != "") & F.lower(one_line(whole)).contains(wanted), F.lit(False))
 
 

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -283,3 +284,24 @@ def test_knn_in_blocks(spark, monkeypatch, metric):
         assert [d for _, d in found] == pytest.approx(want, abs=1e-5) and len({i for i, _ in found}) == len(found)
     if metric == "l2":
         assert [i for i, _ in got[200]] == [200, 201, 202, 203, 204]
+
+
+def test_text_pages_meet_by_rare_words(spark):
+    """Against containment in every page: cut words at both ends, short evidence, blanks, dots, repeated rows, other documents."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)] + ["the"] * 30
+    texts = {(d, p): " ".join(rng.choice(words) for _ in range(40)).replace("w7 ", "W7 \n ") for d in range(3) for p in range(1, 7)}
+    asked = []
+    for (d, _), text in list(texts.items()):
+        low = rng.randrange(0, 60)
+        asked += [(d, text[low : low + n]) for n in (3, 9, 40, 200)] + [((d + 1) % 3, text[low : low + 30])]
+    asked += [(0, ""), (0, None), (1, "   "), (1, "the"), (2, "nowhere at all here"), (2, texts[2, 1][:20] + "......"), (9, "the"), asked[0], asked[0]]
+    ranges = spark.createDataFrame([(d, p, t) for (d, p), t in texts.items()], "doc int, page int, text string")
+    line = lambda t: " ".join(t.split()).lower()
+
+    def page(d, part):
+        wanted = line(re.sub(r"(\.\.\.)+$", "", part or "")[:300])
+        return min((p for (e, p), t in texts.items() if e == d and wanted and wanted in line(t)), default=None)
+
+    got = pages.text_pages(spark.createDataFrame(asked, "doc int, evidence string"), ranges, "doc").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, e, page(d, e))) for d, e in asked)
