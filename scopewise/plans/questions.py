@@ -158,17 +158,30 @@ def _prompt(system: str, notes: str) -> str:
 
 
 _NOTES = "'CLINICAL NOTES:' || chr(10) || '- ' || {0} || chr(10) || chr(10)"
-ORACLE_SQL = {
-    "admission_documents": f"WITH {_HEADS}, {_HEAD_TEXT} SELECT patient_id, admission_id, text FROM doc",
-    "question_items": rf"""WITH {_HEAD_CHUNKS},
+#: Items with their gold chunks.
+_ITEMS = rf"""WITH {_HEAD_CHUNKS},
         ch AS (SELECT doc_id, content, s + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS cs FROM cut WHERE content <> ''),
         h AS (SELECT heads.*, doc_id, c FROM heads JOIN doc USING (patient_id, admission_id) JOIN cleaned USING (doc_id)),
         fit AS (SELECT h.doc_id, h.evidence, content, least(cs + length(content), length(c)) - cs AS shared, cs
                 FROM (SELECT DISTINCT doc_id, evidence, c FROM h) h JOIN ch USING (doc_id)
                 WHERE least(cs + length(content), length(c)) > cs AND contains(lower({_ONE.format('content')}), lower({_ONE.format('evidence')})) AND contains(lower({_ONE.format('c')}), lower({_ONE.format('substr(evidence, 1, 300)')}))),
-        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, evidence ORDER BY shared DESC, length(content), cs) AS n FROM fit)
-        SELECT 'P' || patient_id || '_H' || admission_id || '_Q' || row_number() OVER (PARTITION BY h.doc_id ORDER BY kind, subkey) AS id, h.doc_id AS doc, kind, subkey, 1 AS page, CAST(length(content) AS INTEGER) AS gold_length
-        FROM h JOIN best ON best.doc_id = h.doc_id AND best.evidence = h.evidence AND n = 1""",
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, evidence ORDER BY shared DESC, length(content), cs) AS n FROM fit),
+        items AS (SELECT 'P' || patient_id || '_H' || admission_id || '_Q' || row_number() OVER (PARTITION BY h.doc_id ORDER BY kind, subkey) AS id, h.doc_id AS doc, kind, subkey, patient_id, question, h.evidence, content AS gold
+                  FROM h JOIN best ON best.doc_id = h.doc_id AND best.evidence = h.evidence AND n = 1)"""
+
+ORACLE_SQL = {
+    "admission_documents": f"WITH {_HEADS}, {_HEAD_TEXT} SELECT patient_id, admission_id, text FROM doc",
+    "question_items": f"{_ITEMS} SELECT id, doc, kind, subkey, 1 AS page, CAST(length(gold) AS INTEGER) AS gold_length FROM items",
+    "single_violations": rf"""{_ITEMS},
+        broken AS (
+            SELECT unnest([CASE WHEN NOT regexp_matches(coalesce(question, ''), '\b(?:I|me|my|mine|myself)\b') THEN 'not first person' END,
+                           CASE WHEN regexp_matches(coalesce(question, ''), '[0-9]{{5,}}') THEN 'number in question' END,
+                           CASE WHEN contains(question, CAST(patient_id AS VARCHAR)) AND length(CAST(patient_id AS VARCHAR)) > 4 THEN 'patient in question' END,
+                           CASE WHEN trim(coalesce(gold, '')) = '' THEN 'no gold chunk' END, CASE WHEN length(gold) > 500 THEN 'gold chunk too long' END,
+                           CASE WHEN NOT contains(lower({_ONE.format('gold')}), lower({_ONE.format('evidence')})) OR {_ONE.format('evidence')} = '' THEN 'evidence not in gold' END]) AS rule FROM items
+            UNION ALL SELECT 'id repeats' FROM items GROUP BY id HAVING count(*) > 1
+            UNION ALL SELECT 'items per document' FROM items GROUP BY doc HAVING count(*) <> 2 OR count(DISTINCT kind) <> 2)
+        SELECT rule, count(*) AS n FROM broken WHERE rule IS NOT NULL GROUP BY rule""",
     "header_questions": f"WITH {_HEADS} SELECT * FROM heads",
     "question_stats": f"""WITH {_HEADS},
         s AS (SELECT unnest(['kind', 'polarity', 'page', 'section', 'subkey', 'short']) AS stat,
