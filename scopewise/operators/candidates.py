@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PAIRS, MOST_TRAJECTORIES, MOST_CROSS = 4, 2, 1
+#: Admissions of a diagnosis that meet in one task; more are dealt in blocks.
+PAIR_BLOCK = 1_000
 SEED = 42
 
 
@@ -37,11 +39,34 @@ def windows(admissions: DataFrame, patient: str, order: list[str], length: int,
     return rows.where("window_idx < window_count").withColumn("priority", spread_priority(F.col("window_idx"), F.col("window_count"), cap))
 
 
-def cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis: str, excluded: Iterable[str] = ("NEWBORN",)) -> DataFrame:
-    """Pairs of admissions of different patients with the same principal diagnosis, each pair once, ids by text order."""
+def cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis: str, excluded: Iterable[str] = ("NEWBORN",), block_rows: int = PAIR_BLOCK) -> DataFrame:
+    """Pairs of admissions of different patients with the same principal diagnosis, each pair once, ids by text order.
+
+    A diagnosis of more than ``block_rows`` admissions is dealt in blocks, and each two of them (a triangle) meet in a task
+    of their own. Rows without a diagnosis, a patient or an admission take no part; a row that repeats is in pairs as often.
+    """
     rows = admissions.where(F.col(diagnosis).isNotNull() & (F.trim(diagnosis) != "") & ~F.upper(F.trim(diagnosis)).isin(*excluded))
-    side = lambda k: rows.select(F.lower(F.trim(diagnosis)).alias("diagnosis"), F.col(patient).cast("string").alias(f"patient_{k}"), F.col(admission).cast("string").alias(f"admission_{k}"))
-    return side(1).join(side(2), "diagnosis").where("patient_1 < patient_2")
+    rows = rows.select(F.lower(F.trim(diagnosis)).alias("diagnosis"), F.col(patient).cast("string").alias("p"), F.col(admission).cast("string").alias("a")).where("p IS NOT NULL AND a IS NOT NULL")
+    hot = rows.groupBy("diagnosis").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(hot, "diagnosis", "left").select("diagnosis", "p", "a", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("p", "a"), F.col("blocks")).cast("int"))
+    low = rows.select("diagnosis", F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"), F.col("p").alias("p1"), F.col("a").alias("a1"))
+    high = rows.select("diagnosis", F.explode(F.sequence(F.lit(0), "own")).alias("low"), F.col("own").alias("high"), F.col("p").alias("p2"), F.col("a").alias("a2"))
+    met = low.join(high, ["diagnosis", "low", "high"]).where("p1 < p2 OR (low < high AND p1 > p2)")
+    ordered = F.col("p1") < F.col("p2")
+    pick = lambda x, y: F.when(ordered, F.col(x)).otherwise(F.col(y))
+    return met.select("diagnosis", pick("p1", "p2").alias("patient_1"), pick("a1", "a2").alias("admission_1"), pick("p2", "p1").alias("patient_2"), pick("a2", "a1").alias("admission_2"))
+
+
+def capped_cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis: str, most: int = MOST_CROSS, **dealt) -> DataFrame:
+    """cross_pairs(), as many as ``most`` of each two patients, by their stable rank, with their place.
+
+    A pair that can't be among them doesn't leave the task that makes it: Spark limits each group before the shuffle.
+    """
+    pairs = cross_pairs(admissions, patient, admission, diagnosis, **dealt)
+    pairs = pairs.withColumn("stable_rank", stable_rank(F.col("diagnosis"), F.col("admission_1"), F.col("admission_2")))
+    w = Window.partitionBy("patient_1", "patient_2").orderBy("stable_rank", "diagnosis", "admission_1", "admission_2")
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
 def relation(a: Column, b: Column) -> Column:

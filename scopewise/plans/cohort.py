@@ -127,6 +127,11 @@ def cross_patient_pairs(spark: SparkSession, d: str) -> DataFrame:
     return candidates.cross_pairs(attributes(spark, d), "subject_id", "hadm_id", "diagnosis")
 
 
+def cross_patient_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The one cross-patient pair of each two patients that stays under the cap."""
+    return candidates.capped_cross_pairs(attributes(spark, d), "subject_id", "hadm_id", "diagnosis").drop("place")
+
+
 def spread_priority(spark: SparkSession, d: str) -> DataFrame:
     rows = admissions(spark, d).groupBy("subject_id").agg(F.count("*").alias("windows")).select("subject_id", "windows", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("idx"))
     spread = lambda cap: candidates.spread_priority(F.col("idx"), F.col("windows"), cap)
@@ -171,7 +176,7 @@ QUERIES = {
     for f in (
         note_length_sum, diagnosis_counts, principal_diagnosis, first_service, icu_flag, admission_attributes, representative_admission, first_non_null, stratum_shares, quintile_bucket,
         balance_report, category_counts, detail_map, los_days, age_topcode, label_map, race_group_case, disposition_cascade, stratified_greedy_sample, consecutive_pairs, trajectories,
-        compare_relation, cross_patient_pairs, spread_priority, stable_hash_order, cap_check, split_by_type, sibling_admissions, missing_admissions, balanced_type_assignment,
+        compare_relation, cross_patient_pairs, cross_patient_capped, spread_priority, stable_hash_order, cap_check, split_by_type, sibling_admissions, missing_admissions, balanced_type_assignment,
     )
 }
 
@@ -184,6 +189,9 @@ _DIAGNOSED = """
     adm AS (SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS admittime, o_orderpriority AS admission_type, o_orderstatus AS status FROM orders),
     att AS (SELECT adm.*, coalesce(num_diagnoses, 0) AS num_diagnoses, diagnosis, icu.hadm_id IS NOT NULL AS had_icu_stay, service
             FROM adm LEFT JOIN diagnosed USING (hadm_id) LEFT JOIN icu USING (hadm_id) LEFT JOIN served USING (hadm_id))"""
+_CROSS = """
+    s AS (SELECT lower(trim(diagnosis)) AS diagnosis, CAST(subject_id AS VARCHAR) AS patient, CAST(hadm_id AS VARCHAR) AS admission FROM att WHERE trim(diagnosis) <> ''),
+    x AS (SELECT diagnosis, a.patient AS patient_1, a.admission AS admission_1, b.patient AS patient_2, b.admission AS admission_2 FROM s a JOIN s b USING (diagnosis) WHERE a.patient < b.patient)"""
 _CODED = """
     coded AS (SELECT o_orderkey AS hadm_id, ['Urgent', 'Emergency', 'Elective', '', 'Other Kind'][CAST(o_orderkey % 5 + 1 AS BIGINT)] AS admission_label,
               [NULL, 'Home with home health care', 'Skilled nursing', NULL, 'Left against medical advice', NULL, 'Rehab'][CAST(o_orderkey % 7 + 1 AS BIGINT)] AS discharge_label,
@@ -251,8 +259,10 @@ ORACLE_SQL = {
     "consecutive_pairs": _windows(2, 4, f"{_KEYS}, CASE WHEN num_diagnoses_1 = num_diagnoses_2 THEN 'unchanged' WHEN num_diagnoses_2 > num_diagnoses_1 THEN 'increased' ELSE 'decreased' END AS trend"),
     "trajectories": _windows(3, 2, f"{_KEYS}, hadm_id_3"),
     "compare_relation": _windows(2, 4, "hadm_id_1, hadm_id_2, CASE WHEN service_1 IS NULL OR service_2 IS NULL THEN NULL WHEN service_1 = service_2 THEN 'same' ELSE 'different' END AS relation"),
-    "cross_patient_pairs": f"""WITH {_DIAGNOSED}, s AS (SELECT lower(trim(diagnosis)) AS diagnosis, CAST(subject_id AS VARCHAR) AS patient, CAST(hadm_id AS VARCHAR) AS admission FROM att WHERE trim(diagnosis) <> '')
-        SELECT diagnosis, a.patient AS patient_1, a.admission AS admission_1, b.patient AS patient_2, b.admission AS admission_2 FROM s a JOIN s b USING (diagnosis) WHERE a.patient < b.patient""",
+    "cross_patient_pairs": f"WITH {_DIAGNOSED}, {_CROSS} SELECT * FROM x",
+    "cross_patient_capped": f"""WITH {_DIAGNOSED}, {_CROSS},
+        r AS (SELECT *, substr(sha256('42|' || diagnosis || '|' || admission_1 || '|' || admission_2), 1, 16) AS stable_rank FROM x)
+        SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY patient_1, patient_2 ORDER BY stable_rank, diagnosis, admission_1, admission_2) = 1""",
     "spread_priority": f"""
         WITH n AS (SELECT o_custkey AS subject_id, count(*) AS windows FROM orders GROUP BY o_custkey), w AS (SELECT *, unnest(range(windows)) AS idx FROM n)
         SELECT subject_id, windows, CAST(idx AS INTEGER) AS idx, {_spread(1)} AS cap_1, {_spread(2)} AS cap_2, {_spread(4)} AS cap_4 FROM w""",
