@@ -135,12 +135,14 @@ def packed(question: str, blocks: list[str], reserve: int, per_token: float, mos
     return taken
 
 
-def pack(items: DataFrame, budgets=BUDGETS) -> DataFrame:
-    """items(item, question, blocks: array of struct<rank, scope_pos, block>) -> (item, budget, contexts, dropped).
+def pack(items: DataFrame, budgets=BUDGETS, ask: bool = False) -> DataFrame:
+    """items(item, question, blocks: array of struct<rank, scope_pos, block>) -> (item, budget, contexts, dropped), and the question if ``ask``.
 
     Blocks come round-robin: by rank, then scope. Every budget is given, from the widest on.
     """
 
+    columns = ["item", "budget", "contexts", "dropped", *(["question"] if ask else [])]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
@@ -148,8 +150,8 @@ def pack(items: DataFrame, budgets=BUDGETS) -> DataFrame:
                 ordered = [b["block"] for b in sorted(blocks, key=lambda b: (b["rank"], b["scope_pos"]))]
                 for i, budget in enumerate(budgets):
                     taken = packed(question, ordered, *budget)
-                    rows.append((item, i, taken, len(ordered) - len(taken)))
-            yield pd.DataFrame(rows, columns=["item", "budget", "contexts", "dropped"])
+                    rows.append((item, i, taken, len(ordered) - len(taken), question))
+            yield pd.DataFrame(rows, columns=["item", "budget", "contexts", "dropped", "question"])[columns]
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.select("item", "question", "blocks").mapInPandas(run, f"item {kind}, budget int, contexts array<string>, dropped int")
+    return items.select("item", "question", "blocks").mapInPandas(run, f"item {kind}, budget int, contexts array<string>, dropped int" + (", question string" if ask else ""))

@@ -284,14 +284,14 @@ def conditions(items: DataFrame, documents: DataFrame, template: str = "chatml")
     return rows.select("id", F.explode(made).alias("c")).select("id", "c.*")
 
 
-def attempts(outputs: DataFrame, stop: str = "<|im_end|>") -> DataFrame:
-    """outputs(id, raw, stats, error) with answer (cut at the stop mark), token counts and whether it was cut off."""
+def attempts(outputs: DataFrame, stop: str = "<|im_end|>", keep: tuple[str, ...] = ()) -> DataFrame:
+    """outputs(id, raw, stats, error) with answer (cut at the stop mark), token counts and whether it was cut off; and the columns to keep."""
     from scopewise.functions.text import stat, stripped
 
     prompt, made = stat(F.col("stats"), "prompt_tokens"), stat(F.col("stats"), "generated_tokens")
     return outputs.select(
         "id", stripped(F.substring_index(F.coalesce("raw", F.lit("")), stop, 1)).alias("answer"), F.coalesce(F.col("raw").contains(stop), F.lit(False)).alias("stopped"), prompt.alias("prompt_tokens"),
-        made.alias("generated_tokens"), F.coalesce(prompt + made >= WINDOW_TOKENS - MARGIN, F.lit(False)).alias("truncated"), "error",
+        made.alias("generated_tokens"), F.coalesce(prompt + made >= WINDOW_TOKENS - MARGIN, F.lit(False)).alias("truncated"), "error", *keep,
     )
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopewise.functions import labels as L
 from scopewise.functions.chunker import chunked
 from scopewise.functions.sections import sections
-from scopewise.operators import candidates, pages, questions
+from scopewise.operators import candidates, context, generation, pages, questions
 from scopewise.plans.cohort import _DIAGNOSED, _windows
 from scopewise.plans.documents import _BLANKS, _CHUNKS, _ONE, _STRIP
-from scopewise.plans.tables import admission_attributes, table
+from scopewise.plans.tables import admission_attributes, documents, table
 from scopewise.sources import sinks
 
 COLUMNS = ["hadm_id", "service", "num_diagnoses", "admittime"]
@@ -108,11 +111,32 @@ def generation_attempts(spark: SparkSession, d: str) -> DataFrame:
     return questions.attempts(rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), raw.alias("raw"), stats.alias("stats"), F.lit("").alias("error"))).drop("error")
 
 
+def stand_in(parts):
+    """A reader that fails by rule: an item's number modulo 5 is how many of its attempts come to nothing, each in another way."""
+    for part in parts:
+        rows = []
+        for i, reserve in zip(part["id"], part["reserve"], strict=True):
+            number = [b[0] for b in context.BUDGETS].index(reserve)
+            bad = number < i % 5
+            stats = json.dumps({"prompt_tokens": 100, "generated_tokens": 2000 if bad and number == 2 else 20})
+            raw = "" if bad and number in (0, 3) else f" answer {i} of {number}<|im_end|> and more"
+            rows.append((i, raw, stats, "timeout" if bad and number == 1 else None))
+        yield pd.DataFrame(rows, columns=["id", "raw", "stats", "error"])
+
+
+def generation_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as an item, whose number is the question and whose text is the evidence; a reader that fails by rule."""
+    block = F.concat(F.lit("[Notes]: "), F.coalesce("text", F.lit("")))
+    blocks = F.array(F.struct(F.lit(1).alias("rank"), F.lit(0).alias("scope_pos"), block.alias("block")))
+    items = documents(spark, d, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("question"), blocks.alias("blocks"))
+    return generation.final(generation.rounds(items, stand_in)).select("id", "attempts", "answer", "generated_tokens", "truncated", "error", "clean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         admission_documents, header_questions, section_questions, question_items, question_stats, kind_availability, single_violations, pair_questions, trajectory_questions, multi_violations,
-        generator_conditions, generation_attempts,
+        generator_conditions, generation_attempts, generation_rounds,
     )
 }
 
@@ -212,4 +236,8 @@ ORACLE_SQL = {
     "generation_attempts": r"""
         SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS answer, TRUE AS stopped, length(text) AS prompt_tokens,
                conv_id * 10 AS generated_tokens, length(text) + conv_id * 10 >= 2040 AS truncated FROM conversations WHERE role = 'assistant'""",
+    "generation_rounds": """
+        WITH r AS (SELECT doc_id AS id, doc_id % 5 AS bad, least(doc_id % 5, 3) AS last FROM documents)
+        SELECT id, CAST(last + 1 AS INTEGER) AS attempts, CASE WHEN bad < 4 THEN 'answer ' || id || ' of ' || last ELSE '' END AS answer,
+               CAST(20 AS BIGINT) AS generated_tokens, FALSE AS truncated, CAST(NULL AS VARCHAR) AS error, bad < 4 AS clean FROM r""",
 }
