@@ -15,7 +15,8 @@ from scopewise.operators import candidates, context, generation, pages, question
 from scopewise.plans.cohort import _DIAGNOSED, _windows
 from scopewise.plans.documents import _BLANKS, _CHUNKS, _ONE, _STRIP
 from scopewise.plans.tables import admission_attributes, documents, table
-from scopewise.sources import sinks
+from scopewise.sources import readers, sinks
+from scopewise.sources.staging import new_folder
 
 COLUMNS = ["hadm_id", "service", "num_diagnoses", "admittime"]
 
@@ -132,11 +133,19 @@ def generation_rounds(spark: SparkSession, d: str) -> DataFrame:
     return generation.final(generation.rounds(items, stand_in)).select("id", "attempts", "answer", "generated_tokens", "truncated", "error", "clean")
 
 
+def question_file_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as a question set of several files in order, from the hundredth item on: half of them."""
+    rows = documents(spark, d, "doc_id", "source", "text").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("patient_id"), F.col("text").alias("question"), "doc_id")
+    path = new_folder(spark, "questions")
+    sinks.write_json(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumnRenamed("doc_id", "_doc_id"), path)
+    return readers.read_questions(spark, path, start=100, most=rows.count() // 2).select("id", "patient_id", F.length("question").alias("length"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         admission_documents, header_questions, section_questions, question_items, question_stats, kind_availability, single_violations, pair_questions, trajectory_questions, multi_violations,
-        generator_conditions, generation_attempts, generation_rounds,
+        generator_conditions, generation_attempts, generation_rounds, question_file_slice,
     )
 }
 
@@ -240,4 +249,7 @@ ORACLE_SQL = {
         WITH r AS (SELECT doc_id AS id, doc_id % 5 AS bad, least(doc_id % 5, 3) AS last FROM documents)
         SELECT id, CAST(last + 1 AS INTEGER) AS attempts, CASE WHEN bad < 4 THEN 'answer ' || id || ' of ' || last ELSE '' END AS answer,
                CAST(20 AS BIGINT) AS generated_tokens, FALSE AS truncated, CAST(NULL AS VARCHAR) AS error, bad < 4 AS clean FROM r""",
+    "question_file_slice": """
+        SELECT CAST(doc_id AS VARCHAR) AS id, source AS patient_id, length(text) AS length
+        FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents) WHERE place >= 100 AND place < 100 + n // 2""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,12 +98,29 @@ def read_details(spark: SparkSession, folder: str, table: str, notes: DataFrame)
     return rows.join(notes.select("note_id").distinct(), "note_id", "left_semi")
 
 
+def numbered_lines(spark: SparkSession, path: str, start: int = 0, most: int | None = None) -> DataFrame:
+    """(value, at): lines that are not blank, numbered from 0 in the order of file names and lines, from a number on and so many at most.
+
+    Lines are counted by block of a file first; a running sum over the blocks says which of them hold the lines asked for,
+    and only those are numbered, each for itself. An empty or missing selection has no rows.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
+    lines = lines.where(F.trim("value") != "")
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    # one narrow row for each block of a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.withColumn("before", before).where(F.col("before") + F.col("n") > start)
+    if most is not None:
+        wanted = wanted.where(F.col("before") < start + most)
+    at = F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("_id")) - 1
+    rows = lines.join(wanted.select("file", "block", "before"), ["file", "block"]).select("value", at.alias("at")).where(F.col("at") >= start)
+    return rows if most is None else rows.where(F.col("at") < start + most)
+
+
 def read_questions(spark: SparkSession, path: str, multi: bool = False, start: int = 0, most: int | None = None) -> DataFrame:
-    """A JSONL question set in file order, from an item on and so many at most; blank lines are skipped."""
-    schema = T._parse_datatype_string(MULTI_QA if multi else SINGLE_QA)
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    rows = lines.select("_at", F.from_json("value", schema).alias("r")).select("_at", "r.*").orderBy("_at").offset(start)
-    return (rows.limit(most) if most is not None else rows).drop("_at")
+    """A JSONL question set in the order of its files and lines, from an item on and so many at most; blank lines are skipped."""
+    lines = numbered_lines(spark, path, start, most)
+    return lines.select("at", F.from_json("value", MULTI_QA if multi else SINGLE_QA).alias("r")).orderBy("at").select("r.*")
 
 
 def question_sources(questions: DataFrame) -> DataFrame:

@@ -22,6 +22,27 @@ def test_tables_and_notes(spark, tmp_path):
         readers.require_table(spark, str(tmp_path), "patients")
 
 
+def test_lines_of_many_files_are_numbered(spark, tmp_path):
+    """Files of many blocks each, with blank lines: every offset and limit is what reading them one after the other gives."""
+    folder = tmp_path / "sets"
+    folder.mkdir()
+    want = []
+    for f in (2, 0, 1):
+        lines = [("  " if i % 7 == 3 else "") if i % 5 == 0 else json.dumps({"id": f"{f}-{i}", "question": "q" * (i % 40)}) for i in range(200 * f)]
+        (folder / f"part-{f}.jsonl").write_text("\n".join(lines))
+    for f in range(3):
+        want += [json.loads(x)["id"] for x in (folder / f"part-{f}.jsonl").read_text().split("\n") if x.strip()]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(folder)).select("_metadata.file_block_start").distinct().count() > 5
+        for start, most in ((0, None), (0, 7), (150, 30), (len(want) - 5, 50), (len(want), None), (10, 0), (3, None)):
+            got = [r.id for r in readers.read_questions(spark, str(folder), start=start, most=most).collect()]
+            assert got == (want[start:] if most is None else want[start : start + most]), (start, most)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_questions_and_chunks(spark, tmp_path):
     items = [{"id": f"q{i}", "comparison_type": "same", "sources": [{"patient_id": "1", "admission_id": str(i), "source_chunk": "c"}]} for i in range(5)]
     (tmp_path / "q.jsonl").write_text("\n".join(json.dumps(x) for x in items[:3]) + "\n\n  \n" + "\n".join(json.dumps(x) for x in items[3:]))
