@@ -135,23 +135,25 @@ def packed(question: str, blocks: list[str], reserve: int, per_token: float, mos
     return taken
 
 
-def pack(items: DataFrame, budgets=BUDGETS, ask: bool = False) -> DataFrame:
-    """items(item, question, blocks: array of struct<rank, scope_pos, block>) -> (item, budget, contexts, dropped), and the question if ``ask``.
+def pack(items: DataFrame, budgets=BUDGETS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """items(item, question, blocks: array of struct<rank, scope_pos, block>) -> (item, budget, contexts, dropped), and columns of items to carry.
 
     Blocks come round-robin: by rank, then scope. Every budget is given, from the widest on.
     """
 
-    columns = ["item", "budget", "contexts", "dropped", *(["question"] if ask else [])]
+    columns = ["item", "budget", "contexts", "dropped", *carry]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for item, question, blocks in zip(part["item"], part.question, part.blocks, strict=True):
+            carried = zip(*[part[c] for c in carry], strict=True) if carry else [()] * len(part)
+            for item, question, blocks, kept in zip(part["item"], part.question, part.blocks, carried, strict=True):
                 ordered = [b["block"] for b in sorted(blocks, key=lambda b: (b["rank"], b["scope_pos"]))]
                 for i, budget in enumerate(budgets):
                     taken = packed(question, ordered, *budget)
-                    rows.append((item, i, taken, len(ordered) - len(taken), question))
-            yield pd.DataFrame(rows, columns=["item", "budget", "contexts", "dropped", "question"])[columns]
+                    rows.append((item, i, taken, len(ordered) - len(taken), *kept))
+            yield pd.DataFrame(rows, columns=columns)
 
-    kind = items.schema["item"].dataType.simpleString()
-    return items.select("item", "question", "blocks").mapInPandas(run, f"item {kind}, budget int, contexts array<string>, dropped int" + (", question string" if ask else ""))
+    kind = lambda c: items.schema[c].dataType.simpleString()
+    schema = f"item {kind('item')}, budget int, contexts array<string>, dropped int" + "".join(f", {c} {kind(c)}" for c in carry)
+    return items.select(*dict.fromkeys(("item", "question", "blocks", *carry))).mapInPandas(run, schema)

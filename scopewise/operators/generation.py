@@ -3,6 +3,9 @@
 A round packs the contexts of the items that are left, asks the reader in Arrow batches and writes what came of it to a
 folder of its own before the next begins. Rounds are as many as the budgets, and items that are clean are not sent again.
 A run that stops is resumed with the same folder: rounds that were written whole are read, not asked for again.
+
+What goes again is written beside the attempt that was not clean, so that a round reads no more than the last one left and
+nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -31,24 +34,36 @@ def _written(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+#: What an item needs to be packed again: its blocks as columns of arrays.
+AGAIN = ("question", "ranks", "scopes", "texts")
+
+
 def asked(items: DataFrame, budget: Sequence, template: str = "chatml") -> DataFrame:
-    """(id, prompt, reserve, contexts, dropped) of items(id, question, blocks) packed for a budget."""
-    packed = pack(items.withColumnRenamed("id", "item"), [budget], ask=True)
+    """(id, prompt, reserve, contexts, dropped, and what packs them again) of items(id, question, blocks) packed for a budget."""
+    items = items.select(F.col("id").alias("item"), "question", "blocks", F.col("blocks.rank").alias("ranks"), F.col("blocks.scope_pos").alias("scopes"), F.col("blocks.block").alias("texts"))
+    packed = pack(items, [budget], AGAIN)
     notes = F.concat_ws("\n\n", F.transform("contexts", lambda c: F.concat(F.lit("- "), c)))
     prompt = factual_prompt(F.col("question"), notes, template)
-    return packed.select(F.col("item").alias("id"), prompt.alias("prompt"), F.lit(int(budget[0])).alias("reserve"), F.size("contexts").alias("contexts"), "dropped")
+    return packed.select(F.col("item").alias("id"), prompt.alias("prompt"), F.lit(int(budget[0])).alias("reserve"), F.size("contexts").alias("contexts"), "dropped", *AGAIN)
+
+
+def left_of(made: DataFrame) -> DataFrame:
+    """items(id, question, blocks) that a round left."""
+    zipped = F.transform(F.arrays_zip("ranks", "scopes", "texts"), lambda b: F.struct(b["ranks"].alias("rank"), b["scopes"].alias("scope_pos"), b["texts"].alias("block")))
+    return made.where("NOT clean").select("id", "question", zipped.alias("blocks"))
 
 
 def _beside(reader: Reader) -> Reader:
     """The reader, with what is known of each prompt kept beside its answers."""
+    beside = ["contexts", "dropped", *AGAIN]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
 
         def given() -> Iterator[pd.DataFrame]:
             for part in parts:
-                for i, contexts, dropped in zip(part["id"], part["contexts"], part["dropped"], strict=True):
-                    known.setdefault(i, []).append((contexts, dropped))
+                for i, *facts in zip(part["id"], *[part[c] for c in beside], strict=True):
+                    known.setdefault(i, []).append(facts)
                 yield part[["id", "prompt", "reserve"]]
 
         for out in reader(given()):
@@ -57,26 +72,26 @@ def _beside(reader: Reader) -> Reader:
                 facts.append(known[i].pop())
                 if not known[i]:
                     del known[i]
-            yield out[["id", "raw", "stats", "error"]].assign(contexts=[c for c, _ in facts], dropped=[d for _, d in facts])
+            facts = pd.DataFrame(facts, columns=beside, index=out.index)
+            yield pd.concat([out[["id", "raw", "stats", "error"]], facts], axis=1)
 
     return run
 
 
 def round_of(items: DataFrame, reader: Reader, number: int, budget: Sequence, template: str = "chatml") -> DataFrame:
-    """(id, answer, stopped, prompt_tokens, generated_tokens, truncated, error, contexts, dropped, budget, clean) of one attempt each."""
+    """(id, answer, stopped, prompt_tokens, generated_tokens, truncated, error, contexts, dropped, budget, clean) of one attempt each; with what goes again."""
     prompts = asked(items, budget, template)
-    kind = prompts.schema["id"].dataType.simpleString()
-    read = prompts.mapInPandas(_beside(reader), f"id {kind}, raw string, stats string, error string, contexts int, dropped int")
-    rows = questions.attempts(read, keep=("contexts", "dropped"))
-    return rows.withColumn("budget", F.lit(number)).withColumn("clean", clean())
+    kept = ["contexts", "dropped", *AGAIN]
+    schema = ", ".join(["raw string", "stats string", "error string", *[f"{c} {prompts.schema[c].dataType.simpleString()}" for c in ("id", *kept)]])
+    rows = questions.attempts(prompts.mapInPandas(_beside(reader), schema), keep=tuple(kept)).withColumn("clean", clean())
+    return rows.withColumns({c: F.when(~F.col("clean"), F.col(c)) for c in AGAIN} | {"budget": F.lit(number)})
 
 
 def rounds(items: DataFrame, reader: Reader, budgets: Sequence[Sequence] = BUDGETS, folder: str | None = None, template: str = "chatml") -> DataFrame:
-    """All attempts, by id and budget, of items(id, question, blocks); ids are unique and not null.
+    """All attempts, by id and budget, of items(id, question, blocks); ids are unique.
 
-    ``folder`` is a path that all executors share; a new one in the shared folder if none is given. Every round reads items
-    again: stage them if they are dear. An empty table has no
-    attempts. A question that is null is empty, blocks that are null are none.
+    ``folder`` is a path that all executors share; a new one in the shared folder if none is given. An
+    empty table has no attempts. A question that is null is empty, blocks that are null are none.
     """
     spark = items.sparkSession
     folder = folder or new_folder(spark, "rounds")
@@ -90,8 +105,9 @@ def rounds(items: DataFrame, reader: Reader, budgets: Sequence[Sequence] = BUDGE
                 break
             round_of(left, reader, number, budget, template).write.mode("overwrite").parquet(path)
         made = spark.read.parquet(path)
-        tried = made if tried is None else tried.unionByName(made)
-        left = left.join(made.where("NOT clean").select("id"), "id", "left_semi")
+        done = made.drop(*AGAIN)
+        tried = done if tried is None else tried.unionByName(done)
+        left = left_of(made)
     return tried
 
 
