@@ -250,6 +250,6 @@ ORACLE_SQL = {
         SELECT id, CAST(last + 1 AS INTEGER) AS attempts, CASE WHEN bad < 4 THEN 'answer ' || id || ' of ' || last ELSE '' END AS answer,
                CAST(20 AS BIGINT) AS generated_tokens, FALSE AS truncated, CAST(NULL AS VARCHAR) AS error, bad < 4 AS clean FROM r""",
     "question_file_slice": """
-        SELECT CAST(doc_id AS VARCHAR) AS id, source AS patient_id, length(text) AS length
+        SELECT CAST(doc_id AS VARCHAR) AS id, source AS patient_id, CAST(length(text) AS INTEGER) AS length
         FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents) WHERE place >= 100 AND place < 100 + n // 2""",
 }
