@@ -155,6 +155,27 @@ def test_store_search(spark):
     assert store.of_dimension(rows, 3).count() == 60 and store.of_dimension(rows, 4).count() == 0
 
 
+def test_hashed_search_is_sparks_own_without_its_pairs(spark, monkeypatch):
+    """The same neighbours as Spark's join of buckets; only the k best of a block are shuffled, with no vector."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(store, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(store, "PART_ROWS", 9)
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)], "chunk_id long, embedding array<float>")
+    queries = rows.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = store.lsh_knn(queries, rows, 7, threshold=2.5, bucket=0.7, tables=2)
+    side = lambda df, key: df.select(key, array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
+    index = side(rows, "chunk_id")
+    model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=0.7, numHashTables=2, seed=7).fit(index)
+    want = {}
+    for r in model.approxSimilarityJoin(side(queries, "query_id"), index, 2.5, "distance").collect():
+        want.setdefault(r.datasetA.query_id, []).append((round(r.distance, 9), r.datasetB.chunk_id))
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == sorted((q, i + 1, c) for q, x in want.items() for i, (_, c) in enumerate(sorted(x)[:7]))
+    assert "datasetB" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_upsert_replaces_documents(spark):
     old = spark.createDataFrame([("p", "d", 1), ("p", "d", 2), ("p", "e", 3)], "patient string, doc string, v int")
     new = spark.createDataFrame([("p", "d", 9), ("q", "d", 8)], "patient string, doc string, v int")
