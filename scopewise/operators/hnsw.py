@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from scopewise.sources.staging import size_of
 LINKS, BUILD_VIEW, VIEW = 16, 128, 128
 #: Points of a shard and questions of a block, on average; folders of an index.
 SHARD_ROWS, QUESTION_ROWS, FOLDERS = 50_000, 20_000, 16
+#: Questions that an exact check takes at once.
+CHECKED = 64
 METRICS = ("cosine", "l2")
 
 
@@ -154,6 +157,22 @@ def _grown(metric: str):
     return grown
 
 
+def _within(vectors: np.ndarray, points: np.ndarray, reached: np.ndarray, metric: str) -> Iterator[np.ndarray]:
+    """For each of points the vectors that are no farther than its ``reached``, and what rounding can't tell from them."""
+    held, asked = vectors.astype(np.float64), points.astype(np.float64)
+    held2, asked2 = (held * held).sum(axis=1), (asked * asked).sum(axis=1)
+    if metric == "cosine":
+        held, asked = (np.divide(x, np.sqrt(n)[:, None], out=np.zeros_like(x), where=n[:, None] > 0) for x, n in ((held, held2), (asked, asked2)))
+    for at in range(0, len(asked), CHECKED):
+        part = slice(at, at + CHECKED)
+        products = asked[part] @ held.T
+        for row, own, far in zip(products, asked2[part], reached[part], strict=True):
+            if metric == "cosine":
+                yield np.flatnonzero(1 - row <= far + 1e-5)
+            else:
+                yield np.flatnonzero(held2 + own - 2 * row <= far * far + 1e-5 * (held2 + own))
+
+
 def _sound(rows: DataFrame, dims: int | None) -> DataFrame:
     """Rows with a vector of finite numbers in single precision, of the index's dimension if it has one."""
     rows = rows.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
@@ -208,11 +227,12 @@ class Index:
         """(points, bytes)."""
         return self.rows().count(), size_of(self.spark, self.path)
 
-    def search(self, queries: DataFrame, k: int, view: int = VIEW) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, view: int = VIEW, exact: bool = False) -> DataFrame:
         """(query_id, chunk_id, distance, score, rank): the k nearest found of each of queries(query_id, scope, embedding) in its scope.
 
         Distance is 1 - cosine, score (1 + cosine) / 2 x 100; or l2 and 100 / (1 + distance). Ties go to the smaller
-        id. The folders of other scopes are not read.
+        id. The folders of other scopes are not read. With ``exact``, what a shard's graph has found is checked: points that
+        it missed and that are no farther than its k-th join them. The check is a product of a shard's points and questions.
         """
         asked = _sound(queries.select("query_id", "scope", F.col("embedding").cast("array<float>").alias("embedding")), self.dims)
         asked = asked.select(F.col("scope").alias("q_scope"), "query_id", F.col("embedding").alias("point"), self._folder().alias("q_folder"), F.size("embedding").alias("q_dim"))
@@ -232,14 +252,21 @@ class Index:
             if len(asked) and len(held):
                 held = held.sort_values("node")
                 layers, ids, vectors = _loaded(held, metric), held.chunk_id.to_numpy(), np.stack(held.embedding.to_numpy())
-                for query, point in zip(asked.query_id, asked.point, strict=True):
-                    near = layers.nearest(point, max(view, k), view)
+
+                def distances(near: list[int] | np.ndarray, point: np.ndarray) -> np.ndarray:
                     # products in single precision, summed in double
                     if metric == "l2":
-                        far = np.sqrt(((vectors[near] - point) ** 2).sum(axis=1, dtype=np.float64))
-                    else:
-                        size = np.sqrt((vectors[near] ** 2).sum(axis=1, dtype=np.float64)) * np.sqrt((point * point).sum(dtype=np.float64))
-                        far = 1 - np.divide((vectors[near] * point).sum(axis=1, dtype=np.float64), size, out=np.zeros(len(near)), where=size > 0)
+                        return np.sqrt(((vectors[near] - point) ** 2).sum(axis=1, dtype=np.float64))
+                    size = np.sqrt((vectors[near] ** 2).sum(axis=1, dtype=np.float64)) * np.sqrt((point * point).sum(dtype=np.float64))
+                    return 1 - np.divide((vectors[near] * point).sum(axis=1, dtype=np.float64), size, out=np.zeros(len(near)), where=size > 0)
+
+                points = np.stack(asked.point.to_numpy())
+                nears = [layers.nearest(point, max(view, k), view) for point in points]
+                if exact:
+                    reached = [np.partition(far, k - 1)[k - 1] if len(far) >= k else np.inf for far in map(distances, nears, points)]
+                    nears = _within(vectors, points, np.array(reached), metric)
+                for query, point, near in zip(asked.query_id, points, nears, strict=True):
+                    far = distances(near, point)
                     best = sorted(zip(np.round(far, 9), [ids[p] for p in near], far, strict=True))[:k]
                     out += [(query, i, f) for _, i, f in best]
             return pd.DataFrame(out, columns=["query_id", "chunk_id", "distance"])

@@ -65,6 +65,20 @@ def test_a_saved_index_grows_and_is_searched(spark):
     assert all({i for i, *_ in got[500 + q]} == {1000 + int(i) for i in exact(b, b[q : q + 1], 10, "cosine")[0][0]} for q in range(5))
 
 
+@pytest.mark.parametrize("metric", hnsw.METRICS)
+def test_an_exact_search_finds_what_copies_hide(spark, metric):
+    """Each vector comes 100 times: a graph of LINKS links joins copies to copies, and misses others."""
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.normal(size=(12, 6)), 100, axis=0).astype(np.float32)[rng.permutation(1200)]
+    index = hnsw.Index(spark, new_folder(spark, "hnsw-copies"), metric, shard_rows=700)
+    index.insert(rows_of(spark, vectors, "s"))
+    found = index.search(rows_of(spark, vectors[:20], "s").withColumnRenamed("chunk_id", "query_id"), 110, exact=True).orderBy("query_id", "rank").collect()
+    for q in range(20):
+        v, p = vectors.astype(np.float64), vectors[q].astype(np.float64)
+        far = np.sqrt(((v - p) ** 2).sum(axis=1)) if metric == "l2" else 1 - (v @ p) / (np.linalg.norm(v, axis=1) * np.linalg.norm(p))
+        assert [r.chunk_id for r in found if r.query_id == q] == np.lexsort((np.arange(1200), np.round(far, 5)))[:110].tolist()
+
+
 def test_a_search_reads_only_the_folders_of_its_scopes(spark):
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(i, f"s{i % 40}", [float(x) for x in rng.normal(size=4)]) for i in range(400)], "chunk_id long, scope string, embedding array<float>")
