@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scopewise.functions.chunker import chunked
 from scopewise.operators import assignment, candidates, cohort, context, fusion, metrics, pages, questions, records, retrieval, store
 from scopewise.plans import evaluation
 from scopewise.sources import readers
@@ -307,6 +308,31 @@ def test_knn_in_blocks(spark, monkeypatch, metric):
         assert [i for i, _ in got[200]] == [200, 201, 202, 203, 204]
 
 
+def test_long_documents_meet_their_evidence_as_short_ones(spark, monkeypatch):
+    """The same pages and gold chunks, whether documents are gathered, dealt by words and buckets, or some of each."""
+    rng = random.Random(4)
+    texts = [(d, p, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "w%d" % rng.randrange(9)]) for _ in range(25))) for d in range(3) for p in range(1, 2 + 3 * d)]
+    ranges = pages.paged(spark.createDataFrame(texts, "doc int, page int, text string"), "doc", "page", "text")
+    chunks = chunked(pages.document_text(ranges, "doc"), "doc", "text", 90, 30)
+    asked = spark.createDataFrame([(d, t[low : low + n]) for d, _, t in texts for low, n in ((0, 40), (7, 21), (3, 5))] + [(0, None), (1, " "), (7, "alpha")], "doc int, evidence string").distinct()
+    found = []
+    for few in (64, 4, 0):
+        monkeypatch.setattr(pages, "FEW", few)
+        paged = pages.text_pages(asked, ranges, "doc")
+        gold = pages.gold_chunks(paged.where("page IS NOT NULL"), chunks, ranges, "doc")
+        found.append([sorted(map(repr, map(tuple, rows.collect()))) for rows in (paged, gold)])
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 20
+
+
+def test_words_are_shuffled_without_their_text(spark):
+    ranges = pages.paged(spark.createDataFrame([(1, 1, "a b c d")], "doc int, page int, text string"), "doc", "page", "text")
+    few = pages.text_pages(spark.createDataFrame([(1, "b c")], "doc int, evidence string"), ranges, "doc")
+    assert few.collect()[0].page == 1
+    words = pages.text_pages_by_words(spark.createDataFrame([(1, "b c d")], "doc int, _wanted string"), ranges.select("doc", "page", F.col("text").alias("flat")), "doc")
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert words.collect()[0].page == 1 and not [line for line in plan.splitlines() if "Project [" in line and "_word#" in line and "_wanted#" in line.split("Project [")[1]]
+
+
 def test_text_pages_meet_by_rare_words(spark):
     """Against containment in every page: cut words at both ends, short evidence, blanks, dots, repeated rows, other documents."""
     rng = random.Random(9)
