@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopewise.sources.staging import staged
+
 MOST_PAIRS, MOST_TRAJECTORIES, MOST_CROSS = 4, 2, 1
 #: Admissions of a diagnosis that meet in one task; more are dealt in blocks.
 PAIR_BLOCK = 1_000
+#: Source sets of a range that a balanced choice reads at a time.
+RANGE_SETS = 50_000
 SEED = 42
 
 
@@ -108,6 +114,42 @@ def select_balanced(candidates: DataFrame, cap: int) -> list[dict]:
     return chosen
 
 
+def balanced_choice(candidates: DataFrame, cap: int, range_sets: int = RANGE_SETS) -> DataFrame:
+    """(source_set, group, field, relation): select_balanced() as a table, for any number of candidates.
+
+    Caps don't depend on what is chosen, so they are a window. What is chosen of a set depends on the fields and relations
+    of its members in order of their ranks, of which there are few kinds: the fold reads the kinds of the sets in the order
+    they are visited, one range of about ``range_sets`` at a time, and keeps one digit for each set.
+    """
+    spark = candidates.sparkSession
+    members = F.array_sort(F.collect_list(F.struct("rank", "field", "relation")))
+    sets = candidates.where("grounded").groupBy("source_set").agg(F.min("group").alias("group"), F.min("priority").alias("priority"), members.alias("members"))
+    sets = sets.withColumns({"first": F.col("members")[0]["rank"], "kind": F.to_json(F.transform("members", lambda m: F.array(m["field"], m["relation"])))})
+    within_cap = F.row_number().over(Window.partitionBy("group").orderBy("priority", "first", "source_set"))
+    sets = staged(sets.withColumn("_n", within_cap).where(F.col("_n") <= cap).drop("_n"), "sets")
+    ranges = max(1, math.ceil(sets.count() / range_sets))
+    dealt = staged(sets.repartitionByRange(ranges, "priority", "first", "source_set").withColumn("range", F.spark_partition_id()), "dealt")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("priority", "first", "source_set"))
+    placed = staged(dealt.withColumn("place", place - 1), "placed")
+    texts = [r.kind for r in placed.select("kind").distinct().orderBy("kind").collect()]
+    kinds = [json.loads(k) for k in texts]
+    numbers = spark.createDataFrame([(k, i) for i, k in enumerate(texts)], "kind string, number int")
+    order = placed.join(numbers, "kind").groupBy("range").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("x")).select("range", "x.number").orderBy("range")
+    fields, relations, chosen = Counter(), Counter(), []
+    for r in order.toLocalIterator():
+        best = []
+        for number in r.number:
+            kind = kinds[number]
+            at = min(range(len(kind)), key=lambda m: (fields[kind[m][0]], relations[tuple(kind[m])], m))
+            fields[kind[at][0]] += 1
+            relations[tuple(kind[at])] += 1
+            best.append(at)
+        chosen.append((r.range, ",".join(map(str, best))))
+    chosen = spark.createDataFrame(chosen, "range int, best string").select("range", F.posexplode(F.split("best", ",")).alias("place", "at"))
+    picked = placed.join(chosen, ["range", "place"]).withColumn("m", F.get("members", F.col("at").cast("int")))
+    return picked.select("source_set", "group", "m.field", "m.relation")
+
+
 def capped(items: DataFrame, group: list[str], order: list[str], kind: str, caps: dict[str, int]) -> DataFrame:
     """The first items of each group by order, as many as the cap of their kind."""
     limit = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])

@@ -148,8 +148,7 @@ def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
     held = grounded_families(spark, d).where("kind = 'same_patient_two_admissions'").select(F.substring_index("item", "/", -1).alias("source_set"), F.lit(True).alias("held"))
     rank = candidates.stable_rank(F.col("source_set"), F.col("field")).alias("rank")
     ranked = both.join(held, "source_set", "left").select("source_set", F.col("subject_id").cast("string").alias("group"), "priority", "field", "relation", rank, F.coalesce("held", F.lit(False)).alias("grounded"))
-    chosen = candidates.select_balanced(ranked, candidates.MOST_PAIRS)
-    return spark.createDataFrame([(r["source_set"], r["group"], r["field"], r["relation"]) for r in chosen], "source_set string, patient string, field string, relation string")
+    return candidates.balanced_choice(ranked, candidates.MOST_PAIRS).withColumnRenamed("group", "patient")
 
 
 QUERIES = {

@@ -116,6 +116,16 @@ def test_selection_keeps_caps_and_balance(spark):
     assert abs(sum(r["field"] == "icu" for r in found) - 3) <= 1
 
 
+def test_a_balanced_choice_by_ranges_is_the_folds(spark):
+    """Sets of one to three members, some not grounded, in ranges of seven: what the fold on the driver chooses."""
+    rng = random.Random(8)
+    rows = [(f"s{s}", f"g{s % 9}", s % 4, f, rng.choice(["same", "different"]), f"{rng.random():.12f}", rng.random() < 0.8) for s in range(60) for f in rng.sample(["icu", "service", "diagnosis"], rng.randrange(1, 4))]
+    table = spark.createDataFrame(rows, "source_set string, group string, priority int, field string, relation string, rank string, grounded boolean")
+    want = sorted((r["source_set"], r["group"], r["field"], r["relation"]) for r in candidates.select_balanced(table, 5))
+    assert sorted(map(tuple, candidates.balanced_choice(table, 5, 7).collect())) == want and len(want) > 30
+    assert candidates.balanced_choice(table.limit(0), 5).count() == 0
+
+
 def test_pages(spark):
     rows = pages.paged(spark.createDataFrame([(1, 1, "ab  c "), (1, 2, None), (1, 3, "Evidence HERE")], "doc int, page int, text string"), "doc", "page", "text")
     assert [(r.page, r.start, r.end) for r in rows.orderBy("page").collect()] == [(1, 0, 4), (2, 5, 5), (3, 6, 19)]
