@@ -164,3 +164,13 @@ def test_merges_may_share_a_joined_text():
     words = {"a": 1, "b": 2, "c": 3, "ab": 4, "bc": 5, "abc": 6}
     assert Bpe(words, merges).pieces("abc") == ["abc"] and Bpe(words, merges, joined=True).pieces("abc") == ["abc"]
     assert Bpe(words, merges[:1] + merges[3:]).ranks != Bpe(words, merges[:1] + merges[3:], joined=True).ranks
+
+
+def test_chunks_of_a_batch_are_made_in_parts():
+    import pyarrow as pa
+
+    from scopewise.functions.chunker import AT_ONCE, parts_of
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(2 * AT_ONCE + 3))})
+    parts = list(parts_of(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [AT_ONCE, AT_ONCE, 3] and [i for p in parts for i in p.column(0).to_pylist()] == list(range(2 * AT_ONCE + 3))
