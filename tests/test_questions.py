@@ -45,6 +45,20 @@ def test_items_are_grounded_and_checked(spark):
     assert {r.rule for r in questions.single_violations(bad).collect()} == {"not first person", "number in question", "id repeats", "items per document"}
 
 
+def test_items_of_long_documents_are_those_of_short_ones(spark, monkeypatch):
+    """Documents that are gathered, that are dealt by words and buckets, and some of each give the same items."""
+    texts = [(f"d{d}", p, f"ICU Stay: Yes. Page {p} of it says alpha{p} beta gamma{d}.") for d in range(3) for p in range(1, 2 + 3 * d)]
+    ranges = pages.paged(spark.createDataFrame(texts, "doc string, page int, text string"), "doc", "page", "text")
+    chunks = chunked(pages.document_text(ranges, "doc"), "doc", "text", 80, 20)
+    asked = [(f"d{d}", d, 10 + d, "k", str(i), "header" if i == 0 else "x", "What was my stay?", e, e) for d in range(3) for i, e in enumerate(("ICU Stay: Yes", "says alpha4 beta", "gone"))]
+    candidates = spark.createDataFrame(asked, "doc string, patient_id int, admission_id int, kind string, subkey string, section string, question string, answer string, evidence string")
+    found = []
+    for few in (64, 4, 0):
+        monkeypatch.setattr(pages, "FEW", few)
+        found.append(sorted(tuple(r) for r in questions.grounded_items(candidates, ranges, chunks).select("id", "doc", "subkey", "page", "gold").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5
+
+
 def test_pair_wording(spark):
     rows = spark.createDataFrame([(2, 5, "2100-01-01", "2100-02-02", "different", "Asthma")], "value_1 int, value_2 int, date_1 string, date_2 string, relation string, diagnosis string")
     mine = questions.pair_wording(rows, "num_diagnoses").first()
