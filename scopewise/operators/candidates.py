@@ -15,6 +15,8 @@ from scopewise.sources.staging import staged
 MOST_PAIRS, MOST_TRAJECTORIES, MOST_CROSS = 4, 2, 1
 #: Admissions of a diagnosis that meet in one task; more are dealt in blocks.
 PAIR_BLOCK = 1_000
+#: Pairs that a task of capped pairs makes, on average; if there are more, patients are dealt in blocks.
+TASK_PAIRS = 1_000_000
 #: Source sets of a range that a balanced choice reads at a time.
 RANGE_SETS = 50_000
 SEED = 42
@@ -45,14 +47,20 @@ def windows(admissions: DataFrame, patient: str, order: list[str], length: int,
     return rows.where("window_idx < window_count").withColumn("priority", spread_priority(F.col("window_idx"), F.col("window_count"), cap))
 
 
+def _diagnosed(admissions: DataFrame, patient: str, admission: str, diagnosis: str, excluded: Iterable[str]) -> DataFrame:
+    """(diagnosis, p, a): the admissions that take part in pairs, ids as text."""
+    rows = admissions.where(F.col(diagnosis).isNotNull() & (F.trim(diagnosis) != "") & ~F.upper(F.trim(diagnosis)).isin(*excluded))
+    rows = rows.select(F.lower(F.trim(diagnosis)).alias("diagnosis"), F.col(patient).cast("string").alias("p"), F.col(admission).cast("string").alias("a")).where("p IS NOT NULL AND a IS NOT NULL")
+    return rows
+
+
 def cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis: str, excluded: Iterable[str] = ("NEWBORN",), block_rows: int = PAIR_BLOCK) -> DataFrame:
     """Pairs of admissions of different patients with the same principal diagnosis, each pair once, ids by text order.
 
     A diagnosis of more than ``block_rows`` admissions is dealt in blocks, and each two of them (a triangle) meet in a task
     of their own. Rows without a diagnosis, a patient or an admission take no part; a row that repeats is in pairs as often.
     """
-    rows = admissions.where(F.col(diagnosis).isNotNull() & (F.trim(diagnosis) != "") & ~F.upper(F.trim(diagnosis)).isin(*excluded))
-    rows = rows.select(F.lower(F.trim(diagnosis)).alias("diagnosis"), F.col(patient).cast("string").alias("p"), F.col(admission).cast("string").alias("a")).where("p IS NOT NULL AND a IS NOT NULL")
+    rows = _diagnosed(admissions, patient, admission, diagnosis, excluded)
     hot = rows.groupBy("diagnosis").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
     rows = rows.join(hot, "diagnosis", "left").select("diagnosis", "p", "a", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("p", "a"), F.col("blocks")).cast("int"))
@@ -64,15 +72,40 @@ def cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis:
     return met.select("diagnosis", pick("p1", "p2").alias("patient_1"), pick("a1", "a2").alias("admission_1"), pick("p2", "p1").alias("patient_2"), pick("a2", "a1").alias("admission_2"))
 
 
-def capped_cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis: str, most: int = MOST_CROSS, **dealt) -> DataFrame:
+def capped_cross_pairs(admissions: DataFrame, patient: str, admission: str, diagnosis: str, most: int = MOST_CROSS, excluded: Iterable[str] = ("NEWBORN",), block_rows: int = PAIR_BLOCK, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """cross_pairs(), as many as ``most`` of each two patients, by their stable rank, with their place.
 
-    A pair that can't be among them doesn't leave the task that makes it: Spark limits each group before the shuffle.
+    A pair that can't be among them doesn't leave the task that makes it: Spark limits each group before the shuffle. More
+    than ``task_pairs`` pairs aren't shuffled at all: admissions are, to where all pairs of their patients are made.
     """
-    pairs = cross_pairs(admissions, patient, admission, diagnosis, **dealt)
+    rows = staged(_diagnosed(admissions, patient, admission, diagnosis, excluded), "diagnosed")
+    n = F.col("count")
+    pairs = rows.groupBy("diagnosis").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    blocks = math.ceil(math.sqrt(2 * pairs / task_pairs))
+    if pairs <= task_pairs:
+        pairs, together = cross_pairs(rows, "p", "a", "diagnosis", (), block_rows), []
+    else:
+        pairs, together = _pairs_by_patients(rows, blocks), ["low", "high"]
     pairs = pairs.withColumn("stable_rank", stable_rank(F.col("diagnosis"), F.col("admission_1"), F.col("admission_2")))
-    w = Window.partitionBy("patient_1", "patient_2").orderBy("stable_rank", "diagnosis", "admission_1", "admission_2")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    w = Window.partitionBy(*together, "patient_1", "patient_2").orderBy("stable_rank", "diagnosis", "admission_1", "admission_2")
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop(*together)
+
+
+def _pairs_by_patients(rows: DataFrame, blocks: int) -> DataFrame:
+    """cross_pairs() of (diagnosis, p, a) with low, high: patients are dealt in blocks, and all pairs of two blocks are in one task.
+
+    What is shuffled is each block's list of admissions of a diagnosis, once for every block.
+    """
+    lists = rows.groupBy("diagnosis", F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int").alias("own")).agg(F.collect_list(F.struct("p", "a")).alias("members"))
+    dealt = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "diagnosis", "own", "members")
+    side = lambda name: F.flatten(F.collect_list(F.when(F.col("own") == F.col(name), F.col("members"))))
+    met = dealt.repartition(blocks * (blocks + 1) // 2, "low", "high").groupBy("low", "high", "diagnosis").agg(side("low").alias("x"), side("high").alias("y"))
+    met = met.where("size(y) > 0").select("low", "high", "diagnosis", F.explode("x").alias("x"), "y").select("low", "high", "diagnosis", "x", F.explode("y").alias("y"))
+    met = met.where("x.p < y.p OR (low < high AND x.p > y.p)")
+    first, second = F.when(F.col("x.p") < F.col("y.p"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.p") < F.col("y.p"), F.col("y")).otherwise(F.col("x"))
+    met = met.select("low", "high", "diagnosis", first.alias("x"), second.alias("y"))
+    return met.select("low", "high", "diagnosis", F.col("x.p").alias("patient_1"), F.col("x.a").alias("admission_1"), F.col("y.p").alias("patient_2"), F.col("y.a").alias("admission_2"))
 
 
 def relation(a: Column, b: Column) -> Column:

@@ -55,3 +55,14 @@ def test_the_cap_comes_before_the_shuffle(spark):
     final, partial = plan.index("WindowGroupLimit"), plan.index("WindowGroupLimit", plan.index("WindowGroupLimit") + 1)
     assert "Final" in plan[final : final + 400] and "Exchange" in plan[final:partial]
     assert plan.index("Join", partial) > partial and "Exchange" not in plan[partial : plan.index("Join", partial)]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_capped_pairs_by_blocks_of_patients(spark, most):
+    """Many pairs are the same as few, and are not shuffled: admissions are."""
+    rows = spark.createDataFrame(admissions() + admissions()[:30], SCHEMA)
+    few, many = (candidates.capped_cross_pairs(rows, "patient", "admission", "diagnosis", most, task_pairs=n) for n in (10**9, 100))
+    assert sorted(many.select(*few.columns).collect()) == sorted(few.collect())
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    window = plan.index("Window ")
+    assert "Exchange" not in plan[window : plan.index("Generate", window)]
