@@ -48,9 +48,25 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select("scope", F.size(tokens_of(chunks)).alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def counted_terms(chunks: DataFrame, *keep: str) -> DataFrame:
+    """(keep, scope, chunk_id, dl, most, pos, term, tf): each term of a chunk with its count, chunks without a term once with none.
+
+    A chunk's tokens are put in order and their runs counted where they are: nothing is shuffled. dl is the chunk's length,
+    most its largest count, pos numbers its terms from 0. Chunk ids are unique in their scope.
+    """
+    own = [*keep, "scope", "chunk_id"]
+    held = chunks.select(*own, F.sort_array(tokens_of(chunks)).alias("_t"))
+    first = F.filter(F.transform("_t", lambda _, i: i), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    held = held.select(*own, "_t", first.alias("_first"))
+    runs = F.transform("_first", lambda at, j: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_first", j + 1), F.size("_t")) - at).cast("long").alias("tf")))
+    held = held.select(*own, F.size("_t").alias("dl"), runs.alias("_runs"))
+    held = held.select(*own, "dl", F.array_max(F.col("_runs.tf")).alias("most"), F.posexplode_outer("_runs").alias("pos", "_run"))
+    return held.select(*own, "dl", "most", "pos", "_run.term", "_run.tf")
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
     """(scope, chunk_id, term, tf)."""
-    return each_term(chunks, tokens_of(chunks), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return counted_terms(chunks).where("term IS NOT NULL").select("scope", "chunk_id", "term", "tf")
 
 
 def doc_freq(chunks: DataFrame) -> DataFrame:
@@ -89,15 +105,25 @@ def filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 
 
 def bm25_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Question terms (query_id, scope, term), and what each adds to the score of a chunk that holds it (scope, term, chunk_id, w)."""
-    asked = checked(each_term(queries, distinct_tokens(F.col("text")), "query_id", "scope"))
-    held = chunks.select("scope", "chunk_id", tokens_of(chunks).alias("_t"))
-    sized = each_term(held, F.col("_t"), "scope", "chunk_id", F.size("_t").alias("dl")).join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
-    tf = sized.groupBy("scope", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    """Question terms (query_id, scope, term), and what each adds to the score of a chunk that holds it (scope, term, chunk_id, w).
+
+    Texts are read once: counts of asked terms, and each chunk's length, are staged. What is joined to them has a row for
+    each asked term at most, so it is broadcast where question terms are.
+    """
+    asked = each_term(queries, distinct_tokens(F.col("text")), "query_id", "scope")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda rows: rows)
+    asked = small(asked)
+    wanted = small(asked.select("scope", "term").distinct().withColumn("wanted", F.lit(True)))
+    held = counted_terms(chunks).join(wanted, ["scope", "term"], "left").where("wanted OR coalesce(pos, 0) = 0")
+    held = staged(held.select("scope", "chunk_id", "dl", "pos", "term", "tf", F.coalesce("wanted", F.lit(False)).alias("wanted")), "counts")
+    n = held.where("coalesce(pos, 0) = 0").groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = held.where("wanted")
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return asked, tf.join(df, ["scope", "term"]).join(corpus_stats(chunks), "scope").select("scope", "term", "chunk_id", weight.alias("w"))
+    rated = small(df.join(n, "scope").select("scope", "term", idf.alias("idf"), "avgdl"))
+    weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return asked, tf.join(rated, ["scope", "term"]).select("scope", "term", "chunk_id", weight.alias("w"))
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:

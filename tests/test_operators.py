@@ -362,3 +362,17 @@ def test_text_pages_meet_by_rare_words(spark):
 
     got = pages.text_pages(spark.createDataFrame(asked, "doc int, evidence string"), ranges, "doc").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, e, page(d, e))) for d, e in asked)
+
+
+def test_terms_are_counted_where_they_are(spark):
+    """No shuffle, chunks without a term once, and the counts of a plain count."""
+    texts = ["the cat the dog", None, "a b", "cat CAT cat-dog", "one1 two"]
+    chunks = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "chunk_id long, scope string, content string")
+    rows = retrieval.counted_terms(chunks)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.chunk_id, r.term): (r.tf, r.dl, r.most, r.pos) for r in rows.collect()}
+    assert got == {
+        (0, "cat"): (1, 4, 2, 0), (0, "dog"): (1, 4, 2, 1), (0, "the"): (2, 4, 2, 2), (1, None): (None, 0, None, None), (2, None): (None, 0, None, None),
+        (3, "cat"): (3, 4, 3, 0), (3, "dog"): (1, 4, 3, 1), (4, "one1"): (1, 2, 1, 0), (4, "two"): (1, 2, 1, 1),
+    }
+    assert {(r.chunk_id, r.term): r.tf for r in retrieval.term_counts(chunks).collect()} == {k: v[0] for k, v in got.items() if k[1]}
