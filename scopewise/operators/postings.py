@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scopewise.functions.text import distinct_tokens, tokens
-from scopewise.operators.retrieval import K1, B, checked, each_term, filled, top
+from scopewise.operators.retrieval import K1, B, checked, counted_terms, each_term, filled, top
 from scopewise.sources.staging import staged
 
 #: Chunks of a range, on average; folders of an index.
@@ -63,10 +63,10 @@ class PostingIndex:
 
         Rows without a scope or a chunk id are left out; a chunk id that another document of the scope had is the new one's.
         """
-        new = chunks.where("scope IS NOT NULL AND chunk_id IS NOT NULL").select("scope", "document", "chunk_id", tokens(F.col("content")).alias("_t"))
+        new = chunks.where("scope IS NOT NULL AND chunk_id IS NOT NULL").select("scope", "document", "chunk_id", tokens(F.col("content")).alias("tokens"))
         new = staged(new.dropDuplicates(["scope", "chunk_id"]), "tokens")  # each text is read once
-        lengths = new.select("scope", "document", "chunk_id", F.size("_t").alias("dl"))
-        terms = each_term(new, F.col("_t"), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
+        lengths = new.select("scope", "document", "chunk_id", F.size("tokens").alias("dl"))
+        terms = counted_terms(new).where("term IS NOT NULL").select("scope", "chunk_id", "term", F.col("tf").cast("int").alias("tf"), "dl")
         self._change(new.select("scope", "document").distinct(), lengths, terms)
 
     def clear(self, documents: DataFrame) -> None:
@@ -77,7 +77,7 @@ class PostingIndex:
 
     @staticmethod
     def _terms(blocks: DataFrame) -> DataFrame:
-        return blocks.select("scope", F.explode("postings").alias("p"), "term").select("scope", "p.chunk_id", "term", "p.tf")
+        return blocks.select("scope", F.explode("postings").alias("p"), "term").select("scope", "p.chunk_id", "term", "p.tf", "p.dl")
 
     def _change(self, gone: DataFrame, lengths: DataFrame, terms: DataFrame) -> None:
         """Write the folders of the documents that go, with lengths and terms beside what stays in them."""
@@ -98,7 +98,8 @@ class PostingIndex:
         placed = lengths.join(sizes, "scope").withColumns({"range": F.pmod(F.xxhash64("chunk_id"), F.col("ranges")).cast("int"), "folder": folder_of(F.col("scope"))})
         placed = staged(placed, "lengths")
         entry = F.struct("chunk_id", "tf", "dl")
-        made = terms.join(placed.select("folder", "scope", "chunk_id", "dl", "range"), ["scope", "chunk_id"]).groupBy("folder", "scope", "term", "range")
+        # a term has its chunk's length beside it, and its range by the scope alone: terms are shuffled once, into their blocks
+        made = terms.join(checked(staged(sizes, "ranges")), "scope").groupBy(folder_of(F.col("scope")).alias("folder"), "scope", "term", F.pmod(F.xxhash64("chunk_id"), F.col("ranges")).cast("int").alias("range"))
         made = made.agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("postings"))
         for rows, name in ((staged(made, "blocks").sortWithinPartitions("folder", "scope", "term"), "blocks"), (placed, "chunks")):
             rows.limit(0).write.mode("ignore").parquet(f"{self.path}/columns/{name}")
@@ -112,10 +113,12 @@ class PostingIndex:
                     files.mkdirs(self._where(name)[1])
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(question terms, chunks, blocks) of the folders that the questions' scopes are in."""
+        """(question terms, chunks, blocks of those terms) of the folders that the questions' scopes are in."""
         folders = F.broadcast(queries.select(folder_of(F.col("scope")).alias("folder")).distinct())  # FOLDERS rows at most
         asked = checked(each_term(queries, distinct_tokens(F.col("text")), "query_id", "scope"))
-        return asked, self.chunks().join(folders, "folder", "left_semi"), self.blocks().join(folders, "folder", "left_semi")
+        # blocks of other terms are left where they are: with their postings they are nearly the whole index
+        blocks = self.blocks().join(folders, "folder", "left_semi").join(asked.select("scope", "term"), ["scope", "term"], "left_semi")
+        return asked, self.chunks().join(folders, "folder", "left_semi"), blocks
 
     @staticmethod
     def _scored(ranges: DataFrame, asked: DataFrame, rated: DataFrame, blocks: DataFrame) -> DataFrame:
