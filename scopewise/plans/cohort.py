@@ -161,8 +161,11 @@ def sibling_admissions(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_admissions(spark: SparkSession, d: str) -> DataFrame:
     """Admissions without diagnoses, and diagnoses without an admission."""
-    a, b = admissions(spark, d).select("hadm_id"), diagnoses(spark, d)[0].select("hadm_id").distinct()
-    return a.join(b, "hadm_id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "hadm_id", "left_anti").withColumn("side", F.lit("unexpected")))
+    a, b = admissions(spark, d).select("hadm_id", F.lit(1).alias("a"), F.lit(0).alias("b")), diagnoses(spark, d)[0].select("hadm_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    rows, lone = cohort.unmatched(a.unionByName(b), "hadm_id", "a", "b"), F.col("hadm_id").isNull()
+    missing, unexpected = F.when(lone | (F.col("b") == 0), F.col("a")).otherwise(0).cast("int"), (F.col("b") > 0) & (lone | (F.col("a") == 0))
+    sides = F.concat(F.array_repeat(F.lit("missing"), missing), F.array_repeat(F.lit("unexpected"), unexpected.cast("int")))
+    return rows.select("hadm_id", F.explode(sides).alias("side"))
 
 
 def balanced_type_assignment(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scopewise.functions.chunker import chunked
 from scopewise.operators import assignment, candidates, cohort, context, fusion, metrics, pages, questions, records, retrieval, store
+from scopewise.plans import cohort as cohort_plans
 from scopewise.plans import evaluation
 from scopewise.sources import readers
 
@@ -376,3 +377,13 @@ def test_terms_are_counted_where_they_are(spark):
         (3, "cat"): (3, 4, 3, 0), (3, "dog"): (1, 4, 3, 1), (4, "one1"): (1, 2, 1, 0), (4, "two"): (1, 2, 1, 1),
     }
     assert {(r.chunk_id, r.term): r.tf for r in retrieval.term_counts(chunks).collect()} == {k: v[0] for k, v in got.items() if k[1]}
+
+
+def test_unmatched_admissions_in_as_many_partitions_as_shuffles_have(spark, tmp_path):
+    spark.createDataFrame([(k, 1) for k in (1, 2, 2, 3, None)], "o_orderkey long, o_custkey long").selectExpr("*", "timestamp '2024-01-01' AS o_orderdate", "'' AS o_orderpriority", "'' AS o_orderstatus", "0d AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, 1) for k in (3, 3, 4, 4, None)], "l_orderkey long, l_partkey long").selectExpr("*", "1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "p", "b", 1)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = cohort_plans.missing_admissions(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1, "missing"), (2, "missing"), (2, "missing"), (None, "missing"), (4, "unexpected"), (None, "unexpected")], key=str)
