@@ -13,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scopewise.functions.chunker import parts_of
 from scopewise.operators import questions
 from scopewise.operators.context import BUDGETS, factual_prompt, pack
 from scopewise.sources.staging import new_folder
@@ -53,27 +55,30 @@ def left_of(made: DataFrame) -> DataFrame:
     return made.where("NOT clean").select("id", "question", zipped.alias("blocks"))
 
 
-def _beside(reader: Reader) -> Reader:
-    """The reader, with what is known of each prompt kept beside its answers."""
-    beside = ["contexts", "dropped", *AGAIN]
+def _beside(reader: Reader) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The reader over slices of Arrow batches, with what is known of each prompt kept beside its answers, as it came."""
+    beside = ["id", "contexts", "dropped", *AGAIN]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
 
         def given() -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for i, *facts in zip(part["id"], *[part[c] for c in beside], strict=True):
-                    known.setdefault(i, []).append(facts)
-                yield part[["id", "prompt", "reserve"]]
+            for batch in parts_of(batches):
+                part = batch.select(["id", "prompt", "reserve"]).to_pandas()
+                for at, i in enumerate(part["id"]):
+                    known.setdefault(i, []).append((batch, at))
+                yield part
 
         for out in reader(given()):
-            facts = []
+            rows = []
             for i in out["id"]:
-                facts.append(known[i].pop())
+                rows.append(known[i].pop())
                 if not known[i]:
                     del known[i]
-            facts = pd.DataFrame(facts, columns=beside, index=out.index)
-            yield pd.concat([out[["id", "raw", "stats", "error"]], facts], axis=1)
+            if rows:
+                said = [pa.array(out[c], pa.string(), from_pandas=True) for c in ("raw", "stats", "error")]
+                facts = [pa.concat_arrays([batch.column(c).slice(at, 1) for batch, at in rows]) for c in beside]
+                yield pa.RecordBatch.from_arrays([*said, *facts], ["raw", "stats", "error", *beside])
 
     return run
 
@@ -83,7 +88,7 @@ def round_of(items: DataFrame, reader: Reader, number: int, budget: Sequence, te
     prompts = asked(items, budget, template)
     kept = ["contexts", "dropped", *AGAIN]
     schema = ", ".join(["raw string", "stats string", "error string", *[f"{c} {prompts.schema[c].dataType.simpleString()}" for c in ("id", *kept)]])
-    rows = questions.attempts(prompts.mapInPandas(_beside(reader), schema), keep=tuple(kept)).withColumn("clean", clean())
+    rows = questions.attempts(prompts.mapInArrow(_beside(reader), schema), keep=tuple(kept)).withColumn("clean", clean())
     return rows.withColumns({c: F.when(~F.col("clean"), F.col(c)) for c in AGAIN} | {"budget": F.lit(number)})
 
 

@@ -71,3 +71,12 @@ def test_a_run_is_resumed(spark, tmp_path):
 def test_rounds_of_nothing(spark, tmp_path):
     tried = generation.rounds(spark.createDataFrame([], ITEMS), reader_of(tmp_path, {}))
     assert tried.count() == 0 and generation.final(tried).count() == 0
+
+
+def test_a_reader_is_given_small_parts(spark):
+    def read(parts):
+        for part in parts:
+            yield pd.DataFrame({"id": part["id"], "raw": str(len(part)), "stats": None, "error": None})
+
+    rows = spark.range(1000).coalesce(1).selectExpr("cast(id as string) AS id", "'?' AS question", "array(named_struct('rank', 1, 'scope_pos', 0, 'block', 'x')) AS blocks")
+    assert max(int(r.answer) for r in generation.rounds(rows, read, context.BUDGETS[:1]).collect()) <= 256
