@@ -10,7 +10,7 @@ from scopewise.functions import text as T
 from scopewise.functions.chunker import chunked
 from scopewise.functions.sections import sections
 from scopewise.operators import context, pages, retrieval, store
-from scopewise.plans.tables import chunks, documents, questions, table
+from scopewise.plans.tables import chunks, documents, questions, spread, table
 from scopewise.sources import readers, sinks
 from scopewise.sources.staging import new_folder, staged
 from scopewise.streaming import ingest, tokens
@@ -156,10 +156,16 @@ def token_stream(spark: SparkSession, d: str) -> DataFrame:
 def token_stream_stateful(spark: SparkSession, d: str) -> DataFrame:
     """The same messages from a stream, whose micro-batches each bring a part of every message."""
     message = F.to_json(F.struct("conv_id", "turn")).alias("message")
-    rows = table(spark, d, "conversations").select(message, F.posexplode(_spoken_tokens()).alias("seq", "token"))
-    rows = staged(rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).repartitionByRange(3, "seq"), "tokens")
-    out = new_folder(spark, "messages")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    words = spread(table(spark, d, "conversations").select("conv_id", "turn", "text")).select(message, _spoken_tokens().alias("t"))
+    path, out = new_folder(spark, "tokens"), new_folder(spark, "messages")
+    for third in (0, 2, 1):  # each written by all tasks; the last third of a message comes before its turn
+        first = F.floor(F.size("t") * third / 3).cast("int")
+        part = F.slice("t", first + 1, F.floor(F.size("t") * (third + 1) / 3).cast("int") - first)
+        rows = words.select("message", first.alias("_first"), F.posexplode(part).alias("_at", "token")).select("message", (F.col("_first") + F.col("_at")).alias("seq"), "token")
+        rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+        rows.write.mode("append").parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(path)
     said = tokens.messages(stream, "<|im_end|>", "1 day", 86_400_000)
     said.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
     ids = F.from_json("message", "conv_id bigint, turn bigint")

@@ -1,6 +1,8 @@
 """Generated tokens as a stream: a message's text is put together from tokens of many micro-batches.
 
-State is kept for each message: what has been said so far, the marks it is in, and tokens that came before their turn.
+State is kept for each message: what has been said so far, the marks it is in, and tokens that came before their turn. It
+goes to Python and back with the rows, many messages at a time: a call to the state store for each token, or message, would
+take far longer than the work.
 A message is given out once, when its stop token's turn comes, or unended when no token of it came for a while; what
 comes after that is left out until its state expires.
 """
@@ -12,9 +14,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "text string, thinking string, in_thought boolean, in_header boolean, next long, early long, given boolean, until long"
+STATE = "text string, thinking string, in_thought boolean, in_header boolean, next long, given boolean, until long, early_seq array<long>, early_token array<string>"
 GIVEN = "message string, text string, thinking string, ended boolean"
 
 
@@ -33,61 +35,42 @@ def said(state: dict, token: str | None, stop: str) -> bool:
     return False
 
 
-class Messages(StatefulProcessor):
-    """Rows (message, seq, token, ts) of one message -> the message when it ends or its time is over."""
+def taking(stop: str, wait_ms: int):
+    """What takes rows (message, seq, token, ts) of one message in, and gives the message when it ends or its time is over."""
+    names = ("text", "thinking", "in_thought", "in_header", "next", "given", "until", "early_seq", "early_token")
+    shown = lambda key, state, ended: pd.DataFrame([(key[0], state["text"], state["thinking"], ended)], columns=["message", "text", "thinking", "ended"])
 
-    def __init__(self, stop: str, wait_ms: int):
-        self.stop, self.wait_ms = stop, wait_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.message = handle.getValueState("message", STATE)
-        self.early = handle.getMapState("early", "seq long", "token string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ("text", "thinking", "in_thought", "in_header", "next", "early", "given", "until")
-        state = dict(zip(names, self.message.get() if self.message.exists() else ("", "", False, False, 0, 0, False, 0), strict=True))
-        latest, new, out = 0, {}, []
+    def take(key, rows: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = dict(zip(names, group.get if group.exists else ("", "", False, False, 0, False, 0, [], []), strict=True))
+        if group.hasTimedOut:
+            group.remove()
+            if not state["given"]:
+                yield shown(key, state, False)
+            return
+        given, new = state["given"], dict(zip(state["early_seq"], state["early_token"], strict=True))
         for batch in rows:
-            latest = max(latest, int(batch.ts.max().timestamp() * 1000))
+            state["until"] = max(state["until"], int(batch.ts.max().timestamp() * 1000) + wait_ms)
             new.update(zip(batch.seq.tolist(), batch.token.tolist(), strict=True))
-        while not state["given"]:
-            at = state["next"]
-            if at in new:
-                token = new.pop(at)
-            elif state["early"] and self.early.containsKey((at,)):
-                token = self.early.getValue((at,))[0]
-                self.early.removeKey((at,))
-                state["early"] -= 1
-            else:
-                break
+        while not state["given"] and state["next"] in new:
+            token = new.pop(state["next"])
             state["next"] += 1
-            if said(state, token, self.stop):
-                state["given"] = True
-                out.append((key[0], state["text"], state["thinking"], True))
-                self.early.clear()
+            state["given"] = said(state, token, stop)
         # only what came before its turn is kept
-        for seq, token in new.items():
-            if not state["given"] and seq > state["next"]:
-                state["early"] += not self.early.containsKey((seq,))
-                self.early.updateValue((seq,), (token,))
-        until = max(state["until"], latest + self.wait_ms)
-        if until != state["until"]:
-            if state["until"]:
-                self.handle.deleteTimer(state["until"])
-            self.handle.registerTimer(until)
-            state["until"] = until
-        self.message.update(tuple(state.values()))
-        yield pd.DataFrame(out, columns=["message", "text", "thinking", "ended"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        text, thinking, _, _, _, _, given, _ = self.message.get()
-        self.message.clear()
-        self.early.clear()
-        yield pd.DataFrame([] if given else [(key[0], text, thinking, False)], columns=["message", "text", "thinking", "ended"])
-
-    def close(self) -> None:
-        pass
+        early = [] if state["given"] else [x for x in new.items() if x[0] > state["next"]]
+        state["early_seq"], state["early_token"] = [seq for seq, _ in early], [token for _, token in early]
+        over = state["until"] <= group.getCurrentWatermarkMs()
+        if state["given"] and not given:
+            yield shown(key, state, True)
+        elif over and not given:
+            yield shown(key, state, False)
+        if over:
+            if group.exists:
+                group.remove()
+            return
+        group.update(tuple(state.values()))
+        group.setTimeoutTimestamp(state["until"] - 1)  # it is over once the stream's time has passed this
+
+    return take
 
 
 def messages(tokens: DataFrame, stop: str, late: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
@@ -99,4 +82,4 @@ def messages(tokens: DataFrame, stop: str, late: str = "10 minutes", wait_ms: in
     """
     tokens.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = tokens.select(F.col("message").cast("string").alias("message"), F.col("seq").cast("long").alias("seq"), "token", "ts").withWatermark("ts", late)
-    return rows.groupBy("message").transformWithStateInPandas(Messages(stop, wait_ms), GIVEN, outputMode="append", timeMode="eventTime")
+    return rows.groupBy("message").applyInPandasWithState(taking(stop, wait_ms), GIVEN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
