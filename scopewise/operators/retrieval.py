@@ -132,11 +132,15 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return weighed.join(asked, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 
+def with_most(counts: DataFrame, by: list[str]) -> DataFrame:
+    """A table of term counts with the largest count, unless it has it."""
+    return counts if "most" in counts.columns else counts.withColumn("most", F.max("tf").over(Window.partitionBy(*by)))
+
+
 def tfidf_weights(counts: DataFrame, df: DataFrame, n: DataFrame, by: list[str]) -> DataFrame:
     """Weights tf / max tf x (ln(n / (1 + df)) + 1) of a table of term counts; unseen terms have df 0."""
-    most = F.max("tf").over(Window.partitionBy(*by))
     idf = F.log(F.col("n") / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    return counts.withColumn("most", most).join(df, ["scope", "term"], "left").join(n, "scope").select(*by, "scope", "term", (F.col("tf") / F.col("most") * idf).alias("w"))
+    return with_most(counts, by).join(df, ["scope", "term"], "left").join(n, "scope").select(*by, "scope", "term", (F.col("tf") / F.col("most") * idf).alias("w"))
 
 
 def tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,14 +149,17 @@ def tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataF
     Weights are over the lengths of all terms: a pair's cosine is the sum of products. Chunks whose terms nobody asks
     for have an empty list.
     """
-    # tokens are shuffled once, by chunk: counting them and the largest count then need no other shuffle
-    held = chunks.select("scope", "chunk_id", tokens_of(chunks).alias("_t")).repartition("chunk_id")
+    # tokens are shuffled once, by chunk: counting them and the largest count then need no other shuffle. Counts are staged for
+    # what reads them. Adaptive execution would put partitions together by their bytes, which are few beside a task's table of counts
+    partitions = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = chunks.select("scope", "chunk_id", tokens_of(chunks).alias("_t")).repartition(partitions, "chunk_id")
     counts = each_term(held, F.col("_t"), "scope", "chunk_id").groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), counts.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    counts = staged(with_most(counts, ["chunk_id"]), "counts")
+    n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), staged(counts.groupBy("scope", "term").agg(F.count("*").alias("df")), "df")
     asked = each_term(queries, tokens(F.col("text")), "query_id", "scope").groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
     wanted = checked(asked.select("scope", "term").distinct()).withColumn("wanted", F.lit(True))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    wd = tfidf_weights(counts, df, n, ["chunk_id"]).join(wanted, ["scope", "term"], "left")
+    wd = tfidf_weights(counts.repartition(partitions, "scope", "term"), df, n, ["chunk_id"]).join(wanted, ["scope", "term"], "left")
     # one pass over the weights: their length, and those that are asked for
     wd = wd.groupBy("chunk_id", "scope").agg(length.alias("len"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "w"))).alias("terms"))
     wd = wd.select("chunk_id", "scope", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["w"] / F.col("len")).alias("w"))).alias("terms"))
