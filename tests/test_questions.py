@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from scopewise.functions.chunker import chunked
 from scopewise.operators import pages, questions
+from scopewise.plans import questions as plans
 
 ADMISSION = "patient_id int, admission_id int, admittime string, dischtime string, diagnosis string, admission_type string, sex string, age int, stay_days int, service string, disposition string, icu boolean, num_diagnoses int, other_diagnosis boolean"
 
@@ -18,6 +19,13 @@ def test_header_candidates_skip_what_is_missing(spark):
     assert {r.subkey for r in apart.collect()} >= {"diagnosis_disambiguation"} and apart.where("subkey = 'diagnosis'").count() == 0
 
 
+def test_header_questions_explode_answers_and_not_their_wording(spark, sf):
+    plan = plans.header_questions(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "struct" not in generate and "my admission" not in generate
+    assert "Exchange hashpartitioning(subject_id" in (text := plans.header_questions(spark, sf)._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in text
+
+
 def test_section_candidates(spark):
     long_list = "1. aspirin daily\n" + "\n".join(f"{i}. drug number {i}" for i in range(2, 60))
     rows = [
