@@ -99,7 +99,8 @@ def answer_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def negation_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The first candidate of a kind for each document."""
-    return questions.first_of_kind(questions.with_document(header_questions(spark, d)).withColumn("id", F.col("subkey")), "header_fact_enriched").select("doc", "subkey", "answer")
+    rows = questions.first_headers(_admissions(spark, d), "header_fact_enriched").withColumn("id", F.col("subkey"))
+    return questions.with_document(questions.first_of_kind(rows, "header_fact_enriched", ("patient_id", "admission_id"))).select("doc", "subkey", "answer")
 
 
 def enriched_chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from scopewise.functions.chunker import chunked
 from scopewise.operators import pages, questions
 from scopewise.plans import questions as plans
+from scopewise.plans import records as record_plans
 
 ADMISSION = "patient_id int, admission_id int, admittime string, dischtime string, diagnosis string, admission_type string, sex string, age int, stay_days int, service string, disposition string, icu boolean, num_diagnoses int, other_diagnosis boolean"
 
@@ -26,6 +27,23 @@ def test_header_questions_explode_answers_and_not_their_wording(spark, sf):
     assert "Exchange hashpartitioning(subject_id" in (text := plans.header_questions(spark, sf)._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in text
 
 
+def test_first_headers_are_the_first_of_header_candidates(spark):
+    one = ["2100-01-02 1:00", "2100-01-05", "Asthma", "Urgent", "F", 40, 3, "Surgery", "Home", True, 2, False]
+    none = [None, None, None, None, None, None, None, None, "Not recorded", None, None, True]
+    rows = spark.createDataFrame([(1, 10, *one), (1, 11, *none), (2, 12, *none[:10], 5, True), (2, 13, *none[:9], False, None, None), (1, 10, *none[:6], 2, *none[7:])], ADMISSION)
+    for kind in {k for k, _, _ in questions.HEADER.values()}:
+        named = lambda r: questions.with_document(r).withColumn("id", F.col("subkey"))
+        want = questions.first_of_kind(named(questions.header_candidates(rows)), kind).select("doc", "subkey", "answer")
+        got = questions.first_of_kind(named(questions.first_headers(rows, kind)), kind, ("patient_id", "admission_id")).select("doc", "subkey", "answer")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_negation_candidates_make_no_other_candidates(spark, sf):
+    plan = record_plans.negation_candidates(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(doc" not in plan
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_section_candidates(spark):
     long_list = "1. aspirin daily\n" + "\n".join(f"{i}. drug number {i}" for i in range(2, 60))
     rows = [
