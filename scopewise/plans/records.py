@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scopewise.functions import labels as L
@@ -64,9 +64,9 @@ def patient_records(spark: SparkSession, d: str) -> DataFrame:
 
 def text_all_pages(spark: SparkSession, d: str) -> DataFrame:
     """All pages of a text that runs over the end of a page: the last half of a line and the next one."""
-    ranges = _paged(spark, d)
-    following = ranges.select("doc_id", (F.col("page") - 1).alias("page"), F.col("text").alias("next"))
-    asked = ranges.join(following, ["doc_id", "page"]).select("doc_id", F.col("page").alias("of"), F.concat(F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1), F.lit("\n  "), F.substring("next", 1, 40), F.lit("...")).alias("evidence"))
+    ranges, order = _paged(spark, d), Window.partitionBy("doc_id").orderBy("page")
+    following = ranges.select("doc_id", "page", "text", F.lead("text").over(order).alias("next")).where("next IS NOT NULL")
+    asked = following.select("doc_id", F.col("page").alias("of"), F.concat(F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1), F.lit("\n  "), F.substring("next", 1, 40), F.lit("...")).alias("evidence"))
     rows = pages.all_text_pages(asked, ranges, "doc_id")
     return rows.select("doc_id", "of", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 

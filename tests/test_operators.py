@@ -13,6 +13,7 @@ from scopewise.functions.chunker import chunked
 from scopewise.operators import assignment, candidates, cohort, context, fusion, metrics, pages, questions, records, retrieval, store
 from scopewise.plans import cohort as cohort_plans
 from scopewise.plans import evaluation
+from scopewise.plans import records as record_plans
 from scopewise.sources import readers
 
 
@@ -387,3 +388,16 @@ def test_unmatched_admissions_in_as_many_partitions_as_shuffles_have(spark, tmp_
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
     assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1, "missing"), (2, "missing"), (2, "missing"), (None, "missing"), (4, "unexpected"), (None, "unexpected")], key=str)
+
+
+def test_all_text_pages_shuffle_evidence_by_document_only(spark, sf):
+    held = spark.createDataFrame([("1", 1, "One  two"), ("1", 2, ""), ("1", 3, "three FOUR"), ("1", 4, "five"), ("2", 1, "two"), ("3", 1, "")], "doc string, page int, text string")
+    ranges = pages.paged(held, "doc", "page", "text")
+    asked = [("1", 1, "two\n three"), ("1", 2, "one two three four five..."), ("1", None, "four"), ("1", 4, " "), ("1", 5, None), ("2", 6, "three"), ("3", 7, "two"), ("4", 8, "two"), (None, 9, "two"), ("2", 10, "two"), ("2", 10, "two")]
+    got = pages.all_text_pages(spark.createDataFrame(asked, "doc string, n int, evidence string"), ranges, "doc")
+    want = [[1, 3], [1, 3, 4], [3], [], [], [], [], [], [], [1], [1]]
+    assert sorted(map(repr, ((r.doc, r.n, r.pages) for r in got.collect()))) == sorted(map(repr, ((d, n, w) for (d, n, _), w in zip(asked, want, strict=True))))
+    plan = record_plans.text_all_pages(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    keys = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
+    assert keys and all(re.fullmatch(r"doc_id#\d+L", key) for key in keys)
+    assert plan.count("Exchange hashpartitioning") == 2
