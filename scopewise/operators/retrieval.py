@@ -157,11 +157,14 @@ def tfidf_sides(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataF
     counts = staged(with_most(counts, ["chunk_id"]), "counts")
     n, df = chunks.groupBy("scope").agg(F.count("*").alias("n")), staged(counts.groupBy("scope", "term").agg(F.count("*").alias("df")), "df")
     asked = each_term(queries, tokens(F.col("text")), "query_id", "scope").groupBy("query_id", "scope", "term").agg(F.count("*").alias("tf"))
-    wanted = checked(asked.select("scope", "term").distinct()).withColumn("wanted", F.lit(True))
+    wanted = checked(asked.select("scope", "term").distinct())
     length = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    wd = tfidf_weights(counts.repartition(partitions, "scope", "term"), df, n, ["chunk_id"]).join(wanted, ["scope", "term"], "left")
-    # one pass over the weights: their length, and those that are asked for
-    wd = wd.groupBy("chunk_id", "scope").agg(length.alias("len"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "w"))).alias("terms"))
+    # all terms make lengths, one number a chunk; only those that are asked for are listed. df is a part of its terms in each
+    # partition: a table of it spares putting all counts in order
+    lengths = tfidf_weights(counts.repartition(partitions, "scope", "term"), df.hint("shuffle_hash"), n, ["chunk_id"]).groupBy("chunk_id", "scope").agg(length.alias("len"))
+    df = df.join(wanted, ["scope", "term"], "left_semi")
+    listed = tfidf_weights(counts.join(wanted, ["scope", "term"], "left_semi"), df, n, ["chunk_id"]).groupBy("chunk_id", "scope").agg(F.collect_list(F.struct("term", "w")).alias("terms"))
+    wd = lengths.join(listed, ["chunk_id", "scope"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(listed.schema["terms"].dataType)))
     wd = wd.select("chunk_id", "scope", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["w"] / F.col("len")).alias("w"))).alias("terms"))
     wq = tfidf_weights(asked, df, n, ["query_id"])
     lq = wq.groupBy("query_id").agg(length.alias("len"))
