@@ -28,20 +28,37 @@ def with_details(notes: DataFrame, details: DataFrame) -> DataFrame:
     return notes.join(details, "note_id", "left").withColumn("details", F.coalesce("details", none))
 
 
+def _note(categories: list[str]) -> Column:
+    """A note of in_order(), without its details."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, categories)), F.col("category")), F.lit(0)), F.lit(len(categories) + 1))
+    return F.struct(
+        rank.alias("rank"), F.coalesce("charttime", F.lit("")).alias("charttime"), F.coalesce(F.col("note_seq").cast("int"), F.lit(0)).alias("note_seq"), F.col("note_id").cast("string").alias("note_id"),
+        "category", "label", stripped(F.col("text")).alias("text"),
+    )
+
+
 def in_order(notes: DataFrame, categories: list[str]) -> DataFrame:
     """(subject_id, hadm_id, notes): each admission's notes by category, time, sequence and id.
 
     notes(subject_id, hadm_id, note_id, category, label, charttime, note_seq, text, details); a missing time comes
     first and a missing sequence is 0. Texts are stripped. Categories that are not listed come last.
     """
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, categories)), F.col("category")), F.lit(0)), F.lit(len(categories) + 1))
-    note = F.struct(
-        rank.alias("rank"), F.coalesce("charttime", F.lit("")).alias("charttime"), F.coalesce(F.col("note_seq").cast("int"), F.lit(0)).alias("note_seq"), F.col("note_id").cast("string").alias("note_id"),
-        "category", "label", stripped(F.col("text")).alias("text"), F.map_entries("details").alias("details"),
-    )
+    note = _note(categories).withField("details", F.map_entries("details"))
     return notes.where("text IS NOT NULL").groupBy("subject_id", "hadm_id").agg(F.array_sort(F.collect_list(note)).alias("notes"))
 
 
+def in_order_with_details(notes: DataFrame, details: DataFrame, categories: list[str]) -> DataFrame:
+    """in_order(with_details(notes, details), categories), where no text is shuffled for its details: they go to their admission and meet its notes there."""
+    none = F.map_entries(F.create_map().cast("map<string,string>"))
+    key = ["subject_id", "hadm_id"]
+    texts = notes.where("text IS NOT NULL").select(*key, _note(categories).alias("_note"))
+    owned = notes.where("text IS NOT NULL").select(*key, "note_id").distinct().join(details, "note_id")
+    owned = owned.select(*key, F.struct(F.col("note_id").cast("string").alias("note_id"), F.map_entries("details").alias("details")).alias("_own"))
+    both = texts.unionByName(owned, allowMissingColumns=True).groupBy(*key).agg(F.array_sort(F.collect_list("_note")).alias("notes"), F.collect_list("_own").alias("_own"))
+    own = lambda n: F.get(F.transform(F.filter("_own", lambda o: o["note_id"] == n["note_id"]), lambda o: o["details"]), 0)
+    return both.select(*key, F.transform("notes", lambda n: n.withField("details", F.coalesce(own(n), none))).alias("notes"))
+
+
 def inventory(notes: Column) -> Column:
     """Categories in the order of the notes, each with its number of notes."""
     kinds = F.array_distinct(F.transform(notes, lambda n: n["category"]))

@@ -31,7 +31,7 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     rows = _notes(spark, d)
     fields = F.explode(F.create_map(F.lit("exam_name"), F.when(F.col("note_id") % 4 == 0, F.col("source")), F.lit("author"), F.when(F.col("note_id") % 3 == 0, F.lit("Dr. X")))).alias("field", "value")
     details = cohort.detail_map(rows.select("note_id", fields), "note_id", "field", "value", ["field"])
-    return records.in_order(records.with_details(rows.drop("source"), details), CATEGORIES)
+    return records.in_order_with_details(rows.drop("source"), details, CATEGORIES)
 
 
 def record_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -401,3 +401,12 @@ def test_all_text_pages_shuffle_evidence_by_document_only(spark, sf):
     keys = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
     assert keys and all(re.fullmatch(r"doc_id#\d+L", key) for key in keys)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_notes_get_their_details_at_their_admission(spark):
+    rows = [(1, 10, 5, "B", "l", None, 1, " b "), (1, 10, 4, "A", "l", "t", None, "a"), (1, 11, 6, "A", "l", "t", 1, None), (None, 12, 7, "A", "l", "t", 1, "x"), (2, 13, None, "A", "l", "t", 1, "y"), (2, 13, 5, "C", "l", "t", 1, "z"), (2, 13, 5, "C", "l", "t", 1, "z")]
+    notes = spark.createDataFrame(rows, "subject_id long, hadm_id long, note_id long, category string, label string, charttime string, note_seq int, text string")
+    details = spark.createDataFrame([(5, {"author": "x", "exam": "e"}), (6, {"author": "y"}), (7, {"author": "z"}), (9, {"author": "q"})], "note_id long, details map<string,string>")
+    want, got = records.in_order(records.with_details(notes, details), ["A", "B"]), records.in_order_with_details(notes, details, ["A", "B"])
+    assert got.schema["notes"].dataType.simpleString() == want.schema["notes"].dataType.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
