@@ -36,7 +36,7 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
 
 def record_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole document of each admission with notes."""
-    rows = _admissions(spark, d).join(_ordered(spark, d).withColumnRenamed("subject_id", "patient_id").withColumnRenamed("hadm_id", "admission_id"), ["patient_id", "admission_id"])
+    rows = _admissions(spark, d, dealt=False).join(_ordered(spark, d).withColumnRenamed("subject_id", "patient_id").withColumnRenamed("hadm_id", "admission_id"), ["patient_id", "admission_id"])
     parts = dict(patient="patient_id", sex="sex", age="age", admission="admission_id", type="admission_type", service="service", admitted="admittime", discharged="dischtime", stay="stay_days", diagnosis="diagnosis", disposition="disposition", icu="icu", num_diagnoses="num_diagnoses")
     text = records.record_document({k: F.col(v) for k, v in parts.items()} | {"died": F.lit(False)}, F.col("notes"), SHOWN)
     return rows.select("patient_id", "admission_id", F.size("notes").alias("n_notes"), F.length(text).alias("length"), F.md5(text.cast("binary")).alias("text_md5"))
