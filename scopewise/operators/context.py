@@ -57,9 +57,28 @@ def _in_order(value: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", value.alias("v")))), lambda s: s["v"]), sep)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimal places, rounded by its exact binary value, halves to even, as SQL and C write it.
+
+    Java's format rounds the shortest decimal digits that name the number, halves up: 2.675, which is a little less, is 2.68 there.
+    """
+    size, unit = F.abs(value), F.lit(2**60).cast("decimal(19,0)")
+    whole = F.floor(size).cast("long")
+    # what is after the point is a whole number of 2^-60, but for numbers that are nearer to 0 than to the first half
+    scaled = ((size - whole) * F.lit(float(2**60))).cast("long").cast("decimal(19,0)") * F.lit(10**places).cast("decimal(4,0)")
+    rest = scaled % unit
+    down = ((scaled - rest) / unit).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (down % 2 == 1))
+    near = down + F.when(up, 1).otherwise(0)
+    whole, near = whole + F.when(near == 10**places, 1).otherwise(0), near % 10**places
+    text = F.concat(F.when(value < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.lpad(near.cast("string"), places, "0"))
+    return F.when(size < 2**53, text).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def header(ranked: DataFrame, percent: bool = False) -> DataFrame:
     """(query_id, header): a Markdown list of the chunks with ranks, scores and openings."""
-    score = F.format_string("%.1f%%" if percent else "%.2f", F.col("score").cast("double"))
+    score = F.col("score").cast("double")
+    score = F.format_string("%.1f%%", score) if percent else fixed(score, 2)
     date = F.when(F.coalesce(F.trim("date"), F.lit("")) != "", F.concat(F.col("date"), F.lit(" - "))).otherwise("")
     opening = F.replace(F.substring("content", 1, 180), F.lit("\n"), F.lit(" "))
     line = F.concat(F.format_string("> **[Chunk #%d]** Coherence: **%s** | *%s%s*\n", F.col("rank"), score, date, F.col("kind")), F.lit('> "'), opening, F.lit('..."\n\n'))

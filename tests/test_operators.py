@@ -410,3 +410,18 @@ def test_notes_get_their_details_at_their_admission(spark):
     want, got = records.in_order(records.with_details(notes, details), ["A", "B"]), records.in_order_with_details(notes, details, ["A", "B"])
     assert got.schema["notes"].dataType.simpleString() == want.schema["notes"].dataType.simpleString()
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_header_scores_are_rounded_as_in_sql(spark):
+    """Halves by the exact binary value, to even where it is a half."""
+    import duckdb
+
+    rng = random.Random(7)
+    halves = [0.0, 2.675, 1.005, 3.125, 3.375, 0.005, 0.015, 0.045, 0.055, 0.995, 9.995, 99.995, 7.999, 0.004999, 1e-6, 12.345, 31.415, 8.5, -0.125, -2.675, 1e6 + 0.625]
+    scores = [*halves, *[rng.randrange(10**4) + (rng.randrange(100) * 10 + 5) / 1000 for _ in range(400)], *[round(rng.uniform(0, 60), 6) for _ in range(400)]]
+    rows = [(i, 1, s, "x", "", "note") for i, s in enumerate(scores)] + [(9000, 1, float("nan"), "x", "", "note")]
+    ranked = spark.createDataFrame(rows, "query_id int, rank int, score double, content string, date string, kind string")
+    got = {r.query_id: re.search(r"Coherence: \*\*(.*?)\*\*", r.header)[1] for r in context.header(ranked).collect()}
+    assert got.pop(9000) == "NaN"
+    want = [duckdb.execute("SELECT format('{:.2f}', ?::DOUBLE)", [s]).fetchall()[0][0] for s in scores]
+    assert [got[i] for i in range(len(scores))] == want and got[1] == "2.67" and got[3] == "3.12"
