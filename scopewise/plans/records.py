@@ -203,7 +203,7 @@ ORACLE_SQL = {
         f AS (SELECT doc_id, page, text, lower({_ONE.format('text')}) AS flat FROM ranges),
         pg AS (SELECT *, coalesce(sum(CASE WHEN flat = '' THEN 0 ELSE length(flat) + 1 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM f),
         w AS (SELECT doc_id, string_agg(flat, ' ' ORDER BY page) AS whole FROM f WHERE flat <> '' GROUP BY doc_id),
-        ev AS (SELECT a.doc_id, a.page AS of, substr(regexp_replace(substr(a.text, length(a.text) // 2 + 1) || chr(10) || '  ' || substr(b.text, 1, 40) || '...', '(\.\.\.)+$', ''), 1, 300) AS evidence
+        ev AS (SELECT a.doc_id, a.page AS of, regexp_replace(substr(a.text, length(a.text) // 2 + 1) || chr(10) || '  ' || substr(b.text, 1, 40) || '...', '(\.\.\.)+$', '') AS evidence
                FROM f a JOIN f b ON b.doc_id = a.doc_id AND b.page = a.page + 1),
         lk AS (SELECT doc_id, of, lower({_ONE.format('evidence')}) AS part FROM ev),
         x AS (SELECT lk.*, strpos(whole, part) - 1 AS spot FROM lk LEFT JOIN w USING (doc_id) WHERE part <> ''),

@@ -403,6 +403,15 @@ def test_all_text_pages_shuffle_evidence_by_document_only(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_all_text_pages_look_for_all_of_a_long_text(spark):
+    """Texts that are the same for 300 characters and more are told apart by what follows, and touch all of their pages."""
+    same = "the same words again " * 20
+    held = spark.createDataFrame([("1", 1, f"{same}\nend of one"), ("1", 2, same), ("1", 3, "end of two"), ("1", 4, "more")], "doc string, page int, text string")
+    asked = [("1", 1, f"{same} end of one"), ("1", 2, f"{same}end of two more..."), ("1", 3, f"{same} end of three"), ("1", 4, same)]
+    got = pages.all_text_pages(spark.createDataFrame(asked, "doc string, n int, evidence string"), pages.paged(held, "doc", "page", "text"), "doc")
+    assert {r.n: r.pages for r in got.collect()} == {1: [1], 2: [2, 3, 4], 3: [], 4: [1]}
+
+
 def test_notes_get_their_details_at_their_admission(spark):
     rows = [(1, 10, 5, "B", "l", None, 1, " b "), (1, 10, 4, "A", "l", "t", None, "a"), (1, 11, 6, "A", "l", "t", 1, None), (None, 12, 7, "A", "l", "t", 1, "x"), (2, 13, None, "A", "l", "t", 1, "y"), (2, 13, 5, "C", "l", "t", 1, "z"), (2, 13, 5, "C", "l", "t", 1, "z")]
     notes = spark.createDataFrame(rows, "subject_id long, hadm_id long, note_id long, category string, label string, charttime string, note_seq int, text string")
