@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from scopewise.functions.chunker import chunked
+from scopewise.functions.chunker import chunked, with_chunks
 from scopewise.operators import pages, questions
 from scopewise.plans import questions as plans
 from scopewise.plans import records as record_plans
@@ -114,3 +114,43 @@ def test_chosen_attempts(spark):
     rows = [("a", 0, "", False, None), ("a", 1, "yes", False, None), ("a", 2, "no", False, None), ("b", 0, "cut", True, None), ("b", 1, "", False, None)]
     tried = spark.createDataFrame(rows, "id string, budget int, answer string, truncated boolean, error string")
     assert {r.id: (r.answer, r.retries) for r in questions.chosen_attempts(tried).collect()} == {"a": ("yes", 1), "b": ("", 1)}
+
+
+def own_and_grounded(admissions):
+    """Items of admissions as own_items() and as grounded_items() make them."""
+    docs = questions.with_document(admissions).withColumn("text", plans._head())
+    ranges = pages.paged(docs.select("doc", F.lit(1).alias("page"), "text"), "doc", "page", "text")
+    asked = questions.with_document(questions.header_candidates(admissions))
+    return questions.own_items(with_chunks(docs, "text")), questions.grounded_items(asked, ranges, chunked(docs.select("doc", "text"), "doc", "text"))
+
+
+def test_own_items_are_grounded_items(spark):
+    """Heads of one chunk and of several, what can't be asked, and what no chunk holds whole."""
+    none = [None, None, None, None, None, None, None, None, "Not recorded", None, None, True]
+    rows = [(i, i, f"2100-01-0{i} 1:00", "2100-01-09", d, "Urgent", "F", 40 + i, i, "Team 7", "Home", i % 2 == 0, i, i % 3 == 0) for i, d in enumerate(["Asthma", "  N/A ", " long words of it " * 40, "x" * 700, None, "a  b\tc ", "Sex: F"])]
+    rows += [(12345, 8, *none), (9, 123456, "", " ", "Team 7", " ", "", None, 3, "", "Died in hospital", False, 0, False)]
+    own, grounded = own_and_grounded(spark.createDataFrame(rows, ADMISSION))
+    assert sorted(map(repr, own.select(*grounded.columns).collect())) == sorted(map(repr, grounded.collect())) and own.count() > 50
+    assert max(r.n for r in own.groupBy("gold").agg(F.max(F.length("gold")).alias("n")).collect()) > 400
+
+
+def test_items_of_the_query_are_not_shuffled(spark, sf):
+    """What is staged are admissions; their items, and what these break, are made in their rows."""
+    for name in ("question_items",):
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert all("hashpartitioning(rule" in line for line in plan.splitlines() if "Exchange" in line) and "Join" not in plan
+
+
+def test_admissions_that_share_a_document(spark, tmp_path):
+    """Orders that repeat, and those that lack a number, share their document: their items are as grounded_items() says."""
+    import datetime
+
+    day = datetime.datetime(1995, 1, 2)
+    orders = [(1, 10), (1, 10), (2, 10), (3, 11), (None, 11), (None, 11), (None, 12), (4, None)]
+    spark.createDataFrame([(o, c, day, "1-URGENT", "O", 1.0) for o, c in orders], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, n, n, 1, day, "R") for k in (1, 2, 3) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"p{i}", "b", 1) for i in (1, 2)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = own_and_grounded(plans._admissions(spark, str(tmp_path)))[1]
+    got = plans.question_items(spark, str(tmp_path))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.withColumn("gold_length", F.length("gold")).select(*got.columns).collect())) and got.count() > 30
