@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scopewise.functions.chunker import chunked, with_chunks
@@ -132,11 +133,15 @@ def test_own_items_are_grounded_items(spark):
     own, grounded = own_and_grounded(spark.createDataFrame(rows, ADMISSION))
     assert sorted(map(repr, own.select(*grounded.columns).collect())) == sorted(map(repr, grounded.collect())) and own.count() > 50
     assert max(r.n for r in own.groupBy("gold").agg(F.max(F.length("gold")).alias("n")).collect()) > 400
+    for changed in (lambda r: r, lambda r: r.where("subkey IN ('sex', 'icu')"), lambda r: r.withColumns({"question": F.concat(F.lit("Who is "), F.col("patient_id").cast("string")), "gold": F.when(F.col("subkey") != "icu", "?")})):
+        want = questions.single_violations(changed(grounded)).collect()
+        counts = changed(own).withColumns({"n_items": F.count("*").over(Window.partitionBy("doc")), "n_kinds": F.size(F.collect_set("kind").over(Window.partitionBy("doc"))), "number": F.row_number().over(Window.partitionBy("doc").orderBy("number"))})
+        assert sorted(map(tuple, questions.own_violations(counts).collect())) == sorted(map(tuple, want)) and want
 
 
 def test_items_of_the_query_are_not_shuffled(spark, sf):
     """What is staged are admissions; their items, and what these break, are made in their rows."""
-    for name in ("question_items",):
+    for name in ("question_items", "single_violations"):
         plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert all("hashpartitioning(rule" in line for line in plan.splitlines() if "Exchange" in line) and "Join" not in plan
 
@@ -154,3 +159,5 @@ def test_admissions_that_share_a_document(spark, tmp_path):
     want = own_and_grounded(plans._admissions(spark, str(tmp_path)))[1]
     got = plans.question_items(spark, str(tmp_path))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.withColumn("gold_length", F.length("gold")).select(*got.columns).collect())) and got.count() > 30
+    rules = questions.single_violations(want).groupBy("rule").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, plans.single_violations(spark, str(tmp_path)).collect())) == sorted(map(tuple, rules.collect()))
