@@ -12,12 +12,14 @@ of its scopes; a search reads those of its questions' scopes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scopewise.functions.text import distinct_tokens, tokens
-from scopewise.operators.retrieval import K1, B, checked, counted_terms, each_term, filled, top
-from scopewise.sources.staging import staged
+from scopewise.operators.retrieval import K1, B, checked, each_term, filled, term_runs, top
+from scopewise.sources.staging import scratch, staged
 
 #: Chunks of a range, on average; folders of an index.
 RANGE_CHUNKS, FOLDERS = 1024, 16
@@ -63,55 +65,82 @@ class PostingIndex:
 
         Rows without a scope or a chunk id are left out; a chunk id that another document of the scope had is the new one's.
         """
-        new = chunks.where("scope IS NOT NULL AND chunk_id IS NOT NULL").select("scope", "document", "chunk_id", tokens(F.col("content")).alias("tokens"))
-        new = staged(new.dropDuplicates(["scope", "chunk_id"]), "tokens")  # each text is read once
-        lengths = new.select("scope", "document", "chunk_id", F.size("tokens").alias("dl"))
-        terms = counted_terms(new).where("term IS NOT NULL").select("scope", "chunk_id", "term", F.col("tf").cast("int").alias("tf"), "dl")
-        self._change(new.select("scope", "document").distinct(), lengths, terms)
+        # a chunk's tokens go in order and as one text: they take the least room so
+        words = F.array_join(F.sort_array(tokens(F.col("content"))), " ")
+        new = chunks.where("scope IS NOT NULL AND chunk_id IS NOT NULL").select("scope", "document", "chunk_id", words.alias("words"))
+        with scratch(self.spark) as stage:
+            self._change(stage, stage(new.dropDuplicates(["scope", "chunk_id"]), "words"))  # each text is read once
 
     def clear(self, documents: DataFrame) -> None:
         """Take out all chunks of documents(scope, document)."""
         if self.exists():
-            held = self.chunks()
-            self._change(documents.select("scope", "document").distinct(), held.select("scope", "document", "chunk_id", "dl").limit(0), self._terms(self.blocks()).limit(0))
-
-    @staticmethod
-    def _terms(blocks: DataFrame) -> DataFrame:
-        return blocks.select("scope", F.explode("postings").alias("p"), "term").select("scope", "p.chunk_id", "term", "p.tf", "p.dl")
-
-    def _change(self, gone: DataFrame, lengths: DataFrame, terms: DataFrame) -> None:
-        """Write the folders of the documents that go, with lengths and terms beside what stays in them."""
-        gone = gone.withColumn("folder", folder_of(F.col("scope")))
+            none = self.chunks().select("scope", "document", "chunk_id", F.lit("").alias("words")).limit(0)
+            with scratch(self.spark) as stage:
+                self._change(stage, none, documents.select("scope", "document"))
+
+    def _change(self, stage: Callable[[DataFrame, str], DataFrame], new: DataFrame, gone: DataFrame | None = None) -> None:
+        """Write the folders of the documents that go, those of new(scope, document, chunk_id, words) too, with new beside what stays in them."""
+        gone = (new if gone is None else gone).select("scope", "document").distinct().withColumn("folder", folder_of(F.col("scope")))
+        written = [row.folder for row in gone.select("folder").distinct().collect()]  # FOLDERS at most
+        split = F.when(F.col("words") != "", F.split("words", " ")).when(F.col("words") == "", F.array().cast("array<string>"))
+        lengths = new.select("scope", "document", "chunk_id", F.coalesce(F.size(split), F.lit(0)).alias("dl"))
+        new = new.select("scope", "chunk_id", "words")
+        old = None
         if self.exists():
-            folders = F.broadcast(gone.select("folder").distinct())  # FOLDERS rows at most
-            held, blocks = self.chunks().join(folders, "folder", "left_semi"), self.blocks().join(folders, "folder", "left_semi")
+            held = self.chunks().where(F.col("folder").isin(written))
             known = held.groupBy("scope").agg(F.max("ranges").alias("known"))
             same = (F.col("c.scope") == F.col("g.scope")) & F.col("c.document").eqNullSafe(F.col("g.document"))
             stay = held.alias("c").join(gone.alias("g"), same, "left_anti").select("scope", "document", "chunk_id", "dl")
-            stay = staged(stay.join(lengths.select("scope", "chunk_id"), ["scope", "chunk_id"], "left_anti"), "stay")
-            terms = terms.unionByName(self._terms(blocks).join(stay.select("scope", "chunk_id"), ["scope", "chunk_id"], "left_semi"))
+            stay = stage(stay.join(lengths.select("scope", "chunk_id"), ["scope", "chunk_id"], "left_anti"), "stay")
+            out = held.join(stay.select("scope", "chunk_id"), ["scope", "chunk_id"], "left_anti")
+            # postings as arrays of numbers, which take the least room
+            old = self.blocks().where(F.col("folder").isin(written)).select("scope", "range", "term", *[F.col(f"postings.{c}").alias(c) for c in ("chunk_id", "tf", "dl")])
+            old = old.unionByName(out.select("scope", "range", F.lit(None).cast("string").alias("term"), F.array("chunk_id").alias("chunk_id"), *[F.lit(None).cast("array<int>").alias(c) for c in ("tf", "dl")]))
             lengths = stay.unionByName(lengths)
         else:
             known = lengths.select("scope", F.lit(1).alias("known")).limit(0)
         sizes = lengths.groupBy("scope").agg(F.ceil(F.count("*") / self.range_chunks).cast("int").alias("needed"))
         sizes = sizes.join(known, "scope", "left").select("scope", F.coalesce("known", "needed").alias("ranges"))  # set by a scope's first chunks
-        placed = lengths.join(sizes, "scope").withColumns({"range": F.pmod(F.xxhash64("chunk_id"), F.col("ranges")).cast("int"), "folder": folder_of(F.col("scope"))})
-        placed = staged(placed, "lengths")
-        entry = F.struct("chunk_id", "tf", "dl")
-        # a term has its chunk's length beside it, and its range by the scope alone: terms are shuffled once, into their blocks
-        made = terms.join(checked(staged(sizes, "ranges")), "scope").groupBy(folder_of(F.col("scope")).alias("folder"), "scope", "term", F.pmod(F.xxhash64("chunk_id"), F.col("ranges")).cast("int").alias("range"))
-        made = made.agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("postings"))
-        for rows, name in ((staged(made, "blocks").sortWithinPartitions("folder", "scope", "term"), "blocks"), (placed, "chunks")):
+        sizes = stage(sizes, "ranges")
+        at = F.pmod(F.xxhash64("chunk_id"), F.col("ranges")).cast("int")
+        placed = stage(lengths.join(checked(sizes), "scope").withColumns({"range": at, "folder": folder_of(F.col("scope"))}), "lengths")
+        new = new.join(checked(sizes), "scope").select("scope", at.alias("range"), "chunk_id", "words")
+        made = self._blocks(new, old).sortWithinPartitions("folder", "scope", "term")
+        # what is overwritten may be read: folders change places when all is written
+        for rows, name, own in ((made, "blocks", placed.where("dl > 0")), (placed, "chunks", placed)):
             rows.limit(0).write.mode("ignore").parquet(f"{self.path}/columns/{name}")
+            left = {r.folder for r in own.select("folder").distinct().collect()}
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(f"{self.path}/{name}")
             # a folder of which nothing is left is not overwritten
-            left = {r.folder for r in rows.select("folder").distinct().collect()}
-            for row in gone.select("folder").distinct().collect():
-                files, where = self._where(f"{name}/folder={row.folder}")
-                if row.folder not in left and files.exists(where):
+            for folder in written:
+                files, where = self._where(f"{name}/folder={folder}")
+                if folder not in left and files.exists(where):
                     files.delete(where, True)
                     files.mkdirs(self._where(name)[1])
 
+    def _blocks(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
+        """The blocks of new(scope, range, chunk_id, words) and of old(scope, range, term, chunk_id, tf, dl), whose rows without a term name chunks that go.
+
+        All are shuffled once, by scope and range: a chunk's words as one text, a block's postings as arrays. What makes
+        terms of them, leaves out what goes and gathers the blocks is done where they are.
+        """
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        new = new.select("scope", "range", "words", F.array("chunk_id").alias("chunk_id"), none("string", "term"), none("array<int>", "tf"), none("array<int>", "dl"))
+        rows = new if old is None else new.unionByName(old.select("scope", "range", none("string", "words"), "chunk_id", "term", "tf", "dl"))
+        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "scope", "range")
+        split = F.when(F.col("words") != "", F.split("words", " "))
+        rows = term_runs(rows.withColumnsRenamed({"dl": "_dl", "tf": "_tf"}), split, "scope", "range", "words", "chunk_id", "term", "_tf", "_dl")
+        posting = lambda chunk, term, tf, dl, stays: F.struct(chunk.alias("chunk_id"), term.alias("term"), tf.cast("int").alias("tf"), dl.alias("dl"), F.lit(stays).alias("stays"))
+        fresh = F.transform("runs", lambda r: posting(F.get("chunk_id", F.lit(0)), r["term"], r["tf"], F.col("dl"), True))
+        kept = F.transform("chunk_id", lambda c, i: posting(c, F.col("term"), F.get("_tf", i), F.get("_dl", i), False))
+        rows = rows.select("scope", "range", F.explode_outer(F.when(F.col("words").isNotNull(), fresh).otherwise(kept)).alias("p")).where("p IS NOT NULL").select("scope", "range", "p.*")
+        if old is not None:
+            goes = F.max(F.col("term").isNull()).over(Window.partitionBy("scope", "range", "chunk_id"))
+            rows = rows.withColumn("_goes", goes).where("term IS NOT NULL AND (stays OR NOT _goes)")
+        entry = F.struct("chunk_id", "tf", "dl")
+        made = rows.groupBy("scope", "range", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("postings"))
+        return made.select(folder_of(F.col("scope")).alias("folder"), "scope", "term", "range", "n", "most", "shortest", "postings")
+
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(question terms, chunks, blocks of those terms) of the folders that the questions' scopes are in."""
         folders = F.broadcast(queries.select(folder_of(F.col("scope")).alias("folder")).distinct())  # FOLDERS rows at most

@@ -55,13 +55,18 @@ def counted_terms(chunks: DataFrame, *keep: str) -> DataFrame:
     most its largest count, pos numbers its terms from 0. Chunk ids are unique in their scope.
     """
     own = [*keep, "scope", "chunk_id"]
-    held = chunks.select(*own, F.sort_array(tokens_of(chunks)).alias("_t"))
+    held = term_runs(chunks, tokens_of(chunks), *own)
+    held = held.select(*own, "dl", F.array_max(F.col("runs.tf")).alias("most"), F.posexplode_outer("runs").alias("pos", "_run"))
+    return held.select(*own, "dl", "most", "pos", "_run.term", "_run.tf")
+
+
+def term_runs(rows: DataFrame, terms: Column, *own: str) -> DataFrame:
+    """own, dl and runs of each row's tokens: their number, and each (term, tf) in order."""
+    held = rows.select(*own, F.sort_array(terms).alias("_t"))
     first = F.filter(F.transform("_t", lambda _, i: i), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
     held = held.select(*own, "_t", first.alias("_first"))
     runs = F.transform("_first", lambda at, j: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_first", j + 1), F.size("_t")) - at).cast("long").alias("tf")))
-    held = held.select(*own, F.size("_t").alias("dl"), runs.alias("_runs"))
-    held = held.select(*own, "dl", F.array_max(F.col("_runs.tf")).alias("most"), F.posexplode_outer("_runs").alias("pos", "_run"))
-    return held.select(*own, "dl", "most", "pos", "_run.term", "_run.tf")
+    return held.select(*own, F.size("_t").alias("dl"), runs.alias("runs"))
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:

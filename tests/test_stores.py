@@ -146,6 +146,30 @@ def test_postings_change_by_document(spark):
     assert index.chunks().count() == 0 and index.search(asked_of(spark), 5).count() == 0
 
 
+def test_a_change_of_postings_shuffles_once_and_leaves_no_tables(spark):
+    """Words and blocks are shuffled once, by scope and range, before they are exploded; what a change stages goes with it."""
+    import os
+
+    from scopewise.sources.staging import RELEASE, shared_dir
+
+    shared = shared_dir(spark).removeprefix("file://")
+    there, released = set(os.listdir(shared)), spark.conf.get(RELEASE, None)
+    path = new_folder(spark, "postings-once")
+    index = postings.PostingIndex(spark, path, range_chunks=8)
+    index.upsert(spark.createDataFrame(corpus(60), CHUNKS))
+    index.upsert(spark.createDataFrame(corpus(20, 5), CHUNKS))
+    index.clear(spark.createDataFrame([("hot", "d1")], "scope string, document string"))
+    assert set(os.listdir(shared)) - there == {os.path.basename(path)} and spark.conf.get(RELEASE, None) == released
+    new = spark.createDataFrame([("s", 0, 1, "a a b"), ("s", 0, 2, ""), ("s", 1, 9, "b")], "scope string, range int, chunk_id long, words string")
+    old = spark.createDataFrame([("s", 0, "a", [1, 3, 4], [7, 1, 2], [9, 8, 7]), ("s", 0, None, [1], None, None), ("s", 0, None, [4], None, None), ("s", 1, "c", [5], [1], [1])], "scope string, range int, term string, chunk_id array<long>, tf array<int>, dl array<int>")
+    made = index._blocks(new, old)
+    assert sorted((r.range, r.term, r.n, r.most, r.shortest, [tuple(p) for p in r.postings]) for r in made.collect()) == [
+        (0, "a", 2, 2, 3, [(1, 2, 3), (3, 1, 8)]), (0, "b", 1, 1, 3, [(1, 1, 3)]), (1, "b", 1, 1, 1, [(9, 1, 1)]), (1, "c", 1, 1, 1, [(5, 1, 1)]),
+    ]
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
 def test_a_search_skips_blocks_and_reads_no_text(spark):
     """A rare word decides: ranges that hold only a frequent one stay closed."""
     rows = [(i, "s", f"d{i}", "common " * 3 + "filler " * 5) for i in range(2000)] + [(5000 + i, "s", f"r{i}", "common rare rare") for i in range(12)]
