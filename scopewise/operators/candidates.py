@@ -10,13 +10,17 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopewise.sources.staging import staged
+from scopewise.sources.staging import released, staged
 
 MOST_PAIRS, MOST_TRAJECTORIES, MOST_CROSS = 4, 2, 1
 #: Admissions of a diagnosis that meet in one task; more are dealt in blocks.
 PAIR_BLOCK = 1_000
 #: Pairs that a task of capped pairs makes, on average; if there are more, patients are dealt in blocks.
 TASK_PAIRS = 1_000_000
+#: Admissions of a patient that go with each of them to its pairs, at most; and diagnoses that are numbered for that and broadcast.
+OWN_FEW, NAMED = 64, 200_000
+#: Blocks of patients to each of which an admission may go alone; more take more room than what goes with an admission to its diagnosis.
+COPIES = 12
 #: Source sets of a range that a balanced choice reads at a time.
 RANGE_SETS = 50_000
 SEED = 42
@@ -76,12 +80,19 @@ def capped_cross_pairs(admissions: DataFrame, patient: str, admission: str, diag
     """cross_pairs(), as many as ``most`` of each two patients, by their stable rank, with their place.
 
     A pair that can't be among them doesn't leave the task that makes it: Spark limits each group before the shuffle. More
-    than ``task_pairs`` pairs aren't shuffled at all: admissions are, to where all pairs of their patients are made.
+    than ``task_pairs`` pairs aren't shuffled at all: admissions are, to where all pairs of their patients are made. If that
+    is in more than COPIES places, they go to the others of their diagnosis, once, with the other admissions of their patient,
+    unless a patient has more than OWN_FEW or there are more than NAMED diagnoses.
     """
-    rows = staged(_diagnosed(admissions, patient, admission, diagnosis, excluded), "diagnosed")
+    with released(admissions.sparkSession):  # what made the admissions isn't held beside their pairs
+        rows = staged(_diagnosed(admissions, patient, admission, diagnosis, excluded).withColumn("i", F.monotonically_increasing_id()), "diagnosed")
     n = F.col("count")
-    pairs = rows.groupBy("diagnosis").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    counts = rows.groupBy("diagnosis").count()
+    pairs, names = counts.agg(F.sum(n * (n - 1) / 2), F.count("*")).first()
+    pairs = pairs or 0
     blocks = math.ceil(math.sqrt(2 * pairs / task_pairs))
+    if blocks > COPIES and names <= NAMED and rows.groupBy("p").count().where(n > OWN_FEW).isEmpty():
+        return _capped_by_diagnoses(rows, counts, most, block_rows, math.ceil(pairs / task_pairs))
     if pairs <= task_pairs:
         pairs, together = cross_pairs(rows, "p", "a", "diagnosis", (), block_rows), []
     else:
@@ -91,6 +102,45 @@ def capped_cross_pairs(admissions: DataFrame, patient: str, admission: str, diag
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop(*together)
 
 
+def _capped_by_diagnoses(rows: DataFrame, counts: DataFrame, most: int, block_rows: int, tasks: int) -> DataFrame:
+    """capped_cross_pairs() of (diagnosis, p, a, i): all pairs of two blocks of a diagnosis are made in one task, which has what tells their places.
+
+    Each admission goes to its block, once for each block of its diagnosis, with all admissions of its patient (diagnoses
+    by number). Patients who have one diagnosis in common, each once, have one pair; of others all pairs are put in order
+    for each pair, which then has its place among them. i numbers the rows, which may repeat.
+    """
+    spark = rows.sparkSession
+    blocks = F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")
+    names = F.broadcast(staged(counts.select("diagnosis", F.row_number().over(Window.orderBy("diagnosis")).alias("d"), blocks), "names"))  # NAMED at most
+    own = F.collect_list(F.struct("d", "a", "i")).over(Window.partitionBy("p"))
+    known = rows.join(names, "diagnosis").select("d", "p", "a", "i", "blocks").withColumn("own", own)
+    once = F.size(F.filter("own.d", lambda d: d == F.col("d"))) == 1
+    member = F.struct("p", "a", "i", once.alias("once"), F.array_distinct("own.d").alias("kinds"), F.col("own.d").alias("ds"), F.col("own.a").alias("as"), F.col("own.i").alias("is"))
+    dealt = known.select("d", F.pmod(F.xxhash64("p", "a"), F.col("blocks")).cast("int").alias("block"), member.alias("m"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("d", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "m")
+    dealt = dealt.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "d", "low", "high")
+    side = lambda name: F.collect_list(F.when(F.col("block") == F.col(name), F.col("m"))).alias(name[0])
+    met = dealt.groupBy("d", "low", "high").agg(side("low"), side("high")).where("size(h) > 0")
+    met = met.select("d", "low", "high", F.explode("l").alias("x"), "h").select("d", "low", "high", "x", F.explode("h").alias("y")).where("x.p < y.p OR (low < high AND x.p > y.p)")
+    # most pairs are alone: what their patients have besides stays behind
+    alone = F.col("x.once") & F.col("y.once") & (F.size(F.array_intersect("x.kinds", "y.kinds")) == 1)
+    met = met.withColumn("alone", alone).withColumn("turned", F.col("x.p") > F.col("y.p"))
+    first, second = (lambda c, one=one, two=two: F.when(F.col("turned"), F.col(f"{two}.{c}")).otherwise(F.col(f"{one}.{c}")) for one, two in ("xy", "yx"))
+    light = [side(c).alias(f"{c}_{k}") for k, side in ((1, first), (2, second)) for c in "pai"]
+    beside = [F.when(~F.col("alone"), F.struct(*[side(c).alias(c) for c in ("ds", "as", "is")])).alias(f"own_{k}") for k, side in ((1, first), (2, second))]
+    met = met.select("d", "low", "high", *light, *beside)
+    pair = lambda d, a1, i1, a2, i2: F.struct(d.alias("d"), a1.alias("admission_1"), i1.alias("i1"), a2.alias("admission_2"), i2.alias("i2"))
+    held = lambda c: F.arrays_zip(F.col(f"{c}.ds").alias("d"), F.col(f"{c}.as").alias("a"), F.col(f"{c}.is").alias("i"))
+    every = F.flatten(F.transform(held("own_1"), lambda e: F.transform(F.filter(held("own_2"), lambda f: f["d"] == e["d"]), lambda f: pair(e["d"], e["a"], e["i"], f["a"], f["i"]))))
+    shared = F.coalesce(every, F.array(pair(*[F.col(c) for c in ("d", "a_1", "i_1", "a_2", "i_2")])))
+    met = met.select(F.col("d").alias("of"), "low", "high", F.col("p_1").alias("patient_1"), F.col("p_2").alias("patient_2"), F.col("i_1").alias("own1"), F.col("i_2").alias("own2"), F.explode_outer(shared).alias("s"))
+    met = met.select("of", "low", "high", "patient_1", "patient_2", "own1", "own2", "s.*").join(names.select("d", "diagnosis"), "d")
+    met = met.withColumn("stable_rank", stable_rank(F.col("diagnosis"), F.col("admission_1"), F.col("admission_2")))
+    w = Window.partitionBy("of", "low", "high", "own1", "own2").orderBy("stable_rank", "diagnosis", "admission_1", "admission_2", "i1", "i2")
+    out = met.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) & (F.col("own1") == F.col("i1")) & (F.col("own2") == F.col("i2")))
+    return out.select("diagnosis", "patient_1", "admission_1", "patient_2", "admission_2", "stable_rank", "place")
+
+
 def _pairs_by_patients(rows: DataFrame, blocks: int) -> DataFrame:
     """cross_pairs() of (diagnosis, p, a) with low, high: patients are dealt in blocks, and all pairs of two blocks are in one task.
 

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from scopewise.operators import candidates
+from scopewise.sources.staging import RELEASE
 
 SCHEMA = "patient string, admission long, diagnosis string, extra string"
 
@@ -66,3 +67,29 @@ def test_capped_pairs_by_blocks_of_patients(spark, most):
     plan = many._jdf.queryExecution().executedPlan().toString()
     window = plan.index("Window ")
     assert "Exchange" not in plan[window : plan.index("Generate", window)]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_capped_pairs_by_diagnoses(spark, monkeypatch, most):
+    """Very many pairs are made where their diagnosis is, and have their places there, unless a patient has many admissions."""
+    rows, before = spark.createDataFrame(admissions() + admissions()[:30], SCHEMA), spark.conf.get(RELEASE, None)
+    few = candidates.capped_cross_pairs(rows, "patient", "admission", "diagnosis", most, task_pairs=10**9)
+    want, found = sorted(few.collect()), []
+    for own_few, block, task_pairs in ((1000, 7, 10), (1000, 1000, 20), (5, 1000, 10), (1000, 1000, 100)):
+        monkeypatch.setattr(candidates, "OWN_FEW", own_few)
+        many = candidates.capped_cross_pairs(rows, "patient", "admission", "diagnosis", most, block_rows=block, task_pairs=task_pairs)
+        found.append("own2" in many._jdf.queryExecution().executedPlan().toString())
+        assert sorted(many.select(*few.columns).collect()) == want
+    assert found == [True, True, False, False] and spark.conf.get(RELEASE, None) == before
+
+
+def test_very_many_capped_pairs_shuffle_an_admission_once(spark, monkeypatch):
+    """However many tasks make the pairs, an admission goes to its diagnosis once."""
+    monkeypatch.setattr(candidates, "OWN_FEW", 1000)
+    rows, dealt = spark.createDataFrame(admissions(), SCHEMA), []
+    sound = sum(bool(p and a is not None and (d or "").strip() and d.strip().upper() != "NEWBORN") for p, a, d, _ in admissions())
+    kind, whole = type(rows), type(rows).repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt.append(self) or whole(self, *a))
+    for task_pairs in (20, 10):
+        candidates.capped_cross_pairs(rows, "patient", "admission", "diagnosis", task_pairs=task_pairs)
+    assert [x.count() for x in dealt] == [sound, sound]
